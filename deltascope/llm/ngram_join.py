@@ -3,48 +3,53 @@
 A document is the set of its distinct word shingles; two documents link when
 100 * |intersection| >= threshold * |union|. Of sets that similar, the first
 ``n - ceil(threshold n / 100) + 1`` tokens under any one global order must share a token,
-so candidates must share a prefix token under each of the ORDERS; only pairs that pass
-all of them are verified, on whole sets. Orders put rare tokens first, by a
-count-min sketch over the shingles of all documents (WIDTH counters, so its size is
-fixed; a coarse count costs candidates, never links), and differ in the hash that breaks ties.
-
-Steps, none of which gathers a key's rows in one task without a bound:
-
-1. Equal sets are one class, by a 128-bit hash of the set; classes have counts.
-2. Prefix tokens of the first order are shuffled by token and sorted by set size; runs
-   of sizes that can reach the threshold are tied to the run's first class. Components
-   of these ties are candidate clusters: every link lies inside one.
-3. Clusters are cut into blocks of about BLOCK classes (fewer when sets are large), each pair
-   of blocks is a group of its own, and it verifies its candidates by sparse
-   set-membership products. It reports a spanning forest of links, never all pairs.
-4. Components of the links give the answer; classes take it back to rows.
+so candidates must share a prefix token under every order: the first puts tokens by
+document frequency, rarest first, the others (SEEDS) by hashes. Only pairs that pass all of
+them are verified, on whole sets.
+
+Steps, none of which gathers a key's rows in one task without a bound, or broadcasts what grows:
+
+1. Equal sets are one class, by a 128-bit hash of the set.
+2. Most texts are alone, and a few of their tokens prove it: each set sends its tokens
+   with the lowest hashes (a share that depends on its size alone), and if as many of
+   them as a prefix is long occur in no other set, it can have no link. For that, only
+   tokens count that every set of a compatible size would have sent.
+3. The other sets send all tokens, get exact frequencies among these sets back, and so have their
+   prefixes under the first order.
+4. Prefix tokens are shuffled and sorted by set size; runs of sizes that can reach the
+   threshold are tied to the run's first class. Components of these ties are clusters: every link lies inside one.
+5. Clusters are cut into blocks of about BLOCK classes (fewer when sets are large), each
+   pair of blocks is a group of its own, and verifies its candidates by products of
+   membership matrices. It reports a spanning forest of links, never all pairs.
+6. Components of the links give the answer; classes take it back to rows.
 
 A cluster's work is quadratic in its number of different texts, spread over its pairs of blocks.
 
 Edge cases: null and empty texts and texts without words have no shingles and link with
 nothing; texts with fewer words than the width have their whole sequence as one shingle;
-repeated rows are copies; a null id takes part and is named by its class; no rows give no rows;
+repeated rows are copies; rows of a null id link with nothing; no rows give no rows;
 further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltascope.llm.common import BROADCAST_ROWS, forget, join_facts, stored
+from deltascope.llm.common import BROADCAST_ROWS, join_facts, stored
 from deltascope.llm.graph import connected_components
 from deltascope.llm.vector_join import forest
 
-WIDTH_BITS = 20
-SLICE_BITS = 16
-#: Seeds that break ties of equal rarity; one order each.
-ORDERS = (1, 2, 3)
+#: Seeds of the orders by hash, besides the order by frequency.
+SEEDS = (1, 2)
+#: Rows of one token that are held to learn its frequency; more frequent tokens count as this frequent.
+MOST_FREQUENT = 1 << 16
 BLOCK = 512
 #: Shingles of a block, summed over its sets, at most about.
 BLOCK_SHINGLES = 1_500_000
@@ -77,81 +82,112 @@ def shingles(text: str | None, width: int) -> np.ndarray:
             h = _hashes[w] = xxhash.xxh3_64_intdigest(w)
         got.append(h)
     h = np.array(got, dtype=np.uint64)
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, min(width, len(h)), dtype=np.uint64)
-    for k in range(min(width, len(h))):
-        out = _mix(out * np.uint64(0x100000001B3) + h[k : k + n])
-    return np.unique(out)
+    k = min(width, len(h))
+    n = len(h) - k + 1
+    out = np.full(n, k, dtype=np.uint64)
+    for i in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    return np.unique(_mix(out))
 
 
-def _slot(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - WIDTH_BITS)).astype(np.int64)
+def prefix_length(n, threshold: int):
+    """For an int, an array or a Column of ints."""
+    most = threshold * n + 99
+    return n - (F.floor(most / 100) if isinstance(n, Column) else most // 100) + 1
 
 
-def prefix_length(n: int, threshold: int) -> int:
-    return n - (threshold * n + 99) // 100 + 1
-
-
-def prefix(tokens: np.ndarray, rarity: np.ndarray, seed: int, threshold: int) -> np.ndarray:
-    """Places of the first tokens under the order of a seed."""
+def prefix(tokens: np.ndarray, seed: int, threshold: int) -> np.ndarray:
+    """The first tokens under the order by the seed's hash."""
     p = prefix_length(len(tokens), threshold)
-    # rarity class above, tie-breaking hash below, the token itself last
-    key = (rarity[_slot(tokens)].astype(np.uint64) << np.uint64(56)) | (_mix(tokens, seed) >> np.uint64(8))
-    return np.argsort(key, kind="stable")[:p]
+    return tokens[np.argpartition(_mix(tokens, seed), min(p, len(tokens) - 1))[:p]] if p < len(tokens) else tokens
 
 
-def token_rarity(docs: DataFrame, width: int) -> np.ndarray:
-    """By sketch slot, the bit length of the number of documents' shingles counted in it."""
-    per = 1 << SLICE_BITS
+def sent_share(n: int, threshold: int) -> float:
+    """Share of the hash range from which a set of n tokens sends; it falls with n."""
+    return min(1.0, 1.12 * (100 - threshold) / 100 + 2.2 / math.sqrt(n) + 3 / n)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << WIDTH_BITS, dtype=np.int64)
-        for batch in batches:
-            for t in batch.column("text"):
-                np.add.at(held, _slot(shingles(t.as_py(), width)), 1)
-        if held.any():
-            parts = [held[i : i + per] for i in range(0, len(held), per)]
-            small = [p.astype("<u2" if p.max() < 1 << 16 else "<i8") for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), type=pa.int32()), pa.array([p.itemsize for p in small], type=pa.int32()), pa.array([p.tobytes() for p in small])], names=["part", "size", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, size, raw in zip(*[batch.column(c).to_pylist() for c in ("part", "size", "counts")]):
-                sums.setdefault(part, np.zeros(per, dtype=np.int64))
-                sums[part] += np.frombuffer(raw, dtype="<u2" if size == 2 else "<i8")
-        for part, held in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], type=pa.int32()), pa.array([held.tobytes()])], names=["part", "counts"])
-
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part int, size int, counts binary").repartition("part")
-    out = np.zeros(1 << WIDTH_BITS, dtype=np.uint8)
-    for part, raw in parts.mapInArrow(add, "part int, counts binary").toLocalIterator():  # 1 << WIDTH_BITS counters in all
-        n = np.frombuffer(raw, dtype=np.int64)
-        out[part * per : (part + 1) * per] = np.where(n > 0, np.floor(np.log2(np.maximum(n, 1))) + 1, 0)
-    return out
 
-
-def signatures(docs: DataFrame, width: int, threshold: int, rarity) -> DataFrame:
-    """doc_id, n, k1, k2 (hash of the set, null without shingles), prefix under the first order."""
+def signatures(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """doc_id, n, k1, k2 (hash of the set, null without shingles), sent (its lowest tokens; bit 0 tells if a token can prove it alone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             n, k1, k2, offsets, flat = [], [], [], [0], []
             for t in batch.column("text"):
                 s = shingles(t.as_py(), width)
                 n.append(len(s))
+                more = 0
                 if len(s):
                     key = xxhash.xxh3_128_digest(s.tobytes())
                     k1.append(int.from_bytes(key[:8], "little", signed=True))
                     k2.append(int.from_bytes(key[8:], "little", signed=True))
-                    flat.append(s[prefix(s, rarity.value, ORDERS[0], threshold)].view(np.int64))
+                    if k1[-1] not in seen:  # a copy in this partition has sent them
+                        seen.add(k1[-1])
+                        bounds = [int(sent_share(m, threshold) * (1 << 53)) << 11 for m in (len(s), len(s) * 100 // threshold + 1)]
+                        more, proof = (len(s) if b >= 1 << 64 else int(np.searchsorted(s, np.uint64(b))) for b in bounds)
+                        out = s[:more] & ~np.uint64(1)
+                        out[:proof] |= np.uint64(1)
+                        flat.append(out.view(np.int64))
                 else:
                     k1.append(None), k2.append(None)
-                offsets.append(offsets[-1] + (len(flat[-1]) if len(s) else 0))
+                offsets.append(offsets[-1] + more)
             lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *flat])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, type=pa.int64()), pa.array(k1, type=pa.int64()), pa.array(k2, type=pa.int64()), lists], names=["doc_id", "n", "k1", "k2", "prefix"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, type=pa.int64()), pa.array(k1, type=pa.int64()), pa.array(k2, type=pa.int64()), lists], names=["doc_id", "n", "k1", "k2", "sent"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sent array<long>")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key, columns: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray], bool]]:
+    """Batches of sorted rows, re-cut so that a key's rows come together: (keys, columns, whether the first key goes on from the batch before).
+
+    A key with more than MOST_FREQUENT rows is cut into parts; the last element tells of all but its first part.
+    """
+    held: list[np.ndarray] | None = None
+    goes_on = False
+    for batch in batches:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if held is not None:
+            cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
+        if not len(cols[0]):
+            continue
+        keys = key(cols[0])
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut == 0 and len(keys) > MOST_FREQUENT:
+            yield keys, cols, goes_on
+            held, goes_on = [c[-1:] for c in cols], True
+            continue
+        if cut:
+            yield keys[:cut], [c[:cut] for c in cols], goes_on
+            goes_on = False
+        held = [c[cut:] for c in cols]
+    if held is not None and len(held[0]):
+        yield key(held[0]), held, goes_on
+
+
+def _lonely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k1, n: tokens of a set that no other set has sent, of those that can prove it alone."""
+    for keys, (token, k1), goes_on in _groups(batches, lambda t: t >> 1, ["token", "k1"]):
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        alone = (np.minimum.reduceat(k1, starts) == np.maximum.reduceat(k1, starts)) & (token[starts] & 1 == 1)
+        if goes_on:
+            alone[0] = False
+        who, n = np.unique(k1[starts[alone]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n)], names=["k1", "n"])
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, node, n, df of the tokens that two nodes or more have."""
+    for keys, (token, node, n), goes_on in _groups(batches, lambda t: t, ["token", "node", "n"]):
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])))  # a repeated row of a node counts once
+        token, node, n, keys = token[new], node[new], n[new], keys[new]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        times = np.diff(np.concatenate((starts, [len(keys)])))
+        df = np.minimum(np.repeat(times, times), MOST_FREQUENT)
+        if goes_on:
+            df[: times[0]] = MOST_FREQUENT
+        use = df > 1
+        yield pa.RecordBatch.from_arrays([pa.array(token[use]), pa.array(node[use]), pa.array(n[use]), pa.array(df[use])], names=["token", "node", "n", "df"])
 
 
 def ties(postings: DataFrame, threshold: int) -> DataFrame:
@@ -206,17 +242,15 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(sets: list[np.ndarray], rarity: np.ndarray, threshold: int) -> np.ndarray:
-    """Symmetric boolean matrix of links: prefix filters of all orders intersected, then whole sets verified."""
+def linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Symmetric boolean matrix of links: sizes and prefix filters of the orders by hash intersected, then whole sets verified."""
     n = np.array([len(s) for s in sets], dtype=np.int64)
     pass_ = 100 * np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
     np.fill_diagonal(pass_, False)
-    for seed in ORDERS:
+    for seed in SEEDS:
         use = np.flatnonzero(pass_.any(axis=1))
-        if len(use) < 2:
-            break
         share = np.zeros_like(pass_)
-        share[np.ix_(use, use)] = overlaps([sets[i][prefix(sets[i], rarity, seed, threshold)] for i in use]) > 0
+        share[np.ix_(use, use)] = overlaps([prefix(sets[i], seed, threshold) for i in use]) > 0
         pass_ &= share
     use = np.flatnonzero(pass_.any(axis=1))
     out = np.zeros_like(pass_)
@@ -227,44 +261,69 @@ def linked(sets: list[np.ndarray], rarity: np.ndarray, threshold: int) -> np.nda
     return out & pass_
 
 
+def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, n, tokens (packed) of the wanted classes (node, k1), from the rows that name them."""
+    ids = wanted.select(F.col("node").alias("doc_id"), "k1")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                node, n, raw = [], [], []
+                for i, k, t in zip(part.column("doc_id"), part.column("k1"), part.column("text")):
+                    s = shingles(t.as_py(), width)
+                    if int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) == k.as_py():
+                        node.append(i.as_py()), n.append(len(s)), raw.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(node, type=pa.int64()), pa.array(n, type=pa.int64()), pa.array(raw, type=pa.binary())], names=["node", "n", "tokens"])
+
+    return rows.join(ids, "doc_id").select("doc_id", "k1", "text").mapInArrow(run, "node long, n long, tokens binary")
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, n, raw in zip(*[batch.column(c).to_pylist() for c in ("node", "n", "tokens")]):
+            token = np.frombuffer(raw, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), node)), pa.array(np.full(len(token), n))], names=["token", "node", "n"])
+
+
 def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rarity = spark.sparkContext.broadcast(token_rarity(rows, width))
-    signed = stored(signatures(rows, width, threshold, rarity), "ngram-signed")
-    classes = signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = stored(classes, "ngram-classes")
-    postings = classes.filter("node is not null").select("node", "n", F.explode("prefix").alias("token"))
-    postings = postings.repartition("token").sortWithinPartitions("token", "n", "node")
+    signed = stored(signatures(rows, width, threshold), "ngram-signed")
+    named = signed.filter("k1 is not null and doc_id is not null")
+    classes = stored(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n")), "ngram-classes")
+
+    sent = named.select("k1", F.explode("sent").alias("token")).repartition(F.shiftright("token", 1)).sortWithinPartitions("token")
+    alone = sent.select("token", "k1").mapInArrow(_lonely, "k1 long, n long").groupBy("k1").agg(F.sum("n").alias("alone"))
+    open_ = classes.join(alone, "k1", "left").filter(F.coalesce("alone", F.lit(0)) < prefix_length(F.col("n"), threshold))
+    loaded = stored(_sets(rows, stored(open_.select("node", "k1"), "ngram-open"), width), "ngram-sets")
+
+    tokens = loaded.mapInArrow(_flat, "token long, node long, n long").repartition("token").sortWithinPartitions("token", "node")
+    live = tokens.mapInArrow(_frequent, "token long, node long, n long, df long")
+    by_node = Window.partitionBy("node")
+    place = F.row_number().over(by_node.orderBy("df", F.xxhash64("token"), "token"))
+    rare = F.col("n") - F.count("*").over(by_node)  # tokens of this node alone come first and tie with nothing
+    postings = live.withColumns({"place": place, "rare": rare}).filter(F.col("place") + F.col("rare") <= prefix_length(F.col("n"), threshold))
+    postings = postings.select("token", "n", "node").repartition("token").sortWithinPartitions("token", "n", "node")
     clusters = stored(connected_components(ties(postings, threshold)), "ngram-clusters")
 
     sized = clusters.join(classes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     parts = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     sized = stored(sized.select("component", "members", parts.alias("parts")), "ngram-cluster-sizes")
     wanted = stored(join_facts(clusters, sized, ["component"], "members", ["node"]), "ngram-wanted")
-    ids = wanted.select(F.col("node").alias("doc_id"), "component", "parts")
+    ids = wanted.select("node", "component", "parts")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    texts = rows.join(ids, "doc_id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                got = [shingles(t.as_py(), width) for t in part.column("text")]
-                raw = pa.array([s.tobytes() for s in got], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("component"), part.column("parts"), raw], names=["node", "component", "parts", "tokens"])
-
-    loaded = texts.select("doc_id", "component", "parts", "text").mapInArrow(sets, "node long, component long, parts int, tokens binary")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    spread = loaded.select("node", "component", "tokens", F.inline(others))
+    spread = loaded.join(ids, "node").select("node", "component", "tokens", F.inline(others))
 
     def verify(table: pa.Table) -> pa.Table:
         seen = {(i, t): None for i, t in zip(table.column("node").to_pylist(), table.column("tokens").to_pylist())}
         nodes = np.array([i for i, _ in seen], dtype=np.int64)
-        root = forest(linked([np.frombuffer(t, dtype=np.uint64) for _, t in seen], rarity.value, threshold))
+        root = forest(linked([np.frombuffer(t, dtype=np.uint64) for _, t in seen], threshold))
         child = np.flatnonzero(nodes[root] != nodes)
         return pa.table({"a": pa.array(nodes[root[child]]), "b": pa.array(nodes[child])})
 
@@ -273,7 +332,8 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     facts = classes.select("k1", "k2", "copies", "node").join(found, "node", "left")
     facts = stored(facts.select("k1", "k2", "copies", F.coalesce("component", "node").alias("component")), "ngram-facts")
     out = join_facts(signed.select("doc_id", "n", "k1", "k2"), facts, ["k1", "k2"], "copies", ["doc_id"])
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int, threshold: int) -> DataFrame:
