@@ -26,7 +26,7 @@ from deltascope.llm.common import join_facts, stored, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 #: Ranks are binned so finely before the exact cut is made inside one bin of each source.
-BINS = 65536
+BINS = 4096
 TILT, TILT_RANGE = 0.25, (0.5, 2.0)
 SEED = 9
 #: Times that what is left of a source's target is filled from documents that still fit it.
