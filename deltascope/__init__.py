@@ -1,0 +1 @@
+"""Change-impact analytics on Spark: what replaying transactions under another price schedule does to them."""

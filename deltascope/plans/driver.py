@@ -1 +1,650 @@
-QUERIES, ORACLE = {}, {}
+"""Every operator as a query over the driver's tables, with the same question in SQL for DuckDB."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from deltascope.functions import opcodes, predicates as P, scalars as S
+from deltascope.operators import bytecode, clusters, config, forensics, hist, labels as L, mixes, partition, versioned
+from deltascope.plans.facts import FACTS_SQL, LABELS_SQL, TOTALS_SQL, facts, labels, latest_items, totals
+from deltascope.sources.tables import read_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str, *ctes: str, base: bool = True):
+    """Register a query under its function's name; base puts the facts in front of the SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        head = ", ".join([*([FACTS_SQL] if base else []), *ctes])
+        ORACLE[f.__name__] = f"{head if base or not ctes else 'WITH ' + head} {sql}"
+        return f
+
+    return add
+
+
+def mix_sql(column: str, where: str = "TRUE", limit: str = "") -> str:
+    return f"SELECT {column} AS key, count(*) AS count FROM facts WHERE ({where}) AND ({column}) IS NOT NULL GROUP BY 1 ORDER BY count DESC, key {limit}"
+
+
+def _text(c: str):
+    return F.col(c).cast("string").alias(c)
+
+
+# Partition ------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT CAST(month AS STRING) AS month, count(*) AS tx_count, count(*) FILTER (WHERE {P.G2_DRILLIN}) AS g2_drillin, count(*) FILTER (WHERE {P.G3}) AS g3, count(*) FILTER (WHERE {P.G4}) AS g4,
+    count(*) FILTER (WHERE {P.AF}) AS af, count(*) FILTER (WHERE {P.RESCUE}) AS rescues FROM facts GROUP BY month""")
+def partition_overview(spark, sf_dir):
+    """Newest versions, classified and counted by month."""
+    out = partition.block_groups(facts(spark, sf_dir), "month")
+    return out.select(F.col("month").cast("string").alias("month"), F.col("n_rows").alias("tx_count"), "g2_drillin", "g3", "g4", "af", "rescues").orderBy("month")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate FROM li")
+def dedup_latest(spark, sf_dir):
+    return latest_items(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+
+
+@query("SELECT l_orderkey, max(l_shipdate) AS l_shipdate, arg_max_null(l_quantity, (l_shipdate, l_quantity)) AS l_quantity FROM lineitem GROUP BY l_orderkey", base=False)
+def dedup_columns(spark, sf_dir):
+    """Column by column, where the version is total."""
+    rows = read_table(spark, sf_dir, "lineitem").withColumn("v", F.struct("l_shipdate", "l_quantity"))
+    return versioned.latest_columns(rows, "l_orderkey", "v", ["l_quantity"]).select("l_orderkey", "v.l_shipdate", "l_quantity")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS n_distinct, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_duplicates FROM lineitem", base=False)
+def dedup_guard(spark, sf_dir):
+    return versioned.duplicate_count(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+def _blocks(spark, sf_dir) -> DataFrame:
+    """Orders as blocks of 20 transactions: up to 7 replayed one by one, the rest in two aggregate classes."""
+    cov = read_table(spark, sf_dir, "orders").selectExpr("o_orderkey AS block_number", "o_orderdate AS block_timestamp", "o_orderkey % 10 AS tx_count_gas_only", "o_custkey % 10 = 0 AS drill_ins_truncated")
+    groups = partition.block_groups(facts(spark, sf_dir))
+    stored = groups.select("block_number", F.col("n_rows").alias("stored"))
+    cov = cov.join(stored, "block_number", "left").fillna(0, ["stored"]).withColumn("tx_count_unchanged", 20 - F.col("stored") - F.col("tx_count_gas_only"))
+    cov = cov.withColumns({"tx_count": F.when(F.col("drill_ins_truncated"), 22).otherwise(20).cast("bigint"), "tx_count_stored": F.col("stored"), "retained_drill_in_count": F.col("stored")})
+    return partition.assemble(cov, groups)
+
+
+BLOCKS_SQL = f"""d AS (SELECT block_number, count(*) AS n, count(*) FILTER (WHERE {P.G2_DRILLIN}) AS g2d, count(*) FILTER (WHERE {P.G3}) AS g3, count(*) FILTER (WHERE {P.G4}) AS g4,
+    count(*) FILTER (WHERE {P.AF}) AS af, count(*) FILTER (WHERE {P.RESCUE}) AS rescues FROM facts GROUP BY block_number),
+b AS (SELECT o_orderkey AS block_number, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_custkey % 10 = 0 THEN 22 ELSE 20 END AS tx_count, o_custkey % 10 = 0 AS truncated,
+    20 - coalesce(n, 0) - o_orderkey % 10 AS g1, o_orderkey % 10 + coalesce(g2d, 0) AS g2, coalesce(g3, 0) AS g3, coalesce(g4, 0) AS g4, coalesce(af, 0) AS af, coalesce(rescues, 0) AS rescues
+    FROM orders LEFT JOIN d ON block_number = o_orderkey),
+blocks AS (SELECT *, tx_count - g1 - g2 - g3 - g4 - af AS g5 FROM b)"""
+
+
+@query("SELECT block_number, CAST(day AS STRING) AS day, CAST(g1 AS BIGINT) AS g1, CAST(g2 AS BIGINT) AS g2, g3, g4, CAST(g5 AS BIGINT) AS g5, af, rescues FROM blocks", BLOCKS_SQL)
+def block_partition(spark, sf_dir):
+    return _blocks(spark, sf_dir).select("block_number", _text("day"), "g1", "g2", "g3", "g4", "g5", "af", "rescues")
+
+
+_SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("tx_count", "g1", "g2", "g3", "g4", "g5", "af", "rescues"))
+
+
+@query(f"SELECT CAST(day AS STRING) AS day, min(block_number) AS block_start, max(block_number) AS block_end, {_SUMS}, count(*) FILTER (WHERE truncated) AS truncated_blocks FROM blocks GROUP BY day", BLOCKS_SQL)
+def overview_series(spark, sf_dir):
+    return partition.overview(_blocks(spark, sf_dir)).withColumn("day", _text("day"))
+
+
+@query(f"SELECT {_SUMS} FROM blocks", BLOCKS_SQL)
+def coverage_totals(spark, sf_dir):
+    return partition.totals(_blocks(spark, sf_dir))
+
+
+@query(f"SELECT min(block_number) AS block_start, max(block_number) AS block_end, max(block_number) - min(block_number) + 1 AS block_count, CAST(min(day) AS STRING) AS day_start, CAST(max(day) AS STRING) AS day_end, {_SUMS}, round(CAST(count(*) FILTER (WHERE truncated) AS DOUBLE) / count(*), 4) AS truncated_share FROM blocks", BLOCKS_SQL)
+def run_meta(spark, sf_dir):
+    return partition.meta(_blocks(spark, sf_dir)).withColumns({"day_start": _text("day_start"), "day_end": _text("day_end")})
+
+
+@query("SELECT CAST(day AS STRING) AS day, " + ", ".join(f"100.0::DOUBLE * sum({p}) / sum(tx_count) AS {p}_pct" for p in partition.PARTS) + " FROM blocks GROUP BY day", BLOCKS_SQL)
+def composition_percent(spark, sf_dir):
+    return partition.composition(partition.overview(_blocks(spark, sf_dir))).withColumn("day", _text("day"))
+
+
+@query("SELECT block_number, 'I3' AS broken FROM blocks WHERE FALSE", BLOCKS_SQL)
+def partition_violations(spark, sf_dir):
+    """Truncated blocks hold more than their classes say, by design; all identities but I1 hold everywhere."""
+    return partition.violations(_blocks(spark, sf_dir).filter("NOT drill_ins_truncated")).select("block_number", "broken")
+
+
+@query("SELECT count(*) AS n FROM facts WHERE schedule_success <> coalesce(min_multiplier_to_succeed <= 1, FALSE)")
+def multiplier_leaks(spark, sf_dir):
+    return partition.multiplier_leaks(facts(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT grp, count(*) AS n FROM (SELECT CASE WHEN NOT coalesce(baseline_success, FALSE) THEN 'af' WHEN schedule_success THEN 'g2' WHEN min_multiplier_to_succeed > 1 THEN 'g3' ELSE 'g4' END AS grp FROM facts) GROUP BY grp""")
+def drill_in_groups(spark, sf_dir):
+    grp = P.drill_in_group(F.col("schedule_success"), F.col("min_multiplier_to_succeed"), F.col("baseline_success"))
+    return facts(spark, sf_dir).groupBy(grp.alias("grp")).agg(F.count("*").alias("n"))
+
+
+# Configurations -------------------------------------------------------------------------------------------
+
+_CONFIG_SQL = "c AS (SELECT c_mktsegment AS analysis_config_hash, o_orderpriority AS schedule_name, o_orderkey AS block_number, o_orderdate AS updated_at FROM orders JOIN customer ON c_custkey = o_custkey), k AS (SELECT analysis_config_hash, schedule_name, count(DISTINCT block_number) AS blocks, min(block_number) AS min_block, max(block_number) AS max_block, max(updated_at) AS updated_at FROM c GROUP BY 1, 2)"
+_FOCUS = ["1-URGENT", "2-HIGH"]
+
+
+def _configs(spark, sf_dir) -> DataFrame:
+    o, c = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
+    rows = o.join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_mktsegment").alias("analysis_config_hash"), F.col("o_orderpriority").alias("schedule_name"), F.col("o_orderkey").alias("block_number"), F.col("o_orderdate").alias("updated_at"))
+    return config.coverage_by_config(rows)
+
+
+@query("SELECT * FROM k", _CONFIG_SQL, base=False)
+def config_coverage(spark, sf_dir):
+    return _configs(spark, sf_dir)
+
+
+@query(f"SELECT analysis_config_hash, CAST(sum(blocks) AS BIGINT) AS blocks, max(updated_at) AS updated_at FROM k WHERE schedule_name IN {tuple(_FOCUS)} GROUP BY 1 HAVING count(DISTINCT schedule_name) = 2", _CONFIG_SQL, base=False)
+def config_resolution(spark, sf_dir):
+    return config.ranked_configs(_configs(spark, sf_dir), _FOCUS)
+
+
+@query("SELECT analysis_config_hash, schedule_name, blocks, min_block, max_block, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY schedule_name ORDER BY blocks DESC, updated_at DESC NULLS LAST, analysis_config_hash) AS r FROM k) WHERE r = 1", _CONFIG_SQL, base=False)
+def config_fallback(spark, sf_dir):
+    return config.best_per_schedule(_configs(spark, sf_dir)).select("analysis_config_hash", "schedule_name", "blocks", "min_block", "max_block", "updated_at")
+
+
+@query("SELECT max(min_block) AS lo, min(max_block) AS hi FROM k", _CONFIG_SQL, base=False)
+def common_range(spark, sf_dir):
+    return config.common_range(_configs(spark, sf_dir))
+
+
+@query("SELECT c_mktsegment AS analysis_config_hash, max(o_orderdate) AS updated_at, max_by(o_clerk, o_orderdate) AS producer_git_commit FROM x GROUP BY 1", "x AS (SELECT c_mktsegment, o_orderdate, max(o_orderstatus || o_orderkey) AS o_clerk FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)", base=False)
+def latest_runs(spark, sf_dir):
+    o, c = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
+    rows = o.join(c, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_mktsegment").alias("analysis_config_hash"), F.col("o_orderdate").alias("updated_at")).agg(F.max(F.expr("o_orderstatus || o_orderkey")).alias("producer_git_commit"))
+    return versioned.latest_runs(rows.withColumn("manifest_json", F.lit("{}"))).drop("manifest_json")
+
+
+# Mixes and aggregates -------------------------------------------------------------------------------------
+
+
+@query(mix_sql("state_gas_category", P.G3))
+def mix_count(spark, sf_dir):
+    return mixes.mix(facts(spark, sf_dir).filter(P.G3), F.col("state_gas_category"))
+
+
+@query(mix_sql("coalesce(state_gas_category, 'none')", P.G2_DRILLIN))
+def mix_none(spark, sf_dir):
+    return mixes.mix_none(facts(spark, sf_dir).filter(P.G2_DRILLIN), F.col("state_gas_category"))
+
+
+_SHAPE = "CASE WHEN is_create THEN 'creation' WHEN has_authorization = 1 THEN 'authorization' WHEN coalesce(input_zero_bytes, 0) = 0 AND coalesce(input_nonzero_bytes, 0) = 0 AND recipient IS NOT NULL THEN 'simple_transfer' ELSE 'contract_call' END"
+_TYPE = "CASE tx_type WHEN 0 THEN 'legacy' WHEN 1 THEN 'access_list' WHEN 2 THEN 'dynamic_fee' WHEN 3 THEN 'blob' WHEN 4 THEN 'set_code' ELSE 'unknown' END"
+
+
+def _fixed_sql(case: str, order: tuple[str, ...], where: str) -> str:
+    return f"SELECT key, coalesce(n, 0) AS count FROM (SELECT unnest({list(order)}) AS key) LEFT JOIN (SELECT {case} AS k, count(*) AS n FROM facts WHERE {where} GROUP BY 1) ON k = key"
+
+
+@query(_fixed_sql(_SHAPE, P.TX_SHAPES, P.G4))
+def mix_zero_filled(spark, sf_dir):
+    return mixes.mix_fixed(facts(spark, sf_dir).filter(P.G4), P.tx_shape(), P.TX_SHAPES)
+
+
+@query(_fixed_sql(_TYPE, P.TX_TYPES, P.G3))
+def mix_tx_types(spark, sf_dir):
+    return mixes.mix_fixed(facts(spark, sf_dir).filter(P.G3), P.tx_type(), P.TX_TYPES)
+
+
+def _counts_sql(where: str, **preds: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS key, count(*) AS count FROM facts WHERE ({where}) AND ({p})" for k, p in preds.items())
+
+
+@query(_counts_sql(P.G2_DRILLIN, all="TRUE", gas_changed="gas_delta <> 0", event_logs_changed="event_logs_changed", output_changed="output_changed", logs_bloom_changed="logs_bloom_changed", trace_only=P.TRACE_ONLY))
+def overlap_flags(spark, sf_dir):
+    return forensics.change_types(facts(spark, sf_dir))
+
+
+@query(_counts_sql(P.G4, not_gas_fixable="replay_halt_oog = FALSE", still_oog_at_ceiling="replay_halt_oog", unknown="replay_halt_oog IS NULL"))
+def fixability(spark, sf_dir):
+    return forensics.fixability(facts(spark, sf_dir))
+
+
+@query(_counts_sql(P.G4, oog=P.OOG, non_oog_revert=P.NON_OOG, other=f"NOT {P.OOG} AND status_changed = FALSE"))
+def break_reasons(spark, sf_dir):
+    return forensics.break_reasons(facts(spark, sf_dir))
+
+
+@query(_counts_sql(P.G4, success_to_fail="baseline_success AND NOT schedule_success", fail_to_fail="NOT baseline_success AND NOT schedule_success", fail_to_success="NOT baseline_success AND schedule_success"))
+def status_flips(spark, sf_dir):
+    return forensics.status_flips(facts(spark, sf_dir))
+
+
+@query(f"SELECT count(*) FILTER (WHERE reservoir_exhausted) AS exhausted_true, count(*) FILTER (WHERE NOT reservoir_exhausted) AS exhausted_false, CAST(coalesce(round(avg(runtime_state_gas_spillover)), 0) AS BIGINT) AS avg_spillover, CAST(coalesce(round(avg(schedule_initial_reservoir)), 0) AS BIGINT) AS avg_initial FROM facts WHERE {P.G4}")
+def reservoir(spark, sf_dir):
+    return forensics.reservoir(facts(spark, sf_dir).filter(P.G4), True)
+
+
+@query("SELECT quantile_cont(oog_call_depth, 0.5) AS p50, quantile_cont(oog_call_depth, 0.9) AS p90, quantile_cont(oog_call_depth, 0.99) AS p99, max(oog_call_depth) AS max FROM g4 WHERE oog_call_depth IS NOT NULL")
+def percentiles(spark, sf_dir):
+    return hist.percentiles(facts(spark, sf_dir).filter(P.G4), "oog_call_depth")
+
+
+@query("SELECT event_type, 100.0::DOUBLE * sum(round(value)) / nullif(sum(event_id), 0) AS pct FROM events GROUP BY 1", base=False)
+def ratio_of_sums(spark, sf_dir):
+    return read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.try_divide(100.0 * F.sum(F.round("value")), F.sum("event_id").cast("double")).alias("pct"))
+
+
+@query("SELECT count(DISTINCT recipient) AS recipient, count(DISTINCT oog_contract) AS oog_contract, count(DISTINCT divergence_contract) AS divergence_contract FROM g4")
+def distinct_breadth(spark, sf_dir):
+    return forensics.breadth(facts(spark, sf_dir).filter(P.G4), "recipient", "oog_contract", "divergence_contract")
+
+
+@query(f"SELECT recipient AS contract, count(*) FILTER (WHERE {P.G3}) AS g3_tx_count, count(*) FILTER (WHERE {P.G2_DRILLIN}) AS g2_drillin_tx_count, count(*) FILTER (WHERE {P.AF}) AS af_tx_count, count(*) FILTER (WHERE {P.STATUS_FLIP}) AS status_flips FROM facts WHERE recipient IS NOT NULL GROUP BY 1")
+def recipient_counts(spark, sf_dir):
+    return clusters.recipient_counts(facts(spark, sf_dir))
+
+
+_SUMMARY_KEYS = ("no_state", "runtime_state", "creation", "simple_transfer", "contract_call", "type_legacy", "type_access_list", "type_dynamic_fee", "type_blob", "type_set_code", "type_other", "authorization")
+
+
+@query("SELECT 'total' AS view, 'tx_count' AS key, CAST(sum(l_quantity) AS BIGINT) AS count FROM lineitem WHERE l_linestatus = 'O' UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{v}', '{k.removeprefix('type_')}', CAST(sum(l_partkey % {_SUMMARY_KEYS.index(k) + 2}) AS BIGINT) FROM lineitem WHERE l_linestatus = 'O'"
+    for v, ks in (("state_driver", _SUMMARY_KEYS[:2]), ("tx_shape", _SUMMARY_KEYS[2:5]), ("tx_type", _SUMMARY_KEYS[5:11]), ("overlay", ("authorization", "creation"))) for k in ks), base=False)
+def aggregate_mixes(spark, sf_dir):
+    """A block summary with made-up counts: thirteen sums in one scan."""
+    rows = read_table(spark, sf_dir, "lineitem").selectExpr("CASE WHEN l_linestatus = 'O' THEN 'gas_only' ELSE 'unchanged' END AS class", "CAST(l_quantity AS BIGINT) AS tx_count", *[f"l_partkey % {i + 2} AS tx_count_{k}" for i, k in enumerate(_SUMMARY_KEYS)])
+    return partition.aggregate_mixes(rows)
+
+
+# Histograms -----------------------------------------------------------------------------------------------
+
+_LOG2 = "CAST(CASE WHEN gas_delta = 0 THEN 0 ELSE least(floor(log2(abs(gas_delta))) + 1, 11) END AS INTEGER)"
+
+
+@query(f"""SELECT CAST(b AS INTEGER) AS bin, CAST(2 ** (b - 1) AS BIGINT) AS lo, CASE WHEN b < 11 THEN CAST(2 ** b - 1 AS BIGINT) END AS hi, CAST(a AS BIGINT) AS aggregate, coalesce(d, 0) AS drill_in, CAST(a AS BIGINT) + coalesce(d, 0) AS count
+    FROM (SELECT b, (SELECT sum(floor(abs(embedding[b + 1]::DOUBLE) * 100)) FROM embeddings) AS a FROM range(1, 12) t(b)) LEFT JOIN (SELECT {_LOG2} AS bin, count(*) AS d FROM facts WHERE ({P.G2_DRILLIN}) AND gas_delta <> 0 GROUP BY 1) ON bin = b""")
+def hist_gas(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("bigint")).alias("h"))
+    return hist.gas_histogram(e, "h", facts(spark, sf_dir).filter(P.G2_DRILLIN)).select("bin", "lo", "hi", "aggregate", "drill_in", "count")
+
+
+@query(f"SELECT CASE WHEN gas_delta < 0 THEN -1 ELSE 1 END AS sign, CAST(CASE WHEN abs(gas_delta) < 1 THEN 0 ELSE floor(log2(abs(gas_delta))) END AS INTEGER) AS bin_log2, count(*) AS count FROM facts WHERE {P.G3} GROUP BY 1, 2")
+def hist_signed_log2(spark, sf_dir):
+    return hist.signed_histogram(facts(spark, sf_dir).filter(P.G3))
+
+
+def _pct_sql() -> str:
+    edges = list(P.PERCENT_EDGES)
+    values = ", ".join(f"({i}, {lo}, {hi})" for i, (lo, hi) in enumerate(zip(edges, [*edges[1:], "NULL"])))
+    return f"SELECT i AS bin, lo, hi, (SELECT count(*) FROM x WHERE v >= lo AND (hi IS NULL OR v < hi)) AS count FROM (VALUES {values}) e(i, lo, hi)"
+
+
+@query(_pct_sql(), f"x AS (SELECT 100.0::DOUBLE * gas_delta / baseline_gas_used AS v FROM facts WHERE ({P.G4}) AND baseline_gas_used > 0)")
+def hist_pct(spark, sf_dir):
+    return hist.percent_histogram(facts(spark, sf_dir).filter(P.G4), P.percent(F.col("gas_delta"), F.col("baseline_gas_used")))
+
+
+@query(_pct_sql(), "x AS (SELECT value * 4 - 150 AS v FROM events)", base=False)
+def hist_pct_tails(spark, sf_dir):
+    return hist.percent_histogram(read_table(spark, sf_dir, "events"), F.col("value") * 4 - 150)
+
+
+@query("SELECT CASE WHEN d > 8 THEN '9+' ELSE CAST(d AS STRING) END AS depth, (SELECT count(*) FROM g4 WHERE least(oog_call_depth, 9) = d AND oog_call_depth IS NOT NULL) AS count FROM range(1, 10) t(d)")
+def hist_depth(spark, sf_dir):
+    return hist.depth_histogram(facts(spark, sf_dir).filter(P.G4), "oog_call_depth")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS bucket, count(*) AS count FROM g4 WHERE oog_gas_remaining >= {lo}" + (f" AND oog_gas_remaining < {hi}" if hi else "") for n, lo, hi in hist.MAGNITUDES))
+def hist_magnitude(spark, sf_dir):
+    return hist.magnitude_histogram(facts(spark, sf_dir).filter(P.G4), "oog_gas_remaining")
+
+
+@query(" UNION ALL ".join(f"SELECT {n} AS multiplier, count(*) AS count FROM facts WHERE ({P.G3}) AND min_multiplier_to_succeed > {lo}" + (f" AND min_multiplier_to_succeed <= {hi}" if hi else "") for lo, hi, n in hist.MULTIPLIERS))
+def hist_multiplier(spark, sf_dir):
+    return hist.multiplier_histogram(facts(spark, sf_dir).filter(P.G3))
+
+
+@query("SELECT " + ", ".join(f"coalesce(CAST(floor(1.5 * 2 ** min(b) FILTER (WHERE u >= {p} * t)) AS BIGINT), 0) AS p{round(100 * p)}" for p in (0.5, 0.9, 0.99)) + " FROM (SELECT b, sum(n) OVER (ORDER BY b) AS u, sum(n) OVER () AS t FROM (SELECT CASE WHEN abs(gas_delta) < 1 THEN 0 ELSE floor(log2(abs(gas_delta))) END AS b, count(*) AS n FROM g4 WHERE gas_delta IS NOT NULL GROUP BY 1))")
+def hist_percentiles(spark, sf_dir):
+    return hist.histogram_percentiles(hist.signed_histogram(facts(spark, sf_dir).filter(P.G4)))
+
+
+@query("SELECT label, string_agg(s, ',' ORDER BY i) AS h FROM (SELECT label, i, CAST(sum(floor(abs(embedding[i]::DOUBLE) * 100)) AS BIGINT) AS s FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY label", base=False)
+def array_sum(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("bigint")).alias("h"))
+    return hist.sum_arrays(e, "h", ["label"]).withColumn("h", F.array_join("h", ","))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '0,0,0,0' WHEN 1 THEN user_id || ',' || event_id || ',0,0' ELSE '1,2,3,4' END AS a FROM events", base=False)
+def array_resize(spark, sf_dir):
+    a = F.expr("CASE event_id % 3 WHEN 0 THEN CAST(array() AS array<bigint>) WHEN 1 THEN array(user_id, event_id) ELSE CAST(array(1, 2, 3, 4, 5) AS array<bigint>) END")
+    return read_table(spark, sf_dir, "events").select("event_id", F.array_join(hist.resize(a, 4), ",").alias("a"))
+
+
+# Leaderboards and flows -----------------------------------------------------------------------------------
+
+
+@query("SELECT t.addr, t.count, coalesce(label, t.addr) AS label, CASE WHEN category <> 'unknown' THEN category END AS category FROM (SELECT oog_contract AS addr, count(*) AS count FROM g4 WHERE oog_contract IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12) t LEFT JOIN names ON address = t.addr", LABELS_SQL)
+def leaderboard(spark, sf_dir):
+    return mixes.leaderboard(facts(spark, sf_dir).filter(P.G4), "oog_contract", labels(spark, sf_dir))
+
+
+_POOL = "pool AS (SELECT recipient AS addr, count(*) AS count FROM g4 WHERE recipient IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200), rated AS (SELECT pool.addr, pool.count, total_tx, CAST(pool.count AS DOUBLE) / total_tx AS rate FROM pool LEFT JOIN totals ON totals.addr = pool.addr)"
+
+
+@query("(SELECT 'count' AS board, * FROM rated ORDER BY count DESC, addr LIMIT 12) UNION ALL (SELECT 'rate' AS board, * FROM rated WHERE total_tx >= 100 ORDER BY rate DESC, count DESC, addr LIMIT 12)", TOTALS_SQL, _POOL)
+def leaderboard_rate(spark, sf_dir):
+    return mixes.rate_leaderboards(facts(spark, sf_dir).filter(P.G4), "recipient", totals(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN r <= 5 THEN key ELSE 'Others' END AS key, CAST(sum(n) AS BIGINT) AS count, CAST(min(least(r, 6)) AS INTEGER) AS rank FROM m GROUP BY 1", "m AS (SELECT trim(substr(revert_decoded, 15)) AS key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, key) AS r FROM g4 WHERE revert_decoded LIKE 'Error(string):%' GROUP BY 1)")
+def topn_others(spark, sf_dir):
+    return forensics.revert_errors(facts(spark, sf_dir).filter(P.G4))
+
+
+@query("SELECT CASE WHEN e IN (SELECT e FROM rows GROUP BY 1 ORDER BY count(*) DESC, e LIMIT 10) THEN e ELSE '__other__' END AS e, CASE WHEN t IN (SELECT t FROM rows GROUP BY 1 ORDER BY count(*) DESC, t LIMIT 10) THEN t ELSE '__other__' END AS t, count(*) AS n FROM rows GROUP BY ALL", "rows AS (SELECT recipient AS e, divergence_contract AS t FROM g4 WHERE recipient IS NOT NULL AND divergence_contract IS NOT NULL)")
+def flow_sankey(spark, sf_dir):
+    return mixes.flow(facts(spark, sf_dir).filter(P.G4), "recipient", "divergence_contract")
+
+
+_FAIL = f"""agg AS (SELECT recipient, count(*) FILTER (WHERE {P.G4}) AS g4_tx_count, count(*) FILTER (WHERE {P.G3}) AS g3_tx_count, count(*) FILTER (WHERE {P.G2_DRILLIN}) AS g2_drillin_tx_count, count(*) FILTER (WHERE {P.STATUS_FLIP}) AS status_flips,
+    avg(gas_delta) AS avg_gas_delta, CAST(sum(gas_delta) AS BIGINT) AS sum_gas_delta, min(block_number) AS block_span_start, max(block_number) AS block_span_end, count(DISTINCT CASE WHEN {P.G4} THEN block_number END) AS distinct_blocks_with_g4,
+    quantile_cont(min_multiplier_to_succeed, 0.5) AS mm_p50, quantile_cont(min_multiplier_to_succeed, 0.9) AS mm_p90, quantile_cont(min_multiplier_to_succeed, 0.99) AS mm_p99
+    FROM facts WHERE recipient IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (WHERE {P.G4}) > 0 ORDER BY g4_tx_count DESC, recipient LIMIT 40)"""
+
+
+@query("SELECT *, CAST(g4_tx_count AS DOUBLE) / distinct_blocks_with_g4 AS avg_g4_per_block, CAST(g4_tx_count AS DOUBLE) / (g4_tx_count + g3_tx_count + g2_drillin_tx_count) AS g4_vs_other_ratio, CAST(sum(g4_tx_count) OVER (ORDER BY g4_tx_count DESC, recipient ROWS UNBOUNDED PRECEDING) AS DOUBLE) / (SELECT count(*) FROM g4) AS cumulative_share FROM agg", _FAIL)
+def top_recipients_cumshare(spark, sf_dir):
+    return forensics.contract_failures(facts(spark, sf_dir))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY g4_tx_count DESC, recipient) AS INTEGER) AS rank, 100.0::DOUBLE * (CAST(sum(g4_tx_count) OVER (ORDER BY g4_tx_count DESC, recipient ROWS UNBOUNDED PRECEDING) AS DOUBLE) / (SELECT count(*) FROM g4)) AS share FROM agg", _FAIL)
+def pareto_curve(spark, sf_dir):
+    return forensics.pareto(forensics.contract_failures(facts(spark, sf_dir)))
+
+
+_EX = "block_number, tx_hash, gas_delta, recipient, min_multiplier_to_succeed FROM facts"
+
+
+@query(f"(SELECT 'g4' AS grp, {_EX} WHERE {P.G4} ORDER BY abs(gas_delta) DESC, block_number, tx_hash LIMIT 20) UNION ALL (SELECT 'g3' AS grp, {_EX} WHERE {P.G3} ORDER BY abs(gas_delta) DESC, block_number, tx_hash LIMIT 20)")
+def examples_topk(spark, sf_dir):
+    return forensics.examples(facts(spark, sf_dir))
+
+
+@query("SELECT key, coalesce(g3, 0) AS g3_count, coalesce(g3 / (SELECT sum(g3) FROM w), 0.0) AS g3_share, coalesce(g4, 0) AS g4_count, coalesce(g4 / (SELECT sum(g4) FROM w), 0.0) AS g4_share FROM w", f"w AS (SELECT state_gas_category AS key, nullif(count(*) FILTER (WHERE {P.G3}), 0) AS g3, nullif(count(*) FILTER (WHERE {P.G4}), 0) AS g4 FROM facts WHERE state_gas_category IS NOT NULL AND (({P.G3}) OR ({P.G4})) GROUP BY 1)")
+def mix_aligned(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    both = [mixes.mix(f.filter(p), F.col("state_gas_category")).withColumn("series", F.lit(n)) for n, p in (("g3", P.G3), ("g4", P.G4))]
+    return mixes.aligned(both[0].unionByName(both[1]), ["g3", "g4"])
+
+
+@query("SELECT recipient AS key, string_agg(c || '=' || n, ',' ORDER BY r) AS mix FROM (SELECT recipient, divergence_contract AS c, count(*) AS n, row_number() OVER (PARTITION BY recipient ORDER BY count(*) DESC, divergence_contract) AS r FROM g4 WHERE recipient IS NOT NULL AND divergence_contract IS NOT NULL GROUP BY 1, 2) WHERE r <= 3 GROUP BY 1")
+def counterpart_mix(spark, sf_dir):
+    out = forensics.counterparts(facts(spark, sf_dir), "divergence_contract")
+    pairs = F.transform("mix", lambda m: F.concat_ws("=", m["contract"], m["count"]))
+    return out.select(F.col("recipient").alias("key"), F.array_join(pairs, ",").alias("mix"))
+
+
+@query("SELECT * FROM t ORDER BY n DESC, k", "t AS (SELECT o_orderstatus AS k, count(*) AS n FROM orders GROUP BY 1)", base=False)
+def sorted_table(spark, sf_dir):
+    t = read_table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("k")).agg(F.count("*").alias("n"))
+    return forensics.sortable(t, "n")
+
+
+# Clusters -------------------------------------------------------------------------------------------------
+
+ROLES_SQL = """r0 AS (SELECT *, recipient AS contract, 'entry' AS role FROM g4 WHERE recipient IS NOT NULL UNION ALL SELECT *, oog_contract, 'oog_site' FROM g4 WHERE oog_contract IS NOT NULL
+    UNION ALL SELECT *, divergence_contract, 'revert_site' FROM g4 WHERE divergence_contract IS NOT NULL),
+r1 AS (SELECT *, CASE WHEN role = 'oog_site' OR (role = 'entry' AND oog_contract IS NOT NULL) THEN 'oog' ELSE 'non_oog' END AS kind FROM r0),
+roled AS (SELECT contract, role, kind, block_number, tx_hash, gas_delta, recipient, oog_contract, divergence_contract, entry_selector, state_gas_category, cold_account_access_count, reservoir_exhausted, runtime_state_gas_spillover, surcharge_at_oog,
+    coalesce(tier1_failing_selector, entry_selector) AS failing_selector, CASE WHEN kind = 'oog' THEN oog_contract ELSE divergence_contract END AS where_contract, CASE WHEN kind = 'oog' THEN oog_opcode ELSE divergence_opcode END AS opcode,
+    CASE WHEN kind = 'oog' THEN oog_pattern ELSE failure_reason END AS pattern_or_reason, CASE WHEN kind = 'oog' THEN oog_bottleneck_kind END AS oog_bottleneck_kind, CASE WHEN kind = 'oog' THEN oog_call_depth ELSE divergence_call_depth END AS call_depth,
+    CASE WHEN kind = 'non_oog' THEN revert_decoded END AS revert_decoded FROM r1)"""
+_KEYS = ", ".join(clusters.KEY)
+# nulls sort first in Spark's ascending order
+_ORDER = ", ".join(f"{k} ASC NULLS FIRST" for k in clusters.KEY)
+CLUSTERS_SQL = f"""cl AS (SELECT contract, {_KEYS}, count(*) AS count, min(block_number) AS b, avg(gas_delta) AS gas_avg, CAST(round(round(quantile_cont(gas_delta, 0.5), 6)) AS BIGINT) AS gas_p50, CAST(round(round(quantile_cont(gas_delta, 0.9), 6)) AS BIGINT) AS gas_p90,
+    CASE WHEN count(reservoir_exhausted) > 0 THEN round(CAST(count(*) FILTER (WHERE reservoir_exhausted) AS DOUBLE) / count(*), 4) END AS exhausted, CASE WHEN count(cold_account_access_count) > 0 THEN CAST(round(round(quantile_cont(cold_account_access_count, 0.9), 6)) AS BIGINT) END AS cold_p90,
+    CAST(sum(surcharge_at_oog) AS BIGINT) AS surcharge_sum, array_to_string(list(tx_hash ORDER BY block_number, tx_hash)[1:2], ',') AS examples, first(entry_selector ORDER BY block_number, tx_hash) AS entry_selector FROM roled GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY count DESC, {_ORDER}) AS place, count(*) OVER (PARTITION BY contract) AS distinct_clusters, CAST(sum(count) OVER (PARTITION BY contract) AS BIGINT) AS contract_total, CAST(sum(count) OVER (PARTITION BY contract, role) AS BIGINT) AS role_total FROM cl),
+shown AS (SELECT * FROM ranked WHERE place <= 8)"""
+
+
+def _roles(spark, sf_dir) -> DataFrame:
+    return clusters.roles(facts(spark, sf_dir).filter(P.G4))
+
+
+@query(f"SELECT contract, {_KEYS}, block_number, tx_hash FROM roled", ROLES_SQL)
+def role_unpivot(spark, sf_dir):
+    return _roles(spark, sf_dir).select("contract", *clusters.KEY, "block_number", "tx_hash")
+
+
+@query(f"SELECT contract, {_KEYS}, count, distinct_clusters, round(CAST(count AS DOUBLE) / role_total, 4) AS share_of_role, round(CAST(count AS DOUBLE) / contract_total, 4) AS share_of_contract, gas_avg, gas_p50, gas_p90, entry_selector, examples FROM shown", ROLES_SQL, CLUSTERS_SQL)
+def failure_clusters(spark, sf_dir):
+    out = clusters.failure_clusters(_roles(spark, sf_dir))
+    return out.select("contract", *clusters.KEY, "count", "distinct_clusters", "share_of_role", "share_of_contract", "gas_avg", "gas_p50", "gas_p90", "entry_selector", F.array_join(F.transform("examples", lambda e: e["tx_hash"]), ",").alias("examples"))
+
+
+@query(f"SELECT contract, {_KEYS}, exhausted, cold_p90, surcharge_sum FROM shown", ROLES_SQL, CLUSTERS_SQL)
+def cluster_drivers(spark, sf_dir):
+    out = clusters.failure_clusters(_roles(spark, sf_dir))
+    return out.select("contract", *clusters.KEY, F.col("drivers.reservoir_exhausted_share").alias("exhausted"), F.col("drivers.cold_account.p90").alias("cold_p90"), F.col("drivers.surcharge_at_oog.sum").alias("surcharge_sum"))
+
+
+@query("SELECT contract, max(distinct_clusters) AS distinct_cluster_count, round(CAST(sum(count) AS DOUBLE) / max(contract_total), 4) AS clusters_shown_share FROM shown GROUP BY 1", ROLES_SQL, CLUSTERS_SQL)
+def cluster_summary(spark, sf_dir):
+    return clusters.cluster_summary(clusters.failure_clusters(_roles(spark, sf_dir)))
+
+
+@query(f"""SELECT contract, {', '.join(k for k in clusters.KEY if k != 'role')}, first(count ORDER BY role = 'entry', count DESC, role) AS count, first(role ORDER BY role = 'entry', count DESC, role) AS from_role, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM shown GROUP BY ALL""", ROLES_SQL, CLUSTERS_SQL)
+def self_role_merge(spark, sf_dir):
+    return clusters.merge_self_roles(clusters.failure_clusters(_roles(spark, sf_dir))).drop("share_of_contract").withColumn("roles", F.array_join("roles", ","))
+
+
+@query(f"""SELECT r.contract, coalesce(any_value(g3), 0) AS g3_tx_count, coalesce(any_value(af), 0) AS af_tx_count, avg(gas_delta) FILTER (WHERE role = 'entry') AS gas_avg, CAST(coalesce(sum(gas_delta) FILTER (WHERE role = 'entry'), 0) AS BIGINT) AS gas_sum,
+    coalesce(min(block_number) FILTER (WHERE role = 'entry'), min(block_number)) AS block_span_start, coalesce(max(block_number) FILTER (WHERE role = 'entry'), max(block_number)) AS block_span_end,
+    CASE WHEN count(*) FILTER (WHERE role = 'entry') > 0 THEN count(DISTINCT block_number) FILTER (WHERE role = 'entry') ELSE count(DISTINCT block_number) END AS distinct_blocks
+    FROM roled r LEFT JOIN (SELECT recipient, count(*) FILTER (WHERE {P.G3}) AS g3, count(*) FILTER (WHERE {P.AF}) AS af FROM facts GROUP BY 1) w ON w.recipient = r.contract GROUP BY 1""", ROLES_SQL)
+def contract_context(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    return clusters.context(clusters.roles(f.filter(P.G4)), f).select("contract", "g3_tx_count", "af_tx_count", "gas_avg", "gas_sum", "block_span_start", "block_span_end", "distinct_blocks")
+
+
+_COUNTS = "counts AS (SELECT contract, count(*) FILTER (WHERE role = 'entry') AS entry, count(*) FILTER (WHERE role = 'oog_site') AS halts, count(*) FILTER (WHERE role = 'revert_site') AS reverts, count(*) AS footprint FROM roled GROUP BY 1)"
+_NAMED = "named AS (SELECT * FROM names WHERE (label <> '' AND label <> address) OR coalesce(owner_project, '') <> '')"
+_DEPLOY = "deploy AS (SELECT oog_contract AS contract FROM g4 WHERE oog_contract IS NOT NULL AND oog_contract NOT IN (SELECT address FROM named) AND oog_contract NOT IN (SELECT recipient FROM g4 WHERE recipient IS NOT NULL) GROUP BY 1 HAVING bool_and(coalesce(regexp_matches(coalesce(tier1_failing_selector, entry_selector), '^0x6[01]'), FALSE)))"
+
+
+def _named(spark, sf_dir) -> DataFrame:
+    return clusters.searchable(labels(spark, sf_dir))
+
+
+@query("SELECT contract FROM deploy", LABELS_SQL, _NAMED, _DEPLOY)
+def deploy_accounts(spark, sf_dir):
+    return clusters.deploy_accounts(facts(spark, sf_dir).filter(P.G4), _named(spark, sf_dir))
+
+
+@query("SELECT lower(oog_contract) AS account, first(tx_hash ORDER BY block_number, tx_hash) AS tx, first(block_number ORDER BY block_number, tx_hash) AS block, first(gas_delta ORDER BY block_number, tx_hash) AS gas_delta FROM g4 WHERE oog_contract IN (SELECT contract FROM deploy) GROUP BY 1", LABELS_SQL, _NAMED, _DEPLOY)
+def deploy_collapse(spark, sf_dir):
+    g4 = facts(spark, sf_dir).filter(P.G4)
+    return clusters.deploy_summary(g4, clusters.deploy_accounts(g4, _named(spark, sf_dir)))["accounts"].select("account", "tx", "block", "gas_delta")
+
+
+@query("SELECT substr(coalesce(tier1_failing_selector, entry_selector), 1, 6) AS key, count(*) AS count FROM g4 WHERE oog_contract IN (SELECT contract FROM deploy) GROUP BY 1", LABELS_SQL, _NAMED, _DEPLOY)
+def deploy_families(spark, sf_dir):
+    g4 = facts(spark, sf_dir).filter(P.G4)
+    return clusters.deploy_summary(g4, clusters.deploy_accounts(g4, _named(spark, sf_dir)))["initcode_families"]
+
+
+@query("SELECT n.address, label, owner_project, CASE WHEN category <> 'unknown' THEN category END AS category, nullif(entry, 0) AS entry_g4_tx_count, nullif(halts, 0) AS halt_count, nullif(reverts, 0) AS revert_count, footprint FROM counts JOIN named n ON n.address = contract WHERE contract NOT IN (SELECT contract FROM deploy)", LABELS_SQL, _NAMED, _DEPLOY, ROLES_SQL, _COUNTS)
+def affected_index(spark, sf_dir):
+    g4 = facts(spark, sf_dir).filter(P.G4)
+    return clusters.index(clusters.role_counts(clusters.roles(g4)), labels(spark, sf_dir), clusters.deploy_accounts(g4, _named(spark, sf_dir)))
+
+
+@query("SELECT contract FROM (SELECT * FROM counts ORDER BY footprint DESC, contract LIMIT 1000) UNION SELECT contract FROM counts WHERE contract IN (SELECT address FROM named)", LABELS_SQL, _NAMED, ROLES_SQL, _COUNTS)
+def probe_set(spark, sf_dir):
+    return clusters.probe_set(clusters.role_counts(_roles(spark, sf_dir)), _named(spark, sf_dir))
+
+
+@query("SELECT contract, total_tx, round(CAST(halts AS DOUBLE) / total_tx, 6) AS halt_rate, round(CAST(reverts AS DOUBLE) / total_tx, 6) AS revert_rate FROM counts JOIN totals ON addr = contract", ROLES_SQL, _COUNTS, TOTALS_SQL)
+def failure_rates(spark, sf_dir):
+    return clusters.failure_rates(clusters.role_counts(_roles(spark, sf_dir)), totals(spark, sf_dir))
+
+
+@query("SELECT address, label, owner_project FROM named WHERE contains(lower(label), 'supplier#00000001') OR contains(lower(coalesce(owner_project, '')), 'supplier#00000001')", LABELS_SQL, _NAMED)
+def name_search(spark, sf_dir):
+    rows = labels(spark, sf_dir).join(_named(spark, sf_dir), "address", "left_semi").withColumn("footprint", F.lit(1))
+    none = spark.createDataFrame([], "contract string"), spark.createDataFrame([], "account string")
+    return clusters.lookup(rows, *none, " Supplier#00000001 ", most=10_000)[1].select("address", "label", "owner_project")
+
+
+@query("SELECT DISTINCT c AS contract FROM (SELECT recipient AS c FROM g4 UNION SELECT oog_contract FROM g4 UNION SELECT divergence_contract FROM g4) WHERE c IS NOT NULL AND c NOT IN (SELECT contract FROM deploy)", LABELS_SQL, _NAMED, _DEPLOY)
+def affected_contracts(spark, sf_dir):
+    g4 = facts(spark, sf_dir).filter(P.G4)
+    return clusters.shards_for(clusters.affected(g4), clusters.deploy_accounts(g4, _named(spark, sf_dir)))
+
+
+# Scalars --------------------------------------------------------------------------------------------------
+
+_RAW = "CASE event_id % 8 WHEN 0 THEN ' TRUE ' WHEN 1 THEN 'nan' WHEN 2 THEN '1e3' WHEN 3 THEN '9223372036854775808' WHEN 4 THEN '-5' WHEN 5 THEN '' WHEN 6 THEN CAST(event_id AS STRING) ELSE 'false' END"
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN TRUE WHEN 7 THEN FALSE END AS flag, CASE event_id % 8 WHEN 2 THEN 1000 WHEN 4 THEN -5 WHEN 6 THEN event_id END AS n, CASE event_id % 8 WHEN 2 THEN 1000 WHEN 6 THEN event_id END AS reservoir FROM events WHERE event_id > 1""", base=False)
+def null_coercion(spark, sf_dir):
+    raw = F.expr(_RAW)
+    return read_table(spark, sf_dir, "events").filter("event_id > 1").select("event_id", S.to_flag(raw).alias("flag"), S.to_long(raw).alias("n"), S.to_reservoir(raw).alias("reservoir"))
+
+
+@query("SELECT event_id, event_id || ',' || user_id || ',3' AS a, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", base=False)
+def json_array_parse(spark, sf_dir):
+    text = F.concat(F.lit("["), F.concat_ws(",", "event_id", "user_id", F.lit(3)), F.lit("]"))
+    return read_table(spark, sf_dir, "events").select("event_id", F.array_join(S.parse_array(text), ",").alias("a"), F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT p_partkey, b AS opcode_byte, b * 2 AS count, b + p_size AS gas_baseline, b - p_size AS gas_schedule, CASE b WHEN 84 THEN 'SLOAD' WHEN 96 THEN 'PUSH1' WHEN 127 THEN 'PUSH32' WHEN 12 THEN 'UNKNOWN_0x0c' END AS opcode FROM part, (VALUES (84), (96), (127), (12)) t(b)", base=False)
+def parallel_arrays(spark, sf_dir):
+    b = "array(84, 96, 127, 12)"
+    rows = read_table(spark, sf_dir, "part").selectExpr("p_partkey", f"{b} AS opcode", f"transform({b}, x -> x * 2) AS opcode_count", f"transform({b}, x -> x + p_size) AS opcode_gas_baseline", f"transform({b}, x -> x - p_size) AS opcode_gas_schedule")
+    return opcodes.explode_opcodes(rows, ["p_partkey"])
+
+
+@query("SELECT substr(entry_selector, 1, 6) AS family, regexp_matches(entry_selector, '^0x6[01]') AS init, count(*) AS n FROM facts GROUP BY 1, 2")
+def regex_family(spark, sf_dir):
+    return facts(spark, sf_dir).groupBy(S.family(F.col("entry_selector")).alias("family"), P.is_initcode(F.col("entry_selector")).alias("init")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey, s_nationkey % 7 AS c, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN 'swapTokens(uint256)' WHEN s_suppkey % 5 = 2 THEN 'a(uint256)' ELSE 'a(uint256)' END AS signature FROM supplier", base=False)
+def selector_decode(spark, sf_dir):
+    """Three signatures collide on one selector; a dex takes the one that names a swap."""
+    cache = spark.createDataFrame([("0x38ED1739", "zz_join_everything(bytes)", None, 1), ("38ed1739", " swapTokens(uint256) ", "4byte", 2), ("0x38ed1739", "a(uint256)", "", 3), ("bad", "b()", "", 4), ("0x38ed1739", "a(uint256)", "x", 5)], "selector string, text_signature string, source string, o int")
+    s = read_table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_nationkey % 7 AS c", "CASE WHEN s_suppkey % 5 = 0 THEN '0x00000000' ELSE '0x38ed1739' END AS selector", "CASE s_suppkey % 5 WHEN 1 THEN 'swap_dex' WHEN 2 THEN 'oracle' WHEN 3 THEN NULL ELSE 'token' || s_suppkey END AS category")
+    got = L.decode_selectors(s, L.selector_cache(cache, "o"))
+    return s.join(got, s["selector"].eqNullSafe(got["selector"]) & s["category"].eqNullSafe(got["category"])).select("s_suppkey", "c", "signature")
+
+
+@query("""SELECT doc_id, CASE WHEN n LIKE '%entrypoint%' THEN 'ERC-4337 EntryPoint' WHEN n LIKE '%uniswap%' THEN 'Uniswap' WHEN n LIKE '%safe%' OR n LIKE '%gnosis%' THEN 'Safe' WHEN n LIKE '%proxy%' AND k IS NOT NULL THEN 'Proxy (' || k || ')' WHEN k = 'proxy' THEN 'Proxy' ELSE a END AS label
+    FROM (SELECT doc_id, lower(CASE doc_id % 5 WHEN 0 THEN 'MyEntryPointSafe' WHEN 1 THEN 'GnosisThing' WHEN 2 THEN 'AdminProxy' ELSE lang END) AS n, CASE WHEN doc_id % 3 = 0 THEN 'proxy' END AS k, 'd' || CAST(doc_id AS STRING) AS a FROM documents)""", base=False)
+def keyword_ladder(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").selectExpr("doc_id", "CASE doc_id % 5 WHEN 0 THEN 'MyEntryPointSafe' WHEN 1 THEN 'GnosisThing' WHEN 2 THEN 'AdminProxy' ELSE lang END AS n", "CASE WHEN doc_id % 3 = 0 THEN 'proxy' END AS k", "'d' || CAST(doc_id AS STRING) AS a")
+    return d.select("doc_id", S.label_from_name(F.col("n"), F.col("k"), F.col("a")).alias("label"))
+
+
+@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'swap_dex' WHEN 1 THEN 'nft' WHEN 2 THEN 'unknown' WHEN 3 THEN 'other' ELSE 'defi_complex' END AS attested, CASE p_size % 5 WHEN 0 THEN 'swap_dex' WHEN 1 THEN 'other' WHEN 2 THEN 'unknown' WHEN 3 THEN 'other' ELSE 'defi_complex' END AS curated, CASE WHEN p_size % 2 = 0 THEN lower(p_brand) END AS owner FROM part", base=False)
+def category_fold(spark, sf_dir):
+    c = F.expr("CASE p_size % 5 WHEN 0 THEN ' DEX' WHEN 1 THEN 'nft_fi' WHEN 2 THEN '' WHEN 3 THEN 'thing' ELSE 'lending' END")
+    name = F.expr("CASE WHEN p_size % 2 = 0 THEN p_brand || ' : Router: 2' ELSE p_brand END")
+    return read_table(spark, sf_dir, "part").select("p_partkey", L.fold(c, L.ATTESTED).alias("attested"), L.fold(c, L.CURATED).alias("curated"), S.owner_of(name).alias("owner"))
+
+
+@query("SELECT e.event_id, CAST(value AS DOUBLE) / nullif(event_id % 4, 0) AS ratio, printf('%d', event_id) AS n FROM events e WHERE event_id < 900", base=False)
+def format_helpers(spark, sf_dir):
+    return read_table(spark, sf_dir, "events").filter("event_id < 900").select("event_id", S.safe_ratio(F.col("value"), F.col("event_id") % 4).alias("ratio"), S.format_count(F.col("event_id")).alias("n"))
+
+
+# Labels and code ------------------------------------------------------------------------------------------
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    """Three sources and an overlay over customers, who repeat under the address c mod 700."""
+    c = read_table(spark, sf_dir, "customer").withColumn("a", F.expr("'c' || CAST(c_custkey % 700 AS STRING)"))
+    manual = L.records(c.filter("c_custkey % 5 = 0"), "manual", "high", address=F.col("a"), label=F.expr("'m' || c_custkey"), category=F.lit("unknown"))
+    oli = L.records(c.filter("c_custkey % 3 = 0"), "oli", "high", address=F.col("a"), label=F.lit(""), category=F.expr("CASE WHEN c_nationkey % 2 = 0 THEN 'token' ELSE 'unknown' END"), owner_project=F.expr("lower(c_mktsegment)"))
+    dune = L.records(c.filter("c_custkey % 2 = 0"), "dune", "high", address=F.col("a"), label=F.expr("'d' || c_custkey"), category=F.lit("nft"), is_proxy=F.expr("CASE WHEN c_custkey % 4 = 0 THEN true END"))
+    mev = L.records(c.filter("c_custkey % 7 = 0"), "mev", "medium", address=F.col("a"), label=F.lit("MEV bot (arb)"), category=F.lit("mev_bot"), is_mev_bot=F.lit(True), mev_role=F.lit("arb"))
+    return manual.unionByName(oli).unionByName(dune).unionByName(mev)
+
+
+_MERGE = """s AS (SELECT 'c' || CAST(c_custkey % 700 AS STRING) AS address, c_custkey, c_nationkey, c_mktsegment FROM customer),
+src AS (SELECT address, 0 AS r, 'm' || c_custkey AS label, 'unknown' AS category, NULL AS owner, NULL AS proxy, 'manual' AS source FROM s WHERE c_custkey % 5 = 0
+    UNION ALL SELECT address, 1, '', CASE WHEN c_nationkey % 2 = 0 THEN 'token' ELSE 'unknown' END, lower(c_mktsegment), NULL, 'oli' FROM s WHERE c_custkey % 3 = 0
+    UNION ALL SELECT address, 2, 'd' || c_custkey, 'nft', NULL, CASE WHEN c_custkey % 4 = 0 THEN TRUE END, 'dune' FROM s WHERE c_custkey % 2 = 0),
+own AS (SELECT address, min(label) FILTER (WHERE r = 0) AS m, min(label) FILTER (WHERE r = 2) AS d, count(*) FILTER (WHERE r = 1) AS o,
+    coalesce(min(category) FILTER (WHERE r = 1 AND category <> 'unknown'), min(category) FILTER (WHERE r = 2)) AS category, bool_or(proxy) AS proxy FROM src GROUP BY 1),
+mev AS (SELECT DISTINCT address FROM s WHERE c_custkey % 7 = 0)"""
+
+
+@query("SELECT coalesce(own.address, mev.address) AS address, CASE WHEN own.address IS NULL THEN 'MEV bot (arb)' ELSE coalesce(m, d, own.address) END AS label, coalesce(category, CASE WHEN mev.address IS NOT NULL THEN 'mev_bot' ELSE 'unknown' END) AS category, CASE WHEN own.address IS NULL THEN 'mev' WHEN m IS NOT NULL THEN 'manual' WHEN d IS NOT NULL THEN 'dune' ELSE 'oli' END AS source, mev.address IS NOT NULL AS is_mev_bot, proxy AS is_proxy FROM own FULL JOIN mev ON mev.address = own.address", _MERGE, base=False)
+def label_merge(spark, sf_dir):
+    return L.merge_labels(_sources(spark, sf_dir)).select("address", "label", "category", "source", "is_mev_bot", "is_proxy")
+
+
+@query("SELECT coalesce(own.address, mev.address) AS address, own.address IS NULL AS alone FROM own FULL JOIN mev ON mev.address = own.address WHERE mev.address IS NOT NULL", _MERGE, base=False)
+def label_overlay(spark, sf_dir):
+    return L.merge_labels(_sources(spark, sf_dir)).filter("is_mev_bot").select("address", (F.col("source") == "mev").alias("alone"))
+
+
+@query("SELECT lower('D' || CAST(doc_id // 4 AS STRING)) AS address, arg_max(source, (doc_id % 3 <> 0, lpad(CAST(doc_id AS STRING), 12, '0'))) AS contract_name, arg_max(lang, (doc_id % 3 <> 0, lpad(CAST(doc_id AS STRING), 12, '0'))) FILTER (WHERE lang <> 'en') AS usage_category FROM documents GROUP BY 1", base=False)
+def attestation_collapse(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").selectExpr("'D' || CAST(doc_id DIV 4 AS STRING) AS recipient", "doc_id % 3 = 0 AS revoked", "lpad(CAST(doc_id AS STRING), 12, '0') AS time", "map('contract_name', source, 'usage_category', CASE WHEN lang <> 'en' THEN lang ELSE '' END) AS tags")
+    return L.collapse_attestations(d, ["contract_name", "usage_category"])
+
+
+@query("SELECT lower(c_name) AS address, 'MEV bot (' || CASE c_nationkey % 4 WHEN 0 THEN 'arb' ELSE 'sandwich' END || ')' AS label, CASE c_nationkey % 4 WHEN 0 THEN 'arb' ELSE 'sandwich' END AS mev_role FROM customer WHERE c_nationkey % 4 < 2", base=False)
+def mev_normalise(spark, sf_dir):
+    raw = read_table(spark, sf_dir, "customer").selectExpr("CASE c_nationkey % 4 WHEN 0 THEN ' ARB' WHEN 1 THEN 'frontrun' WHEN 2 THEN 'sandwich' ELSE 'swap' END AS mev_type", "c_name AS address_from")
+    return L.mev_labels(raw).select("address", "label", "mev_role")
+
+
+@query("SELECT 's' || s_suppkey AS address, CASE WHEN s_suppkey % 3 = 0 THEN 'Uniswap' WHEN s_suppkey % 3 = 1 THEN s_name ELSE 's' || s_suppkey END AS label FROM supplier", base=False)
+def label_resolve(spark, sf_dir):
+    s = read_table(spark, sf_dir, "supplier")
+    cache = s.filter("s_suppkey % 3 = 1").selectExpr("'s' || s_suppkey AS address", "s_name AS label")
+    asked = s.selectExpr("'s' || s_suppkey AS address", "CASE WHEN s_suppkey % 3 = 0 THEN 'UniswapPool' END AS compiled_name")
+    return L.resolve_labels(asked, cache, spark)
+
+
+def _code(spark, sf_dir) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(F.substring("text", 1, 300))).alias("code"))
+
+
+_PUSH = "(?:" + "|".join([f"{0x5F + n:02x}[0-9a-f]{{{2 * n}}}" for n in range(1, 33)]) + "|[67][0-9a-f].*|..)"
+
+
+@query(f"SELECT doc_id, len(t) AS n, list_contains(t, '65') AS has_push6, t[1] AS first FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(hex(encode(substr(text, 1, 300)))), '{_PUSH}'), lambda x: substr(x, 1, 2)) AS t FROM documents WHERE length(text) > 0)", base=False)
+def opcode_tokens(spark, sf_dir):
+    t = opcodes.instructions(F.col("code"))
+    rows = _code(spark, sf_dir).filter("code <> ''").withColumn("t", t)
+    return rows.select("doc_id", F.size("t").cast("bigint").alias("n"), F.array_contains("t", "65").alias("has_push6"), F.col("t")[0].alias("first"))
+
+
+_CODE = "CASE doc_id % 6 WHEN 0 THEN '0x363d3d373d3d3d363d73' || repeat('ab', 20) || '5af43d82803e903d91602b57fd5bf3' WHEN 1 THEN '60f4' WHEN 2 THEN '60001f931c1c' WHEN 3 THEN '00f5' WHEN 4 THEN 'a9059cbb70a0823118160ddd' ELSE '' END"
+
+
+@query("""SELECT doc_id, doc_id % 6 = 0 OR doc_id % 7 = 0 AS is_proxy, doc_id % 6 = 3 AS is_factory, CASE WHEN doc_id % 6 = 4 THEN 'erc20' END AS erc_type,
+    CASE WHEN doc_id % 6 = 0 THEN 'minimal_proxy_immutable' WHEN doc_id % 6 = 2 THEN 'diamond' WHEN doc_id % 7 = 0 THEN 'eip1967_transparent' ELSE 'none' END AS mechanism,
+    CASE WHEN doc_id % 6 <> 0 AND doc_id % 7 = 0 THEN '0x' || lpad(lower(to_hex(doc_id + 1)), 40, '0') END AS admin FROM documents""", base=False)
+def proxy_classify(spark, sf_dir):
+    slot = bytecode.SLOTS["admin"]
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x"), "doc_id").alias("address"), F.expr(_CODE).alias("code"), F.expr(f"CASE WHEN doc_id % 7 = 0 THEN map('0x{slot}', '0x' || hex(doc_id + 1)) ELSE map('{slot}', '0x000') END").alias("storage"), F.create_map().cast("map<string,boolean>").alias("answers"))
+    up = bytecode.upgradability(F.col("code"), F.col("storage"), F.col("answers"))
+    return rows.select("doc_id", bytecode.is_proxy(F.col("code"), F.col("storage")).alias("is_proxy"), bytecode.is_factory(F.col("code")).alias("is_factory"), bytecode.erc_type(F.col("code"), F.col("answers")).alias("erc_type"), up["mechanism"].alias("mechanism"), up["admin"].alias("admin"))
+
+
+@query("SELECT address, slot, arg_max(value, (block_number, value)) AS value FROM (SELECT lower('S' || l_suppkey) AS address, l_linenumber AS slot, l_partkey AS value, l_orderkey AS block_number FROM lineitem UNION ALL SELECT lower('S' || l_suppkey), l_linenumber, l_partkey + 1, l_orderkey FROM lineitem WHERE l_partkey % 2 = 0) GROUP BY 1, 2", base=False)
+def latest_slot(spark, sf_dir):
+    reads = read_table(spark, sf_dir, "lineitem").selectExpr("'S' || l_suppkey AS address", "l_linenumber AS slot", "l_partkey AS value", "l_orderkey AS block_number")
+    return bytecode.latest_slots(reads, reads.filter("value % 2 = 0").withColumn("value", F.col("value") + 1))

@@ -1,0 +1 @@
+"""The analysis is batch only: nothing here streams, as nothing in its inputs does."""
