@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -91,6 +92,20 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, sp
     return out.select(*rows.columns, *[got[v].alias(v) for v in values])
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker runs tasks of this name; the caches of other names are dropped."""
+    if name not in _caches:
+        for other in _caches.values():
+            other.clear()
+        _caches.clear()
+        _caches[name] = {}
+        gc.collect()
+    return _caches[name]
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than space and \\t to \\r; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

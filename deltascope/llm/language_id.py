@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltascope.llm.common import stored
+from deltascope.llm.common import stored, worker_cache
 
 DOCS_PER_LANGUAGE = 4000
 NGRAMS = 40_000
@@ -44,7 +44,7 @@ UNKNOWN = "und"
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x110000)])
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def _points(text: str) -> np.ndarray:
@@ -192,6 +192,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float) -> Data
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language")
         for batch in batches:
             good = []
             for t in batch.column("text"):

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltascope.llm.common import BROADCAST_ROWS, join_facts, stored
+from deltascope.llm.common import BROADCAST_ROWS, join_facts, stored, worker_cache
 from deltascope.llm.graph import connected_components
 from deltascope.llm.vector_join import forest
 
@@ -56,9 +56,7 @@ BLOCK_SHINGLES = 1_500_000
 #: Membership columns multiplied at a time.
 COLUMNS = 4096
 #: Words whose hashes are kept by a worker.
-WORDS = 400_000
-
-_hashes: dict[bytes, int] = {}
+WORDS = 200_000
 
 
 def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -73,13 +71,14 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and the six ASCII spaces
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_hashes) > WORDS:
-        _hashes.clear()
+    held = worker_cache("words")
+    if len(held) > WORDS:
+        held.clear()
     got = []
     for w in words:
-        h = _hashes.get(w)
+        h = held.get(w)
         if h is None:
-            h = _hashes[w] = xxhash.xxh3_64_intdigest(w)
+            h = held[w] = xxhash.xxh3_64_intdigest(w)
         got.append(h)
     h = np.array(got, dtype=np.uint64)
     k = min(width, len(h))

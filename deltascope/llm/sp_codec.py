@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltascope.llm.common import worker_cache
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Chunks kept, and the longest of them; the cache starts anew when it is full.
-CACHE, CACHE_CHARS = 250_000, 48
+CACHE, CACHE_CHARS = 200_000, 48
 _CHUNK = re.compile(" *[^ \n]+| +|\n")
 
 
@@ -74,6 +76,7 @@ class Codec:
         best, back = [low] * (n + 1), [(-1, 0)] * (n + 1)
         best[0], done = 0.0, 0
         single, unknown = self.single, self.unknown
+        plain = single.issuperset(s)  # then no character needs spelling
 
         def spell(upto: int) -> None:
             for p in range(done, upto):
@@ -81,13 +84,14 @@ class Codec:
                     best[p + 1], back[p + 1] = best[p] + unknown, (-1, 1)
 
         for end, (i, length, score) in self.auto.iter(s):
-            if done < end:
+            if not plain and done < end:
                 spell(end)
                 done = end
             new = best[end + 1 - length] + score
             if new > best[end + 1]:
                 best[end + 1], back[end + 1] = new, (i, length)
-        spell(n)
+        if not plain:
+            spell(n)
         out: list[int] = []
         while n:
             i, length = back[n]
@@ -134,17 +138,11 @@ class _Shipped:
         self.sent = spark.sparkContext.broadcast(pieces)
 
     def codec(self) -> Codec:
-        return _codec_of(self.key, self.sent)
-
-
-_CODECS: dict[str, Codec] = {}
-
-
-def _codec_of(key: str, sent) -> Codec:
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(sent.value)
-    return _CODECS[key]
+        held = worker_cache("pieces")
+        if self.key not in held:
+            held.clear()
+            held[self.key] = Codec(self.sent.value)
+        return held[self.key]
 
 
 def encode_documents(docs: DataFrame, model_file: str = MODEL) -> DataFrame:

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltascope.llm.common import worker_cache
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern published with this vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -94,9 +96,6 @@ def byte_starts(raw: bytes, points: list[int]) -> np.ndarray:
     return heads[np.minimum(np.array(points, dtype=np.int64), len(heads) - 1)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def attribute_tokens(docs: DataFrame, ranks_file: str = RANKS, rule: str = "most", sections: str = "lines") -> DataFrame:
     """doc_id, n_tokens, n_sections, n_crossing, section_tokens of docs(doc_id, text[, section_starts])."""
     if rule not in RULES:
@@ -107,10 +106,11 @@ def attribute_tokens(docs: DataFrame, ranks_file: str = RANKS, rule: str = "most
     ranks = docs.sparkSession.sparkContext.broadcast(loaded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(ranks.value)
-        encoder = _ENCODERS[key]
+        held = worker_cache("tokens")
+        if key not in held:
+            held.clear()
+            held[key] = Encoder(ranks.value)
+        encoder = held[key]
         for batch in batches:
             rows = []
             for k in range(batch.num_rows):
