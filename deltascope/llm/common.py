@@ -14,12 +14,22 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few narrow columns is broadcast (about 100 MB in the JVM).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch on its way to Python.
+ARROW_BYTES = 4 << 20
 #: A key is hot when it holds more than one row in so many; there are at most that many hot keys.
 HOT_SHARE = 1000
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless their PYTHONPATH has it."""
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their PYTHONPATH has it, and keep Arrow batches of texts small.
+
+    Batches of ARROW_BYTES hold memory down on both sides; a session that sets its own bound keeps it.
+    """
+    if int(spark.conf.get(_BATCH).rstrip("b")) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(ARROW_BYTES))
     root = Path(__file__).resolve().parents[2]
     context = spark.sparkContext
     known = any(Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltascope.llm import language_id, mixing, ngram_join, quality, secrets, sp_codec, token_counts, url_filters, vector_join, warc
-from deltascope.llm.common import ship
+from deltascope.llm.common import prepare
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -120,7 +120,7 @@ def upper_tail(z: Column) -> Column:
 def _tests(token: Column, enc: str, size: int, excess: float) -> Column:
     """struct(battery: three times the smallest p-value, structured: the p-value against structured text)."""
     alphabet, also = SYMBOLS[enc]
-    plain = F.rtrim(F.lit("="), token) if enc != "hex" else F.lower(token)
+    plain = F.rtrim(token, F.lit("=")) if enc != "hex" else F.lower(token)
     plain = F.translate(plain, *also) if also else plain
 
     def with_token(t: Column) -> Column:

@@ -3,7 +3,8 @@
 Labelled outcomes (1 bad, 0 good) are counted by host. A beta prior is shrunk down the
 tree suffix -> registered domain -> host: each level's prior mean is the posterior mean
 of the level above, its strength comes from the spread of the level's own rates (method
-of moments over all groups with two outcomes or more). A page without a rule is blocked when
+of moments over all groups with two outcomes or more), and is no more than the evidence
+above. A page without a rule is blocked when
 the lower bound of its host's posterior bad rate passes BLOCK_ABOVE. Hosts without
 outcomes stand at their domain's posterior, unknown domains at their suffix's, and so on
 to the global rate.
@@ -85,18 +86,19 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
     p = (float(bad or 0) + 0.5) / (float(n or 0) + 1.0)
 
-    def posterior(groups: DataFrame, strength: float) -> DataFrame:
-        return groups.withColumns({"alpha": F.lit(strength) * F.col("mean") + F.col("bad"), "beta": F.lit(strength) * (1 - F.col("mean")) + F.col("n") - F.col("bad")})
+    def posterior(groups: DataFrame) -> DataFrame:
+        """A group's prior is as strong as its level's spread says, but no surer than the level above is of its mean."""
+        k = F.least(F.lit(_strength(groups)), F.col("sure"))
+        return groups.withColumns({"alpha": k * F.col("mean") + F.col("bad"), "beta": k * (1 - F.col("mean")) + F.col("n") - F.col("bad")})
 
     def mean(groups: DataFrame, key: str) -> DataFrame:
-        return stored(groups.select(key, "below", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("mean")), "url-means")
-
-    top = suffixes.withColumn("mean", F.lit(p))
-    top = posterior(top, _strength(top))
-    mid = stored(join_facts(domains, mean(top, "suffix"), ["suffix"], "below", ["domain"]), "url-mid")
-    mid = posterior(mid, _strength(mid))
-    low = stored(join_facts(hosts, mean(mid, "domain"), ["domain"], "below", ["host"]), "url-low")
-    return posterior(low, _strength(low)).select("host", "alpha", "beta", "pages")
+        sure = F.col("alpha") + F.col("beta")
+        return stored(groups.select(key, "below", (F.col("alpha") / sure).alias("mean"), sure.alias("sure")), "url-means")
+
+    top = posterior(suffixes.withColumns({"mean": F.lit(p), "sure": F.lit(float(n or 0) + 1.0)}))
+    mid = posterior(stored(join_facts(domains, mean(top, "suffix"), ["suffix"], "below", ["domain"]), "url-mid"))
+    low = posterior(stored(join_facts(hosts, mean(mid, "domain"), ["domain"], "below", ["host"]), "url-low"))
+    return low.select("host", "alpha", "beta", "pages")
 
 
 def judge(pages: DataFrame) -> DataFrame:
