@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltascope.llm import language_id, mixing, ngram_join, secrets, sp_codec
-from deltascope.llm.common import new_path, ship
+from deltascope.llm.common import new_path, prepare
 
 #: A document whose n-grams are known to this share in no language has no known language.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -14,16 +14,19 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a known language go; the others stay as they are."""
+    prepare(spark)
     return language_id.keep_identified(docs, language_id.fit(docs, F.lit(True)), LEAST_LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles with similarity 0.8 or more, the smallest doc_id stays."""
+    prepare(spark)
     return ngram_join.keep_one(docs, width=5, threshold=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark in the text, and n_chars follows."""
+    prepare(spark)
     found = secrets.find_secrets(docs, docs.columns)
     clean = secrets.redacted(F.col("carried.text"), F.col("spans"))
     out = found.select("carried.*", clean.alias("_clean"), (F.size("spans") > 0).alias("_hit"))
@@ -33,11 +36,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; those that it takes no copy of go."""
+    prepare(spark)
     return mixing.take_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document of the mix."""
+    prepare(spark)
     return sp_codec.encode_documents(docs).select("doc_id", "ids", "n_pieces", "ids_sha256", "round_trip")
 
 
@@ -54,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
