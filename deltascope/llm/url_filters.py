@@ -32,7 +32,7 @@ RULES = (
 #: Public suffixes of two labels; a host under one registers three labels.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "com.cn", "co.za")
 BLOCK_ABOVE = 0.5
-#: Standard deviations below the posterior mean at which the bound lies (5 % one-sided).
+#: The bound is Wilson's lower one on the posterior's mean and size (5 % one-sided), which stays sound for a few outcomes.
 BOUND_Z = 1.645
 STRENGTH = (1.0, 1000.0)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,6 +113,7 @@ def judge(pages: DataFrame) -> DataFrame:
     rows = join_facts(parts, known, ["host"], "pages", ["page_id", "path"])
     a, b = F.col("alpha"), F.col("beta")
     rate = a / (a + b)
-    bound = rate - BOUND_Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    n, z2 = a + b, BOUND_Z * BOUND_Z
+    bound = (rate + z2 / (2 * n) - BOUND_Z * F.sqrt(rate * (1 - rate) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     verdict = F.coalesce(F.col("ruled"), F.when(bound > BLOCK_ABOVE, F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), rate.alias("bad_rate"), F.greatest(bound, F.lit(0.0)).alias("bad_bound"))
