@@ -50,8 +50,8 @@ def tx_type() -> Column:
 
 
 def log2_bin(x: Column) -> Column:
-    """0 for 0, else one more than the binary magnitude, at most 11."""
-    return F.when(x == 0, 0).otherwise(F.least(F.floor(F.log2(F.abs(x))) + 1, F.lit(LOG2_BINS - 1))).cast("int")
+    """0 for 0, else one more than the binary magnitude, at most 11; null for null."""
+    return F.when(x == 0, 0).when(x.isNotNull(), F.least(F.floor(F.log2(F.abs(x))) + 1, F.lit(LOG2_BINS - 1))).cast("int")
 
 
 def signed_bin(x: Column) -> tuple[Column, Column]:
