@@ -18,7 +18,7 @@ def rows_of(frame):
     columns = sorted(frame.columns)
 
     def plain(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if v is None or str(v) in ("<NA>", "NaT", "nan"):
             return "null"
         return f"{float(v):.9g}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
 
