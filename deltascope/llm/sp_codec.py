@@ -34,7 +34,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Chunks kept, and the longest of them; the cache starts anew when it is full.
-CACHE, CACHE_CHARS = 200_000, 48
+CACHE, CACHE_CHARS = 100_000, 48
+#: Documents encoded before their ids are sent on.
+PART = 200
 _CHUNK = re.compile(" *[^ \n]+| +|\n")
 
 
@@ -155,8 +157,8 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
         spelled[list(codec.byte.values())] = True
         for batch in batches:
             texts = batch.column("text")
-            for at in range(0, max(batch.num_rows, 1), 500):
-                part = texts.slice(at, 500)
+            for at in range(0, max(batch.num_rows, 1), PART):
+                part = texts.slice(at, PART)
                 ids, n_bytes, digest, same = [], [], [], []
                 for t in part:
                     text = t.as_py() or ""
@@ -169,7 +171,7 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(a) for a in ids]))).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, dtype="<i4"), *ids])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 500), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(n_bytes, type=pa.int64()), pa.array(digest, type=pa.string()), pa.array(same, type=pa.bool_())], names=["doc_id", "ids", "n_pieces", "n_bytes", "ids_sha256", "round_trip"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, PART), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(n_bytes, type=pa.int64()), pa.array(digest, type=pa.string()), pa.array(same, type=pa.bool_())], names=["doc_id", "ids", "n_pieces", "n_bytes", "ids_sha256", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, n_bytes long, ids_sha256 string, round_trip boolean")
