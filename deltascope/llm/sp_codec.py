@@ -33,8 +33,9 @@ from deltascope.llm.common import worker_cache
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Chunks kept, and the longest of them; the cache starts anew when it is full.
-CACHE, CACHE_CHARS = 100_000, 48
+#: Chunks kept in each of two generations, and the longest of them: a full generation becomes
+#: the older one, and chunks that are met again move to the newer.
+CACHE, CACHE_CHARS = 80_000, 48
 #: Documents encoded before their ids are sent on.
 PART = 200
 _CHUNK = re.compile(" *[^ \n]+| +|\n")
@@ -71,6 +72,7 @@ class Codec:
         self.unknown = min((s for _, s, _ in own), default=0.0) - UNKNOWN_PENALTY
         self.whole = any(SPACE in p.lstrip(SPACE) or "\n" in p for p, _, _ in own)
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _viterbi(self, s: str) -> list[int]:
         """Ids of the best segmentation of s, in which spaces are U+2581."""
@@ -110,10 +112,11 @@ class Codec:
         for chunk in [text] if self.whole else _CHUNK.findall(text):
             got = cache.get(chunk)
             if got is None:
-                got = tuple(self._viterbi(chunk.replace(" ", SPACE)))
+                got = self.older.get(chunk) or tuple(self._viterbi(chunk.replace(" ", SPACE)))
                 if len(chunk) <= CACHE_CHARS:
                     if len(cache) >= CACHE:
-                        cache.clear()
+                        self.older, self.cache = cache, {}
+                        cache = self.cache
                     cache[chunk] = got
             out.extend(got)
 
