@@ -164,15 +164,15 @@ def _groups(batches: Iterator[pa.RecordBatch], key, columns: list[str]) -> Itera
         yield key(held[0]), held, goes_on
 
 
-def _lonely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k1, n: tokens of a set that no other set has sent, of those that can prove it alone."""
-    for keys, (token, k1), goes_on in _groups(batches, lambda t: t >> 1, ["token", "k1"]):
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        alone = (np.minimum.reduceat(k1, starts) == np.maximum.reduceat(k1, starts)) & (token[starts] & 1 == 1)
-        if goes_on:
-            alone[0] = False
-        who, n = np.unique(k1[starts[alone]], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n)], names=["k1", "n"])
+def lonely(sent: DataFrame) -> DataFrame:
+    """half (a set's k1 without its last bit), alone: tokens of a set that no other set has sent, of those that can prove it alone.
+
+    Rows are combined by token before they are shuffled, so a token of very many sets weighs as little as any other.
+    """
+    who = F.col("k1").bitwiseAND(F.lit(~1)).bitwiseOR(F.col("token").bitwiseAND(F.lit(1)))
+    by_token = sent.select(F.shiftright("token", 1).alias("token"), who.alias("who")).groupBy("token").agg(F.min("who").alias("who"), F.max("who").alias("last"))
+    alone = by_token.filter((F.col("who") == F.col("last")) & (F.col("who").bitwiseAND(F.lit(1)) == 1))
+    return alone.groupBy(F.shiftright("who", 1).alias("half")).agg(F.count("*").alias("alone"))
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,9 +294,9 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     named = signed.filter("k1 is not null and doc_id is not null")
     classes = stored(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n")), "ngram-classes")
 
-    sent = named.select("k1", F.explode("sent").alias("token")).repartition(F.shiftright("token", 1)).sortWithinPartitions("token")
-    alone = sent.select("token", "k1").mapInArrow(_lonely, "k1 long, n long").groupBy("k1").agg(F.sum("n").alias("alone"))
-    open_ = classes.join(alone, "k1", "left").filter(F.coalesce("alone", F.lit(0)) < prefix_length(F.col("n"), threshold))
+    alone = lonely(named.select("k1", F.explode("sent").alias("token")))
+    proven = classes.withColumn("half", F.shiftright("k1", 1)).join(alone, "half", "left")
+    open_ = proven.filter(F.coalesce("alone", F.lit(0)) < prefix_length(F.col("n"), threshold))
     loaded = stored(_sets(rows, stored(open_.select("node", "k1"), "ngram-open"), width), "ngram-sets")
 
     tokens = loaded.mapInArrow(_flat, "token long, node long, n long").repartition("token").sortWithinPartitions("token", "node")
