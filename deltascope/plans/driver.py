@@ -618,7 +618,7 @@ def label_resolve(spark, sf_dir):
 
 
 def _code(spark, sf_dir) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(F.substring("text", 1, 300))).alias("code"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex("text")).alias("code"))
 
 
 _PUSH = "(?:" + "|".join([f"{0x5F + n:02x}[0-9a-f]{{{2 * n}}}" for n in range(1, 33)]) + "|[67][0-9a-f].*|..)"
@@ -626,9 +626,9 @@ _PUSH = "(?:" + "|".join([f"{0x5F + n:02x}[0-9a-f]{{{2 * n}}}" for n in range(1,
 
 @query(f"SELECT doc_id, len(t) AS n, list_contains(t, '65') AS has_push6, t[1] AS first FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(hex(encode(substr(text, 1, 300)))), '{_PUSH}'), lambda x: substr(x, 1, 2)) AS t FROM documents WHERE length(text) > 0)", base=False)
 def opcode_tokens(spark, sf_dir):
-    t = opcodes.instructions(F.col("code"))
-    rows = _code(spark, sf_dir).filter("code <> ''").withColumn("t", t)
-    return rows.select("doc_id", F.size("t").cast("bigint").alias("n"), F.array_contains("t", "65").alias("has_push6"), F.col("t")[0].alias("first"))
+    """Instructions of every whole text; null and empty texts have none."""
+    rows = _code(spark, sf_dir).withColumn("t", opcodes.instructions(F.col("code")))
+    return rows.select("doc_id", F.size("t").cast("bigint").alias("n"), F.array_contains("t", "65").alias("has_push6"), F.get("t", F.lit(0)).alias("first"))
 
 
 _CODE = "CASE doc_id % 6 WHEN 0 THEN '0x363d3d373d3d3d363d73' || repeat('ab', 20) || '5af43d82803e903d91602b57fd5bf3' WHEN 1 THEN '60f4' WHEN 2 THEN '60001f931c1c' WHEN 3 THEN '00f5' WHEN 4 THEN 'a9059cbb70a0823118160ddd' ELSE '' END"
