@@ -562,7 +562,7 @@ def category_fold(spark, sf_dir):
 
 @query("SELECT e.event_id, CAST(value AS DOUBLE) / nullif(event_id % 4, 0) AS ratio, printf('%d', event_id) AS n FROM events e WHERE event_id < 900", base=False)
 def format_helpers(spark, sf_dir):
-    return read_table(spark, sf_dir, "events").filter("event_id < 900").select("event_id", S.safe_ratio(F.col("value"), F.col("event_id") % 4).alias("ratio"), S.format_count(F.col("event_id")).alias("n"))
+    return read_table(spark, sf_dir, "events").select("event_id", S.safe_ratio(F.col("value"), F.col("event_id") % 4).alias("ratio"), S.format_count(F.col("event_id")).alias("n"))
 
 
 # Labels and code ------------------------------------------------------------------------------------------

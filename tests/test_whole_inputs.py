@@ -21,3 +21,10 @@ def test_opcode_tokens_read_whole_texts(spark, tmp_path):
     want = [walk((t or "").encode().hex()) for t in texts]
     assert got == {i: (len(w), "65" in w, w[0] if w else None) for i, w in enumerate(want)}
     assert got[4] == (301, True, "20")
+
+
+def test_format_helpers_format_every_event(spark, tmp_path):
+    ids = [0, 1, 7, 899, 900, 999, 1000, 1234567, 9_000_000_001]
+    spark.createDataFrame([(i, i / 8) for i in ids], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: (r["ratio"], r["n"]) for r in QUERIES["format_helpers"](spark, str(tmp_path)).collect()}
+    assert got == {i: (i / 8 / (i % 4) if i % 4 else None, f"{i:,}") for i in ids}
