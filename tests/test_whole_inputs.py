@@ -1,7 +1,12 @@
 """Driver queries over whole inputs, against values worked out without their SQL."""
 
+import datetime
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from deltascope.plans import driver
 from deltascope.plans.driver import QUERIES
 
 
@@ -28,3 +33,27 @@ def test_format_helpers_format_every_event(spark, tmp_path):
     spark.createDataFrame([(i, i / 8) for i in ids], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = {r["event_id"]: (r["ratio"], r["n"]) for r in QUERIES["format_helpers"](spark, str(tmp_path)).collect()}
     assert got == {i: (i / 8 / (i % 4) if i % 4 else None, f"{i:,}") for i in ids}
+
+
+@pytest.mark.parametrize("column, broken", [("tx_count_stored", "I1"), ("retained_drill_in_count", "I2"), ("g5", "I3")])
+def test_violations_of_truncated_blocks_are_reported(spark, monkeypatch, column, broken):
+    columns = ["block_number", "tx_count", "tx_count_unchanged", "tx_count_gas_only", "tx_count_stored", "retained_drill_in_count", "g2_drillin", "g3", "g4", "af", "g5"]
+    whole = spark.createDataFrame([(1, 22, 10, 5, 7, 5, 2, 1, 1, 1, 2, True), (2, 20, 10, 5, 5, 5, 2, 1, 1, 1, 0, False)], ", ".join(f"{c} long" for c in columns) + ", drill_ins_truncated boolean")
+    monkeypatch.setattr(driver, "_blocks", lambda spark, sf_dir: whole)
+    assert QUERIES["partition_violations"](spark, "").count() == 0
+    monkeypatch.setattr(driver, "_blocks", lambda spark, sf_dir: whole.withColumn(column, F.col(column) - 3))
+    assert {tuple(r) for r in QUERIES["partition_violations"](spark, "").collect()} == {(1, broken), (2, broken)}
+
+
+def test_truncated_blocks_store_what_they_dropped(spark, monkeypatch):
+    """As the reference has it: I1 holds on every block and g5 is stored - retained."""
+    day = datetime.datetime(2024, 1, 1)
+    orders = spark.createDataFrame([(i, i % 13, day) for i in range(40)], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    drilled = spark.createDataFrame([(i, True, True, None) for i in range(30) for _ in range(i % 7)], "block_number long, baseline_success boolean, schedule_success boolean, min_multiplier_to_succeed double")
+    monkeypatch.setattr(driver, "read_table", lambda spark, sf_dir, name: orders)
+    monkeypatch.setattr(driver, "facts", lambda spark, sf_dir: drilled)
+    rows = driver._blocks(spark, "").collect()
+    assert len(rows) == 40 and 0 < sum(r["drill_ins_truncated"] for r in rows) < 40
+    for r in rows:
+        assert r["tx_count_unchanged"] + r["tx_count_gas_only"] + r["tx_count_stored"] == r["tx_count"]
+        assert r["tx_count_stored"] - r["retained_drill_in_count"] == r["g5"] == (2 if r["drill_ins_truncated"] else 0)
