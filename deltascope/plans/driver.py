@@ -516,7 +516,7 @@ _RAW = "CASE event_id % 8 WHEN 0 THEN ' TRUE ' WHEN 1 THEN 'nan' WHEN 2 THEN '1e
 @query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN TRUE WHEN 7 THEN FALSE END AS flag, CASE event_id % 8 WHEN 2 THEN 1000 WHEN 4 THEN -5 WHEN 6 THEN event_id END AS n, CASE event_id % 8 WHEN 2 THEN 1000 WHEN 6 THEN event_id END AS reservoir FROM events WHERE event_id > 1""", base=False)
 def null_coercion(spark, sf_dir):
     raw = F.expr(_RAW)
-    return read_table(spark, sf_dir, "events").filter("event_id > 1").select("event_id", S.to_flag(raw).alias("flag"), S.to_long(raw).alias("n"), S.to_reservoir(raw).alias("reservoir"))
+    return read_table(spark, sf_dir, "events").select("event_id", S.to_flag(raw).alias("flag"), S.to_long(raw).alias("n"), S.to_reservoir(raw).alias("reservoir"))
 
 
 @query("SELECT event_id, event_id || ',' || user_id || ',3' AS a, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", base=False)

@@ -57,3 +57,10 @@ def test_truncated_blocks_store_what_they_dropped(spark, monkeypatch):
     for r in rows:
         assert r["tx_count_unchanged"] + r["tx_count_gas_only"] + r["tx_count_stored"] == r["tx_count"]
         assert r["tx_count_stored"] - r["retained_drill_in_count"] == r["g5"] == (2 if r["drill_ins_truncated"] else 0)
+
+
+def test_null_coercion_keeps_every_event(spark, tmp_path):
+    spark.range(17).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: (r["flag"], r["n"], r["reservoir"]) for r in QUERIES["null_coercion"](spark, str(tmp_path)).collect()}
+    kinds = [(True, None, None), (None, None, None), (None, 1000, 1000), (None, None, None), (None, -5, None), (None, None, None), None, (False, None, None)]
+    assert got == {i: kinds[i % 8] or (None, i, i) for i in range(17)}
