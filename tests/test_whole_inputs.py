@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from deltascope.llm import language_id
 from deltascope.plans import driver
 from deltascope.plans.driver import QUERIES
 
@@ -64,3 +65,11 @@ def test_null_coercion_keeps_every_event(spark, tmp_path):
     got = {r["event_id"]: (r["flag"], r["n"], r["reservoir"]) for r in QUERIES["null_coercion"](spark, str(tmp_path)).collect()}
     kinds = [(True, None, None), (None, None, None), (None, 1000, 1000), (None, None, None), (None, -5, None), (None, None, None), None, (False, None, None)]
     assert got == {i: kinds[i % 8] or (None, i, i) for i in range(17)}
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, " ".join(["".join(chr(0x4E00 + 4 * i + k) for k in range(4))] * 9), f"l{i:03d}") for i in range(530)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit(df, F.lit(True))
+    assert model.languages == [lang for _, _, lang in rows]
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, model).collect()} == {i: lang for i, _, lang in rows}
