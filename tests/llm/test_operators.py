@@ -239,9 +239,20 @@ def test_embeddings(spark):
     assert vector_join.near_duplicates(df.filter("vec_id < 0")).collect() == []
 
 
-def test_embedding_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vector_join, "BLOCK", 16)
-    monkeypatch.setattr(vector_join, "LEAF", 3)
+def test_embeddings_of_null_and_negative_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v: [x + 0.05 for x in v]
+    rows = [(5, a), (None, near(a)), (9, b), (None, near(b)), (-1, c), (-1, c), (7, near(c)), (None, [1.0, 1.0, -1.0]), (None, [1.0, 1.0, -1.1])]
+    df = spark.createDataFrame([(i, "x", v) for i, v in rows], "vec_id long, label string, embedding array<float>")
+    got = sorted((tuple(r) for r in vector_join.near_duplicates(df).collect()), key=str)
+    want = [(5, 1, 5, True), (None, 1, 5, False), (9, 1, 9, True), (None, 1, 9, False), (-1, 2, -1, True), (-1, 2, -1, True), (7, 2, -1, False), (None, 1, None, False), (None, 1, None, False)]
+    assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_embedding_blocks(spark, monkeypatch, few):
+    for name, value in (("BLOCK", 16), ("LEAF", 3), ("FEW", few), ("CROWD", 2), ("TILE", 1)):
+        monkeypatch.setattr(vector_join, name, value)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(5, 6))[rng.integers(0, 5, 150)] + rng.normal(size=(150, 6)) * 0.25
     df = spark.createDataFrame([(i, 1, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
