@@ -3,13 +3,16 @@
 The automaton over all pieces reports, at each position, every piece that ends there (it
 follows the output links), and each report relaxes the best score of its end. Scores of
 the pieces add up; the segmentation with the largest sum wins. On a tie the longest last piece wins.
+The model at hand was trained by merges, so its scores are negated merge ranks and no log-probabilities,
+whose sums would punish long pieces. Each piece gets log p = -log(RANK_OFFSET + rank), up to a
+constant, as if pieces were as frequent as Zipf's law says by rank (``log_probabilities``).
 A character that is no piece of its own may also be spelled in byte pieces, at UNKNOWN_PENALTY below the lowest
 score. Text that comes as chunks between spaces is cached by chunk, which gives
 the same answer, since no piece holds a space after another character or a line feed;
 a model with such pieces is encoded in one piece.
 
-This is the vocabulary's unigram reading: a model trained by merges segments
-some words differently when its own merges are replayed.
+This is the vocabulary's unigram reading: some words are cut differently than when merges are
+replayed, into about 1 % fewer pieces.
 
 Decoding inverts encoding for every text: a space in front is added and removed, and a
 literal U+2581 is spelled in bytes. Edge cases: null and empty texts have no pieces and
@@ -20,6 +23,7 @@ rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,6 +37,8 @@ from deltascope.llm.common import worker_cache
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Added to a merge rank before its logarithm, so that the first merges aren't taken for all of the language.
+RANK_OFFSET = 100.0
 #: Chunks kept in each of two generations, and the longest of them: a full generation becomes
 #: the older one, and chunks that are met again move to the newer.
 CACHE, CACHE_CHARS = 80_000, 48
@@ -53,6 +59,22 @@ def load_pieces(model_file: str = MODEL) -> list[tuple[str, float, str]]:
     return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
 
 
+def log_probabilities(pieces: list[tuple[str, float, str]]) -> list[tuple[str, float, str]]:
+    """The pieces of a model trained by merges, whose scores are negated ranks, with log-probabilities (up to a constant) as scores."""
+    return [(p, -math.log(RANK_OFFSET + max(0.0, -s)) if k == "piece" else s, k) for p, s, k in pieces]
+
+
+def by_merges(pieces: list[tuple[str, float, str]]) -> bool:
+    """Whether all scores of pieces are whole numbers below 1, as negated merge ranks are and log-probabilities aren't."""
+    return all(s <= 0 and s == int(s) for _, s, k in pieces if k == "piece")
+
+
+def scored_pieces(model_file: str = MODEL) -> list[tuple[str, float, str]]:
+    """load_pieces with scores that can be added up."""
+    pieces = load_pieces(model_file)
+    return log_probabilities(pieces) if by_merges(pieces) else pieces
+
+
 class Codec:
     def __init__(self, pieces: list[tuple[str, float, str]]) -> None:
         import ahocorasick
@@ -152,7 +174,7 @@ class _Shipped:
 
 def encode_documents(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     """doc_id, ids (array of piece ids), n_pieces, n_bytes (byte pieces), ids_sha256 (of the ids as 4-byte little-endian), round_trip (decoding gives the text)."""
-    ship = _Shipped(docs.sparkSession, load_pieces(model_file))
+    ship = _Shipped(docs.sparkSession, scored_pieces(model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = ship.codec()
@@ -182,7 +204,7 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
 
 def decode_documents(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
     """doc_id, text from doc_id, ids; null ids decode to the empty text."""
-    ship = _Shipped(encoded.sparkSession, load_pieces(model_file))
+    ship = _Shipped(encoded.sparkSession, scored_pieces(model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = ship.codec()
