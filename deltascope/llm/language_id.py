@@ -6,9 +6,11 @@ contain it, so one lookup answers for every language. A document's count for a
 language is the number of its n-grams whose mask has the language's bit, corrected for
 the filter's false positives, ``(count - total * fp) / (1 - fp)``; the largest decides.
 
-Fitting reads at most DOCS_PER_LANGUAGE labelled documents of each language (a hash of
-the id picks them) and keeps the NGRAMS commonest n-grams of each. Every value of lang is
-learned; the tables take 8 MB for each 64 languages.
+Fitting reads at most DOCS_PER_LANGUAGE labelled documents or so of each language (a hash of
+the id picks them) and keeps the NGRAMS commonest n-grams of each, all of them where a language has
+fewer; rarer ones would fill the filters with little to tell languages apart (twice as many change no
+accuracy, see README). Every value of lang is learned. Filters are made where the n-grams are
+counted, and only their slots reach the driver: at most 2^SLOT_BITS for each 64 languages, 8 MB.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; a text whose
 n-grams no filter knows gets the commonest language with score 0; with nothing to learn
@@ -32,12 +34,10 @@ from deltascope.llm.common import stored, worker_cache
 
 DOCS_PER_LANGUAGE = 4000
 NGRAMS = 40_000
-#: N-grams seen less often than this in a language's sample are left out.
-LEAST_SEEN = 3
 LENGTHS = (3, 4)
 SLOT_BITS = 20
 HASHES = 3
-#: Characters of a text that are hashed at a time.
+#: Characters of a text that are hashed at a time; n-grams over a window's end are carried into the next.
 WINDOW = 1 << 18
 UNKNOWN = "und"
 
@@ -55,16 +55,29 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and bool(_letters()[_points(text)].any())
 
 
-def ngram_hashes(text: str) -> Iterator[np.ndarray]:
-    """Hashes of the n-grams of a lower-cased text in which each run of non-letters is one space."""
+def _letters_and_spaces(text: str) -> Iterator[np.ndarray]:
+    """Code points of the lower-cased text between two spaces, each run of non-letters one space, a window at a time."""
     low = text.lower()
-    for at in range(0, max(len(low), 1), WINDOW):
-        cp = _points(low[at : at + WINDOW + max(LENGTHS) - 1])
+    space = True  # whether the last code point was a space
+    yield np.array([32], dtype=np.uint64)
+    for at in range(0, len(low), WINDOW):
+        cp = _points(low[at : at + WINDOW])
         cp = np.where(_letters()[cp], cp, np.uint32(32))
-        keep = np.ones(len(cp), dtype=bool)
-        keep[1:] = (cp[1:] != 32) | (cp[:-1] != 32)
-        cp = np.concatenate(([32], cp[keep], [32])).astype(np.uint64)
+        keep = cp != 32
+        keep[1:] |= cp[:-1] != 32
+        keep[0] |= not space
+        space = bool(cp[-1] == 32)
+        yield cp[keep].astype(np.uint64)
+    if not space:
+        yield np.array([32], dtype=np.uint64)
+
+
+def ngram_hashes(text: str) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of a lower-cased text in which each run of non-letters is one space."""
+    tail = np.zeros(0, dtype=np.uint64)
+    for new in _letters_and_spaces(text):
         for n in LENGTHS:
+            cp = np.concatenate((tail[max(0, len(tail) - n + 1) :], new))
             if len(cp) >= n:
                 h = np.full(len(cp) - n + 1, n, dtype=np.uint64)
                 for k in range(n):
@@ -73,6 +86,7 @@ def ngram_hashes(text: str) -> Iterator[np.ndarray]:
                 h *= np.uint64(0xBF58476D1CE4E5B9)
                 h ^= h >> np.uint64(32)
                 yield h * np.uint64(0x94D049BB133111EB)
+        tail = np.concatenate((tail, new))[-max(LENGTHS) + 1 :]
 
 
 def _slots(h: np.ndarray) -> list[np.ndarray]:
@@ -80,6 +94,11 @@ def _slots(h: np.ndarray) -> list[np.ndarray]:
     return [((h >> np.uint64(64 - SLOT_BITS * (k + 1))) & mask).astype(np.int64) for k in range(HASHES)]
 
 
+def _slot_columns(gram: str) -> Column:
+    """The same of a column of hashes, as an array."""
+    return F.array(*[F.shiftrightunsigned(gram, 64 - SLOT_BITS * (k + 1)).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for k in range(HASHES)])
+
+
 @dataclass
 class LanguageModel:
     """languages in order; words[w] is the table for languages 64 w to 64 w + 63; common is the commonest language."""
@@ -90,16 +109,17 @@ class LanguageModel:
     false_positive: np.ndarray
 
     @classmethod
-    def of(cls, languages: list[str], common: int, grams: dict[str, np.ndarray]) -> LanguageModel:
+    def of(cls, languages: list[str], common: int, bits: np.ndarray) -> LanguageModel:
+        """From rows of word, slot and the mask of the word's languages that set the slot."""
         words = []
         fp = np.zeros(len(languages))
         for w in range(0, len(languages), 64):
             part = languages[w : w + 64]
             kind = np.uint8 if len(part) <= 8 else np.uint64
             table = np.zeros(1 << SLOT_BITS, dtype=kind)
-            for i, lang in enumerate(part):
-                for slot in _slots(grams.get(lang, np.zeros(0, dtype=np.uint64))):
-                    np.bitwise_or.at(table, slot, kind(1 << i))
+            here = bits[bits[:, 0] == w // 64]
+            table[here[:, 1]] = np.ascontiguousarray(here[:, 2]).view(np.uint64).astype(kind)
+            for i in range(len(part)):
                 fp[w + i] = float(((table >> kind(i)) & kind(1)).mean()) ** HASHES
             words.append(table)
         return cls(languages, common, words, fp)
@@ -157,16 +177,18 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel:
     counted = stored(known.groupBy("lang").count(), "lang-sizes")
     sizes = counted.orderBy(F.desc("count"), "lang").collect()
     if not sizes:
-        return LanguageModel([], 0, [], np.zeros(0))
+        return LanguageModel.of([], 0, np.zeros((0, 3), dtype=np.int64))
     share = F.lit(float(DOCS_PER_LANGUAGE)) / F.col("count")
     drawn = (F.shiftrightunsigned(F.xxhash64(F.lit("fit"), "doc_id"), 12).cast("double")) / float(1 << 52)
     sample = known.join(F.broadcast(counted), "lang").filter(drawn < share).select("lang", "text")
-    grams = sample.mapInArrow(_count_ngrams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_SEEN)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = stored(grams.withColumn("place", place).filter(F.col("place") <= NGRAMS).select("lang", "gram"), "lang-grams").toPandas()
     languages = sorted(r[0] for r in sizes)
-    held = {lang: part["gram"].to_numpy(dtype=np.int64).view(np.uint64) for lang, part in top.groupby("lang")}
-    return LanguageModel.of(languages, languages.index(sizes[0][0]), held)
+    grams = sample.mapInArrow(_count_ngrams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # of a bounded sample of the language
+    top = grams.withColumn("place", place).filter(F.col("place") <= NGRAMS)
+    number = docs.sparkSession.createDataFrame([(lang, i // 64, i % 64) for i, lang in enumerate(languages)], "lang string, word int, bit int")
+    slots = top.join(F.broadcast(number), "lang").select("word", F.expr("shiftleft(1L, bit)").alias("mask"), F.explode(_slot_columns("gram")).alias("slot"))
+    bits = stored(slots.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")), "lang-bits").toPandas()
+    return LanguageModel.of(languages, languages.index(sizes[0][0]), bits[["word", "slot", "mask"]].to_numpy(dtype=np.int64))
 
 
 def _predictor(model) -> Callable:

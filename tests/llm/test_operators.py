@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -127,6 +128,24 @@ def test_token_attribution(spark):
     assert token_counts.attribute_tokens(docs(spark, [])).collect() == []
 
 
+def test_tokens_of_long_runs(monkeypatch):
+    ranks = token_counts.load_ranks()
+    rng = random.Random(4)
+    monkeypatch.setattr(token_counts, "LONG_RUN", 2)
+    encoder = token_counts.Encoder(ranks)
+    for _ in range(3000):
+        t = "".join(rng.choice(["  ", " ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "a", "don't", "7", "!", "日"]) for _ in range(rng.randint(0, 12)))
+        assert list(encoder.ids(t)) == encoder.encoding.encode_ordinary(t), repr(t)
+    monkeypatch.undo()
+    encoder = token_counts.Encoder(ranks)
+    n = 5_000_000
+    for run in (" " * n, "\t" * n, "\n" * n, "a" * n, "x" + " " * n + "y", " \n" * (n // 2)):
+        ends = encoder.ends(run)
+        assert ends[-1] == len(run) and (np.diff(ends) > 0).all()
+        counts, crossing = token_counts.attribute(ends, run.encode(), token_counts.section_starts(run.encode(), "lines"))
+        assert counts.sum() == len(ends)
+
+
 def test_token_fields(spark):
     df = token_counts.fields_as_sections(spark.createDataFrame([(1, "héllo wor", "ld again", None), (2, None, None, None)], "k long, a string, b string, c string"), "k", ["a", "b", "c"])
     got = {r["doc_id"]: r for r in token_counts.attribute_tokens(df).collect()}
@@ -274,7 +293,7 @@ def brute_viterbi(codec, pieces, s):
 
 
 def test_pieces(spark):
-    pieces = sp_codec.load_pieces()
+    pieces = sp_codec.scored_pieces()
     codec = sp_codec.Codec(pieces)
     scores = {p: s for p, s, k in pieces if k == "piece"}
     odd = ["▁", "a▁b", "  two  spaces\n\n x ", "\ttab", "日本語 ünïcödé 😀", "\u0000", "▁▁ ▁", "x" * 3000, " "]
@@ -293,6 +312,20 @@ def test_pieces(spark):
     assert sp_codec.encode_documents(docs(spark, [])).collect() == []
 
 
+def test_pieces_are_as_few_as_those_of_the_models_own_encoder():
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=sp_codec.MODEL)
+    codec = sp_codec.Codec(sp_codec.scored_pieces())
+    corpus = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    readme = (Path(__file__).resolve().parents[2] / "README.md").read_text()
+    for part in (corpus, [readme]):
+        ours, theirs = sum(len(codec.encode(t)) for t in part), sum(len(own.encode(t)) for t in part)
+        assert abs(ours - theirs) <= 0.05 * theirs
+    assert not sp_codec.by_merges([("a", -1.5, "piece")]) and sp_codec.by_merges(sp_codec.load_pieces())
+
+
 def test_urls(spark):
     urls = [None, "", "no host", "http://Example.COM/en/7x", "http://a.example.com/en/9?x", "http://com/en/", "http://xcom/en/", "https://b.example.net/de/8", "http://b.example.net/de/1", "ftp://x.org/es/#f", "http://x.org?y/es/", "http://É.COM:80/en/#a://b", "a://b://c/d"] + ["http://bad.org/es/1"] * 30 + ["http://bad.org/fr/1", "http://new.net/xx"]
     df = spark.createDataFrame([(i, u, "h", "x") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
@@ -336,15 +369,60 @@ def test_language(spark):
     assert kept == {*range(240), None}
 
 
-def test_language_filters_hold_what_was_put_in():
-    names = [f"l{i:03d}" for i in range(70)]
-    grams = {n: np.arange(i * 50, i * 50 + 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for i, n in enumerate(names)}
-    model = language_id.LanguageModel.of(names, 0, grams)
-    assert len(model.words) == 2
-    for i, n in enumerate(names):
-        table, bit = model.words[i // 64], np.uint64(i % 64)
-        mask = np.bitwise_and.reduce([table[s] for s in language_id._slots(grams[n])])
-        assert ((mask >> bit) & np.uint64(1)).all()
+def test_language_of_one_document_each(spark):
+    rows = [(1, "the quick brown fox jumps over the lazy dog", "en", None), (2, "der schnelle braune Fuchs springt über den Hund", "de", None), (3, "le renard brun saute par dessus le chien", "fr", None), (4, "the cat and the fox", "en", None), (5, "ünïq", "x", None)]
+    df = docs(spark, rows)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, language_id.fit(df, F.lit(True))).collect()}
+    assert got == {i: lang for i, _, lang, _ in rows}
+
+
+def grams_of(text):
+    s = " "
+    for c in text.lower() + " ":
+        c = c if c.isalpha() else " "
+        s += "" if c == " " == s[-1] else c
+    return [s[i : i + n] for n in language_id.LENGTHS for i in range(len(s) - n + 1)]
+
+
+def gram_hash(g):
+    h = len(g)
+    for c in g:
+        h = (h * 0x100000001B3 & (1 << 64) - 1) ^ ord(c)
+    h ^= h >> 29
+    h = h * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    return (h ^ h >> 32) * 0x94D049BB133111EB & (1 << 64) - 1
+
+
+def gram_slots(g):
+    return {(k, gram_hash(g) >> (64 - language_id.SLOT_BITS * (k + 1)) & (1 << language_id.SLOT_BITS) - 1) for k in range(language_id.HASHES)}
+
+
+@pytest.mark.parametrize("window", [3, 7, 1 << 18])
+def test_language_ngrams_over_windows(monkeypatch, window):
+    monkeypatch.setattr(language_id, "WINDOW", window)
+    for t in [t for t in texts() if t is not None] + ["12ab  cd-3ef", "é" * 50, " x ", "a", "12"]:
+        got = sorted(int(h) for part in language_id.ngram_hashes(t) for h in part)
+        assert got == sorted(gram_hash(g) for g in grams_of(t))
+
+
+def test_language_filters_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "NGRAMS", 25)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["the", "and", "der", "und", "les", "ñu", "日本"], k=rng.randint(1, 30))), f"l{i % 70:02d}", None) for i in range(140)]
+    df = docs(spark, rows)
+    model = language_id.fit(df, F.lit(True))
+    assert len(model.words) == 2 and model.languages == sorted({r[2] for r in rows})
+    for at, lang in enumerate(model.languages):
+        times = {}
+        for g in [g for _, t, la, _ in rows if la == lang for g in grams_of(t)]:
+            times[g] = times.get(g, 0) + 1
+        signed = lambda g: gram_hash(g) - (1 << 64) * (gram_hash(g) >> 63)
+        kept = sorted(times, key=lambda g: (-times[g], signed(g)))[:25]
+        slots = {x for g in kept for _, x in gram_slots(g)}
+        assert model.false_positive[at] == (len(slots) / 2**language_id.SLOT_BITS) ** language_id.HASHES
+        for _, t, _, _ in rows[::20]:
+            found, total = model.counts(t)
+            assert total == len(grams_of(t)) and found[at] == sum(all(x in slots for _, x in gram_slots(g)) for g in grams_of(t))
 
 
 def test_mixing(spark):
