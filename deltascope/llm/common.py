@@ -12,23 +12,24 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of a few narrow columns is broadcast (about 100 MB in the JVM).
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a table of a few narrow columns is broadcast (about 20 MB in the JVM, so that the broadcasts of one plan fit together).
+BROADCAST_ROWS = 200_000
 #: Bytes of an Arrow batch on its way to Python.
 ARROW_BYTES = 4 << 20
 #: A key is hot when it holds more than one row in so many; there are at most that many hot keys.
 HOT_SHARE = 1000
 
 
-_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864", "67108864b", "65536k", "64m", "64MB")
 
 
 def prepare(spark: SparkSession) -> None:
     """Send this package to the executors, unless their PYTHONPATH has it, and keep Arrow batches of texts small.
 
-    Batches of ARROW_BYTES hold memory down on both sides; a session that sets its own bound keeps it.
+    Batches of ARROW_BYTES hold memory down on both sides. This sets spark.sql.execution.arrow.maxBytesPerBatch of the
+    whole session, where the session has it unset or at its default; any other bound is kept.
     """
-    if int(spark.conf.get(_BATCH).rstrip("b")) == _BATCH_DEFAULT:
+    if spark.conf.get(_BATCH, None) in (None, *_BATCH_DEFAULT):
         spark.conf.set(_BATCH, str(ARROW_BYTES))
     root = Path(__file__).resolve().parents[2]
     context = spark.sparkContext
@@ -39,12 +40,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a folder of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, on a local master alone (tests), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="deltascope-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 

@@ -7,28 +7,32 @@ so candidates must share a prefix token under every order: the first puts tokens
 document frequency, rarest first, the others (SEEDS) by hashes. Only pairs that pass all of
 them are verified, on whole sets.
 
-Steps, none of which gathers a key's rows in one task without a bound, or broadcasts what grows:
+Steps, none of which gathers a key's rows in one task, broadcasts what grows, or emits a group's pairs:
 
-1. Equal sets are one class, by a 128-bit hash of the set.
+1. Equal sets are one class, by a 128-bit hash of the set, with a number of its own.
 2. Most texts are alone, and a few of their tokens prove it: each set sends its tokens
    with the lowest hashes (a share that depends on its size alone), and if as many of
    them as a prefix is long occur in no other set, it can have no link. For that, only
    tokens count that every set of a compatible size would have sent.
-3. The other sets send all tokens, get exact frequencies among these sets back, and so have their
-   prefixes under the first order.
-4. Prefix tokens are shuffled and sorted by set size; runs of sizes that can reach the
-   threshold are tied to the run's first class. Components of these ties are clusters: every link lies inside one.
-5. Clusters are cut into blocks of about BLOCK classes (fewer when sets are large), each
-   pair of blocks is a group of its own, and verifies its candidates by products of
-   membership matrices. It reports a spanning forest of links, never all pairs.
-6. Components of the links give the answer; classes take it back to rows.
-
-A cluster's work is quadratic in its number of different texts, spread over its pairs of blocks.
+3. The other sets send all tokens. A token's frequency is the number of these sets that have it,
+   one number for all of them, so that the first order is global.
+4. Sets that share a prefix token and a size are tied to the least of them. Sizes are classes
+   a factor 100 / threshold wide, so linked sets are of one class or of neighbouring ones.
+   Components of the ties are clusters: every link lies inside one.
+5. Clusters too large for a block are split further by the same ties under the orders by hash,
+   one after the other, inside the cluster: what stays together passes all filters.
+6. What is still too large is cut into blocks by size class and hash; blocks of compatible
+   sizes meet. Inside a block, the filters by hash are intersected pair by pair, and what
+   passes is verified by products of membership matrices. A block reports a
+   spanning forest of links, never all pairs.
+7. Components of the links give the answer; classes take it back to rows.
+
+A cluster's last step is quadratic in its number of different texts of compatible sizes, spread over its pairs of blocks.
 
 Edge cases: null and empty texts and texts without words have no shingles and link with
 nothing; texts with fewer words than the width have their whole sequence as one shingle;
-repeated rows are copies; rows of a null id link with nothing; no rows give no rows;
-further columns are ignored.
+repeated rows are copies; one id may have several texts, and each of them has its own component; rows of a
+null id link with nothing; no rows give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,15 +45,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from deltascope.llm.common import BROADCAST_ROWS, join_facts, stored, worker_cache
+from deltascope.llm.common import forget, join_facts, small_enough, stored, worker_cache
 from deltascope.llm.graph import connected_components
 from deltascope.llm.vector_join import forest
 
 #: Seeds of the orders by hash, besides the order by frequency.
 SEEDS = (1, 2)
-#: Rows of one token that are held to learn its frequency; more frequent tokens count as this frequent.
-MOST_FREQUENT = 1 << 16
 BLOCK = 512
 #: Shingles of a block, summed over its sets, at most about.
 BLOCK_SHINGLES = 1_500_000
@@ -118,9 +121,8 @@ def signatures(docs: DataFrame, width: int, threshold: int) -> DataFrame:
                 n.append(len(s))
                 more = 0
                 if len(s):
-                    key = xxhash.xxh3_128_digest(s.tobytes())
-                    k1.append(int.from_bytes(key[:8], "little", signed=True))
-                    k2.append(int.from_bytes(key[8:], "little", signed=True))
+                    key = _key(s)
+                    k1.append(key[0]), k2.append(key[1])
                     if k1[-1] not in seen:  # a copy in this partition has sent them
                         seen.add(k1[-1])
                         bounds = [int(sent_share(m, threshold) * (1 << 53)) << 11 for m in (len(s), len(s) * 100 // threshold + 1)]
@@ -137,33 +139,6 @@ def signatures(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sent array<long>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key, columns: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray], bool]]:
-    """Batches of sorted rows, re-cut so that a key's rows come together: (keys, columns, whether the first key goes on from the batch before).
-
-    A key with more than MOST_FREQUENT rows is cut into parts; the last element tells of all but its first part.
-    """
-    held: list[np.ndarray] | None = None
-    goes_on = False
-    for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if held is not None:
-            cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
-        if not len(cols[0]):
-            continue
-        keys = key(cols[0])
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut == 0 and len(keys) > MOST_FREQUENT:
-            yield keys, cols, goes_on
-            held, goes_on = [c[-1:] for c in cols], True
-            continue
-        if cut:
-            yield keys[:cut], [c[:cut] for c in cols], goes_on
-            goes_on = False
-        held = [c[cut:] for c in cols]
-    if held is not None and len(held[0]):
-        yield key(held[0]), held, goes_on
-
-
 def lonely(sent: DataFrame) -> DataFrame:
     """half (a set's k1 without its last bit), alone: tokens of a set that no other set has sent, of those that can prove it alone.
 
@@ -175,42 +150,22 @@ def lonely(sent: DataFrame) -> DataFrame:
     return alone.groupBy(F.shiftright("who", 1).alias("half")).agg(F.count("*").alias("alone"))
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """token, node, n, df of the tokens that two nodes or more have."""
-    for keys, (token, node, n), goes_on in _groups(batches, lambda t: t, ["token", "node", "n"]):
-        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])))  # a repeated row of a node counts once
-        token, node, n, keys = token[new], node[new], n[new], keys[new]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        times = np.diff(np.concatenate((starts, [len(keys)])))
-        df = np.minimum(np.repeat(times, times), MOST_FREQUENT)
-        if goes_on:
-            df[: times[0]] = MOST_FREQUENT
-        use = df > 1
-        yield pa.RecordBatch.from_arrays([pa.array(token[use]), pa.array(node[use]), pa.array(n[use]), pa.array(df[use])], names=["token", "node", "n", "df"])
+def size_class(n: Column, threshold: int) -> Column:
+    """Linked sets are of one class or of neighbouring ones."""
+    width = max(math.log(100 / threshold), 1e-9) * (1 + 1e-9)
+    return F.floor(F.log(n.cast("double")) / width).cast("int")
 
 
-def ties(postings: DataFrame, threshold: int) -> DataFrame:
-    """a, b: classes that share a token and sizes that chain, tied to the first of their run. Rows are sorted in their partition."""
+def ties(postings: DataFrame, threshold: int, within: list[str]) -> DataFrame:
+    """a, b: each node of postings(*within, n, node) and the least node of its key and size.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # token, size and first class of the run that the batch before ended with
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token, n, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "n", "node"))
-            starts = np.ones(len(token), dtype=bool)
-            starts[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < threshold * n[1:])
-            if last and token[0] == last[0] and 100 * last[1] >= threshold * n[0]:
-                starts[0] = False
-            at = np.maximum.accumulate(np.where(starts, np.arange(len(token)), -1))
-            first = np.where(at >= 0, node[at], last[2] if last else 0)
-            last = (token[-1], n[-1], first[-1])
-            tied = first != node
-            if tied.any():
-                pairs = np.unique(np.stack([first[tied], node[tied]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return postings.mapInArrow(run, "a long, b long")
+    A node stands on both edges of its size class, so neighbouring classes meet on the edge between them.
+    """
+    key = [*within, "edge"]
+    c = size_class(F.col("n"), threshold)
+    edges = postings.select(*within, "node", F.explode(F.array(c, c + 1)).alias("edge"))
+    least = stored(edges.groupBy(*key).agg(F.min("node").alias("least"), F.count("*").alias("rows")).filter("rows > 1"), "ngram-least")
+    return join_facts(edges, least, key, "rows", ["node"]).filter("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
 
 
 def _member(rows: list[np.ndarray], columns: int) -> Iterator[np.ndarray]:
@@ -230,22 +185,27 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections; tokens of one set alone are left out of the products."""
     tokens, times = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), return_counts=True)
     shared = tokens[times > 1]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    out = np.zeros((len(sets), len(sets)), dtype=np.int64)
     if len(shared):
         rows = []
         for s in sets:
             at = np.minimum(np.searchsorted(shared, s), len(shared) - 1)
             rows.append(at[shared[at] == s])
         for m in _member(rows, len(shared)):
-            out += m @ m.T
+            out += (m @ m.T).astype(np.int64)  # of at most COLUMNS ones, so exact
     return out
 
 
-def linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:
-    """Symmetric boolean matrix of links: sizes and prefix filters of the orders by hash intersected, then whole sets verified."""
+def linked(sets: list[np.ndarray], threshold: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Symmetric boolean matrix of links: sizes and prefix filters of the orders by hash intersected, then whole sets verified.
+
+    With side, only pairs of different sides count.
+    """
     n = np.array([len(s) for s in sets], dtype=np.int64)
     pass_ = 100 * np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
     np.fill_diagonal(pass_, False)
+    if side is not None:
+        pass_ &= side[:, None] != side[None, :]
     for seed in SEEDS:
         use = np.flatnonzero(pass_.any(axis=1))
         share = np.zeros_like(pass_)
@@ -254,97 +214,203 @@ def linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:
     use = np.flatnonzero(pass_.any(axis=1))
     out = np.zeros_like(pass_)
     if len(use):
-        both = overlaps([sets[i] for i in use]).astype(np.int64)
+        both = overlaps([sets[i] for i in use])
         m = n[use]
         out[np.ix_(use, use)] = 100 * both >= threshold * (m[:, None] + m[None, :] - both)
     return out & pass_
 
 
+def _key(tokens: np.ndarray) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(tokens.tobytes())
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, a stored table, broadcast if it is small."""
+    return F.broadcast(df) if small_enough(df) else df
+
+
 def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, n, tokens (packed) of the wanted classes (node, k1), from the rows that name them."""
-    ids = wanted.select(F.col("node").alias("doc_id"), "k1")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    """node, n, tokens (packed) of the wanted classes (node, rep, k1, k2), from the rows that name them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 node, n, raw = [], [], []
-                for i, k, t in zip(part.column("doc_id"), part.column("k1"), part.column("text")):
+                for i, k1, k2, t in zip(*[part.column(c) for c in ("node", "k1", "k2", "text")]):
                     s = shingles(t.as_py(), width)
-                    if int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) == k.as_py():
+                    if _key(s) == (k1.as_py(), k2.as_py()):
                         node.append(i.as_py()), n.append(len(s)), raw.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(node, type=pa.int64()), pa.array(n, type=pa.int64()), pa.array(raw, type=pa.binary())], names=["node", "n", "tokens"])
 
-    return rows.join(ids, "doc_id").select("doc_id", "k1", "text").mapInArrow(run, "node long, n long, tokens binary")
+    named = rows.join(_few(wanted.withColumnRenamed("rep", "doc_id")), "doc_id").select("node", "k1", "k2", "text")
+    found = stored(named.mapInArrow(run, "node long, n long, tokens binary"), "ngram-sets")
+    if found.count() == wanted.count():
+        return found
+    once = stored(found.dropDuplicates(["node"]), "ngram-sets")  # repeated rows name a class more than once
+    forget(found)
+    return once
 
 
-def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for node, n, raw in zip(*[batch.column(c).to_pylist() for c in ("node", "n", "tokens")]):
-            token = np.frombuffer(raw, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), node)), pa.array(np.full(len(token), n))], names=["token", "node", "n"])
+def _flat(seed: int | None, threshold: int):
+    """Rows of node, n, tokens as a row per token; with a seed, of the prefix under its order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [np.frombuffer(raw, dtype=np.uint64) for raw in part.column("tokens").to_pylist()]
+                sets = sets if seed is None else [prefix(x, seed, threshold) for x in sets]
+                times = [len(x) for x in sets]
+                rest = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), times) for c in part.schema.names if c != "tokens"]
+                flat = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), *[pa.array(c) for c in rest]], names=["token", *[c for c in part.schema.names if c != "tokens"]])
+
+    return run
+
+
+def first_order_prefixes(loaded: DataFrame, threshold: int) -> DataFrame:
+    """token, n, node of the tokens in the sets' prefixes by frequency that two sets or more have."""
+    tokens = loaded.mapInArrow(_flat(None, threshold), "token long, node long, n long")
+    frequent = stored(tokens.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1"), "ngram-frequent")
+    live = join_facts(tokens, frequent.withColumn("df", F.col("rows")), ["token"], "rows", ["node"]).filter("df is not null")
+    by_node = Window.partitionBy("node")
+    place = F.row_number().over(by_node.orderBy("df", F.xxhash64("token"), "token"))
+    rare = F.col("n") - F.count("*").over(by_node)  # tokens of this node alone come first and tie with nothing
+    postings = live.withColumns({"place": place, "rare": rare}).filter(F.col("place") + F.col("rare") <= prefix_length(F.col("n"), threshold))
+    return postings.select("token", "n", "node")
 
-def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
+
+def _refined(loaded: DataFrame, clusters: DataFrame, threshold: int) -> DataFrame:
+    """node, n, component, whole (fits one block): clusters too large for a block are split under the orders by hash."""
+
+    def measured(df: DataFrame) -> DataFrame:
+        size = df.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+        whole = (F.col("members") <= BLOCK) & (F.col("shingles") <= BLOCK_SHINGLES)
+        size = stored(size.withColumn("whole", whole), "ngram-cluster-sizes")
+        return stored(join_facts(df, size.select("component", "members", "whole"), ["component"], "members", ["node"]), "ngram-clusters")
+
+    done = measured(clusters)
+    for seed in SEEDS:
+        large = stored(done.filter("not whole").select("node", "component"), "ngram-large")
+        if large.isEmpty():
+            break
+        members = loaded.join(_few(large), "node").select("tokens", "node", "n", "component")
+        postings = stored(members.mapInArrow(_flat(seed, threshold), "token long, node long, n long, component long"), "ngram-postings")
+        split = connected_components(ties(postings, threshold, ["component", "token"]))
+        forget(postings)
+        split = measured(split.join(done.select("node", "n"), "node").select("node", "n", "component"))
+        done = stored(done.filter("whole").unionByName(split), "ngram-clusters")
+    return done
+
+
+def _dealt(clusters: DataFrame, threshold: int) -> DataFrame:
+    """node, component, and the groups that a node meets others in: struct(lo, lo_part, hi, hi_part, side)."""
+    cut = clusters.filter("not whole").withColumn("c", size_class(F.col("n"), threshold))
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    per_class = cut.groupBy("component", "c").agg(parts.alias("parts"), F.count("*").alias("members"))
+    sizes = per_class.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("c", "parts"))).alias("parts"), F.sum("members").alias("members"))  # as many entries as there are size classes
+    met = join_facts(cut, stored(sizes, "ngram-parts"), ["component"], "members", ["node"])
+    own = F.pmod(F.xxhash64("node"), F.col("parts")[F.col("c")]).cast("int")
+
+    def meet(step: int) -> Column:
+        d = F.col("c") + step
+        there = F.coalesce(F.try_element_at("parts", d), F.lit(0))
+
+        def group(q: Column) -> Column:
+            at, to = F.struct(F.col("c").alias("c"), F.col("own").alias("part")), F.struct(d.alias("c"), q.alias("part"))
+            lo, hi = F.least(at, to), F.greatest(at, to)
+            return F.struct(lo["c"].alias("lo"), lo["part"].alias("lo_part"), hi["c"].alias("hi"), hi["part"].alias("hi_part"), F.when(at == lo, 0).otherwise(1).alias("side"))
+
+        return F.when(there > 0, F.transform(F.sequence(F.lit(0), there - 1), group)).otherwise(F.array().cast(_GROUPS))
+
+    cut = met.withColumn("own", own).select("node", "component", F.concat(meet(-1), meet(0), meet(1)).cast(_GROUPS).alias("groups"))
+    one = F.array(F.struct(*[F.lit(0).alias(x) for x in ("lo", "lo_part", "hi", "hi_part", "side")])).cast(_GROUPS)
+    return clusters.filter("whole").select("node", "component", one.alias("groups")).unionByName(cut)
+
+
+_GROUPS = "array<struct<lo:int,lo_part:int,hi:int,hi_part:int,side:int>>"
+
+
+def _links(loaded: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
+    """a, b: a spanning forest of the links of each group."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        sets = [np.frombuffer(t, dtype=np.uint64) for t in table.column("tokens").to_pylist()]
+        lo, hi = ((table.column(x)[0].as_py(), table.column(f"{x}_part")[0].as_py()) for x in ("lo", "hi"))
+        root = forest(linked(sets, threshold, None if lo == hi else table.column("side").to_numpy()))
+        child = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": pa.array(nodes[root[child]]), "b": pa.array(nodes[child])})
+
+    key = ["component", "lo", "lo_part", "hi", "hi_part"]
+    spread = loaded.join(_few(dealt), "node").select("node", "component", "tokens", F.inline("groups"))
+    return spread.groupBy(*key).applyInArrow(verify, "a long, b long")
+
+
+def _found(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (doc_id, n, k1, k2, sent) and facts of their classes: k1, k2, copies, component_id, first (this class has its component's smallest id)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(signatures(rows, width, threshold), "ngram-signed")
     named = signed.filter("k1 is not null and doc_id is not null")
-    classes = stored(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n")), "ngram-classes")
+    classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
 
     alone = lonely(named.select("k1", F.explode("sent").alias("token")))
     proven = classes.withColumn("half", F.shiftright("k1", 1)).join(alone, "half", "left")
     open_ = proven.filter(F.coalesce("alone", F.lit(0)) < prefix_length(F.col("n"), threshold))
-    loaded = stored(_sets(rows, stored(open_.select("node", "k1"), "ngram-open"), width), "ngram-sets")
+    loaded = _sets(rows, stored(open_.select("node", "rep", "k1", "k2"), "ngram-open"), width)
+
+    clusters = connected_components(ties(stored(first_order_prefixes(loaded, threshold), "ngram-postings"), threshold, ["token"]))
+    clusters = _refined(loaded, clusters.join(classes.select("node", "n"), "node").select("node", "n", "component"), threshold)
+    links = stored(_links(loaded, stored(_dealt(clusters, threshold), "ngram-dealt"), threshold), "ngram-links")
+    forget(loaded)
+    roots = stored(connected_components(links), "ngram-roots")
+    linked_ = stored(classes.join(roots, "node").select("k1", "k2", "rep", "copies", "component"), "ngram-linked")
+    least = F.min(F.struct("rep", "k1", "k2"))
+    least = stored(linked_.groupBy("component").agg(least.alias("least"), F.count("*").alias("members")), "ngram-components")
+    several = join_facts(linked_, least, ["component"], "members", ["k1"])
+    first = (F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2"))
+    several = several.select("k1", "k2", "copies", F.col("least.rep").alias("component_id"), first.alias("first"))
+    lone = classes.join(roots, "node", "left_anti").select("k1", "k2", "copies", F.col("rep").alias("component_id"), F.lit(True).alias("first"))
+    return signed, stored(several.unionByName(lone), "ngram-facts")
 
-    tokens = loaded.mapInArrow(_flat, "token long, node long, n long").repartition("token").sortWithinPartitions("token", "node")
-    live = tokens.mapInArrow(_frequent, "token long, node long, n long, df long")
-    by_node = Window.partitionBy("node")
-    place = F.row_number().over(by_node.orderBy("df", F.xxhash64("token"), "token"))
-    rare = F.col("n") - F.count("*").over(by_node)  # tokens of this node alone come first and tie with nothing
-    postings = live.withColumns({"place": place, "rare": rare}).filter(F.col("place") + F.col("rare") <= prefix_length(F.col("n"), threshold))
-    postings = postings.select("token", "n", "node").repartition("token").sortWithinPartitions("token", "n", "node")
-    clusters = stored(connected_components(ties(postings, threshold)), "ngram-clusters")
-
-    sized = clusters.join(classes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    parts = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    sized = stored(sized.select("component", "members", parts.alias("parts")), "ngram-cluster-sizes")
-    wanted = stored(join_facts(clusters, sized, ["component"], "members", ["node"]), "ngram-wanted")
-    ids = wanted.select("node", "component", "parts")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    spread = loaded.join(ids, "node").select("node", "component", "tokens", F.inline(others))
-
-    def verify(table: pa.Table) -> pa.Table:
-        seen = {(i, t): None for i, t in zip(table.column("node").to_pylist(), table.column("tokens").to_pylist())}
-        nodes = np.array([i for i, _ in seen], dtype=np.int64)
-        root = forest(linked([np.frombuffer(t, dtype=np.uint64) for _, t in seen], threshold))
-        child = np.flatnonzero(nodes[root] != nodes)
-        return pa.table({"a": pa.array(nodes[root[child]]), "b": pa.array(nodes[child])})
 
-    links = stored(spread.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long"), "ngram-links")
-    found = connected_components(links)
-    facts = classes.select("k1", "k2", "copies", "node").join(found, "node", "left")
-    facts = stored(facts.select("k1", "k2", "copies", F.coalesce("component", "node").alias("component")), "ngram-facts")
-    out = join_facts(signed.select("doc_id", "n", "k1", "k2"), facts, ["k1", "k2"], "copies", ["doc_id"])
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
+    signed, facts = _found(docs, width, threshold)
+    out = join_facts(signed.select("doc_id", "n", "k1", "k2"), facts.drop("first"), ["k1", "k2"], "copies", ["doc_id"])
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """The documents, all columns as they are, that name their component; of rows that repeat such an id, one stays."""
-    found = stored(join(docs, width, threshold), "ngram-found")
-    gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "ngram-gone")
-    small = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeats = stored(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "ngram-repeats")
-    n = repeats.count()
-    if not n:
+    """Of each component one document, all columns as they are: that of the smallest id, and of the class that names it.
+
+    Rows that repeat its id and its shingles are copies, of which the one whose columns hash lowest stays. Other texts
+    under the same id stay if they are the first of their own component. Rows without words or without an id all stay.
+    """
+    signed, facts = _found(docs, width, threshold)
+    judged = join_facts(signed.select("doc_id", "k1", "k2"), facts, ["k1", "k2"], "copies", ["doc_id"])
+    stays = F.col("k1").isNull() | (F.col("first") & (F.col("doc_id") == F.col("component_id")))
+    ids = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(stays).alias("stay"))
+    ids = stored(ids.filter("stay = 0 or rows > 1"), "ngram-ids")
+    other = _few(stored(ids.select("doc_id"), "ngram-gone"))
+    kept = docs.join(other, "doc_id", "left_anti").select(*docs.columns)
+    again = stored(ids.filter("stay > 0").select("doc_id"), "ngram-repeats")
+    if again.isEmpty():
         return kept
-    again = F.broadcast(repeats) if n <= BROADCAST_ROWS else repeats
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    carried = F.struct(*[F.col(c) for c in docs.columns])
+    rows = docs.join(_few(again), "doc_id", "left_semi").select(carried.alias("carried"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_key(s) if len(s) else (None, None) for s in (shingles(t.as_py(), width) for t in batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("carried", "doc_id")], *[pa.array([k[i] for k in keys], type=pa.int64()) for i in (0, 1)]], names=["carried", "doc_id", "k1", "k2"])
+
+    schema = T.StructType([T.StructField("carried", rows.schema["carried"].dataType), *[T.StructField(c, T.LongType()) for c in ("doc_id", "k1", "k2")]])
+    rows = stored(rows.mapInArrow(sign, schema), "ngram-again")
+    rows = join_facts(rows, facts, ["k1", "k2"], "copies", ["doc_id"]).filter(stays)
+    once = rows.filter("k1 is not null").groupBy("doc_id", "k1", "k2").agg(F.min_by("carried", F.xxhash64("carried")).alias("carried"))
+    return kept.unionByName(once.select("carried.*")).unionByName(rows.filter("k1 is null").select("carried.*"))

@@ -222,19 +222,41 @@ def test_ngram_blocks_of_a_large_cluster(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
-@pytest.mark.parametrize("most", [2, 1 << 16])
-def test_token_runs_over_batches(monkeypatch, most):
-    import pyarrow as pa
-
-    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", most)
-    rng = random.Random(most)
-    rows = sorted((rng.randrange(12) ** 2, rng.randrange(20), 5) for _ in range(120))
-    batches = [pa.RecordBatch.from_pylist([dict(zip(("token", "node", "n"), r)) for r in rows[k : k + 7]]) for k in range(0, 120, 7)]
-    got = [r for b in ngram_join._frequent(iter(batches)) for r in b.to_pylist()]
-    nodes = {t: {n for u, n, _ in rows if u == t} for t in {r[0] for r in rows}}
-    assert {(r["token"], r["node"]) for r in got} == {(t, n) for t, ns in nodes.items() if len(ns) > 1 for n in ns}
-    if most > 100:
-        assert all(r["df"] == len(nodes[r["token"]]) for r in got)
+def test_ngram_many_rows_of_one_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = docs(spark, [(2, text, None, None), (3, text + " x", None, None), (4, "other " + text, None, None)])
+    many = spark.range(70_000).selectExpr("1L AS doc_id", f"'{text}' AS text", "'x' AS lang", "'x' AS source", "id AS n_chars", "'x' AS spans", "1.0D AS score", "7 AS bin")
+    got = ngram_join.join(df.unionByName(many)).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 70_000), (2, 1, 1), (3, 1, 1), (4, 1, 1)]
+    kept = ngram_join.keep_one(df.unionByName(many), 4, 85).collect()
+    assert len(kept) == 1 and kept[0]["doc_id"] == 1
+
+
+def test_ngram_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, None, None), (1, b, None, None), (2, b + " y", None, None), (1, c, "kept", None), (0, c + " z", None, None), (4, "", None, None), (4, "", None, None), (None, a, None, None), (None, a, None, None)]
+    got = ngram_join.join(docs(spark, rows), 5, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == [(0, 0), (1, 0), (1, 1), (1, 1), (2, 1), (4, 4), (4, 4)]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs(spark, rows), 5, 80).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (0, c + " z"), (4, ""), (4, ""), (None, a), (None, a)], key=str)
+
+
+@pytest.mark.parametrize("block", [4, 30])
+def test_ngram_unrelated_texts_that_chain(spark, monkeypatch, block):
+    """Texts of many sizes around a few passages: one cluster under the first order, of several under all."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(12)
+    passages = [[f"p{k}_{i}" for i in range(30)] for k in range(4)]
+    rows = []
+    for i in range(90):
+        own = passages[i % 4] + passages[(i + 1) % 4][:15] + [f"u{i % 30}_{j}" for j in range(i % 11)]
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    sets = shingle_sets(rows, 4)
+    want = components(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    got = ngram_join.join(docs(spark, [(i, t, None, None) for i, t in rows])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
 def test_embeddings(spark):
