@@ -102,4 +102,27 @@ ORACLE: dict[str, str] = {
         SELECT c.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept
         FROM c LEFT JOIN d ON d.vec_id = c.vec_id
     """,
+    "op9_source_mixing": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   (CAST('0x' || substr(md5('{mixing.SEED}/' || coalesce(CAST(doc_id AS VARCHAR), 'none') || '/' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * sum(size)::DOUBLE AS cap, sum(size * (size / (size + {mixing.TILT_WORDS}::DOUBLE))) AS tilted,
+                   [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM w GROUP BY source
+        ), o AS (SELECT *, row_number() OVER q AS k, sum(cap) OVER q - cap AS held, sum(weight) OVER () - (sum(weight) OVER q - weight) AS open, sum(source_size) OVER () AS total FROM s WINDOW q AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+        ), l AS (SELECT arg_min((total - held) / open, k) AS level FROM o WHERE (total - held) / open * weight < cap),
+        t AS (SELECT source, source_size, least(coalesce(level, 0) * weight, cap) AS target, tilted / nullif(source_size, 0) AS tilt FROM s, l),
+        f AS (SELECT *, least(floor(target / nullif(source_size, 0) + 1e-12), 3) AS whole, greatest(target / nullif(source_size, 0) - whole, 0) AS rest FROM t),
+        p AS (SELECT doc_id, w.source, size, u, source_size, target, coalesce(whole, 0) AS whole, rest, rest * (1 + (1 - rest) * (size / (size + {mixing.TILT_WORDS}::DOUBLE) - tilt)) AS p FROM w JOIN f ON w.source IS NOT DISTINCT FROM f.source),
+        r AS (SELECT *, CASE WHEN rest > 1e-12 AND size > 0 THEN u / (u + (1 - u) * (p / (1 - p))) END AS rank FROM p),
+        a AS (
+            SELECT source, -1::DOUBLE AS low, NULL::DOUBLE AS high, rest * source_size AS gap, NULL::DOUBLE AS most, target * {mixing.TOLERANCE} AS leave FROM f WHERE rest > 1e-12
+            UNION ALL
+            SELECT source, max(rank) FILTER (WHERE upto <= gap), any_value(low), any_value(gap) - max(upto) FILTER (WHERE upto <= gap), any_value(gap), any_value(leave)
+            FROM (SELECT a.source, a.low, a.gap, a.leave, rank, sum(size) OVER (PARTITION BY a.source ORDER BY rank) AS upto
+                  FROM a JOIN r ON r.source IS NOT DISTINCT FROM a.source AND rank > low AND size <= gap WHERE a.high IS NULL OR gap > leave) GROUP BY source
+        )
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies
+        FROM (SELECT r.*, whole + CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.source IS NOT DISTINCT FROM r.source AND high IS NOT NULL AND rank > high AND rank <= low AND size <= most) THEN 1 ELSE 0 END AS copies FROM r)
+    """,
 }

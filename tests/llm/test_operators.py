@@ -447,7 +447,7 @@ def test_language_filters_by_brute_force(spark, monkeypatch):
             assert total == len(grams_of(t)) and found[at] == sum(all(x in slots for _, x in gram_slots(g)) for g in grams_of(t))
 
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(i, " ".join("w" for _ in range(rng.randint(1, 60))), None, rng.choice(["a", "b", "c", "ä", "Z", None])) for i in range(900)]
     rows += [(2000, None, None, "empty"), (2001, "", None, "empty"), (2002, "x " * 5000, None, "b"), (3, rows[3][1], None, rows[3][3])]
@@ -475,9 +475,29 @@ def test_mixing(spark):
     assert all(r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in got)
     taken = mixing.take_mix(df)
     assert taken.columns == df.columns and taken.count() == sum(r["copies"] for r in got)
+    monkeypatch.setattr(mixing, "BINS", 4)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 3)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.pareto_mix(df).collect()))  # the way to the cut changes nothing
     assert mixing.pareto_mix(docs(spark, [])).collect() == []
 
 
+def test_mixing_takes_with_the_probabilities_it_computes(spark):
+    """Sources with the same sizes are draws of the same design; their shares are 15/8, 6/8 and 3/8."""
+    sizes = [3, 10, 25, 40, 60, 100, 150, 220, 300, 400, 30, 80, 90, 170, 260] * 6
+    rows = [(100 * s + k, " ".join(["w"] * n), None, f"s{s:03d}") for s in range(600) for k, n in enumerate(sizes)]
+    got = mixing.pareto_mix(docs(spark, rows)).collect()
+    t = np.array([n / (n + mixing.TILT_WORDS) for n in sizes])
+    t -= (t * sizes).sum() / sum(sizes)
+    for first, rest in ((0, 7 / 8), (1, 6 / 8), (2, 3 / 8)):
+        want = rest * (1 + (1 - rest) * t)
+        assert math.isclose((want * sizes).sum(), rest * sum(sizes)) and want.min() > 0 and want.max() < 1
+        taken = np.zeros(len(sizes))
+        for r in got:
+            if r["doc_id"] // 100 % 3 == first:
+                taken[r["doc_id"] % 100] += r["copies"] - (first == 0)
+        assert abs(taken / 200 - want).max() < 0.15 and abs(taken / 200 - want).mean() < 0.045  # the last gap prefers the shortest a little
+
+
 def test_quality_measures(spark):
     rng = random.Random(6)
     rows = [(i, t, None, None) for i, t in enumerate(texts())]
