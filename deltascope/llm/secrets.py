@@ -10,11 +10,14 @@ an encoding (hex, base32, base64) and three tests against uniform random symbols
 
 A run passes the battery when the smallest of the three p-values, times three, is at
 least BATTERY. Passing says little about a short run, so a discovery must also reject
-the opposite hypothesis, structured text whose symbols repeat as in ordinary language:
-its p-value is the lower tail of the chi-squared statistic under that text's expected
-excess, which shrinks with length. These p-values are held to a false-discovery rate of
-FDR by Benjamini-Hochberg within each encoding and length class (powers of two), over
-all candidates of the corpus; p-values are binned upwards, which is conservative.
+the opposite hypothesis, structured text, in which symbols repeat as in ordinary language and
+letters and digits stand in groups. Two p-values speak against it: the lower tail of the
+chi-squared statistic under that text's expected excess, and (hex, base32) the upper tail of
+the number of runs of letters and of digits under its expected rate of changes. Twice the smaller
+one is the run's p-value, whatever the two have in common; both get smaller with length. These
+p-values are held to a false-discovery rate of FDR by Benjamini-Hochberg within each encoding and
+length class (powers of two), over all candidates of the corpus; p-values are binned
+upwards, which is conservative.
 
 Positions come from splitting a text at a pattern: the lengths of the parts between and
 of the matches add up to offsets in code points. They are summed in blocks, so a text
@@ -43,11 +46,15 @@ KINDS = ("assign", "access", "hex", "random")
 BATTERY, FDR = 0.01, 0.05
 BLOCK = 512
 BINS_PER_UNIT, MOST_BINS = 4.0, 400
-#: Encodings: alphabet size, the excess of sum(p^2) * size over 1 in structured text, pattern.
+#: Encodings: alphabet size, structured text's excess of size * sum(p^2) over 1 and rate of changes between letters and digits, pattern.
+#: sum(p^2), the chance that two symbols are equal, is 0.0655 for letters of English (other European languages
+#: have more) and 0.1 for decimal digits, which is what structured runs of the hex alphabet are made of: 64 * 0.0655
+#: - 1, 32 * 0.0655 - 1, 16 * 0.1 - 1. Rates: a change for every 7 symbols in hex, as dates and counters behind
+#: words make them, for every 10 in base32 (capital words with a number). No rate for base64, where camel case changes as often as keys do.
 ENCODINGS = (
-    ("hex", 16, 0.6, r"^(?:[0-9a-f]+|[0-9A-F]+)$"),
-    ("base32", 32, 1.1, r"^[A-Z2-7]+$"),
-    ("base64", 64, 3.2, None),
+    ("hex", 16, 0.6, 1 / 7, r"^(?:[0-9a-f]+|[0-9A-F]+)$"),
+    ("base32", 32, 1.1, 1 / 10, r"^[A-Z2-7]+$"),
+    ("base64", 64, 3.2, None, None),
 )
 #: The alphabets' symbols in order; base64 and its URL form share places 62 and 63.
 SYMBOLS = {
@@ -63,23 +70,35 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_sum(steps: Column) -> Column:
-    """Inclusive running sums of an array of longs, in blocks."""
-    none = F.array().cast("array<bigint>")
+def running(steps: Column, op, zero: int) -> Column:
+    """Inclusive running op of an array of longs, in blocks, so that the time is in proportion to its length."""
+    none, first = F.array().cast("array<bigint>"), F.lit(zero).cast("bigint")
 
     def run(block: Column, start: Column) -> Column:
-        zero = F.struct(start.alias("at"), none.alias("out"))
-        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out"))
-        return F.aggregate(block, zero, step, lambda s: s["out"])
+        empty = F.struct(start.alias("at"), none.alias("out"))
+        step = lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(op(s["at"], x))).alias("out"))
+        return F.aggregate(block, empty, step, lambda s: s["out"])
 
     def blocked(a: Column) -> Column:
         places = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int"))
         blocks = F.transform(places, lambda i: F.slice(a, i * BLOCK + 1, F.lit(BLOCK)))
-        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda s, x: s + x))
-        starts = let(totals, lambda t: F.zip_with(run(t, F.lit(0).cast("bigint")), t, lambda s, x: s - x))
-        return F.flatten(F.zip_with(blocks, starts, run))
 
-    return F.when(F.size(steps) > 0, blocked(steps)).otherwise(none)
+        def joined(b: Column) -> Column:
+            totals = F.transform(b, lambda x: F.aggregate(x, first, op))
+            return let(run(totals, first), lambda t: F.flatten(F.zip_with(b, F.concat(F.array(first), F.slice(t, F.lit(1), F.size(t) - 1)), run)))
+
+        return let(blocks, joined)
+
+    return let(steps, lambda a: F.when(F.size(a) > 0, blocked(a)).otherwise(none))
+
+
+def running_sum(steps: Column) -> Column:
+    return running(steps, lambda a, b: a + b, 0)
+
+
+def running_max(steps: Column) -> Column:
+    """Of numbers from 0 on."""
+    return running(steps, lambda a, b: F.greatest(a, b), 0)
 
 
 def _offsets(gaps: Column, hits: Column) -> Column:
@@ -117,7 +136,7 @@ def upper_tail(z: Column) -> Column:
     return let(z, of)
 
 
-def _tests(token: Column, enc: str, size: int, excess: float) -> Column:
+def _tests(token: Column, enc: str, size: int, excess: float, changes: float | None) -> Column:
     """struct(battery: three times the smallest p-value, structured: the p-value against structured text)."""
     alphabet, also = SYMBOLS[enc]
     plain = F.rtrim(token, F.lit("=")) if enc != "hex" else F.lower(token)
@@ -154,7 +173,12 @@ def _tests(token: Column, enc: str, size: int, excess: float) -> Column:
             values = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
             least = F.least(upper_tail(scaled), let(half, runs_p), let(values, serial_p))
             mean, sd = k + (n - 1.0) * excess, F.sqrt(2 * k + 4 * (n - 1.0) * excess)
-            return F.struct((least * 3.0).alias("battery"), upper_tail((mean - x) / sd).alias("structured"))
+            structured = upper_tail((mean - x) / sd)
+            if changes is not None:
+                found = F.regexp_count(t, F.lit("[0-9]+|[A-Za-z]+")) - 1
+                more = (found - 0.5 - (n - 1.0) * changes) / F.sqrt((n - 1.0) * changes * (1 - changes))
+                structured = F.least(F.lit(1.0), 2.0 * F.least(structured, upper_tail(more)))
+            return F.struct((least * 3.0).alias("battery"), structured.alias("structured"))
 
         return F.when(n >= 2, let(chi, battery)).otherwise(F.struct(F.lit(0.0).alias("battery"), F.lit(1.0).alias("structured")))
 
@@ -164,8 +188,8 @@ def _tests(token: Column, enc: str, size: int, excess: float) -> Column:
 def tested(token: Column) -> Column:
     """struct(class: encoding and length class, bin of the p-value, passed) of a candidate."""
     tests, enc = None, None
-    for name, size, excess, pattern in reversed(ENCODINGS):
-        got, label = _tests(token, name, size, excess), F.lit(name)
+    for name, size, excess, changes, pattern in reversed(ENCODINGS):
+        got, label = _tests(token, name, size, excess, changes), F.lit(name)
         tests = got if tests is None else F.when(token.rlike(pattern), got).otherwise(tests)
         enc = label if enc is None else F.when(token.rlike(pattern), label).otherwise(enc)
     length_class = F.floor(F.log2(F.length(token))).cast("string")
@@ -187,6 +211,22 @@ def discoveries(scanned: DataFrame) -> dict[str, int]:
     return {r[0]: r[1] for r in found.collect()}  # at most 3 encodings times the length classes
 
 
+def _free(base: Column, others: Column) -> Column:
+    """Those of others that no base span overlaps, by one sweep over both in order of their starts, and one back."""
+    far = 1 << 62
+    marks = F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("other"), b["end"].alias("end"), F.lit("").alias("token"))),
+        F.transform(others, lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("other"), (c["start"] + F.length(c["token"])).alias("end"), c["token"].alias("token"))),
+    )
+
+    def swept(m: Column) -> Column:
+        ended = running_max(F.transform(m, lambda x: F.when(x["other"] == 0, x["end"]).otherwise(0).cast("bigint")))
+        begin = F.reverse(running_max(F.reverse(F.transform(m, lambda x: F.when(x["other"] == 0, F.lit(far) - x["start"]).otherwise(0).cast("bigint")))))
+        return let(F.struct(ended.alias("ended"), begin.alias("begin")), lambda e: F.filter(m, lambda x, i: (x["other"] == 1) & (e["ended"][i] <= x["start"]) & (F.lit(far) - e["begin"][i] >= x["end"])))
+
+    return F.transform(let(F.array_sort(marks), swept), lambda x: F.struct(x["start"].alias("start"), x["token"].alias("token")))
+
+
 def find_secrets(docs: DataFrame, carry: list[str]) -> DataFrame:
     """carried (struct of the carry columns), base and spans, arrays of struct(start, kind, end) by start, then kind.
 
@@ -204,8 +244,7 @@ def find_secrets(docs: DataFrame, carry: list[str]) -> DataFrame:
         t = tested(c["token"])
         return let(t, lambda x: F.struct(c["start"].alias("start"), (c["start"] + F.length(c["token"])).alias("end"), x["class"].alias("class"), x["bin"].alias("bin"), x["passed"].alias("passed")))
 
-    free = F.filter("others", lambda c: ~F.exists("base", lambda b: (b["start"] < c["start"] + F.length(c["token"])) & (c["start"] < b["end"])))
-    df = df.withColumn("free", free).withColumn("candidates", F.transform("free", candidate)).drop("others", "free")
+    df = df.withColumn("free", F.when((F.size("base") > 0) & (F.size("others") > 0), _free(F.col("base"), F.col("others"))).otherwise(F.col("others"))).withColumn("candidates", F.transform("free", candidate)).drop("others", "free")
     scanned = stored(df, "secrets")
     from_bin = discoveries(scanned)
     if not from_bin:
@@ -234,14 +273,6 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     size = 1024
 
     def of(blocks: Column) -> Column:
-        none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-        def merge(s: Column, x: Column) -> Column:
-            last = F.element_at(s, -1)
-            joined = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-            fresh = F.concat(s, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-            return F.when((F.size(s) > 0) & (F.try_element_at(s, F.lit(-1))["end"] > x["start"]), joined).otherwise(fresh).cast("array<struct<start:bigint,end:bigint>>")
-
         def piece(a: Column, b: Column) -> Column:
             def block(i: Column) -> Column:
                 lo = F.greatest(a - i * size, F.lit(0))
@@ -250,11 +281,14 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
             return F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / size), F.floor((b - 1) / size)), block), "")).otherwise("")
 
-        def kept(m: Column) -> Column:
-            ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(m, lambda x: x["end"]))
-            starts = F.concat(F.transform(m, lambda x: x["start"]), F.array(F.length(text).cast("bigint")))
+        def kept(x: Column) -> Column:
+            """x: the spans and the running maximum of their ends; a span begins a run where all before have ended."""
+            firsts = F.filter(x["spans"], lambda p, i: (i == 0) | (p["start"] >= x["ended"][F.greatest(i - 1, F.lit(0))]))
+            lasts = F.filter(x["ended"], lambda e, i: (i == F.size(x["spans"]) - 1) | (F.get(x["spans"], i + 1)["start"] >= e))
+            ends = F.concat(F.array(F.lit(0).cast("bigint")), lasts)
+            starts = F.concat(F.transform(firsts, lambda p: p["start"]), F.array(F.length(text).cast("bigint")))
             return F.array_join(F.zip_with(ends, starts, piece), mark)
 
-        return let(F.aggregate(spans, none, merge), kept)
+        return let(F.struct(spans.alias("spans"), running_max(F.transform(spans, lambda p: p["end"])).alias("ended")), kept)
 
     return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), of)).otherwise(text)

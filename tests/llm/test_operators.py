@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -63,6 +64,98 @@ def test_secrets_battery_finds_random_keys_and_not_words(spark):
     assert len(hit & set(range(60))) >= 50 and len(hit - set(range(60))) <= 3
 
 
+def brute_tests(token):
+    """Encoding, three times the least p-value of the battery, and the p-value against structured text."""
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    enc, size, excess, changes, _ = next(e for e in secrets.ENCODINGS if e[4] is None or re.search(e[4], token))
+    alphabet, also = secrets.SYMBOLS[enc]
+    t = token.lower() if enc == "hex" else token.rstrip("=")
+    t = t.translate(str.maketrans(*also)) if also else t
+    n, k = len(t), size - 1
+    if n < 2:
+        return enc, 0.0, 1.0
+    x = sum(t.count(c) ** 2 for c in set(t)) * size / n - n
+    ps = [tail(((max(x, 0) / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))]
+    at = [alphabet.find(c) + 1 for c in t]
+    bits = "".join("0" if 0 < a <= size // 2 else "1" if a else c for a, c in zip(at, t))
+    ones = n - bits.count("0")
+    mu = 2 * ones * (n - ones) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    ps.append(2 * tail(abs(len(re.findall("0+|1+", bits)) - mu) / math.sqrt(var)) if var > 0 else 0.0)
+    mean = sum(at) / n
+    spread = sum((a - mean) ** 2 for a in at)
+    lag = sum((a - mean) * (b - mean) for a, b in zip(at, at[1:]))
+    ps.append(2 * tail(abs(lag / spread + 1 / n) * math.sqrt(n)) if spread > 0 else 0.0)
+    structured = tail((k + (n - 1) * excess - x) / math.sqrt(2 * k + 4 * (n - 1) * excess))
+    if changes is not None:
+        more = len(re.findall("[0-9]+|[A-Za-z]+", t)) - 1.5 - (n - 1) * changes
+        structured = min(1, 2 * min(structured, tail(more / math.sqrt((n - 1) * changes * (1 - changes)))))
+    return enc, 3 * min(ps), structured
+
+
+def planted(rng):
+    out = []
+    for enc, alphabet in (("hex", "0123456789ABCDEF"), ("base32", secrets.SYMBOLS["base32"][0]), ("base64", secrets.SYMBOLS["base64"][0])):
+        out += [(enc, n, "".join(rng.choice(alphabet) for _ in range(n))) for n in (20, 24, 32, 40, 64) for _ in range(100)]
+    return out
+
+
+def structured_runs(rng):
+    parts = ["tion", "er", "the", "ing", "on", "re", "con", "able", "ness", "ment", "in", "ly", "pre", "sub"]
+    word = lambda lo, hi: "".join(rng.choices(parts, k=rng.randint(lo, hi)))
+    out = [word(7, 14) for _ in range(900)] + ["-".join(word(1, 3) for _ in range(6)) for _ in range(300)] + ["".join(word(1, 3).capitalize() for _ in range(6)) for _ in range(300)]
+    out += [word(7, 12).upper() for _ in range(200)] + [word(6, 9).upper() + str(rng.randint(1, 9999)) for _ in range(100)]
+    out += ["".join(rng.choices("0123456789", k=rng.randint(20, 40))) for _ in range(200)] + [f"2024{rng.randint(1, 12):02d}{rng.randint(1, 28):02d}00000000{rng.randint(0, 9999):04d}ABCD" for _ in range(100)]
+    return [t for t in out if len(t) >= 20]
+
+
+def test_secrets_battery_by_brute_force(spark):
+    rng = random.Random(17)
+    tokens = [t for _, _, t in planted(rng)[::3]] + structured_runs(rng)[::5] + ["A" * 40, "ab" * 16, "=" * 24, "A=" * 12, "-_" * 11, "0123456789" * 3, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    tested = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.tested(F.col("t")).alias("x")).collect()
+    by_class = {}
+    for r in tested:
+        enc, battery, p = brute_tests(r["t"])
+        name = f"{enc}/{int(math.log2(len(r['t'])))}"
+        at = -math.log(max(p, 1e-300)) * secrets.BINS_PER_UNIT
+        assert r["x"]["class"] == name and abs(r["x"]["bin"] + 0.5 - min(at, secrets.MOST_BINS - 0.5)) <= 0.51 + at / 500  # the tail is an approximation
+        assert r["x"]["passed"] == (battery >= secrets.BATTERY) or abs(battery - secrets.BATTERY) < 1e-5
+        by_class.setdefault(name, []).append((r["x"]["bin"], r["x"]["passed"], r["t"]))
+    want = set()
+    for rows in by_class.values():
+        bins = sorted({b for b, _, _ in rows})
+        ok = [b for b in bins if math.exp(-b / secrets.BINS_PER_UNIT) * len(rows) <= secrets.FDR * sum(x >= b for x, _, _ in rows)]
+        want |= {t for b, passed, t in rows if ok and passed and b >= ok[0]}
+    found = secrets.find_secrets(docs(spark, [(i, t, None, None) for i, t in enumerate(tokens)]), ["text"]).collect()
+    assert {r["carried"]["text"] for r in found if any(s["kind"] == 3 for s in r["spans"])} == {t for t in want if not base_spans(t)}
+
+
+def test_secrets_recall_by_encoding_and_length(spark):
+    rng = random.Random(23)
+    keys, other = planted(rng), structured_runs(rng)
+    rows = [(i, f"x {t} y", None, None) for i, t in enumerate([t for _, _, t in keys] + other)]
+    hit = {r["carried"]["doc_id"] for r in secrets.find_secrets(docs(spark, rows), ["doc_id"]).collect() if any(s["kind"] == 3 for s in r["spans"])}
+    recall = {}
+    for i, (enc, n, _) in enumerate(keys):
+        recall[enc, n] = recall.get((enc, n), 0) + (i in hit) / 100
+    print(recall, len([i for i in hit if i >= len(keys)]), len(other))
+    assert all(recall[enc, n] >= 0.9 for enc in ("hex", "base32", "base64") for n in (32, 40, 64))
+    assert len([i for i in hit if i >= len(keys)]) <= 0.05 * len(hit)
+
+
+def test_secrets_time_is_in_proportion_to_the_text(spark):
+    took = []
+    for n in (2_000, 20_000):
+        text = " ".join(f"token=a{i:06d} {'Qz7' * 7}{i:05d}x" for i in range(n))
+        df = docs(spark, [(1, text, None, None)]).repartition(1)
+        start = time.time()
+        found = secrets.find_secrets(df, ["text"])
+        clean = found.select(F.size("base").alias("n"), F.length(secrets.redacted(F.col("carried.text"), F.col("spans"))).alias("left")).collect()[0]
+        took.append(time.time() - start)
+        assert clean["n"] == n
+    assert took[1] < 12 * max(took[0], 1.0)
+
+
 def test_normal_tail(spark):
     got = spark.createDataFrame([(z / 4,) for z in range(-16, 17)], "z double").select("z", secrets.upper_tail(F.col("z")).alias("p")).collect()
     assert all(abs(r["p"] - math.erfc(r["z"] / math.sqrt(2)) / 2) < 1e-6 for r in got)
