@@ -461,8 +461,60 @@ def test_reputation_shrinks_through_the_levels(spark):
     rows = [("a.x.com", 1)] * 40 + [("b.x.com", None), ("c.y.com", 0)] + [("d.y.com", 0)] * 40 + [("e.co.uk", None)]
     got = {r["host"]: r["alpha"] / (r["alpha"] + r["beta"]) for r in url_filters.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
     assert got["a.x.com"] > got["b.x.com"] > got["e.co.uk"] > got["c.y.com"] > got["d.y.com"] - 0.05
-    alike = spark.createDataFrame([("a.b.co.uk",), ("x.com",), ("com",), ("",)], "h string").select("h", url_filters.domain_of(F.col("h")).alias("d"), url_filters.suffix_of(F.col("h")).alias("s"))
-    assert {r["h"]: (r["d"], r["s"]) for r in alike.collect()} == {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.com": ("x.com", "com"), "com": ("com", "com"), "": ("", "")}
+    hosts = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "x.com": ("x.com", "com"), "com": ("com", "com"), "": ("", ""), "bad.example.com:8080": ("example.com", "com"), "me:pw@www.example.com.": ("example.com", "com"),
+        "127.0.0.1": ("127.0.0.1", "ip"), "127.0.0.1:80": ("127.0.0.1", "ip"), "[::1]:8080": ("[::1]", "ip"), "co.uk": ("co.uk", "co.uk"), "a.b.kawasaki.jp": ("a.b.kawasaki.jp", "b.kawasaki.jp"),
+        "x.city.kawasaki.jp": ("city.kawasaki.jp", "kawasaki.jp"), "www.ck": ("www.ck", "ck"), "a.www.ck": ("www.ck", "ck"), "c.b.ck": ("c.b.ck", "b.ck"), "1.2.3": ("2.3", "3"), "@": ("", ""), ".": (".", "."),
+    }
+    domain, suffix = url_filters.tree_of(F.col("h"), url_filters.load_suffixes())
+    alike = spark.createDataFrame([(h,) for h in hosts if h != "."], "h string").select("h", domain.alias("d"), suffix.alias("s"))
+    assert {r["h"]: (r["d"], r["s"]) for r in alike.collect()} == {h: x for h, x in hosts.items() if h != "."}
+
+
+def test_reputation_by_brute_force(spark):
+    rng = random.Random(31)
+    rows = []
+    for d in range(30):
+        p = rng.random()
+        for h in range(rng.randint(1, 4)):
+            rows += [(f"h{h}.d{d}.{rng.choice(['com', 'org', 'co.uk'])}", int(rng.random() < p) if rng.random() < 0.8 else None) for _ in range(rng.randint(1, 12))]
+    tree = {h: (h, ".".join(h.split(".")[1:]), "co.uk" if h.endswith("co.uk") else h.rpartition(".")[2]) for h, _ in rows}
+    seen = [{}, {}, {}]
+    for h, bad in rows:
+        for level, key in enumerate(tree[h]):
+            n = seen[level].setdefault(key, [0, 0])
+            n[0] += bad is not None
+            n[1] += bad or 0
+    n, bad = (sum(x[i] for x in seen[2].values()) for i in (0, 1))
+    above = {None: ((bad + 0.5) / (n + 1), n + 1)}
+    up = [{t[0]: t[1] for t in tree.values()}, {t[1]: t[2] for t in tree.values()}, {t[2]: None for t in tree.values()}]
+    for level in (2, 1, 0):
+        groups = [(k, *seen[level][k], above[up[level][k]][0]) for k in seen[level]]
+        many = [(b / m, m, q) for _, m, b, q in groups if m >= 2]
+        spread, noise, own = (sum(x) / len(many) for x in zip(*[((r - q) ** 2, q * (1 - q) / m, q * (1 - q)) for r, m, q in many]))
+        k = min(max(own / max(spread - noise, 1e-9) - 1, url_filters.STRENGTH[0]), url_filters.STRENGTH[1])
+        after = {}
+        for key, m, b, q in groups:
+            sure = min(k, above[up[level][key]][1])
+            after[key] = (sure * q + b, sure * (1 - q) + m - b)
+        above = {key: (x / (x + y), x + y) for key, (x, y) in after.items()}
+    got = {r["host"]: r for r in url_filters.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert set(got) == set(after)
+    for h, (x, y) in after.items():
+        assert math.isclose(got[h]["alpha"], x, rel_tol=1e-9) and math.isclose(got[h]["beta"], y, rel_tol=1e-9)
+        grid = (np.arange(200_000) + 0.5) / 200_000
+        density = np.exp((x - 1) * np.log(grid) + (y - 1) * np.log1p(-grid) - max((x - 1) * math.log(max(x - 1, 1e-9) / max(x + y - 2, 1)) if x > 1 and y > 1 else 0, -500))
+        assert abs(density[grid < got[h]["bound"]].sum() / density.sum() - url_filters.LOW) < 0.02
+
+
+def test_beta_quantile():
+    for b in (0.3, 1.0, 2.5, 40.0, 3000.0):
+        assert np.allclose(url_filters.beta_quantile(0.05, np.array([1.0]), np.array([b])), 1 - 0.95 ** (1 / b), rtol=1e-9)
+        assert np.allclose(url_filters.beta_quantile(0.05, np.array([b]), np.array([1.0])), 0.05 ** (1 / b), rtol=1e-9)
+    for a, b in ((2, 3), (7, 1), (15, 40), (200, 100)):
+        x = 0.37
+        want = sum(math.comb(a + b - 1, j) * x**j * (1 - x) ** (a + b - 1 - j) for j in range(a, a + b))
+        assert math.isclose(float(url_filters.beta_cdf(np.array([x]), np.array([a]), np.array([b]))[0]), want, rel_tol=1e-10)
 
 
 def test_language(spark):
