@@ -9,9 +9,10 @@ Deduplication: of records with equal payloads of at least LEAST_REVISIT bytes, t
 with the smallest page_id is a response, the others are revisits that refer to it and
 keep the HTTP head (with the length) but no payload. Archives are opened through
 pyarrow.fs, by the shared folder's URI; a task that runs twice writes two files, of
-which the manifest, committed by Spark, lists one.
+which the manifest, committed by Spark, lists one. A record's identifier is a UUID made of its file, its place in it and its
+page, so no two records share one, whatever pages repeat; the page's id and the one it refers to are fields of their own.
 
-Edge cases: a null html is an empty payload; null page ids come last and are named none; repeated rows of one
+Edge cases: a null html is an empty payload; null page ids come last and have no Page-ID field; repeated rows of one
 page are all responses if the page is the response; a null url leaves the target out;
 control characters in a url are percent-encoded; no rows give no files and no rows;
 further columns are ignored.
@@ -26,44 +27,79 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltascope.llm.common import join_facts, new_path, stored
+from deltascope.llm.common import join_facts, new_path, small_enough, stored
 
 LEAST_REVISIT = 100
 CHUNK = 1 << 16
 #: Bytes of payload after which a task begins a new file.
 FILE_BYTES = 1 << 30
+MOST_FILTER_BITS = 30
 _DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "file string, records long, payload_bytes long"
 CHUNKS = "record_id string, chunk_no long, page_id long, record_type string, refers_to long, chunk_offset long, data binary, chunk_sha256 string, running_sha256 string, is_last boolean, payload_bytes long, payload_digest string"
 
 
 def decide(pages: DataFrame) -> DataFrame:
-    """The pages with url, html, record_type, refers_to and digest; narrow facts decide, html is shuffled by no key but its own row."""
+    """The pages with url, html, record_type, refers_to and digest.
+
+    The digests that occur more than once decide. They are broadcast while they are few; beyond that only pages that a
+    Bloom filter takes for copies are shuffled with their html.
+    """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
     long = rows.filter(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     several = stored(long.filter("n > 1 and first is not null"), "warc-copies")
-    met = join_facts(rows, several, ["digest"], "n", ["page_id"])
+    if small_enough(several):
+        met = join_facts(rows, several, ["digest"], "n", ["page_id"])
+    else:
+        tested = _maybe_copies(rows, several)
+        alone = tested.filter("not maybe").drop("maybe").withColumn("first", F.lit(None).cast("long"))
+        met = join_facts(tested.filter("maybe").drop("maybe"), several, ["digest"], "n", ["page_id"]).unionByName(alone)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("bytes") >= LEAST_REVISIT)
     return met.select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def _maybe_copies(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """Add maybe, false where a Bloom filter knows that a digest isn't among several, so that the page needs no shuffle.
+
+    The filter has 16 bits for each digest, at most 2^MOST_FILTER_BITS; beyond that it lets more through, and stays right.
+    """
+    bits = min(max(6, (16 * several.count()).bit_length()), MOST_FILTER_BITS)
+
+    def place(k: int):
+        return F.conv(F.substring("digest", 1 + 8 * k, 8), 16, 10).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
+
+    places = several.select(F.explode(F.array(*[place(k) for k in range(4)])).alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("mask")).toPandas()
+    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    table[words["word"].to_numpy(dtype=np.int64)] = words["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.uint64((1 << bits) - 1)
+        for batch in batches:
+            raw = np.array([[int(d[8 * k : 8 * k + 8], 16) for k in range(4)] for d in batch.column("digest").to_pylist()], dtype=np.uint64).reshape(-1, 4) & low
+            maybe = ((sent.value[raw >> np.uint64(6)] >> (raw & np.uint64(63))) & np.uint64(1)).all(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], names=[*batch.schema.names, "maybe"])
+
+    return rows.mapInArrow(run, "page_id long, url string, html string, digest string, bytes long, maybe boolean")
 
 
-def record_head(page_id: int | None, url: str | None, kind: str, refers_to: int | None, digest: str, length: int) -> bytes:
+def record_head(record_id: str, page_id: int | None, url: str | None, kind: str, refers_to: int | None, digest: str, length: int) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {_DATE}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"Content-Length: {len(http) + (length if kind == 'response' else 0)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {_DATE}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"Content-Length: {len(http) + (length if kind == 'response' else 0)}"]
+    if page_id is not None:
+        lines.append(f"Page-ID: {page_id}")
     if url is not None:
         lines.insert(4, "WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url))
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to)}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
@@ -93,8 +129,9 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
                     file, records, size = f"{folder}/{name}", 0, 0
                     out = fs.open_output_stream(f"{at}/{name}", compression=None)
                 payload = memoryview(html[k].as_buffer())
+                record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}#{records}/{row["page_id"]}')}>"
                 gz = zlib.compressobj(1, zlib.DEFLATED, 31)
-                out.write(gz.compress(record_head(row["page_id"], row["url"], row["record_type"], row["refers_to"], row["digest"], len(payload))))
+                out.write(gz.compress(record_head(record_id, row["page_id"], row["url"], row["record_type"], row["refers_to"], row["digest"], len(payload))))
                 if row["record_type"] == "response":
                     for b in range(0, len(payload), CHUNK):
                         out.write(gz.compress(payload[b : b + CHUNK]))
@@ -109,11 +146,6 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     return stored(pages.select("page_id", "url", "html", "digest", "record_type", "refers_to").mapInArrow(run, MANIFEST), "warc-manifest")
 
 
-def _page(name: str) -> int | None:
-    inner = name[len("<urn:page:") : -1]
-    return None if inner == "none" else int(inner)
-
-
 def records(stream) -> Iterator[tuple[dict[str, str], int, io.BufferedReader]]:
     """(WARC fields, bytes of the HTTP head's Content-Length, stream at the payload) of each record; the payload's bytes must be read before the next."""
     while line := stream.readline():
@@ -159,7 +191,7 @@ def read_chunks(manifest: DataFrame, data: bool = True, chunk: int = CHUNK) -> D
             with fs.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=raw) as plain, io.BufferedReader(plain, 1 << 17) as stream:
                 for fields, length, body in records(stream):
                     name, kind = fields["warc-record-id"], fields["warc-type"]
-                    refers = _page(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
+                    page, refers = (int(fields[k]) if k in fields else None for k in ("page-id", "refers-to-page-id"))
                     digest = fields["warc-payload-digest"].partition(":")[2]
                     left = int(fields["payload-here"])
                     total, running, number, offset = left, hashlib.sha256(), 0, 0
@@ -173,7 +205,7 @@ def read_chunks(manifest: DataFrame, data: bool = True, chunk: int = CHUNK) -> D
                         sofar = running.hexdigest()
                         if last and kind == "response" and (sofar != digest or total != length):
                             raise ValueError(f"payload of {name} in {file} is not what its digest says")
-                        rows.append((name, number, _page(name), kind, refers, offset, got if data else None, hashlib.sha256(got).hexdigest() if data else None, sofar if kind == "response" else None, last, length, digest))
+                        rows.append((name, number, page, kind, refers, offset, got if data else None, hashlib.sha256(got).hexdigest() if data else None, sofar if kind == "response" else None, last, length, digest))
                         number, offset, held = number + 1, offset + len(got), held + (len(got) if data else 100)
                         if held > 1 << 22:
                             yield flush()
