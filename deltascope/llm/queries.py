@@ -125,4 +125,22 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies
         FROM (SELECT r.*, whole + CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.source IS NOT DISTINCT FROM r.source AND high IS NOT NULL AND rank > high AND rank <= low AND size <= most) THEN 1 ELSE 0 END AS copies FROM r)
     """,
+    "op10_quality_rules": r"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(l) - 1)) AS i, unnest(list_transform(range(1, len(l) - 1), lambda k: l[k:k + 2])) AS g FROM w WHERE len(l) > 3),
+        h AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        r AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM h) GROUP BY doc_id),
+        n AS (SELECT doc_id, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM w),
+        d AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dups FROM n GROUP BY doc_id),
+        m AS (
+            SELECT w.doc_id, len(l) AS n_words, CAST(coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+                   coalesce(dups, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, len(t) - len(replace(t, '!', '')) AS n_bangs,
+                   len(list_filter(string_split(t, ''), lambda c: lower(c) <> c)) AS n_upper, len(list_filter(string_split(t, ''), lambda c: upper(c) <> c)) AS n_lower
+            FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN d ON d.doc_id = w.doc_id
+        ), f AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT) + 4 * CAST(n_words > 0 AND 5 * n_symbols >= n_words AS BIGINT)
+                   + 8 * CAST(n_lines > 0 AND 10 * n_dup_lines > 6 * n_lines AS BIGINT) + 16 * CAST(n_words > 0 AND NOT word_chars BETWEEN 2 * n_words AND 15 * n_words AS BIGINT)
+                   + 32 * CAST(10 * n_upper > 7 * (n_upper + n_lower) AS BIGINT) + 64 * CAST(n_words > 0 AND 3 * n_bangs >= n_words AS BIGINT) AS fail_bits FROM m)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+               (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
+    """,
 }

@@ -176,7 +176,7 @@ def test_redaction(spark):
         assert r["clean"] == (want + r["text"][last:] if merged else r["text"])
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     big = "<p>é</p>" * 30_000
     pages = [(3, "http://a/b", "x" * 100), (1, "http://a\r\n/c", "x" * 100), (2, None, "x" * 100), (4, "u", "x" * 99), (5, "u", "x" * 99), (6, "u", None), (7, "u", ""), (8, "u", big), (8, "u", big), (None, "u", "z" * 200), (9, "u", "a\r\n\r\nWARC/1.1\r\n" * 20)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, record_type string")
@@ -196,7 +196,14 @@ def test_warc_round_trip(spark):
     for c in (c for c in chunks if c["page_id"] == 9):
         running.update(bytes(c["data"]))
         assert c["running_sha256"] == running.hexdigest()
+    ids = [c["record_id"] for c in chunks if c["chunk_no"] == 0]
+    assert len(ids) == len(set(ids)) == 3
     assert warc.round_trip(df.filter("page_id = -1")).collect() == []
+    before = sorted(map(str, warc.decide(df).collect()))
+    monkeypatch.setattr(warc, "small_enough", lambda several: False)
+    assert before == sorted(map(str, warc.decide(df).collect()))
+    few = warc._maybe_copies(spark.range(3000).selectExpr("id AS page_id", "'' AS url", "'' AS html", "sha2(string(id), 256) AS digest", "id AS bytes"), spark.range(500).selectExpr("sha2(string(id), 256) AS digest"))
+    assert few.filter("page_id < 500 and not maybe").count() == 0 and few.filter("page_id >= 500 and maybe").count() < 50
 
 
 def test_token_attribution(spark):
@@ -661,6 +668,31 @@ def test_quality_measures(spark):
     assert quality.ledger(docs(spark, [])).collect() == []
 
 
+#: A text that fails one rule (and what its name says) and no other of the list.
+FAILING = {
+    "short": "one two three four five",
+    "repeats": " ".join(["red", "blue", "green"] * 20),
+    "symbols": " ".join(f"w{i} #" if i % 3 == 0 else f"w{i}" for i in range(60)),
+    "dup_lines": "\n".join(["same line"] * 14 + [f"w{i} y{i}" for i in range(4)] + [" ".join(f"z{i}" for i in range(60))]),
+    "word_length": " ".join(f"{'x' * 20}{i}" for i in range(60)),
+    "shouting": " ".join(f"LOUD{i}" for i in range(60)),
+    "bangs": " ".join(f"w{i}!" for i in range(60)),
+}
+
+
+def test_quality_rules_one_by_one(spark):
+    clean = " ".join(f"word{i} é" for i in range(40))
+    rows = [(k, FAILING[r], None, None) for k, r in enumerate(quality.RULES)] + [(100, clean, None, None)]
+    book = quality.ledger(docs(spark, rows))
+    failed = {r["doc_id"]: {x for k, x in enumerate(quality.RULES) if r["fail_bits"] >> k & 1} for r in book.collect()}
+    assert failed == {k: {r} for k, r in enumerate(quality.RULES)} | {100: set()}
+    for policy, rules in quality.POLICIES.items():
+        kept = {r["doc_id"] for r in quality.apply_policy(book, policy).filter("kept").collect()}
+        assert kept == {k for k, x in failed.items() if not x & (set(rules) | {"short", "repeats"})}
+        gone = {r["rule"]: (r["n_failed"], r["n_alone"]) for r in quality.ablations(book, policy).collect()}
+        assert gone == {r: (1, 1) for r in rules}
+
+
 def test_quality_ablations(spark):
     book = spark.createDataFrame([(1, 0), (2, 1), (3, 3), (4, 4), (5, 4), (6, 64)], "doc_id long, fail_bits long")
     got = {r["rule"]: (r["n_failed"], r["n_alone"]) for r in quality.ablations(book, "v1").collect()}
