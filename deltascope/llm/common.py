@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,21 +58,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of stored tables that scratch() is to delete, innermost last.
+_scratch: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    The files stay until forget(), the end of a scratch() around the call, or the folder's owner deletes them.
+    """
     path = new_path(df.sparkSession, name)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files behind a DataFrame made by stored(), once no later plan reads it."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
         if path.startswith(shared_dir(spark)):
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside go at the end: what was computed from them must have been written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

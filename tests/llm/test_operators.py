@@ -744,3 +744,29 @@ def test_pipeline(spark, tmp_path):
     assert "abc123def456" not in str([r["text"] for r in clean.values()]) and all(r["n_chars"] == len(r["text"]) for r in clean.values())
     assert ids("encoding") == ids("mixing") and all(r["round_trip"] for r in seen["encoding"].collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids("encoding"))
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, clean string, hit boolean, carried string, spans long, k1 string, drawn double, rank long, size string, node long, label string, _c string, copies double"
+    extra = ("c", True, "x", 1, "k", 0.5, 7, "s", 3, "l", "_", 2.0)
+    long_text = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, long_text, "en", "a", 5), (2, None, None, None, None), (3, "", "en", "a", 0), (None, "some plain words here", "en", None, 1), (5, "my secret=abcdefgh here", "en", "b", 23), (5, "my secret=abcdefgh here", "en", "b", 23), (5, "another text under this id", "en", "b", 9)]
+    df = spark.createDataFrame([(*r, *extra) for r in rows], names)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, df.filter("doc_id = -1"), "")
+        assert empty.count() == 0
+        out = stage(spark, df, "")
+        assert name == "encoding" or (out.columns == df.columns == empty.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema])
+        got = out.collect()
+        assert name == "encoding" or all(tuple(r)[5:] == extra for r in got)
+        texts = sorted(str(r["text"])[:30] for r in got) if name != "encoding" else []
+        if name == "language":
+            assert len(got) == 5
+        elif name == "near_duplicates":
+            assert len(got) == 6 and texts.count("my secret=abcdefgh here") == 1
+        elif name == "secrets":
+            assert texts.count("my [SECRET] here") == 2 and {r["n_chars"] for r in got if r["doc_id"] == 5} == {16, 9} and {r["n_chars"] for r in got if r["doc_id"] == 1} == {5}
+        elif name == "encoding":
+            assert len(got) == 7 and all(r["round_trip"] for r in got)
