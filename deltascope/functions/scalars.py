@@ -68,7 +68,7 @@ def owner_of(name: Column) -> Column:
     return F.when((F.instr(name, ":") > 0) & (head != ""), head)
 
 
-#: (words any of which the name must contain, label), first match wins.
+# Words any of which a compiled name must contain, and its label; the first match wins. Then classifications and their labels.
 NAME_LADDER = (
     (("entrypoint",), "ERC-4337 EntryPoint"),
     (("uniswap",), "Uniswap"),
@@ -78,13 +78,14 @@ NAME_LADDER = (
     (("universalrouter",), "Uniswap Universal Router"),
     (("safe", "gnosis"), "Safe"),
 )
+CLASSIFICATIONS = {"upgradeable": "Upgradeable Contract", "proxy": "Proxy", "wallet_or_safe": "Wallet / Safe"}
 
 
 def label_from_name(name: Column, classification: Column, fallback: Column) -> Column:
     """A label from words in a compiled name, then from a classification, else fallback."""
     low = F.lower(F.coalesce(name, F.lit("")))
     out = F.coalesce(fallback, F.lit("unknown"))
-    for kind, label in (("upgradeable", "Upgradeable Contract"), ("proxy", "Proxy"), ("wallet_or_safe", "Wallet / Safe")):
+    for kind, label in CLASSIFICATIONS.items():
         out = F.when(classification == kind, label).otherwise(out)
     out = F.when(low.contains("proxy") & (F.coalesce(classification, F.lit("")) != ""), F.concat(F.lit("Proxy ("), classification, F.lit(")"))).otherwise(out)
     for words, label in reversed(NAME_LADDER):

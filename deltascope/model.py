@@ -24,7 +24,8 @@ LABEL = T.StructType(
 
 COVERAGE = "block_number bigint, block_timestamp timestamp, tx_count bigint, tx_count_unchanged bigint, tx_count_gas_only bigint, tx_count_stored bigint, retained_drill_in_count bigint, drill_ins_truncated boolean"
 
-#: Columns of one replayed transaction that the analysis keeps, with their types.
+# Columns of one replayed transaction that the analysis keeps, with their types, grouped by what they tell:
+# the transaction and its outcome, its shape, where it ran out of gas, where it diverged, selectors, state gas, access counts.
 DIVERGENCE = (
     "block_number bigint, tx_hash string, baseline_success boolean, schedule_success boolean, "
     "min_multiplier_to_succeed double, gas_delta bigint, baseline_gas_used bigint, status_changed boolean, "
