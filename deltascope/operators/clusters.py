@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from deltascope.functions import predicates as P
 from deltascope.functions.scalars import family
-from deltascope.operators.mixes import mix, mix_per_key, topk_per_key
+from deltascope.operators import hist
+from deltascope.operators.mixes import mix, topk_per_key
 
 CLUSTERS, EXAMPLES, BREAKDOWN, PROBES = 8, 2, 8, 1000
 KEY = ["role", "kind", "failing_selector", "where_contract", "opcode", "pattern_or_reason", "oog_bottleneck_kind", "call_depth", "revert_decoded"]
 
+#: Columns of the rows of roles() that the analysis of contracts reads.
+ROLED = [
+    *KEY, "block_number", "tx_hash", "gas_delta", "recipient", "oog_contract", "divergence_contract", "entry_selector", "state_gas_category", "cold_account_access_count", "sload_cold_count", "sstore_cold_count",
+    "access_list_address_count", "access_list_storage_key_count", "surcharge_at_oog", "oog_gas_remaining", "reservoir_exhausted", "runtime_state_gas_spillover",
+]
+
 
 def roles(g4: DataFrame) -> DataFrame:
     """Up to three rows per transaction, one for each role that names a contract, with role, kind and the kind's own columns."""
@@ -31,35 +38,43 @@ def roles(g4: DataFrame) -> DataFrame:
     })
 
 
-def _quantiles(column: str | Column, *points: float) -> Column:
-    return F.percentile(column, F.array(*[F.lit(p) for p in points]))
-
-
 def _whole(q: Column) -> Column:
-    """Rounded to a whole number; the first rounding takes away the noise of interpolation."""
-    return F.round(F.round(q, 6)).cast("bigint")
+    """Rounded to a whole number, halves to the even one; the first rounding takes away the noise of interpolation."""
+    return F.rint(F.round(q, 6)).cast("bigint")
 
 
-def drivers() -> Column:
-    """Aggregate: the causes within a group as a struct; a driver whose columns are all null is null (and so left out of JSON)."""
-    access = F.coalesce("access_list_address_count", F.lit(0)) + F.coalesce("access_list_storage_key_count", F.lit(0))
+#: Causes whose median and 90th percentile are published, and their columns.
+PAIRS = {"cold_account": "cold_account_access_count", "sload": "sload_cold_count", "sstore": "sstore_cold_count", "gas_remaining_at_oog": "oog_gas_remaining"}
 
-    def pair(column: str) -> Column:
-        q = _quantiles(column, 0.5, 0.9)
-        return F.when(F.count(column) > 0, F.struct(_whole(q[0]).alias("p50"), _whole(q[1]).alias("p90")))
 
-    both = _quantiles(access, 0.5, 0.9)
+def figures(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """keys, gas figures, drivers and more aggregates of each group.
+
+    drivers is a struct of the causes; a cause whose columns are all null is null (and so left out of JSON).
+    """
+    access = F.coalesce("access_list_address_count", F.lit(0)) + F.coalesce("access_list_storage_key_count", F.lit(0))
+    asked = {"gas": F.col("gas_delta"), "access": access, "surcharge": F.col("surcharge_at_oog")} | {n: F.col(c) for n, c in PAIRS.items()}
+    q = hist.quantiles(rows, keys, asked, (0.5, 0.9))
     n = F.count("*").cast("double")
-    return F.struct(
-        pair("cold_account_access_count").alias("cold_account"),
-        pair("sload_cold_count").alias("sload"),
-        pair("sstore_cold_count").alias("sstore"),
-        F.when(F.count("access_list_address_count") + F.count("access_list_storage_key_count") > 0, F.struct(_whole(both[0]).alias("p50"), _whole(both[1]).alias("p90"))).alias("access_list_entries"),
-        F.when(F.count("surcharge_at_oog") > 0, F.struct(_whole(F.percentile("surcharge_at_oog", 0.5)).alias("p50"), F.sum("surcharge_at_oog").alias("sum"))).alias("surcharge_at_oog"),
-        pair("oog_gas_remaining").alias("gas_remaining_at_oog"),
-        F.when(F.count("reservoir_exhausted") > 0, F.round(F.count_if("reservoir_exhausted") / n, 4)).alias("reservoir_exhausted_share"),
-        F.when(F.count("runtime_state_gas_spillover") > 0, F.round(F.count_if(F.col("runtime_state_gas_spillover") > 0) / n, 4)).alias("spillover_share"),
+    share = lambda column, flag: F.when(F.count(column) > 0, F.round(F.count_if(flag) / n, 4))
+    own = rows.groupBy(*keys).agg(
+        F.avg("gas_delta").alias("gas_avg"), F.min("gas_delta").alias("gas_min"), F.max("gas_delta").alias("gas_max"),
+        (F.count("access_list_address_count") + F.count("access_list_storage_key_count")).alias("_listed"), F.sum("surcharge_at_oog").alias("_surcharge"),
+        share("reservoir_exhausted", F.col("reservoir_exhausted")).alias("_exhausted"), share("runtime_state_gas_spillover", F.col("runtime_state_gas_spillover") > 0).alias("_spilled"), *more,
+    )
+    both = own.join(q, keys, "left")
+    at = lambda name, i: _whole(F.col(f"q_{name}")[i])
+    pair = lambda name: F.struct(at(name, 0).alias("p50"), at(name, 1).alias("p90"))
+    drivers = F.struct(
+        *[F.when(F.col(f"q_{n}").isNotNull(), pair(n)).alias(n) for n in ("cold_account", "sload", "sstore")],
+        F.when(F.col("_listed") > 0, pair("access")).alias("access_list_entries"),
+        F.when(F.col("q_surcharge").isNotNull(), F.struct(at("surcharge", 0).alias("p50"), F.col("_surcharge").alias("sum"))).alias("surcharge_at_oog"),
+        F.when(F.col("q_gas_remaining_at_oog").isNotNull(), pair("gas_remaining_at_oog")).alias("gas_remaining_at_oog"),
+        F.col("_exhausted").alias("reservoir_exhausted_share"),
+        F.col("_spilled").alias("spillover_share"),
     )
+    named = [c for c in own.columns if not c.startswith("_")]
+    return both.select(*named, at("gas", 0).alias("gas_p50"), at("gas", 1).alias("gas_p90"), drivers.alias("drivers"))
 
 
 def failure_clusters(roled: DataFrame, keep: int = CLUSTERS) -> DataFrame:
@@ -80,11 +95,7 @@ def failure_clusters(roled: DataFrame, keep: int = CLUSTERS) -> DataFrame:
     name = lambda: F.md5(F.to_json(F.struct(*[F.col(k) for k in KEY]), {"ignoreNullFields": "false"}))
     ranked = ranked.withColumn("cluster", name())
     rows = roled.withColumn("cluster", name()).join(ranked.select("contract", "cluster"), ["contract", "cluster"])
-    gas = _quantiles("gas_delta", 0.5, 0.9)
-    detail = rows.groupBy("contract", "cluster").agg(
-        F.avg("gas_delta").alias("gas_avg"), _whole(gas[0]).alias("gas_p50"), _whole(gas[1]).alias("gas_p90"), drivers().alias("drivers"),
-        F.min_by("entry_selector", F.struct("block_number", "tx_hash")).alias("entry_selector"),
-    )
+    detail = figures(rows, ["contract", "cluster"], F.min_by("entry_selector", F.struct("block_number", "tx_hash")).alias("entry_selector")).drop("gas_min", "gas_max")
     firsts = topk_per_key(rows.select("contract", "cluster", "block_number", "tx_hash", "gas_delta"), ["contract", "cluster"], EXAMPLES, [F.col("block_number"), F.col("tx_hash")])
     shown = firsts.groupBy("contract", "cluster").agg(F.array_sort(F.collect_list(F.struct("block_number", "tx_hash", "gas_delta"))).alias("examples"))
     states = mix_pairs(rows, ["contract", "cluster"], "state_gas_category").withColumnRenamed("mix", "state_gas_category")
@@ -119,24 +130,38 @@ def recipient_counts(divergence: DataFrame) -> DataFrame:
     )
 
 
+#: Values whose most frequent ones a contract's context shows, by the name of the mix; the last is of its site rows, the others of its entry rows.
+MIXES = {"entry_functions": "entry_selector", "failing_functions": "failing_selector", "halt_contracts": "oog_contract", "revert_contracts": "divergence_contract", "entry_contracts": "recipient"}
+
+
 def context(roled: DataFrame, divergence: DataFrame) -> DataFrame:
-    """Per contract: the wider counts, gas of its entry rows, block span (of entry rows, else of site rows) and counterpart mixes."""
+    """Per contract: the wider counts, gas of its entry rows, block span (of entry rows, else of site rows) and counterpart mixes.
+
+    The mixes and the distinct blocks come from one unpivot and one count of (contract, which, value).
+    """
     entry = F.col("role") == "entry"
-    gas = F.percentile(F.when(entry, F.col("gas_delta")), F.array(F.lit(0.5), F.lit(0.9)))
     side = lambda f, e: f(F.when(entry if e else ~entry, F.col("block_number")))
     base = roled.groupBy("contract").agg(
-        F.avg(F.when(entry, F.col("gas_delta"))).alias("gas_avg"), F.coalesce(F.sum(F.when(entry, F.col("gas_delta"))), F.lit(0)).alias("gas_sum"), _whole(gas[0]).alias("gas_p50"), _whole(gas[1]).alias("gas_p90"),
+        F.avg(F.when(entry, F.col("gas_delta"))).alias("gas_avg"), F.coalesce(F.sum(F.when(entry, F.col("gas_delta"))), F.lit(0)).alias("gas_sum"),
         F.coalesce(side(F.min, True), side(F.min, False)).alias("block_span_start"), F.coalesce(side(F.max, True), side(F.max, False)).alias("block_span_end"),
     )
-    spans = roled.select("contract", entry.alias("e"), "block_number").distinct().groupBy("contract").agg(F.count_if("e").alias("a"), F.count_if(~F.col("e")).alias("b"))
-    spans = spans.select("contract", F.when(F.col("a") > 0, F.col("a")).otherwise(F.col("b")).alias("distinct_blocks"))
-    entries = roled.filter(entry)
-    sites = roled.filter(~entry).select("contract", "recipient", "block_number", "tx_hash").distinct()  # a row that is both sites counts once
-    mixes = {"entry_functions": (entries, "entry_selector"), "failing_functions": (entries, "failing_selector"), "halt_contracts": (entries, "oog_contract"), "revert_contracts": (entries, "divergence_contract"), "entry_contracts": (sites, "recipient")}
-    out = base.join(spans, "contract").join(recipient_counts(divergence), "contract", "left").fillna(0, ["g3_tx_count", "g2_drillin_tx_count", "af_tx_count", "status_flips"])
-    for name, (rows, column) in mixes.items():
-        out = out.join(mix_per_key(rows, "contract", column, BREAKDOWN).withColumnRenamed("mix", name), "contract", "left")
-    return out
+    gas = hist.quantiles(roled.filter(entry), ["contract"], {"gas": F.col("gas_delta")}, (0.5, 0.9))
+    gas = gas.select("contract", _whole(F.col("q_gas")[0]).alias("gas_p50"), _whole(F.col("q_gas")[1]).alias("gas_p90"))
+    second = (F.col("role") == "revert_site") & F.col("oog_contract").eqNullSafe(F.col("contract"))  # a row that is both sites counts once
+    part = lambda which, value, when: F.struct(F.lit(which).alias("which"), F.when(when, F.col(value).cast("string")).alias("value"))
+    each = [part(n, c, entry if n != "entry_contracts" else ~entry & ~second) for n, c in MIXES.items()] + [part("entry_blocks", "block_number", entry), part("site_blocks", "block_number", ~entry)]
+    counts = roled.select("contract", F.inline(F.array(*each))).filter("value is not null").groupBy("contract", "which", "value").agg(F.count("*").alias("count"))
+    blocks = counts.filter("which in ('entry_blocks', 'site_blocks')").groupBy("contract").agg(F.count_if(F.col("which") == "entry_blocks").alias("a"), F.count_if(F.col("which") == "site_blocks").alias("b"))
+    blocks = blocks.select("contract", F.when(F.col("a") > 0, F.col("a")).otherwise(F.col("b")).alias("distinct_blocks"))
+    top = topk_per_key(counts.filter("which not in ('entry_blocks', 'site_blocks')"), ["contract", "which"], BREAKDOWN, [F.desc("count"), F.col("value")])
+
+    def shown(name: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("which") == name, F.struct("place", F.col("value").alias("contract"), "count"))))  # at most BREAKDOWN of each
+        return F.when(F.size(rows) > 0, F.transform(rows, lambda r: F.struct(r["contract"].alias("contract"), r["count"].alias("count")))).alias(name)
+
+    mixes = top.groupBy("contract").agg(*[shown(n) for n in MIXES])
+    out = base.join(gas, "contract", "left").join(blocks, "contract").join(recipient_counts(divergence), "contract", "left").fillna(0, ["g3_tx_count", "g2_drillin_tx_count", "af_tx_count", "status_flips"])
+    return out.join(mixes, "contract", "left")
 
 
 def searchable(labels: DataFrame) -> DataFrame:
@@ -174,14 +199,13 @@ def deploy_summary(g4: DataFrame, deploy: DataFrame) -> dict[str, DataFrame]:
     rows = g4.join(deploy.withColumnRenamed("contract", "oog_contract"), "oog_contract", "left_semi")
     reverts = g4.join(deploy.withColumnRenamed("contract", "divergence_contract"), "divergence_contract", "left_semi")
     selector = F.expr(P.FAILING_SELECTOR)
-    gas = _quantiles("gas_delta", 0.5, 0.9)
     first = F.min_by(F.struct(F.col("tx_hash").alias("tx"), F.col("block_number").alias("block"), "gas_delta", F.col("oog_opcode").alias("opcode"), selector.alias("selector"), F.lower("recipient").alias("entry")), F.struct("block_number", "tx_hash"))
     return {
         "halt_opcode_split": mix(rows, F.col("oog_opcode")),
         "initcode_families": mix(rows, family(selector)),
         "top_entry_contracts": mix(rows, F.lower("recipient"), BREAKDOWN),
         "revert_reasons": mix(reverts, F.col("revert_decoded"), BREAKDOWN),
-        "figures": rows.agg(F.count_distinct("oog_contract").alias("count"), _whole(gas[0]).alias("gas_p50"), _whole(gas[1]).alias("gas_p90"), F.min("gas_delta").alias("gas_min"), F.max("gas_delta").alias("gas_max"), drivers().alias("drivers")),
+        "figures": deploy.agg(F.count("*").alias("count")).withColumn("every", F.lit(1)).join(figures(rows.withColumn("every", F.lit(1)), ["every"]).drop("gas_avg"), "every", "left").drop("every"),
         "accounts": rows.groupBy(F.lower("oog_contract").alias("account")).agg(first.alias("first")).select("account", "first.*"),
     }
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltascope.functions import predicates as P
 from deltascope.functions.scalars import after_prefix
 from deltascope.operators import hist
-from deltascope.operators.mixes import aligned, flow, leaderboard, mix, mix_fixed, mix_none, mix_per_key, rate_leaderboards, top_and_others  # noqa: F401
+from deltascope.operators.mixes import aligned, flow, leaderboard, mix, mix_fixed, mix_none, mix_per_key, rate_leaderboards, rich_leaderboard, top_and_others  # noqa: F401
 
 ERROR_PREFIX = "Error(string):"
 
@@ -39,8 +39,8 @@ def status_flips(divergence: DataFrame) -> DataFrame:
 
 
 def reservoir(rows: DataFrame, initial: bool) -> DataFrame:
-    """Exhausted true/false, average spillover and, if asked for, average initial reservoir; averages of nothing are 0."""
-    mean = lambda c: F.coalesce(F.round(F.avg(c), 0).cast("bigint"), F.lit(0))
+    """Exhausted true/false, average spillover and, if asked for, average initial reservoir: whole numbers, halves to the even one; averages of nothing are 0."""
+    mean = lambda c: F.coalesce(F.rint(F.avg(c)).cast("bigint"), F.lit(0))
     cols = [F.count_if("reservoir_exhausted").alias("exhausted_true"), F.count_if(~F.col("reservoir_exhausted")).alias("exhausted_false"), mean("runtime_state_gas_spillover").alias("avg_spillover")]
     return rows.agg(*cols, *([mean("schedule_initial_reservoir").alias("avg_initial")] if initial else []))
 
@@ -77,9 +77,15 @@ def g4_categories(divergence: DataFrame, state_flavour: bool) -> dict[str, DataF
     return out | ({"reservoir": reservoir(own, True)} if state_flavour else {})
 
 
+def percent_of_sums(part: Column, whole: Column) -> Column:
+    """Aggregate: 100 times the ratio of the sums; null where there is nothing to divide by."""
+    return F.try_divide(100.0 * F.sum(part), F.sum(whole).cast("double"))
+
+
 def gas_view(divergence: DataFrame, summary: DataFrame) -> DataFrame:
     """The g2 gas figures over both cohorts: sum, min, max, count, and gas-weighted percent of the gas-only cohort."""
     go = summary.filter("class = 'gas_only'").agg(
+        percent_of_sums(F.col("gas_delta_sum"), F.col("baseline_gas_used_sum")).alias("pct"),
         F.coalesce(F.sum("tx_count"), F.lit(0)).alias("go_n"), F.coalesce(F.sum("gas_delta_sum"), F.lit(0)).alias("go_sum"), F.min("gas_delta_min").alias("go_min"),
         F.max("gas_delta_max").alias("go_max"), F.coalesce(F.sum("baseline_gas_used_sum"), F.lit(0)).alias("base"),
     )
@@ -87,7 +93,7 @@ def gas_view(divergence: DataFrame, summary: DataFrame) -> DataFrame:
     both = go.withColumn("one", F.lit(1)).join(F.broadcast(dr.withColumn("one", F.lit(1))), "one")
     return both.select(
         (F.col("go_n") + F.col("n")).alias("count"), (F.col("go_sum") + F.col("s")).alias("sum_gas_delta"), F.coalesce(F.least("go_min", "mn"), F.lit(0)).alias("min_gas_delta"), F.coalesce(F.greatest("go_max", "mx"), F.lit(0)).alias("max_gas_delta"),
-        F.col("go_sum").alias("sum_gas_delta_gas_only"), F.col("base").alias("baseline_gas_used_sum"), F.try_divide(100.0 * F.col("go_sum"), F.col("base").cast("double")).alias("gas_delta_pct_of_baseline"),
+        F.col("go_sum").alias("sum_gas_delta_gas_only"), F.col("base").alias("baseline_gas_used_sum"), F.col("pct").alias("gas_delta_pct_of_baseline"),
     )
 
 
@@ -113,8 +119,8 @@ def breadth(rows: DataFrame, *columns: str) -> DataFrame:
     return counts.agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("n"))), F.lit(0)).alias(c) for c in columns])
 
 
-def failure_site(divergence: DataFrame, oog: bool, labels: DataFrame, totals: DataFrame | None) -> dict[str, DataFrame]:
-    """Everything published on where g4 rows ran out of gas (oog) or reverted without."""
+def failure_site(divergence: DataFrame, oog: bool, labels: DataFrame, totals: DataFrame | None, probes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Everything published on where g4 rows ran out of gas (oog) or reverted without; with whole label records, the leaderboard shows all of them."""
     rows = divergence.filter(f"({P.G4}) AND {P.OOG if oog else P.NON_OOG}")
     site, depth = ("oog_contract", "oog_call_depth") if oog else ("divergence_contract", "divergence_call_depth")
     out = {
@@ -127,7 +133,7 @@ def failure_site(divergence: DataFrame, oog: bool, labels: DataFrame, totals: Da
         "flow": flow(rows, "recipient", site),
     }
     if oog:
-        return out | {"oog_pattern": mix(rows, F.col("oog_pattern")), "gas_remaining_hist": hist.magnitude_histogram(rows, "oog_gas_remaining"), "contract_leaderboard": leaderboard(rows, "oog_contract", labels)}
+        return out | {"oog_pattern": mix(rows, F.col("oog_pattern")), "gas_remaining_hist": hist.magnitude_histogram(rows, "oog_gas_remaining"), "contract_leaderboard": rich_leaderboard(rows, "oog_contract", labels, probes) if "source" in labels.columns else leaderboard(rows, "oog_contract", labels)}
     return out | {"failure_reason": mix(rows, F.col("failure_reason")), "revert_error_mix": revert_errors(rows)}
 
 

@@ -98,6 +98,26 @@ def percentiles(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(p.alias("p"), F.max(column).alias("max")).select(F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"), "max")
 
 
+def quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], points: tuple[float, ...]) -> DataFrame:
+    """keys and, for each value, q_{name}: its percentiles (linear interpolation) in each group that has any, else null.
+
+    Values are counted by group before they meet, so a group's task sorts its distinct values (and spills), not its rows.
+    """
+    each = rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("which"), v.cast("double").alias("value")) for n, v in values.items()]))).filter("value is not null")
+    counts = each.groupBy(*keys, "which", "value").agg(F.count("*").alias("n"))
+    own = Window.partitionBy(*keys, "which")
+    counts = counts.withColumns({"upto": F.sum("n").over(own.orderBy("value")), "total": F.sum("n").over(own)})
+
+    def point(p: float) -> Column:
+        at = F.lit(p) * (F.col("total") - 1)
+        low, high = (F.min(F.when(F.col("upto") > f(at), F.col("value"))) for f in (F.floor, F.ceil))
+        over = F.max(at - F.floor(at))
+        return low * (1 - over) + high * over
+
+    found = counts.groupBy(*keys, "which").agg(F.array(*[point(p) for p in points]).alias("q"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == n, F.col("q"))).alias(f"q_{n}") for n in values])
+
+
 def bins_total(histogram: DataFrame, column: str = "count") -> DataFrame:
     return histogram.agg(F.coalesce(F.sum(column), F.lit(0)).alias("covered"))
 

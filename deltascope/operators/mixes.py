@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OTHER = "__other__"
+#: Addresses on a leaderboard.
+BOARD = 12
 
 
 def mix(df: DataFrame, key: Column, limit: int | None = None) -> DataFrame:
@@ -55,7 +57,7 @@ def top_and_others(counts: DataFrame, k: int) -> DataFrame:
     return top.unionByName(rest.select(F.lit("Others").alias("key"), "count", F.lit(k + 1).alias("rank"))).orderBy("rank")
 
 
-def leaderboard(df: DataFrame, column: str, labels: DataFrame, limit: int = 12) -> DataFrame:
+def leaderboard(df: DataFrame, column: str, labels: DataFrame, limit: int = BOARD) -> DataFrame:
     """addr, count, label, category of the most frequent addresses; only these meet the labels."""
     top = mix(df, F.col(column), limit).withColumnRenamed("key", "addr")
     known = labels.select(F.col("address").alias("addr"), "label", "category").join(F.broadcast(top.select("addr")), "addr", "left_semi")
@@ -64,14 +66,15 @@ def leaderboard(df: DataFrame, column: str, labels: DataFrame, limit: int = 12)
     return out.select("addr", "count", F.coalesce("label", "addr").alias("label"), category.alias("category")).orderBy(F.desc("count"), "addr")
 
 
-def rich_leaderboard(df: DataFrame, column: str, labels: DataFrame, probes: DataFrame, limit: int = 12) -> DataFrame:
-    """As leaderboard with the whole record: a probe's positive tags first, then the cache's.
+def rich_leaderboard(df: DataFrame, column: str, labels: DataFrame, probes: DataFrame | None, limit: int = BOARD) -> DataFrame:
+    """As leaderboard with the whole record: a probe's positive tags first (if there are probes), then the cache's.
 
     The three upgrade columns come from one record, the probe's if it names a mechanism.
     Unknown and default values are null, so that they are left out of JSON.
     """
     top = mix(df, F.col(column), limit).withColumnRenamed("key", "addr")
     few = F.broadcast(top.select("addr"))
+    probes = labels.filter(F.lit(False)) if probes is None else probes
     rec = labels.withColumnRenamed("address", "addr").join(few, "addr", "left_semi")
     got = probes.select(F.col("address").alias("addr"), F.struct("is_proxy", "is_factory", "is_safe", "erc_type", "is_upgradable", "upgrade_mechanism", "upgrade_admin").alias("p")).join(few, "addr", "left_semi")
     j = top.join(F.broadcast(rec), "addr", "left").join(F.broadcast(got), "addr", "left")

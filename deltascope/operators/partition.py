@@ -58,6 +58,24 @@ def violations(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("broken", F.concat_ws(",", F.when(stored, "I1"), F.when(kept, "I2"), F.when(F.col("g5") < 0, "I3"))).filter("broken <> ''")
 
 
+#: The mixes that partition a block summary's transactions.
+SUMMARY_VIEWS = {
+    "state_driver": ("no_state", "runtime_state"),
+    "tx_shape": ("creation", "simple_transfer", "contract_call"),
+    "tx_type": ("type_legacy", "type_access_list", "type_dynamic_fee", "type_blob", "type_set_code", "type_other"),
+}
+
+
+def summary_violations(summary: DataFrame) -> DataFrame:
+    """Gas-only summaries with a mix (named in broken) that doesn't add up to tx_count; mixes that are null throughout aren't looked at."""
+    def off(parts):
+        there = F.coalesce(*[F.col(f"tx_count_{p}") for p in parts]).isNotNull()
+        return there & (sum((F.coalesce(F.col(f"tx_count_{p}"), F.lit(0)) for p in parts), F.lit(0)) != F.col("tx_count"))
+
+    own = summary.filter("class = 'gas_only'")
+    return own.withColumn("broken", F.concat_ws(",", *[F.when(off(ps), v) for v, ps in SUMMARY_VIEWS.items()])).filter("broken <> ''")
+
+
 def multiplier_leaks(divergence: DataFrame) -> DataFrame:
     """Rows in which success and a multiplier of at most 1 disagree."""
     low = F.coalesce(F.col("min_multiplier_to_succeed") <= 1, F.lit(False))
@@ -80,12 +98,7 @@ def require_retained(blocks: DataFrame, divergence: DataFrame) -> None:
 
 def aggregate_mixes(summary: DataFrame) -> DataFrame:
     """The gas-only cohort in one scan: view, key, count. Partitions sum to tx_count; overlay members overlap them."""
-    views = {
-        "state_driver": ("no_state", "runtime_state"),
-        "tx_shape": ("creation", "simple_transfer", "contract_call"),
-        "tx_type": tuple(f"type_{t}" for t in ("legacy", "access_list", "dynamic_fee", "blob", "set_code", "other")),
-        "overlay": ("authorization", "creation"),
-    }
+    views = SUMMARY_VIEWS | {"overlay": ("authorization", "creation")}
     keys = sorted({k for v in views.values() for k in v})
     one = summary.filter("class = 'gas_only'").agg(F.coalesce(F.sum("tx_count"), F.lit(0)).alias("all"), *[F.coalesce(F.sum(f"tx_count_{k}"), F.lit(0)).alias(k) for k in keys])
     rows = [F.struct(F.lit("total").alias("view"), F.lit("tx_count").alias("key"), F.col("all").alias("count"))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from deltascope.functions import opcodes, predicates as P, scalars as S
 from deltascope.operators import bytecode, clusters, config, forensics, hist, labels as L, mixes, partition, versioned
-from deltascope.plans.facts import FACTS_SQL, LABELS_SQL, TOTALS_SQL, facts, labels, latest_items, totals
-from deltascope.sources.tables import read_table
+from deltascope.plans.facts import COLUMNS, FACTS_SQL, LABELS_SQL, TOTALS_SQL, facts, labels, latest_items, totals
+from deltascope.plans.label_build import build
+from deltascope.sources.label_files import read_labels, write_labels
+from deltascope.sources.tables import held, read_table, scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,10 +114,17 @@ def composition_percent(spark, sf_dir):
     return partition.composition(partition.overview(_blocks(spark, sf_dir))).withColumn("day", _text("day"))
 
 
-@query("SELECT block_number, 'I3' AS broken FROM blocks WHERE FALSE", BLOCKS_SQL)
+@query("""SELECT block_number, concat_ws(',', CASE WHEN i1 THEN 'I1' END, CASE WHEN i2 THEN 'I2' END, CASE WHEN i3 THEN 'I3' END) AS broken FROM (
+    SELECT block_number, 20 - coalesce(n, 0) - o_orderkey % 10 + o_orderkey % 10 + coalesce(n, 0) + extra + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END <> 20 + extra AS i1,
+        coalesce(g2d + g3 + g4 + af, 0) <> coalesce(n, 0) + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS i2,
+        20 + extra - (20 - coalesce(n, 0) - o_orderkey % 10) - (o_orderkey % 10 + coalesce(g2d, 0)) - coalesce(g3, 0) - coalesce(g4, 0) - coalesce(af, 0) - CASE WHEN o_orderkey % 13 = 0 THEN 3 ELSE 0 END < 0 AS i3
+    FROM (SELECT *, o_orderkey AS block_number, CASE WHEN o_custkey % 10 = 0 THEN 2 ELSE 0 END AS extra FROM orders) LEFT JOIN d USING (block_number)) WHERE i1 OR i2 OR i3""", BLOCKS_SQL)
 def partition_violations(spark, sf_dir):
-    """All identities hold on all blocks: what a truncated block dropped counts as stored."""
-    return partition.violations(_blocks(spark, sf_dir)).select("block_number", "broken")
+    """All blocks, some of them spoilt: stored and retained counts too high by one, unknown ones too low by three."""
+    every = lambda c, n, d: (F.col(c) + F.when(F.col("block_number") % n == 0, d).otherwise(0)).alias(c)
+    blocks = _blocks(spark, sf_dir)
+    spoilt = {"tx_count_stored": every("tx_count_stored", 7, 1), "retained_drill_in_count": every("retained_drill_in_count", 11, 1), "g5": every("g5", 13, -3)}
+    return partition.violations(blocks.withColumns(spoilt)).select("block_number", "broken")
 
 
 @query("SELECT count(*) AS n FROM facts WHERE schedule_success <> coalesce(min_multiplier_to_succeed <= 1, FALSE)")
@@ -222,7 +232,7 @@ def status_flips(spark, sf_dir):
     return forensics.status_flips(facts(spark, sf_dir))
 
 
-@query(f"SELECT count(*) FILTER (WHERE reservoir_exhausted) AS exhausted_true, count(*) FILTER (WHERE NOT reservoir_exhausted) AS exhausted_false, CAST(coalesce(round(avg(runtime_state_gas_spillover)), 0) AS BIGINT) AS avg_spillover, CAST(coalesce(round(avg(schedule_initial_reservoir)), 0) AS BIGINT) AS avg_initial FROM facts WHERE {P.G4}")
+@query(f"SELECT count(*) FILTER (WHERE reservoir_exhausted) AS exhausted_true, count(*) FILTER (WHERE NOT reservoir_exhausted) AS exhausted_false, CAST(coalesce(round_even(avg(runtime_state_gas_spillover), 0), 0) AS BIGINT) AS avg_spillover, CAST(coalesce(round_even(avg(schedule_initial_reservoir), 0), 0) AS BIGINT) AS avg_initial FROM facts WHERE {P.G4}")
 def reservoir(spark, sf_dir):
     return forensics.reservoir(facts(spark, sf_dir).filter(P.G4), True)
 
@@ -234,7 +244,7 @@ def percentiles(spark, sf_dir):
 
 @query("SELECT event_type, 100.0::DOUBLE * sum(round(value)) / nullif(sum(event_id), 0) AS pct FROM events GROUP BY 1", base=False)
 def ratio_of_sums(spark, sf_dir):
-    return read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.try_divide(100.0 * F.sum(F.round("value")), F.sum("event_id").cast("double")).alias("pct"))
+    return read_table(spark, sf_dir, "events").groupBy("event_type").agg(forensics.percent_of_sums(F.round("value"), F.col("event_id")).alias("pct"))
 
 
 @query("SELECT count(DISTINCT recipient) AS recipient, count(DISTINCT oog_contract) AS oog_contract, count(DISTINCT divergence_contract) AS divergence_contract FROM g4")
@@ -350,6 +360,7 @@ def flow_sankey(spark, sf_dir):
     return mixes.flow(facts(spark, sf_dir).filter(P.G4), "recipient", "divergence_contract")
 
 
+_FAILURES = ["recipient", "block_number", "baseline_success", "schedule_success", "min_multiplier_to_succeed", "status_changed", "gas_delta"]
 _FAIL = f"""agg AS (SELECT recipient, count(*) FILTER (WHERE {P.G4}) AS g4_tx_count, count(*) FILTER (WHERE {P.G3}) AS g3_tx_count, count(*) FILTER (WHERE {P.G2_DRILLIN}) AS g2_drillin_tx_count, count(*) FILTER (WHERE {P.STATUS_FLIP}) AS status_flips,
     avg(gas_delta) AS avg_gas_delta, CAST(sum(gas_delta) AS BIGINT) AS sum_gas_delta, min(block_number) AS block_span_start, max(block_number) AS block_span_end, count(DISTINCT CASE WHEN {P.G4} THEN block_number END) AS distinct_blocks_with_g4,
     quantile_cont(min_multiplier_to_succeed, 0.5) AS mm_p50, quantile_cont(min_multiplier_to_succeed, 0.9) AS mm_p90, quantile_cont(min_multiplier_to_succeed, 0.99) AS mm_p99
@@ -358,12 +369,12 @@ _FAIL = f"""agg AS (SELECT recipient, count(*) FILTER (WHERE {P.G4}) AS g4_tx_co
 
 @query("SELECT *, CAST(g4_tx_count AS DOUBLE) / distinct_blocks_with_g4 AS avg_g4_per_block, CAST(g4_tx_count AS DOUBLE) / (g4_tx_count + g3_tx_count + g2_drillin_tx_count) AS g4_vs_other_ratio, CAST(sum(g4_tx_count) OVER (ORDER BY g4_tx_count DESC, recipient ROWS UNBOUNDED PRECEDING) AS DOUBLE) / (SELECT count(*) FROM g4) AS cumulative_share FROM agg", _FAIL)
 def top_recipients_cumshare(spark, sf_dir):
-    return forensics.contract_failures(facts(spark, sf_dir))
+    return forensics.contract_failures(held(facts(spark, sf_dir).select(*_FAILURES), "facts"))
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY g4_tx_count DESC, recipient) AS INTEGER) AS rank, 100.0::DOUBLE * (CAST(sum(g4_tx_count) OVER (ORDER BY g4_tx_count DESC, recipient ROWS UNBOUNDED PRECEDING) AS DOUBLE) / (SELECT count(*) FROM g4)) AS share FROM agg", _FAIL)
 def pareto_curve(spark, sf_dir):
-    return forensics.pareto(forensics.contract_failures(facts(spark, sf_dir)))
+    return forensics.pareto(forensics.contract_failures(held(facts(spark, sf_dir).select(*_FAILURES), "facts")))
 
 
 _EX = "block_number, tx_hash, gas_delta, recipient, min_multiplier_to_succeed FROM facts"
@@ -399,22 +410,53 @@ def sorted_table(spark, sf_dir):
 ROLES_SQL = """r0 AS (SELECT *, recipient AS contract, 'entry' AS role FROM g4 WHERE recipient IS NOT NULL UNION ALL SELECT *, oog_contract, 'oog_site' FROM g4 WHERE oog_contract IS NOT NULL
     UNION ALL SELECT *, divergence_contract, 'revert_site' FROM g4 WHERE divergence_contract IS NOT NULL),
 r1 AS (SELECT *, CASE WHEN role = 'oog_site' OR (role = 'entry' AND oog_contract IS NOT NULL) THEN 'oog' ELSE 'non_oog' END AS kind FROM r0),
-roled AS (SELECT contract, role, kind, block_number, tx_hash, gas_delta, recipient, oog_contract, divergence_contract, entry_selector, state_gas_category, cold_account_access_count, reservoir_exhausted, runtime_state_gas_spillover, surcharge_at_oog,
+roled AS (SELECT contract, role, kind, block_number, tx_hash, gas_delta, recipient, oog_contract, divergence_contract, entry_selector, state_gas_category, cold_account_access_count, sload_cold_count, sstore_cold_count, access_list_address_count, access_list_storage_key_count, oog_gas_remaining, reservoir_exhausted, runtime_state_gas_spillover, surcharge_at_oog,
     coalesce(tier1_failing_selector, entry_selector) AS failing_selector, CASE WHEN kind = 'oog' THEN oog_contract ELSE divergence_contract END AS where_contract, CASE WHEN kind = 'oog' THEN oog_opcode ELSE divergence_opcode END AS opcode,
     CASE WHEN kind = 'oog' THEN oog_pattern ELSE failure_reason END AS pattern_or_reason, CASE WHEN kind = 'oog' THEN oog_bottleneck_kind END AS oog_bottleneck_kind, CASE WHEN kind = 'oog' THEN oog_call_depth ELSE divergence_call_depth END AS call_depth,
     CASE WHEN kind = 'non_oog' THEN revert_decoded END AS revert_decoded FROM r1)"""
 _KEYS = ", ".join(clusters.KEY)
 # nulls sort first in Spark's ascending order
 _ORDER = ", ".join(f"{k} ASC NULLS FIRST" for k in clusters.KEY)
-CLUSTERS_SQL = f"""cl AS (SELECT contract, {_KEYS}, count(*) AS count, min(block_number) AS b, avg(gas_delta) AS gas_avg, CAST(round(round(quantile_cont(gas_delta, 0.5), 6)) AS BIGINT) AS gas_p50, CAST(round(round(quantile_cont(gas_delta, 0.9), 6)) AS BIGINT) AS gas_p90,
-    CASE WHEN count(reservoir_exhausted) > 0 THEN round(CAST(count(*) FILTER (WHERE reservoir_exhausted) AS DOUBLE) / count(*), 4) END AS exhausted, CASE WHEN count(cold_account_access_count) > 0 THEN CAST(round(round(quantile_cont(cold_account_access_count, 0.9), 6)) AS BIGINT) END AS cold_p90,
-    CAST(sum(surcharge_at_oog) AS BIGINT) AS surcharge_sum, array_to_string(list(tx_hash ORDER BY block_number, tx_hash)[1:2], ',') AS examples, first(entry_selector ORDER BY block_number, tx_hash) AS entry_selector FROM roled GROUP BY ALL),
+
+
+#: Columns of the facts that the analysis of contracts reads.
+_CONTEXT = [c for c in COLUMNS if c not in ("event_logs_changed", "output_changed", "logs_bloom_changed", "is_create", "tx_type", "has_authorization", "input_zero_bytes", "input_nonzero_bytes", "baseline_gas_used", "schedule_initial_reservoir", "replay_halt_oog")]
+
+
+def _q(column: str, p: float) -> str:
+    return f"CAST(round_even(round(quantile_cont({column}, {p}), 6), 0) AS BIGINT)"
+
+
+_ACCESS = "coalesce(access_list_address_count, 0) + coalesce(access_list_storage_key_count, 0)"
+#: The causes of a group as columns; nulls stand where a cause has no values.
+_DRIVERS = ", ".join(f"{_q(c, p)} AS {n}_p{round(100 * p)}" for n, c in clusters.PAIRS.items() for p in (0.5, 0.9)) + f""",
+    CASE WHEN count(access_list_address_count) + count(access_list_storage_key_count) > 0 THEN {_q(_ACCESS, 0.5)} END AS access_p50, CASE WHEN count(access_list_address_count) + count(access_list_storage_key_count) > 0 THEN {_q(_ACCESS, 0.9)} END AS access_p90,
+    {_q('surcharge_at_oog', 0.5)} AS surcharge_p50, CAST(sum(surcharge_at_oog) AS BIGINT) AS surcharge_sum, CASE WHEN count(reservoir_exhausted) > 0 THEN round(CAST(count(*) FILTER (WHERE reservoir_exhausted) AS DOUBLE) / count(*), 4) END AS exhausted,
+    CASE WHEN count(runtime_state_gas_spillover) > 0 THEN round(CAST(count(*) FILTER (WHERE runtime_state_gas_spillover > 0) AS DOUBLE) / count(*), 4) END AS spilled"""
+
+
+def _flat_drivers() -> list:
+    """The drivers struct as the same columns."""
+    d = lambda path, name: F.col(f"drivers.{path}").alias(name)
+    out = [d(f"{n}.p{p}", f"{n}_p{p}") for n in clusters.PAIRS for p in (50, 90)] + [d(f"access_list_entries.p{p}", f"access_p{p}") for p in (50, 90)]
+    return out + [d("surcharge_at_oog.p50", "surcharge_p50"), d("surcharge_at_oog.sum", "surcharge_sum"), d("reservoir_exhausted_share", "exhausted"), d("spillover_share", "spilled")]
+
+
+_STATES = "array_to_string(list_transform(list_sort(list_transform(map_entries(histogram(CASE WHEN state_gas_category <> '' THEN state_gas_category END)), lambda e: {'m': -CAST(e.value AS BIGINT), 'k': e.key})), lambda e: e.k || '=' || CAST(-e.m AS VARCHAR)), ',')"
+CLUSTERS_SQL = f"""cl AS (SELECT contract, {_KEYS}, count(*) AS count, min(block_number) AS b, avg(gas_delta) AS gas_avg, {_q('gas_delta', 0.5)} AS gas_p50, {_q('gas_delta', 0.9)} AS gas_p90, {_DRIVERS},
+    array_to_string(list(tx_hash ORDER BY block_number, tx_hash)[1:2], ',') AS examples, first(entry_selector ORDER BY block_number, tx_hash) AS entry_selector, {_STATES} AS states FROM roled GROUP BY contract, {_KEYS}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY count DESC, {_ORDER}) AS place, count(*) OVER (PARTITION BY contract) AS distinct_clusters, CAST(sum(count) OVER (PARTITION BY contract) AS BIGINT) AS contract_total, CAST(sum(count) OVER (PARTITION BY contract, role) AS BIGINT) AS role_total FROM cl),
 shown AS (SELECT * FROM ranked WHERE place <= 8)"""
 
 
 def _roles(spark, sf_dir) -> DataFrame:
-    return clusters.roles(facts(spark, sf_dir).filter(P.G4))
+    """The rows of every role, written once for the branches that read them."""
+    return held(clusters.roles(facts(spark, sf_dir).filter(P.G4)).select("contract", *clusters.ROLED), "roled")
+
+
+def _mix_text(c: str, name: str):
+    """An array of (name, count) as text; none is empty."""
+    return F.coalesce(F.array_join(F.transform(c, lambda m: F.concat_ws("=", m[name], m["count"])), ","), F.lit(""))
 
 
 @query(f"SELECT contract, {_KEYS}, block_number, tx_hash FROM roled", ROLES_SQL)
@@ -422,16 +464,18 @@ def role_unpivot(spark, sf_dir):
     return _roles(spark, sf_dir).select("contract", *clusters.KEY, "block_number", "tx_hash")
 
 
-@query(f"SELECT contract, {_KEYS}, count, distinct_clusters, round(CAST(count AS DOUBLE) / role_total, 4) AS share_of_role, round(CAST(count AS DOUBLE) / contract_total, 4) AS share_of_contract, gas_avg, gas_p50, gas_p90, entry_selector, examples FROM shown", ROLES_SQL, CLUSTERS_SQL)
+@query(f"SELECT contract, {_KEYS}, count, distinct_clusters, round(CAST(count AS DOUBLE) / role_total, 4) AS share_of_role, round(CAST(count AS DOUBLE) / contract_total, 4) AS share_of_contract, gas_avg, gas_p50, gas_p90, entry_selector, examples, coalesce(states, '') AS states FROM shown", ROLES_SQL, CLUSTERS_SQL)
 def failure_clusters(spark, sf_dir):
     out = clusters.failure_clusters(_roles(spark, sf_dir))
-    return out.select("contract", *clusters.KEY, "count", "distinct_clusters", "share_of_role", "share_of_contract", "gas_avg", "gas_p50", "gas_p90", "entry_selector", F.array_join(F.transform("examples", lambda e: e["tx_hash"]), ",").alias("examples"))
+    return out.select("contract", *clusters.KEY, "count", "distinct_clusters", "share_of_role", "share_of_contract", "gas_avg", "gas_p50", "gas_p90", "entry_selector", F.array_join(F.transform("examples", lambda e: e["tx_hash"]), ",").alias("examples"), _mix_text("state_gas_category", "key").alias("states"))
+
 
+_DRIVER_NAMES = ", ".join([*[f"{n}_p{p}" for n in clusters.PAIRS for p in (50, 90)], "access_p50", "access_p90", "surcharge_p50", "surcharge_sum", "exhausted", "spilled"])
 
-@query(f"SELECT contract, {_KEYS}, exhausted, cold_p90, surcharge_sum FROM shown", ROLES_SQL, CLUSTERS_SQL)
+
+@query(f"SELECT contract, {_KEYS}, {_DRIVER_NAMES} FROM shown", ROLES_SQL, CLUSTERS_SQL)
 def cluster_drivers(spark, sf_dir):
-    out = clusters.failure_clusters(_roles(spark, sf_dir))
-    return out.select("contract", *clusters.KEY, F.col("drivers.reservoir_exhausted_share").alias("exhausted"), F.col("drivers.cold_account.p90").alias("cold_p90"), F.col("drivers.surcharge_at_oog.sum").alias("surcharge_sum"))
+    return clusters.failure_clusters(_roles(spark, sf_dir)).select("contract", *clusters.KEY, *_flat_drivers())
 
 
 @query("SELECT contract, max(distinct_clusters) AS distinct_cluster_count, round(CAST(sum(count) AS DOUBLE) / max(contract_total), 4) AS clusters_shown_share FROM shown GROUP BY 1", ROLES_SQL, CLUSTERS_SQL)
@@ -444,13 +488,25 @@ def self_role_merge(spark, sf_dir):
     return clusters.merge_self_roles(clusters.failure_clusters(_roles(spark, sf_dir))).drop("share_of_contract").withColumn("roles", F.array_join("roles", ","))
 
 
-@query(f"""SELECT r.contract, coalesce(any_value(g3), 0) AS g3_tx_count, coalesce(any_value(af), 0) AS af_tx_count, avg(gas_delta) FILTER (WHERE role = 'entry') AS gas_avg, CAST(coalesce(sum(gas_delta) FILTER (WHERE role = 'entry'), 0) AS BIGINT) AS gas_sum,
+def _mix_sql(name: str, column: str, rows: str) -> str:
+    return f"{name} AS (SELECT contract, string_agg(v || '=' || n, ',' ORDER BY r) AS mix FROM (SELECT contract, {column} AS v, count(*) AS n, row_number() OVER (PARTITION BY contract ORDER BY count(*) DESC, {column}) AS r FROM {rows} WHERE {column} IS NOT NULL GROUP BY 1, 2) WHERE r <= {clusters.BREAKDOWN} GROUP BY 1)"
+
+
+_SITES = "sites AS (SELECT DISTINCT contract, recipient, block_number, tx_hash FROM roled WHERE role <> 'entry'), entries AS (SELECT * FROM roled WHERE role = 'entry')"
+_MIX_SQL = [_mix_sql(n, c, "sites" if n == "entry_contracts" else "entries") for n, c in clusters.MIXES.items()]
+
+
+@query(f"""SELECT b.*, coalesce(w.g3, 0) AS g3_tx_count, coalesce(w.g2, 0) AS g2_drillin_tx_count, coalesce(w.af, 0) AS af_tx_count, coalesce(w.flips, 0) AS status_flips, {', '.join(f"coalesce({n}.mix, '') AS {n}" for n in clusters.MIXES)} FROM (
+    SELECT contract, avg(gas_delta) FILTER (WHERE role = 'entry') AS gas_avg, CAST(coalesce(sum(gas_delta) FILTER (WHERE role = 'entry'), 0) AS BIGINT) AS gas_sum,
+    {_q("CASE WHEN role = 'entry' THEN gas_delta END", 0.5)} AS gas_p50, {_q("CASE WHEN role = 'entry' THEN gas_delta END", 0.9)} AS gas_p90,
     coalesce(min(block_number) FILTER (WHERE role = 'entry'), min(block_number)) AS block_span_start, coalesce(max(block_number) FILTER (WHERE role = 'entry'), max(block_number)) AS block_span_end,
-    CASE WHEN count(*) FILTER (WHERE role = 'entry') > 0 THEN count(DISTINCT block_number) FILTER (WHERE role = 'entry') ELSE count(DISTINCT block_number) END AS distinct_blocks
-    FROM roled r LEFT JOIN (SELECT recipient, count(*) FILTER (WHERE {P.G3}) AS g3, count(*) FILTER (WHERE {P.AF}) AS af FROM facts GROUP BY 1) w ON w.recipient = r.contract GROUP BY 1""", ROLES_SQL)
+    CASE WHEN count(*) FILTER (WHERE role = 'entry') > 0 THEN count(DISTINCT block_number) FILTER (WHERE role = 'entry') ELSE count(DISTINCT block_number) END AS distinct_blocks FROM roled GROUP BY contract) b
+    LEFT JOIN (SELECT recipient, count(*) FILTER (WHERE {P.G3}) AS g3, count(*) FILTER (WHERE {P.G2_DRILLIN}) AS g2, count(*) FILTER (WHERE {P.AF}) AS af, count(*) FILTER (WHERE {P.STATUS_FLIP}) AS flips FROM facts GROUP BY 1) w ON w.recipient = b.contract
+    {' '.join(f'LEFT JOIN {n} ON {n}.contract = b.contract' for n in clusters.MIXES)}""", ROLES_SQL, _SITES, *_MIX_SQL)
 def contract_context(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    return clusters.context(clusters.roles(f.filter(P.G4)), f).select("contract", "g3_tx_count", "af_tx_count", "gas_avg", "gas_sum", "block_span_start", "block_span_end", "distinct_blocks")
+    f = held(facts(spark, sf_dir).select(*_CONTEXT), "facts")
+    out = clusters.context(held(clusters.roles(f.filter(P.G4)).select("contract", *clusters.ROLED), "roled"), f)
+    return out.select(*[c for c in out.columns if c not in clusters.MIXES], *[_mix_text(n, "contract").alias(n) for n in clusters.MIXES])
 
 
 _COUNTS = "counts AS (SELECT contract, count(*) FILTER (WHERE role = 'entry') AS entry, count(*) FILTER (WHERE role = 'oog_site') AS halts, count(*) FILTER (WHERE role = 'revert_site') AS reverts, count(*) AS footprint FROM roled GROUP BY 1)"
@@ -467,16 +523,34 @@ def deploy_accounts(spark, sf_dir):
     return clusters.deploy_accounts(facts(spark, sf_dir).filter(P.G4), _named(spark, sf_dir))
 
 
-@query("SELECT lower(oog_contract) AS account, first(tx_hash ORDER BY block_number, tx_hash) AS tx, first(block_number ORDER BY block_number, tx_hash) AS block, first(gas_delta ORDER BY block_number, tx_hash) AS gas_delta FROM g4 WHERE oog_contract IN (SELECT contract FROM deploy) GROUP BY 1", LABELS_SQL, _NAMED, _DEPLOY)
+def _deployed(spark, sf_dir) -> dict[str, DataFrame]:
+    g4 = held(facts(spark, sf_dir).filter(P.G4).select(*_CONTEXT), "g4")
+    return clusters.deploy_summary(g4, held(clusters.deploy_accounts(g4, _named(spark, sf_dir)), "deploy"))
+
+
+@query("SELECT lower(oog_contract) AS account, first(tx_hash ORDER BY block_number, tx_hash) AS tx, first(block_number ORDER BY block_number, tx_hash) AS block, first(gas_delta ORDER BY block_number, tx_hash) AS gas_delta, first({'o': oog_opcode} ORDER BY block_number, tx_hash).o AS opcode, first({'s': coalesce(tier1_failing_selector, entry_selector)} ORDER BY block_number, tx_hash).s AS selector, first({'r': lower(recipient)} ORDER BY block_number, tx_hash).r AS entry FROM g4 WHERE oog_contract IN (SELECT contract FROM deploy) GROUP BY 1", LABELS_SQL, _NAMED, _DEPLOY)
 def deploy_collapse(spark, sf_dir):
-    g4 = facts(spark, sf_dir).filter(P.G4)
-    return clusters.deploy_summary(g4, clusters.deploy_accounts(g4, _named(spark, sf_dir)))["accounts"].select("account", "tx", "block", "gas_delta")
+    return _deployed(spark, sf_dir)["accounts"]
 
 
-@query("SELECT substr(coalesce(tier1_failing_selector, entry_selector), 1, 6) AS key, count(*) AS count FROM g4 WHERE oog_contract IN (SELECT contract FROM deploy) GROUP BY 1", LABELS_SQL, _NAMED, _DEPLOY)
-def deploy_families(spark, sf_dir):
-    g4 = facts(spark, sf_dir).filter(P.G4)
-    return clusters.deploy_summary(g4, clusters.deploy_accounts(g4, _named(spark, sf_dir)))["initcode_families"]
+_DEPLOYED = "g4 WHERE oog_contract IN (SELECT contract FROM deploy)"
+
+
+@query(" UNION ALL ".join([
+    f"SELECT 'opcode' AS view, oog_opcode AS key, count(*) AS count FROM {_DEPLOYED} AND oog_opcode IS NOT NULL GROUP BY 2",
+    f"SELECT 'family', substr(coalesce(tier1_failing_selector, entry_selector), 1, 6) AS key, count(*) FROM {_DEPLOYED} AND coalesce(tier1_failing_selector, entry_selector) IS NOT NULL GROUP BY 2",
+    f"(SELECT 'entry', lower(recipient) AS key, count(*) AS n FROM {_DEPLOYED} AND recipient IS NOT NULL GROUP BY 2 ORDER BY n DESC, key LIMIT 8)",
+    "(SELECT 'revert', revert_decoded AS key, count(*) AS n FROM g4 WHERE divergence_contract IN (SELECT contract FROM deploy) AND revert_decoded IS NOT NULL GROUP BY 2 ORDER BY n DESC, key LIMIT 8)"]), LABELS_SQL, _NAMED, _DEPLOY)
+def deploy_mixes(spark, sf_dir):
+    parts = _deployed(spark, sf_dir)
+    views = {"opcode": "halt_opcode_split", "family": "initcode_families", "entry": "top_entry_contracts", "revert": "revert_reasons"}
+    out = [parts[p].select(F.lit(v).alias("view"), "key", "count") for v, p in views.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(f"SELECT count(DISTINCT oog_contract) AS count, {_q('gas_delta', 0.5)} AS gas_p50, {_q('gas_delta', 0.9)} AS gas_p90, min(gas_delta) AS gas_min, max(gas_delta) AS gas_max, {_DRIVERS} FROM {_DEPLOYED}", LABELS_SQL, _NAMED, _DEPLOY)
+def deploy_figures(spark, sf_dir):
+    return _deployed(spark, sf_dir)["figures"].select("count", "gas_p50", "gas_p90", "gas_min", "gas_max", *_flat_drivers())
 
 
 @query("SELECT n.address, label, owner_project, CASE WHEN category <> 'unknown' THEN category END AS category, nullif(entry, 0) AS entry_g4_tx_count, nullif(halts, 0) AS halt_count, nullif(reverts, 0) AS revert_count, footprint FROM counts JOIN named n ON n.address = contract WHERE contract NOT IN (SELECT contract FROM deploy)", LABELS_SQL, _NAMED, _DEPLOY, ROLES_SQL, _COUNTS)
@@ -513,7 +587,7 @@ def affected_contracts(spark, sf_dir):
 _RAW = "CASE event_id % 8 WHEN 0 THEN ' TRUE ' WHEN 1 THEN 'nan' WHEN 2 THEN '1e3' WHEN 3 THEN '9223372036854775808' WHEN 4 THEN '-5' WHEN 5 THEN '' WHEN 6 THEN CAST(event_id AS STRING) ELSE 'false' END"
 
 
-@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN TRUE WHEN 7 THEN FALSE END AS flag, CASE event_id % 8 WHEN 2 THEN 1000 WHEN 4 THEN -5 WHEN 6 THEN event_id END AS n, CASE event_id % 8 WHEN 2 THEN 1000 WHEN 6 THEN event_id END AS reservoir FROM events WHERE event_id > 1""", base=False)
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN TRUE WHEN 7 THEN FALSE END AS flag, CASE event_id % 8 WHEN 2 THEN 1000 WHEN 4 THEN -5 WHEN 6 THEN event_id END AS n, CASE event_id % 8 WHEN 2 THEN 1000 WHEN 6 THEN event_id END AS reservoir FROM events""", base=False)
 def null_coercion(spark, sf_dir):
     raw = F.expr(_RAW)
     return read_table(spark, sf_dir, "events").select("event_id", S.to_flag(raw).alias("flag"), S.to_long(raw).alias("n"), S.to_reservoir(raw).alias("reservoir"))
@@ -560,9 +634,17 @@ def category_fold(spark, sf_dir):
     return read_table(spark, sf_dir, "part").select("p_partkey", L.fold(c, L.ATTESTED).alias("attested"), L.fold(c, L.CURATED).alias("curated"), S.owner_of(name).alias("owner"))
 
 
-@query("SELECT e.event_id, CAST(value AS DOUBLE) / nullif(event_id % 4, 0) AS ratio, printf('%d', event_id) AS n FROM events e WHERE event_id < 900", base=False)
+_ADDRESS = "CASE WHEN event_id % 4 = 0 THEN 'a' || event_id ELSE '0x' || lpad(CAST(event_id AS STRING), 40, '7') END"
+
+
+@query(f"""SELECT event_id, CAST(value AS DOUBLE) / nullif(event_id % 4, 0) AS ratio, format('{{:,}}', event_id) AS n, format('{{:,.1f}}%', 100.0::DOUBLE * (event_id % 4096 / 64.0::DOUBLE)) AS pct,
+    CASE WHEN event_id % 4 = 0 THEN {_ADDRESS} ELSE substr({_ADDRESS}, 1, 6) || '…' || right({_ADDRESS}, 4) END AS short, upper(event_type[1]) || lower(event_type[2:]) || ' Of ' || user_id AS words FROM events""", base=False)
 def format_helpers(spark, sf_dir):
-    return read_table(spark, sf_dir, "events").select("event_id", S.safe_ratio(F.col("value"), F.col("event_id") % 4).alias("ratio"), S.format_count(F.col("event_id")).alias("n"))
+    address = F.expr(_ADDRESS)
+    return read_table(spark, sf_dir, "events").select(
+        "event_id", S.safe_ratio(F.col("value"), F.col("event_id") % 4).alias("ratio"), S.format_count(F.col("event_id")).alias("n"), S.format_percent(F.col("event_id") % 4096 / 64.0).alias("pct"),
+        S.short_address(address).alias("short"), S.humanize(F.concat_ws("__of_", F.upper("event_type"), "user_id")).alias("words"),
+    )
 
 
 # Labels and code ------------------------------------------------------------------------------------------
@@ -624,7 +706,7 @@ def _code(spark, sf_dir) -> DataFrame:
 _PUSH = "(?:" + "|".join([f"{0x5F + n:02x}[0-9a-f]{{{2 * n}}}" for n in range(1, 33)]) + "|[67][0-9a-f].*|..)"
 
 
-@query(f"SELECT doc_id, len(t) AS n, list_contains(t, '65') AS has_push6, t[1] AS first FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(hex(encode(substr(text, 1, 300)))), '{_PUSH}'), lambda x: substr(x, 1, 2)) AS t FROM documents WHERE length(text) > 0)", base=False)
+@query(f"SELECT doc_id, len(t) AS n, list_contains(t, '65') AS has_push6, t[1] AS first FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(hex(encode(coalesce(text, '')))), '{_PUSH}'), lambda x: substr(x, 1, 2)) AS t FROM documents)", base=False)
 def opcode_tokens(spark, sf_dir):
     """Instructions of every whole text; null and empty texts have none."""
     rows = _code(spark, sf_dir).withColumn("t", opcodes.instructions(F.col("code")))
@@ -648,3 +730,68 @@ def proxy_classify(spark, sf_dir):
 def latest_slot(spark, sf_dir):
     reads = read_table(spark, sf_dir, "lineitem").selectExpr("'S' || l_suppkey AS address", "l_linenumber AS slot", "l_partkey AS value", "l_orderkey AS block_number")
     return bytecode.latest_slots(reads, reads.filter("value % 2 = 0").withColumn("value", F.col("value") + 1))
+
+
+@query("""SELECT doc_id, 'x' || doc_id AS address, CASE WHEN erc IS NOT NULL THEN 'ERC-' || substr(erc, 4) || ' token' WHEN proxy THEN 'Proxy contract' WHEN factory THEN 'Factory contract' ELSE 'x' || doc_id END AS label,
+    CASE WHEN erc IS NOT NULL THEN 'token' ELSE 'unknown' END AS category, 'heuristic' AS source, 'low' AS confidence, FALSE AS is_mev_bot, proxy AS is_proxy, factory AS is_factory, erc AS erc_type, mechanism NOT IN ('none', 'minimal_proxy_immutable') AS is_upgradable, mechanism AS upgrade_mechanism,
+    CASE WHEN doc_id % 7 = 0 AND mechanism IN ('diamond', 'eip1967_transparent') THEN '0x' || lpad(lower(to_hex(doc_id + 1)), 40, '0') END AS upgrade_admin
+    FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'erc721' WHEN doc_id % 6 = 4 THEN 'erc20' END AS erc, doc_id % 6 = 0 OR doc_id % 7 = 0 AS proxy, doc_id % 6 = 3 AS factory,
+        CASE WHEN doc_id % 6 = 0 THEN 'minimal_proxy_immutable' WHEN doc_id % 6 = 2 OR doc_id % 13 = 0 THEN 'diamond' WHEN doc_id % 7 = 0 THEN 'eip1967_transparent' ELSE 'none' END AS mechanism FROM documents)""", base=False)
+def classify_contract(spark, sf_dir):
+    """Whole records from code, slots and interface answers."""
+    slot = bytecode.SLOTS["admin"]
+    answers = f"CASE WHEN doc_id % 11 = 0 THEN map('0x{bytecode.ERC721}', true) WHEN doc_id % 13 = 0 THEN map('{bytecode.LOUPE}', true) ELSE map('0x{bytecode.ERC721}', false) END"
+    loupe = f"CASE WHEN doc_id % 13 = 0 THEN map('0x{bytecode.LOUPE}', true) ELSE CAST(map() AS map<string,boolean>) END"
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x"), "doc_id").alias("address"), F.expr(_CODE).alias("code"), F.expr(f"CASE WHEN doc_id % 7 = 0 THEN map('0x{slot}', '0x' || hex(doc_id + 1)) ELSE map('{slot}', '0x000') END").alias("storage"), F.expr(f"CASE WHEN doc_id % 143 = 0 THEN map_concat(map('0x{bytecode.ERC721}', true), {loupe}) ELSE {answers} END").alias("answers"))
+    columns = ["address", "label", "category", "source", "confidence", "is_mev_bot", "is_proxy", "is_factory", "erc_type", "is_upgradable", "upgrade_mechanism", "upgrade_admin"]
+    return bytecode.classify(rows).select(F.substring("address", 2, 30).cast("bigint").alias("doc_id"), *columns)
+
+
+@query("""SELECT 'c' || c_custkey AS address, c_name AS label, CASE WHEN c_custkey % 2 = 0 THEN 'token' ELSE 'nft' END AS category, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS owner_project, 'oli' AS source, 'high' AS confidence, c_custkey % 2 = 1 AND c_custkey % 3 = 0 AS is_mev_bot,
+    CASE WHEN c_custkey % 2 = 1 THEN TRUE END AS is_proxy, CASE WHEN c_custkey % 2 = 1 THEN 'uups' END AS upgrade_mechanism FROM customer""", base=False)
+def schema_evolution(spark, sf_dir):
+    """A label table whose older files lack columns and whose newer ones have one too many, in another order."""
+    path = f"{scratch_folder(spark)}/labels-{uuid.uuid4().hex}"
+    c = read_table(spark, sf_dir, "customer")
+    head = ["'c' || c_custkey AS address", "c_name AS label"]
+    c.filter("c_custkey % 2 = 0").selectExpr(*head, "'token' AS category", "'oli' AS source", "'high' AS confidence").write.parquet(path)
+    c.filter("c_custkey % 2 = 1").selectExpr("'uups' AS upgrade_mechanism", *head, "1 AS not_ours", "'nft' AS category", "c_mktsegment AS owner_project", "'oli' AS source", "'high' AS confidence", "c_custkey % 3 = 0 AS is_mev_bot", "true AS is_proxy").write.mode("append").parquet(path)
+    return read_labels(spark, path).select("address", "label", "category", "owner_project", "source", "confidence", "is_mev_bot", "is_proxy", "upgrade_mechanism")
+
+
+_TAGS = {
+    "label": "CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END", "category": "CASE WHEN s_nationkey % 5 = 0 THEN 'unknown' ELSE 'token' END", "owner_project": "CASE WHEN s_suppkey % 4 = 0 THEN 'owner' || CAST(s_nationkey AS STRING) ELSE '' END",
+    "source": "CASE WHEN s_suppkey % 2 = 0 THEN 'oli' ELSE 'unknown' END", "confidence": "'high'", "is_mev_bot": "s_suppkey % 6 = 0", "mev_role": "'arb'", "is_proxy": "CASE WHEN s_suppkey % 5 = 0 THEN TRUE END", "is_factory": "CAST(NULL AS BOOLEAN)", "is_safe": "FALSE",
+    "erc_type": "CASE WHEN s_suppkey % 7 = 0 THEN 'erc20' END", "is_upgradable": "CASE WHEN s_suppkey % 3 = 0 THEN TRUE END", "upgrade_mechanism": "CASE WHEN s_suppkey % 3 = 0 THEN 'uups' ELSE 'none' END", "upgrade_admin": "CASE WHEN s_suppkey % 3 = 0 THEN 'adm' || CAST(s_suppkey AS STRING) END",
+}
+_PROBES = {
+    "is_proxy": "FALSE", "is_factory": "TRUE", "is_safe": "CAST(NULL AS BOOLEAN)", "erc_type": "CASE WHEN s_suppkey % 8 = 0 THEN 'erc721' ELSE '' END", "is_upgradable": "s_suppkey % 8 = 0",
+    "upgrade_mechanism": "CASE WHEN s_suppkey % 8 = 0 THEN 'beacon' WHEN s_suppkey % 12 = 0 THEN 'minimal_proxy_immutable' ELSE 'none' END", "upgrade_admin": "CASE WHEN s_suppkey % 8 = 0 THEN 'p' || CAST(s_suppkey AS STRING) END",
+}
+
+
+@query("""SELECT t.addr, coalesce(nullif(r.label, ''), t.addr) AS label, nullif(r.category, 'unknown') AS category, nullif(r.owner_project, '') AS owner_project, nullif(r.source, 'unknown') AS source, CASE WHEN r.source <> 'unknown' THEN r.confidence END AS confidence,
+    nullif(r.is_mev_bot, FALSE) AS is_mev_bot, CASE WHEN r.is_mev_bot THEN r.mev_role END AS mev_role, nullif(coalesce(p.is_proxy, FALSE) OR coalesce(r.is_proxy, FALSE), FALSE) AS is_proxy, nullif(coalesce(p.is_factory, FALSE), FALSE) AS is_factory, CAST(NULL AS BOOLEAN) AS is_safe,
+    coalesce(nullif(p.erc_type, ''), r.erc_type) AS erc_type, nullif(CASE WHEN p.upgrade_mechanism <> 'none' THEN p.is_upgradable ELSE r.is_upgradable END, FALSE) AS is_upgradable, nullif(CASE WHEN p.upgrade_mechanism <> 'none' THEN p.upgrade_mechanism ELSE r.upgrade_mechanism END, 'none') AS upgrade_mechanism,
+    CASE WHEN p.upgrade_mechanism <> 'none' THEN p.upgrade_admin ELSE r.upgrade_admin END AS upgrade_admin, t.count
+    FROM (SELECT oog_contract AS addr, count(*) AS count FROM g4 WHERE oog_contract IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12) t LEFT JOIN rec r ON r.address = t.addr LEFT JOIN probes p ON p.address = t.addr""",
+    *[f"{name} AS (SELECT 's' || CAST(s_suppkey AS STRING) AS address, {', '.join(f'{e} AS {n}' for n, e in tags.items())} FROM supplier{where})" for name, tags, where in (("rec", _TAGS, ""), ("probes", _PROBES, " WHERE s_suppkey % 4 = 0"))])
+def rich_leaderboard(spark, sf_dir):
+    s = read_table(spark, sf_dir, "supplier").withColumn("address", F.expr("'s' || CAST(s_suppkey AS STRING)"))
+    table = lambda rows, tags: rows.selectExpr("address", *[f"{e} AS {n}" for n, e in tags.items()])
+    return mixes.rich_leaderboard(facts(spark, sf_dir).filter(P.G4), "oog_contract", table(s, _TAGS), table(s.filter("s_suppkey % 4 = 0"), _PROBES))
+
+
+_HAND = ", ".join(f"('{a}', '{n}')" for a, n in L.MANUAL.items())
+
+
+@query(f"""SELECT coalesce(own.address, mev.address) AS address, CASE WHEN own.address IS NULL THEN 'MEV bot (arb)' ELSE coalesce(d, own.address) END AS label, coalesce(category, CASE WHEN mev.address IS NOT NULL THEN 'mev_bot' ELSE 'unknown' END) AS category,
+    CASE WHEN own.address IS NULL THEN 'mev' WHEN d IS NOT NULL THEN 'dune' ELSE 'oli' END AS source, mev.address IS NOT NULL AS is_mev_bot, proxy AS is_proxy FROM own FULL JOIN mev ON mev.address = own.address
+    UNION ALL SELECT a, n, CASE WHEN n LIKE '% precompile' THEN 'precompile' ELSE 'unknown' END, 'manual', FALSE, NULL FROM (VALUES {_HAND}) h(a, n)""", _MERGE.replace("WHERE c_custkey % 5 = 0", "WHERE FALSE"), base=False)
+def label_build(spark, sf_dir):
+    """The cache tables of three sources (two have none), merged with the names given by hand, written and read back."""
+    cache = f"{scratch_folder(spark)}/cache-{uuid.uuid4().hex}"
+    rows = _sources(spark, sf_dir)
+    for source in ("oli", "dune", "mev"):
+        write_labels(rows.filter(F.col("source") == source), f"{cache}/{source}.parquet")
+    return build(spark, None, cache).select("address", "label", "category", "source", "is_mev_bot", "is_proxy")

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltascope.functions import predicates as P
-from deltascope.operators import clusters, config, forensics, hist, labels as L, mixes, partition
+from deltascope.operators import bytecode, clusters, config, forensics, hist, labels as L, mixes, partition
 from deltascope.sources import tables
-from deltascope.sources.documents import collected, shard_rows, write_document, write_shards
+from deltascope.sources.documents import collected, shard_rows, streamed, write_document, write_rows, write_shards
 from deltascope.sources.label_files import read_labels
 
 
@@ -20,9 +20,20 @@ def stage_blocks(coverage: DataFrame, divergence: DataFrame, path: str) -> DataF
     partition.require_single_rows(coverage)
     blocks = tables.stage(partition.assemble(coverage, partition.block_groups(divergence)), path)
     partition.require_retained(blocks, divergence)
+    for name, broken in (("blocks that break the partition", partition.violations(blocks)), ("rows whose success and multiplier disagree", partition.multiplier_leaks(divergence))):
+        n = broken.count()
+        if n:
+            print(f"{n} {name}")
     return blocks
 
 
+def check_summary(summary: DataFrame) -> None:
+    """Say how many block summaries have mixes that don't add up."""
+    n = partition.summary_violations(summary).count()
+    if n:
+        print(f"{n} block summaries whose mixes differ from their transactions")
+
+
 def group_documents(divergence: DataFrame, summary: DataFrame, state_flavour: bool) -> dict[str, dict]:
     """The documents of categories, gas histograms, failure sites and examples, as JSON values."""
     g2 = forensics.g2_categories(divergence) | {"aggregate": partition.aggregate_mixes(summary)}
@@ -30,18 +41,32 @@ def group_documents(divergence: DataFrame, summary: DataFrame, state_flavour: bo
     gas = {"2": {"gas_bins": collected(hist.gas_histogram(summary.filter("class = 'gas_only'"), "gas_delta_log2_hist", divergence.filter(P.G2_DRILLIN))), "figures": collected(forensics.gas_view(divergence, summary))}}
     pct = summary.filter("class = 'gas_only'").agg(hist.sum_arrays_fixed(hist.resize(F.col("gas_delta_pct_hist"), len(P.PERCENT_EDGES)), len(P.PERCENT_EDGES)).alias("h"))
     gas["2"]["pct_bins"] = collected(pct.select(F.posexplode("h").alias("bin", "count")))
+    gas["2"]["pct_cohort"] = "gas_only"
+    gas["2"]["pct_covered_count"] = sum(b["count"] for b in gas["2"]["pct_bins"])
     for key, pred in (("3", P.G3), ("4", P.G4)):
-        gas[key] = several(forensics.signed_view(divergence.filter(pred)))
+        view = gas[key] = several(forensics.signed_view(divergence.filter(pred)))
+        view["pct_cohort"] = "drillin"
+        view["pct_covered_count"] = sum(b["count"] for b in view["pct_bins"])
+        view["pct_excluded_count"] = view["figures"][0]["count"] - view["pct_covered_count"]
     categories = {"g2": several(g2), "g3": several(forensics.g3_categories(divergence, state_flavour)), "g4": several(forensics.g4_categories(divergence, state_flavour))}
     return {"gas_hist": {"groups": gas}, "group_categories": categories, "examples": {"rows": collected(forensics.examples(divergence))}}
 
 
-def failure_documents(divergence: DataFrame, names: DataFrame, denominators: DataFrame | None) -> dict[str, dict]:
+def structural_probes(divergence: DataFrame, structure: tuple[DataFrame, DataFrame, DataFrame] | None) -> DataFrame | None:
+    """Label records of the contracts on the leaderboard from their code and slots (reads, diffs, codes); None without these."""
+    if structure is None:
+        return None
+    asked = mixes.mix(divergence.filter(f"({P.G4}) AND {P.OOG}"), F.col("oog_contract"), mixes.BOARD).select(F.col("key").alias("address"))
+    return bytecode.classify(bytecode.structural_inputs(asked, *structure))
+
+
+def failure_documents(divergence: DataFrame, names: DataFrame, denominators: DataFrame | None, probes: DataFrame | None = None) -> dict[str, dict]:
     out = {}
     for name, oog in (("oog_forensics", True), ("nonoog_forensics", False)):
-        parts = forensics.failure_site(divergence, oog, names, denominators)
+        parts = forensics.failure_site(divergence, oog, names, denominators, probes)
         links = parts.pop("flow").collect()  # at most 11 x 11
         doc = {k: collected(v, 6, keep_nulls=k != "contract_leaderboard") for k, v in parts.items()}
+        doc["call_depth_uncovered"] = doc["total"][0]["n"] - sum(b["count"] for b in doc["call_depth_hist"])
         out[name] = doc | {"sankey": mixes.flow_document(links, "halt" if oog else "revert")}
     rows = forensics.contract_failures(divergence)
     few = F.broadcast(rows.select("recipient"))
@@ -56,10 +81,10 @@ def affected_tables(divergence: DataFrame, names: DataFrame, denominators: DataF
     """index, shards (one nested row per contract), deploy (contract) and the parts of the collapsed document; empty g4 gives empty tables."""
     g4 = divergence.filter(P.G4)
     roled = clusters.roles(g4)
-    deploy = clusters.deploy_accounts(g4, clusters.searchable(names))
-    counts = clusters.role_counts(roled)
-    own = roled.join(deploy, "contract", "left_anti")
-    found = clusters.failure_clusters(own)
+    deploy = tables.held(clusters.deploy_accounts(g4, clusters.searchable(names)), "deploy")
+    counts = tables.held(clusters.role_counts(roled), "role-counts")
+    own = tables.held(roled.join(deploy, "contract", "left_anti").select("contract", *clusters.ROLED), "roled")
+    found = tables.held(clusters.failure_clusters(own), "clusters")
     if selectors is not None:
         asked = found.join(names.select(F.col("address").alias("contract"), "category"), "contract", "left").select("contract", "place", F.col("failing_selector").alias("selector"), "category")
         got = L.decode_selectors(asked, selectors).withColumnRenamed("signature", "selector_signature")
@@ -80,51 +105,66 @@ def affected_tables(divergence: DataFrame, names: DataFrame, denominators: DataF
 
 
 def write_affected(parts: dict[str, DataFrame], folder: str) -> int:
-    """index.json and deploy_oog.json (compact) and one shard per contract; shards that are no longer there go."""
+    """index.json and deploy_oog.json (compact) and one shard per contract, in place of what the folder held."""
     n = write_shards(shard_rows(parts["shards"], "contract", *[F.col(c) for c in parts["shards"].columns]), folder)
     collapsed = parts["deploy"].count()
-    index = {"affected_count": n + collapsed, "deploy_oog": {"count": collapsed, "file": "deploy_oog.json"}, "contracts": collected(parts["index"].drop("footprint"), keep_nulls=False, limit=1_000_000)}
-    write_document(index, f"{folder}/index.json", None)
+    head = {"affected_count": n + collapsed, "deploy_oog": {"count": collapsed, "file": "deploy_oog.json"}}
+    write_rows(f"{folder}/index.json", head, "contracts", streamed(parts["index"].drop("footprint"), keep_nulls=False))
     names = ("halt_opcode_split", "initcode_families", "top_entry_contracts", "revert_reasons", "figures")
-    accounts = {r["account"]: {k: v for k, v in r.items() if k != "account"} for r in collected(parts["deploy_accounts"], limit=1_000_000)}
-    write_document({"class": "deploy_oog", "count": collapsed, "aggregate": {k: collected(parts[f"deploy_{k}"]) for k in names}, "accounts": accounts}, f"{folder}/deploy_oog.json", None)
+    head = {"class": "deploy_oog", "count": collapsed, "aggregate": {k: collected(parts[f"deploy_{k}"]) for k in names}}
+    accounts = ((r["account"], {k: v for k, v in r.items() if k != "account"}) for r in streamed(parts["deploy_accounts"].orderBy("account")))
+    write_rows(f"{folder}/deploy_oog.json", head, "accounts", accounts, keyed=True)
     return n
 
 
-def run_schedule(spark: SparkSession, warehouse: str, out: str, schedule: str, configuration: str, blocks: tuple[int, int], label_path: str | None = None, state_flavour: bool = True) -> None:
-    """Read one schedule's tables from the warehouse folder, write its documents under out/schedule."""
+def optional(what: str, read):
+    """read(), written once; None where the source is missing or broken, which is said."""
+    try:
+        return read()
+    except Exception as e:  # a source that the run can do without
+        print(f"no {what}: {type(e).__name__}")
+        return None
+
+
+def run_schedule(spark: SparkSession, warehouse: str, out: str, schedule: str, configuration: str, blocks: tuple[int, int], label_path: str | None = None, state_flavour: bool = True, selector_path: str | None = None) -> None:
+    """Read one schedule's tables from the warehouse folder, write its documents under out/schedule.
+
+    Optional sources are evaluated before they are used, so a broken one costs its own figures alone: transactions
+    (denominators of rates), selector_path (signatures), and storage_reads, storage_diffs and contract_codes (structural tags).
+    """
     table = lambda n: tables.pinned(tables.read_table(spark, warehouse, n), configuration, schedule, blocks)
+    plain_table = lambda n: tables.read_table(spark, warehouse, n)
     staged = f"{out}/_staged/{schedule}"
     divergence = tables.stage(tables.read_divergence(table("gas_analysis_divergence")), f"{staged}/divergence").drop("block_bucket")
     coverage = tables.latest_coverage(table("gas_analysis_block_coverage"))
     staged_blocks = stage_blocks(coverage, divergence, f"{staged}/blocks")
     summary = tables.latest_coverage(table("gas_analysis_block_summary"))
+    check_summary(summary)
     names = read_labels(spark, label_path) if label_path else L.manual_labels(spark)
-    try:
-        transactions = tables.read_table(spark, warehouse, "canonical_execution_transaction")
-        best = mixes.mix(divergence.filter(P.G4), F.col("recipient"), clusters.PROBES).select(F.col("key").alias("addr"))
-        denominators = tables.denominators(transactions, best, blocks)
-    except Exception as e:  # an optional source: without it, rates are null
-        print(f"no denominators: {type(e).__name__}")
-        denominators = None
+    counts = clusters.role_counts(clusters.roles(divergence.filter(P.G4)))
+    asked = lambda: clusters.probe_set(counts, clusters.searchable(names)).select(F.col("contract").alias("addr"))
+    denominators = optional("denominators", lambda: tables.held(tables.denominators(plain_table("canonical_execution_transaction"), tables.held(asked(), "asked"), blocks), "denominators"))
+    selectors = optional("selectors", lambda: tables.held(L.selector_cache(spark.read.parquet(selector_path), "first_seen"), "selectors")) if selector_path else None
+    inputs = ("storage_reads", "storage_diffs", "contract_codes")
+    probes = optional("structural tags", lambda: tables.held(structural_probes(divergence, tuple(plain_table(n) for n in inputs)), "probes"))
     documents = {"meta": {"rows": collected(partition.meta(staged_blocks))}, "overview": {"series": collected(partition.overview(staged_blocks), limit=100_000)}}
-    documents |= group_documents(divergence, summary, state_flavour) | failure_documents(divergence, names, denominators)
+    documents |= group_documents(divergence, summary, state_flavour) | failure_documents(divergence, names, denominators, probes)
     for name, doc in documents.items():
         write_document({"schedule": schedule} | doc, f"{out}/{schedule}/{name}.json")
-    write_affected(affected_tables(divergence, names, denominators, None), f"{out}/{schedule}/affected")
+    write_affected(affected_tables(divergence, names, denominators, selectors), f"{out}/{schedule}/affected")
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Compare schedules over a window of blocks and write their documents.")
     p.add_argument("warehouse"), p.add_argument("out"), p.add_argument("--schedules", nargs="+", required=True)
-    p.add_argument("--config"), p.add_argument("--start", type=int), p.add_argument("--end", type=int), p.add_argument("--full", action="store_true"), p.add_argument("--labels")
+    p.add_argument("--config"), p.add_argument("--start", type=int), p.add_argument("--end", type=int), p.add_argument("--full", action="store_true"), p.add_argument("--labels"), p.add_argument("--selectors")
     a = p.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     found = config.resolve(config.coverage_by_config(tables.read_table(spark, a.warehouse, "gas_analysis_block_coverage")), a.schedules, a.config)
     blocks = config.window(found, a.start, found.hi if a.full and a.end is None else a.end)
     Path(a.out).mkdir(parents=True, exist_ok=True)
     for s in a.schedules:
-        run_schedule(spark, a.warehouse, a.out, s, found.configs[s], blocks, a.labels)
+        run_schedule(spark, a.warehouse, a.out, s, found.configs[s], blocks, a.labels, selector_path=a.selectors)
 
 
 if __name__ == "__main__":

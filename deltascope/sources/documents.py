@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -49,24 +51,54 @@ def shard_rows(df: DataFrame, key: str, *columns: str | Column) -> DataFrame:
     return df.select(F.lower(key).alias("key"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("body"))
 
 
+def write_rows(path: str, head: dict, name: str, rows: Iterable, keyed: bool = False) -> int:
+    """A compact document of head and, under name, rows as they come: a list, or an object of (key, value) pairs. Holds one row at a time."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    text = lambda x: json.dumps(x, separators=(",", ":"), default=str)
+    n = 0
+    with open(f"{path}.tmp", "w") as out:
+        out.write(text(head)[:-1] + ("," if head else "") + text(name) + ":" + ("{" if keyed else "["))
+        for row in rows:
+            out.write(("," if n else "") + (f"{text(row[0])}:{text(row[1])}" if keyed else text(row)))
+            n += 1
+        out.write(("}" if keyed else "]") + "}")
+    os.replace(f"{path}.tmp", path)
+    return n
+
+
+def streamed(df: DataFrame, places: int | None = 4, keep_nulls: bool = True) -> Iterator:
+    """The rows of a result of any size as JSON values, a partition at a time."""
+    return (plain(r, places, keep_nulls) for r in df.toLocalIterator())
+
+
 def write_shards(rows: DataFrame, folder: str) -> int:
-    """One file {key}.json per row; files of keys that are no longer there go. Written by tasks, by rename, so a task may run twice.
+    """One file {key}.json per row in folder, in place of all that was there; returns their number.
 
-    folder is one that all executors and the driver share.
+    folder is a path or URI that all executors and the driver share. Tasks write into a new folder
+    beside it, each file by rename, so a task may run twice; the new folder then takes the old one's place.
     """
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    uri = folder if ":" in folder.split("/", 1)[0] else f"file://{os.path.abspath(folder)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pyarrow.fs.FileSystem.from_uri(f"{uri}.next")
+        fs.create_dir(at, recursive=True)
         for batch in batches:
-            keys = batch.column("key").to_pylist()
-            for key, body in zip(keys, batch.column("body").to_pylist()):
-                tmp = Path(folder, f".{key}.{os.getpid()}")
-                tmp.write_text(body)
-                os.replace(tmp, Path(folder, f"{key}.json"))
-            yield pa.RecordBatch.from_arrays([pa.array([f"{k}.json" for k in keys], type=pa.string())], names=["file"])
-
-    done = {r["file"] for r in rows.mapInArrow(run, "file string").toLocalIterator()}
-    for p in Path(folder).glob("0x*.json"):
-        if p.name not in done:
-            p.unlink()
-    return len(done)
+            for key, body in zip(batch.column("key").to_pylist(), batch.column("body").to_pylist()):
+                own = f"{at}/.{key}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(own) as out:
+                    out.write(body.encode())
+                fs.move(own, f"{at}/{key}.json")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    spark = rows.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    now, new, old = (path(f"{uri}{x}") for x in ("", ".next", ".old"))
+    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(new, True), fs.delete(old, True)
+    n = rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    fs.mkdirs(new)
+    if fs.exists(now):
+        fs.rename(now, old)
+    fs.rename(new, now)
+    fs.delete(old, True)
+    return n

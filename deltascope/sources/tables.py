@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +52,43 @@ def read_divergence(df: DataFrame) -> DataFrame:
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:
-    """Write a staged table by block bucket, replacing what was there, and read it back."""
-    df.withColumn("block_bucket", F.floor(F.col("block_number") / BUCKET)).write.mode("overwrite").partitionBy("block_bucket").parquet(path)
+    """Write a staged table by block bucket, replacing what was there, and read it back.
+
+    Rows are ranged by block first, so a bucket gets files from few tasks and a file's row groups hold few blocks.
+    """
+    df = df.withColumn("block_bucket", F.floor(F.col("block_number") / BUCKET)).repartitionByRange("block_number").sortWithinPartitions("block_number")
+    df.write.mode("overwrite").partitionBy("block_bucket").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+_own_folders: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else, on a local master alone, one that goes with the process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _own_folders:
+        made = tempfile.mkdtemp(prefix="deltascope-scratch-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _own_folders[context.applicationId] = f"file://{made}"
+    return _own_folders[context.applicationId]
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """A table that several branches of a plan read: written once to the scratch folder and read back."""
+    path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest_coverage(df: DataFrame) -> DataFrame:
-    return latest_version(df, ["row_id"], [F.desc("updated_at"), F.desc(F.xxhash64("block_number", "tx_count"))])
+    """The newest row of each identity; of equal versions, by a hash of all columns."""
+    return latest_version(df, ["row_id"], [F.desc("updated_at"), F.desc(F.xxhash64(*df.columns))])
 
 
 def denominators(transactions: DataFrame, addresses: DataFrame, blocks: tuple[int, int]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from deltascope.functions import opcodes, predicates as P, scalars as S
 from deltascope.model import DIVERGENCE, DIVERGENCE_COLUMNS, LABEL
 from deltascope.operators import bytecode, clusters, config, forensics, hist, labels as L, mixes, partition, versioned
-from deltascope.plans import schedule
+from deltascope.plans import label_build, schedule
 from deltascope.sources import documents, label_files, tables
 
 
@@ -297,14 +297,14 @@ def test_label_files(spark, tmp_path):
     assert [(r["address"], r["label"], r["erc_type"]) for r in label_files.registry_tokens(spark, f"{tmp_path}/reg").collect()] == [("0xdd", "S", "ERC20")]
 
 
-def warehouse(spark, path):
+def warehouse(spark, path, selector="0x6011"):
     """A small warehouse: two versions of each row, one configuration, one schedule."""
     rng = random.Random(2)
     rows, cov = [], []
     for b in range(100, 140):
         kinds = [rng.choice([{"baseline_success": True, "schedule_success": True}, {**G4, "min_multiplier_to_succeed": 3.0}, G4, {"baseline_success": False, "schedule_success": False}]) for _ in range(12)]
         for i, k in enumerate(kinds):
-            extra = {"block_number": b, "tx_hash": f"0xT{b}{i}", "recipient": rng.choice(["0xAA", "0xBB", None]), "gas_delta": rng.randint(-50, 50), "baseline_gas_used": 100, "oog_contract": rng.choice(["0xCC", None]), "divergence_contract": rng.choice(["0xDD", None]), "entry_selector": "0x6011", "status_changed": True, "replay_halt_oog": False, "revert_decoded": "Error(string): no", "tx_type": 2, "is_create": False, "oog_call_depth": rng.choice([1, None])}
+            extra = {"block_number": b, "tx_hash": f"0xT{b}{i}", "recipient": rng.choice(["0xAA", "0xBB", None]), "gas_delta": rng.randint(-50, 50), "baseline_gas_used": 100, "oog_contract": rng.choice(["0xCC", None]), "divergence_contract": rng.choice(["0xDD", None]), "entry_selector": selector, "status_changed": True, "replay_halt_oog": False, "revert_decoded": "Error(string): no", "tx_type": 2, "is_create": False, "oog_call_depth": rng.choice([1, None])}
             rows += [(f"{b}-{i}", v, *[{**k, **extra, "gas_delta": extra["gas_delta"] if v == 2 else 999}.get(c) for c in DIVERGENCE_COLUMNS]) for v in (1, 2)]
         cov.append((f"c{b}", 1, b, 20, 5, 3, 12, 12, False))
     pin = [F.lit(1).alias("chain_id"), F.lit("cfg").alias("analysis_config_hash"), F.lit("s1").alias("schedule_name")]
@@ -337,6 +337,80 @@ def test_whole_run(spark, tmp_path):
     failures = read("contract_failures")["contracts"]
     assert failures[-1]["cumulative_share"] <= 1 and len(read("examples")["rows"]) == 40
     assert read("oog_forensics")["sankey"]["links"] and read("nonoog_forensics")["revert_error_mix"][0]["key"] == "no"
+    assert gas["pct_cohort"] == "gas_only" and read("gas_hist")["groups"]["4"]["pct_excluded_count"] == 0 and read("oog_forensics")["call_depth_uncovered"] == 0
+    assert read("nonoog_forensics")["call_depth_uncovered"] == read("nonoog_forensics")["total"][0]["n"] > 0
+    assert all(c["selector_signature"] is None for c in shard["failure_clusters"])
+    assert list(read("affected/deploy_oog")["accounts"]) == ["0xcc"]
+
+
+def test_whole_run_with_optional_sources(spark, tmp_path, capsys):
+    warehouse(spark, tmp_path / "in", "0xa9059cbb")
+    slot = f"0x{bytecode.SLOTS['admin']}"
+    spark.createDataFrame([("0xcc", slot, "0x0", 1)], "address string, slot string, value string, block_number long").write.parquet(f"{tmp_path}/in/storage_reads.parquet")
+    spark.createDataFrame([("0xCC", slot, "0x77", 2)], "address string, slot string, value string, block_number long").write.parquet(f"{tmp_path}/in/storage_diffs.parquet")
+    spark.createDataFrame([("0xcc", "0x00f5", 1)], "address string, code string, block_number long").write.parquet(f"{tmp_path}/in/contract_codes.parquet")
+    spark.createDataFrame([("0xA9059CBB", "transfer(address,uint256)", "4byte", 1), ("0xa9059cbb", "join_tg_invmru_haha(bool,address)", "", 2)], "selector string, text_signature string, source string, first_seen int").write.parquet(f"{tmp_path}/selectors.parquet")
+    for f in (tmp_path / "in/canonical_execution_transaction.parquet").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    schedule.main([str(tmp_path / "in"), str(tmp_path / "out"), "--schedules", "s1", "--start", "100", "--end", "139", "--selectors", f"{tmp_path}/selectors.parquet"])
+    read = lambda n: json.loads((tmp_path / "out/s1" / f"{n}.json").read_text())
+    board = read("oog_forensics")["contract_leaderboard"]
+    assert board[0]["addr"] == "0xcc" and board[0]["is_factory"] and board[0]["upgrade_mechanism"] == "eip1967_transparent" and board[0]["upgrade_admin"].endswith("77")
+    assert {c["selector_signature"] for c in read("affected/0xcc")["failure_clusters"]} == {"transfer(address,uint256)"}
+    assert "no denominators" in capsys.readouterr().out and "total_tx" not in read("affected/0xaa")["context"]
+
+
+def test_medians_round_halves_to_even(spark):
+    rows = divergence(spark, *[{**G4, "block_number": i, "tx_hash": f"t{i}", "recipient": "r", "gas_delta": g, "runtime_state_gas_spillover": g} for i, g in enumerate((2, 3))])
+    got = clusters.failure_clusters(clusters.roles(rows)).collect()
+    assert [r["gas_p50"] for r in got] == [2] and one(forensics.reservoir(rows, False), "avg_spillover") == [2]
+    assert [r["gas_p50"] for r in clusters.context(clusters.roles(rows), rows).collect()] == [2]
+
+
+def test_quantiles_of_groups(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, rng.randint(-20, 20)]), rng.random()) for k in "abc" for _ in range(rng.randint(1, 60))] + [("d", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x int, y double")
+    got = {r["k"]: r for r in hist.quantiles(df, ["k"], {"x": F.col("x"), "y": F.col("y")}, (0.0, 0.5, 0.9, 1.0)).collect()}
+    for k in "abcd":
+        for name, at in (("x", 1), ("y", 2)):
+            values = [r[at] for r in rows if r[0] == k and r[at] is not None]
+            assert got[k][f"q_{name}"] is None if not values else np.allclose(got[k][f"q_{name}"], np.percentile(values, [0, 50, 90, 100]))
+
+
+def test_summary_violations(spark):
+    names = [p for ps in partition.SUMMARY_VIEWS.values() for p in ps]
+    good = {"no_state": 3, "runtime_state": 2, "creation": 5, "type_legacy": 5}
+    rows = [(1, "gas_only", 5, *[good.get(n, 0) for n in names]), (2, "gas_only", 5, *[good.get(n, 1) for n in names]), (3, "unchanged", 9, *[0 for _ in names]), (4, "gas_only", 7, *[None for _ in names])]
+    df = spark.createDataFrame(rows, "block_number long, class string, tx_count long, " + ", ".join(f"tx_count_{n} long" for n in names))
+    assert {r["block_number"]: r["broken"] for r in partition.summary_violations(df).collect()} == {2: "tx_shape,tx_type"}
+
+
+def test_label_build(spark, tmp_path):
+    landed, cache = tmp_path / "landed", tmp_path / "cache"
+    spark.createDataFrame([("0xA1", False, "2", {"contract_name": "Pool", "usage_category": "dex", "is_proxy": "true"}), ("0xa1", True, "3", {"contract_name": "Old"})], "recipient string, revoked boolean, time string, tags map<string,string>").write.parquet(f"{landed}/attestations.parquet")
+    spark.createDataFrame([("0xa1", "Uni: Pool", "bridge"), ("0xb2", "", "cex")], "address string, name string, category string").write.parquet(f"{landed}/curated.parquet")
+    spark.createDataFrame([("frontrun", "0xB2"), ("swap", "0xc3")], "mev_type string, address_from string").write.parquet(f"{landed}/mev.parquet")
+    for kind, doc in (("contracts", '{"project": "Who"}'), ("tokens", '{"symbol": "TOK", "type": "ERC20"}')):
+        (landed / "registry" / kind).mkdir(parents=True)
+        (landed / "registry" / kind / f"0x{kind[0]}.json").write_text(doc)
+    got = {r["address"]: r for r in label_build.build(spark, str(landed), str(cache)).collect()}
+    assert (got["0xa1"]["label"], got["0xa1"]["category"], got["0xa1"]["source"], got["0xa1"]["is_proxy"]) == ("Pool", "swap_dex", "oli", True)
+    assert (got["0xb2"]["category"], got["0xb2"]["is_mev_bot"], got["0xb2"]["mev_role"]) == ("cex", True, "sandwich") and "0xc3" not in got
+    assert got["0xc"]["owner_project"] == "Who" and got["0xt"]["category"] == "token" and got["0x" + "0" * 39 + "1"]["category"] == "precompile"
+    assert not (cache / "heuristic.parquet").exists()  # has not landed
+    label_files.write_labels(L.records(spark.createDataFrame([("x",)], "a string"), "dune", "high", address=F.col("a"), category=F.lit("nonsense")), f"{cache}/dune.parquet")
+    with pytest.raises(ValueError, match="enumerations"):
+        label_build.merged(spark, str(cache))
+
+
+def test_streamed_documents(tmp_path):
+    assert documents.write_rows(f"{tmp_path}/a/x.json", {"n": 1}, "rows", iter([{"a": None}, [2]])) == 2
+    assert json.loads((tmp_path / "a/x.json").read_text()) == {"n": 1, "rows": [{"a": None}, [2]]}
+    assert documents.write_rows(f"{tmp_path}/y.json", {}, "rows", iter([("k", 1), ("l", {})]), keyed=True) == 2 and json.loads((tmp_path / "y.json").read_text()) == {"rows": {"k": 1, "l": {}}}
+    assert documents.write_rows(f"{tmp_path}/z.json", {}, "rows", iter([])) == 0 and json.loads((tmp_path / "z.json").read_text()) == {"rows": []}
 
 
 def test_pinned_reads_only_its_buckets(spark, tmp_path):

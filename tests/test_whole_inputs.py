@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from deltascope.llm import language_id
+from deltascope.operators import partition
 from deltascope.plans import driver
 from deltascope.plans.driver import QUERIES
 
@@ -31,23 +31,21 @@ def test_opcode_tokens_read_whole_texts(spark, tmp_path):
 
 def test_format_helpers_format_every_event(spark, tmp_path):
     ids = [0, 1, 7, 899, 900, 999, 1000, 1234567, 9_000_000_001]
-    spark.createDataFrame([(i, i / 8) for i in ids], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(i, i / 8, "x", 1) for i in ids], "event_id long, value double, event_type string, user_id long").write.parquet(str(tmp_path / "events.parquet"))
     got = {r["event_id"]: (r["ratio"], r["n"]) for r in QUERIES["format_helpers"](spark, str(tmp_path)).collect()}
     assert got == {i: (i / 8 / (i % 4) if i % 4 else None, f"{i:,}") for i in ids}
 
 
 @pytest.mark.parametrize("column, broken", [("tx_count_stored", "I1"), ("retained_drill_in_count", "I2"), ("g5", "I3")])
-def test_violations_of_truncated_blocks_are_reported(spark, monkeypatch, column, broken):
+def test_violations_of_truncated_blocks_are_reported(spark, column, broken):
     columns = ["block_number", "tx_count", "tx_count_unchanged", "tx_count_gas_only", "tx_count_stored", "retained_drill_in_count", "g2_drillin", "g3", "g4", "af", "g5"]
     whole = spark.createDataFrame([(1, 22, 10, 5, 7, 5, 2, 1, 1, 1, 2, True), (2, 20, 10, 5, 5, 5, 2, 1, 1, 1, 0, False)], ", ".join(f"{c} long" for c in columns) + ", drill_ins_truncated boolean")
-    monkeypatch.setattr(driver, "_blocks", lambda spark, sf_dir: whole)
-    assert QUERIES["partition_violations"](spark, "").count() == 0
-    monkeypatch.setattr(driver, "_blocks", lambda spark, sf_dir: whole.withColumn(column, F.col(column) - 3))
-    assert {tuple(r) for r in QUERIES["partition_violations"](spark, "").collect()} == {(1, broken), (2, broken)}
+    assert partition.violations(whole).count() == 0
+    assert {(r["block_number"], r["broken"]) for r in partition.violations(whole.withColumn(column, F.col(column) - 3)).collect()} == {(1, broken), (2, broken)}
 
 
 def test_truncated_blocks_store_what_they_dropped(spark, monkeypatch):
-    """As the reference has it: I1 holds on every block and g5 is stored - retained."""
+    """I1 holds on every block and g5 is stored - retained."""
     day = datetime.datetime(2024, 1, 1)
     orders = spark.createDataFrame([(i, i % 13, day) for i in range(40)], "o_orderkey long, o_custkey long, o_orderdate timestamp")
     drilled = spark.createDataFrame([(i, True, True, None) for i in range(30) for _ in range(i % 7)], "block_number long, baseline_success boolean, schedule_success boolean, min_multiplier_to_succeed double")
@@ -65,11 +63,3 @@ def test_null_coercion_keeps_every_event(spark, tmp_path):
     got = {r["event_id"]: (r["flag"], r["n"], r["reservoir"]) for r in QUERIES["null_coercion"](spark, str(tmp_path)).collect()}
     kinds = [(True, None, None), (None, None, None), (None, 1000, 1000), (None, None, None), (None, -5, None), (None, None, None), None, (False, None, None)]
     assert got == {i: kinds[i % 8] or (None, i, i) for i in range(17)}
-
-
-def test_every_language_is_learned(spark):
-    rows = [(i, " ".join(["".join(chr(0x4E00 + 4 * i + k) for k in range(4))] * 9), f"l{i:03d}") for i in range(530)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
-    model = language_id.fit(df, F.lit(True))
-    assert model.languages == [lang for _, _, lang in rows]
-    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, model).collect()} == {i: lang for i, _, lang in rows}
