@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from deltascope.functions import opcodes, predicates as P, scalars as S
 from deltascope.operators import bytecode, clusters, config, forensics, hist, labels as L, mixes, partition, versioned
-from deltascope.plans.facts import COLUMNS, FACTS_SQL, LABELS_SQL, TOTALS_SQL, facts, labels, latest_items, totals
-from deltascope.plans.label_build import build
+from deltascope.model import DIVERGENCE_COLUMNS
+from deltascope.plans.facts import COLUMNS, FACTS_SQL, LABELS_SQL, TOTALS_SQL, VERSION, facts, labels, latest_items, totals
+from deltascope.plans.label_build import TAGS, build
+from deltascope.plans.schedule import affected_tables
 from deltascope.sources.label_files import read_labels, write_labels
-from deltascope.sources.tables import held, read_table, scratch_folder
+from deltascope.sources.tables import denominators as source_denominators, held, pinned, read_divergence, read_table, scratch_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -795,3 +797,98 @@ def label_build(spark, sf_dir):
     for source in ("oli", "dune", "mev"):
         write_labels(rows.filter(F.col("source") == source), f"{cache}/{source}.parquet")
     return build(spark, None, cache).select("address", "label", "category", "source", "is_mev_bot", "is_proxy")
+
+
+# The run's own reading ------------------------------------------------------------------------------------
+
+
+def _raw_divergence(spark, sf_dir) -> DataFrame:
+    """Line items as stored rows of several versions: flags as text, addresses in capitals, a row twice under equal versions."""
+    rows = read_table(spark, sf_dir, "lineitem").withColumns({c: F.expr(COLUMNS[c]) for c in DIVERGENCE_COLUMNS if c in COLUMNS})
+    text = {c: F.col(c).cast("string") for c in ("baseline_success", "schedule_success", "gas_delta")}
+    pin = {"chain_id": F.lit(1), "analysis_config_hash": F.lit("cfg"), "schedule_name": F.when(F.col("l_orderkey") % 2 == 0, "even").otherwise("odd"), "row_id": F.concat_ws("-", "l_orderkey", "l_linenumber"), "updated_at": F.struct(*VERSION)}
+    missing = {c: F.lit(None) for c in DIVERGENCE_COLUMNS if c not in COLUMNS}
+    return rows.withColumns(text | pin | missing | {"recipient": F.upper("recipient")}).select(*pin, *DIVERGENCE_COLUMNS)
+
+
+@query("SELECT block_number, tx_hash, baseline_success, schedule_success, gas_delta, lower(recipient) AS recipient FROM facts WHERE block_number % 2 = 0 AND block_number BETWEEN 200 AND 52000")
+def staged_divergence(spark, sf_dir):
+    """Newest versions, coerced, staged by block bucket, and a range of blocks of one schedule read back."""
+    rows = read_divergence(pinned(_raw_divergence(spark, sf_dir), "cfg", "even")).select("block_number", "tx_hash", "baseline_success", "schedule_success", "gas_delta", "recipient")
+    staged = stage(rows, f"{scratch_folder(spark)}/divergence-{uuid.uuid4().hex}")
+    return staged.filter("block_number BETWEEN 200 AND 52000").drop("block_bucket")
+
+
+@query("SELECT 's' || CAST(l_suppkey AS STRING) AS addr, count(*) AS total_tx FROM lineitem WHERE l_orderkey BETWEEN 100 AND 40000 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0) GROUP BY 1", base=False)
+def denominators(spark, sf_dir):
+    transactions = read_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS block_number", "CASE WHEN l_linenumber % 2 = 0 THEN 'S' ELSE 's' END || CAST(l_suppkey AS STRING) AS to_address")
+    asked = read_table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").selectExpr("'S' || CAST(s_suppkey AS STRING) AS addr")
+    return source_denominators(transactions, asked, (100, 40000))
+
+
+@query("""SELECT 'a' || s_suppkey AS address, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_name END AS label, CASE WHEN s_suppkey % 5 = 0 THEN 'wallet_safe' WHEN s_suppkey % 7 = 0 THEN 'account_abstraction' WHEN s_nationkey % 4 = 0 THEN 'swap_dex' WHEN s_nationkey % 4 = 1 THEN 'other' WHEN s_nationkey % 4 = 2 THEN 'unknown' ELSE 'nft' END AS category,
+    'owner' || s_nationkey AS owner_project, 'oli' AS source, 'high' AS confidence, s_suppkey % 2 = 0 AS is_proxy, s_suppkey % 5 = 0 AS is_safe, CASE WHEN s_suppkey % 3 = 0 THEN 'erc721' END AS erc_type FROM supplier""", base=False)
+def attested_labels(spark, sf_dir):
+    """Attestations of suppliers, an older one below each, collapsed and folded into records."""
+    s = read_table(spark, sf_dir, "supplier")
+    tags = "map('contract_name', CASE WHEN s_suppkey % 4 <> 0 THEN s_name END, 'usage_category', CASE s_nationkey % 4 WHEN 0 THEN 'Trading' WHEN 1 THEN 'what' WHEN 2 THEN '' ELSE 'nft_marketplace' END, 'owner_project', 'owner' || s_nationkey, 'is_proxy', CAST(s_suppkey % 2 = 0 AS STRING), 'is_safe_contract', CAST(s_suppkey % 5 = 0 AS STRING), 'is_bundler', CAST(s_suppkey % 7 = 0 AS STRING), 'erc_type', CASE WHEN s_suppkey % 3 = 0 THEN '[\"erc721\", \"x\"]' END)"
+    newest = s.selectExpr("'A' || s_suppkey AS recipient", "CAST(NULL AS BOOLEAN) AS revoked", "'2' AS time", f"{tags} AS tags")
+    older = s.selectExpr("'a' || s_suppkey AS recipient", "s_suppkey % 2 = 0 AS revoked", "'1' AS time", "map('is_proxy', 'wrong', 'owner_project', 'old', 'is_safe_contract', 'false') AS tags")
+    return L.attested_labels(L.collapse_attestations(newest.unionByName(older), TAGS)).select("address", "label", "category", "owner_project", "source", "confidence", "is_proxy", "is_safe", "erc_type")
+
+
+@query("""SELECT 'c' || c_custkey AS address, CASE WHEN c_custkey % 3 = 0 THEN ' C' || c_custkey ELSE c_mktsegment || ': ' || c_custkey END AS label, CASE c_nationkey % 3 WHEN 0 THEN 'swap_dex' WHEN 1 THEN 'infra' ELSE 'other' END AS category, CASE WHEN c_custkey % 3 <> 0 THEN lower(c_mktsegment) END AS owner_project, 'dune' AS source FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 7 <> 0""", base=False)
+def curated_labels(spark, sf_dir):
+    """One chain, no behavioural categories, categories folded, owners from names."""
+    c = read_table(spark, sf_dir, "customer")
+    raw = c.selectExpr("' C' || c_custkey AS address", "CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE c_mktsegment || ': ' || c_custkey END AS name", "CASE WHEN c_custkey % 7 = 0 THEN 'Arbitrage' WHEN c_nationkey % 3 = 0 THEN 'Balancer_v2_pool' WHEN c_nationkey % 3 = 1 THEN 'rollup' ELSE 'unheard of' END AS category", "CASE WHEN c_custkey % 4 = 0 THEN 'base' ELSE 'ethereum' END AS blockchain")
+    return L.curated_labels(L.curated_query(raw, None, ("arbitrage",))).select("address", "label", "category", "owner_project", "source")
+
+
+@query("SELECT event_id, event_id % 16 BETWEEN 1 AND 10 AS precompile FROM events", base=False)
+def precompile_flags(spark, sf_dir):
+    address = F.concat(F.lit("0X"), F.lpad(F.hex(F.col("event_id") % 16), 40, "0"))
+    return read_table(spark, sf_dir, "events").select("event_id", S.is_precompile(address).alias("precompile"))
+
+
+@query(f"""SELECT 's' || s_suppkey AS address, (SELECT arg_max('60' || lpad(to_hex(l_partkey), 6, '0'), (l_orderkey, '60' || lpad(to_hex(l_partkey), 6, '0'))) FROM lineitem WHERE l_suppkey = s_suppkey AND l_linenumber = 1) AS code,
+    (SELECT arg_max('0x' || to_hex(l_partkey), (l_orderkey, '0x' || to_hex(l_partkey))) FROM lineitem WHERE l_suppkey = s_suppkey AND l_linenumber = 2) AS admin FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'nobody', NULL, NULL""", base=False)
+def structural_inputs(spark, sf_dir):
+    """Newest code and slots of the addresses asked for; what was never seen is empty."""
+    items = read_table(spark, sf_dir, "lineitem").withColumn("address", F.expr("'S' || l_suppkey"))
+    slots = items.filter("l_linenumber = 2").select("address", F.lit(f"0x{bytecode.SLOTS['admin']}").alias("slot"), F.expr("'0x' || hex(l_partkey)").alias("value"), F.col("l_orderkey").alias("block_number"))
+    other = items.filter("l_linenumber = 3").select("address", F.lit("0x01").alias("slot"), F.lit("0xff").alias("value"), F.col("l_orderkey").alias("block_number"))
+    codes = items.filter("l_linenumber = 1").select("address", F.expr("'60' || lpad(hex(l_partkey), 6, '0')").alias("code"), F.col("l_orderkey").alias("block_number"))
+    asked = read_table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").selectExpr("'S' || s_suppkey AS address").union(spark.createDataFrame([("Nobody",)], "address string"))
+    out = bytecode.structural_inputs(asked, slots.filter("block_number % 2 = 0").unionByName(other), slots.filter("block_number % 2 = 1"), codes)
+    return out.select("address", "code", F.try_element_at("storage", F.lit(f"0x{bytecode.SLOTS['admin']}")).alias("admin"))
+
+
+@query(f"""SELECT c.contract, distinct_cluster_count, clusters_shown_share, n_clusters, top_count, nullif(entry, 0) AS entry, nullif(entry_oog, 0) AS entry_oog, nullif(halts, 0) AS oog_site, nullif(reverts, 0) AS revert_site, n.label AS label, total_tx,
+    round(CAST(halts AS DOUBLE) / total_tx, 6) AS halt_rate, signature FROM (
+    SELECT contract, max(distinct_clusters) AS distinct_cluster_count, round(CAST(sum(count) AS DOUBLE) / max(contract_total), 4) AS clusters_shown_share, count(*) AS n_clusters, max(count) AS top_count,
+    coalesce(max(CASE WHEN failing_selector = '0x63' THEN 'pay(uint8)' END), '') AS signature FROM shown GROUP BY 1) c
+    JOIN (SELECT *, (SELECT count(*) FROM roled r WHERE r.contract = k.contract AND role = 'entry' AND oog_contract IS NOT NULL) AS entry_oog FROM counts k) k ON k.contract = c.contract
+    LEFT JOIN names n ON n.address = c.contract LEFT JOIN totals t ON t.addr = c.contract WHERE c.contract NOT IN (SELECT contract FROM deploy)""", LABELS_SQL, _NAMED, _DEPLOY, TOTALS_SQL, ROLES_SQL, CLUSTERS_SQL, _COUNTS)
+def affected_shards(spark, sf_dir):
+    """The shards of the run: clusters with signatures, role counts, names, rates."""
+    whole = {c: F.rpad(c, 10, "0") for c in ("entry_selector", "tier1_failing_selector")}  # of eight digits, as only such are decoded
+    f = held(facts(spark, sf_dir).select(*_CONTEXT).withColumns(whole), "facts")
+    signatures = spark.createDataFrame([("0x63000000", "pay(uint8)", "4byte", 1)], "selector string, text_signature string, source string, first int")
+    shards = affected_tables(f, labels(spark, sf_dir), totals(spark, sf_dir), signatures)["shards"]
+    r, c = F.col("roles_summary"), F.col("failure_clusters")
+    return shards.select(
+        "contract", "distinct_cluster_count", "clusters_shown_share", F.size(c).cast("bigint").alias("n_clusters"), F.array_max(F.transform(c, lambda x: x["count"])).alias("top_count"), r["entry"].alias("entry"), r["entry_oog"].alias("entry_oog"), r["oog_site"].alias("oog_site"), r["revert_site"].alias("revert_site"),
+        "label", F.col("context.total_tx").alias("total_tx"), F.col("context.halt_rate").alias("halt_rate"), F.array_join(F.array_distinct(F.transform(c, lambda x: x["selector_signature"])), ",").alias("signature"),
+    )
+
+
+_SUMMARY = "SELECT o_orderkey AS block_number, CASE WHEN o_custkey % 3 = 0 THEN 'unchanged' ELSE 'gas_only' END AS class, o_orderkey % 10 AS tx_count, o_custkey - 500 AS gas_delta_sum, o_custkey % 50 - 80 AS gas_delta_min, o_custkey % 60 + 900 AS gas_delta_max, o_orderkey AS baseline_gas_used_sum"
+
+
+@query(f"""SELECT go.n + dr.n AS count, CAST(go.s + dr.s AS BIGINT) AS sum_gas_delta, least(go.mn, dr.mn) AS min_gas_delta, greatest(go.mx, dr.mx) AS max_gas_delta, go.s AS sum_gas_delta_gas_only, base AS baseline_gas_used_sum, 100.0::DOUBLE * go.s / CAST(base AS DOUBLE) AS gas_delta_pct_of_baseline
+    FROM (SELECT CAST(sum(tx_count) AS BIGINT) AS n, CAST(sum(gas_delta_sum) AS BIGINT) AS s, min(gas_delta_min) AS mn, max(gas_delta_max) AS mx, CAST(sum(baseline_gas_used_sum) AS BIGINT) AS base FROM s WHERE class = 'gas_only') go,
+    (SELECT count(*) AS n, sum(gas_delta) AS s, min(gas_delta) AS mn, max(gas_delta) AS mx FROM facts WHERE ({P.G2_DRILLIN}) AND gas_delta <> 0) dr""", f"s AS ({_SUMMARY} FROM orders)")
+def gas_view(spark, sf_dir):
+    summary = read_table(spark, sf_dir, "orders").selectExpr(*[x.strip() for x in _SUMMARY.removeprefix("SELECT ").split(",")])
+    return forensics.gas_view(facts(spark, sf_dir), summary)
