@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deltascope.llm import language_id, mixing, ngram_join, quality, secrets, sp_codec, token_counts, url_filters, vector_join, warc
+from deltascope.llm import graph, language_id, mixing, ngram_join, quality, secrets, sp_codec, token_counts, url_filters, vector_join, warc
 from deltascope.llm.common import join_facts, stored
 from deltascope.llm.graph import connected_components
 
@@ -708,7 +708,9 @@ def test_quality_ablations(spark):
     assert {r["doc_id"] for r in quality.apply_policy(book, "v1").filter("kept").collect()} == {1, 6}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 120, 250_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(50, 90)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(1000, k) for k in range(1001, 1200)] + [(3, 3), (None, 4)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
