@@ -47,23 +47,27 @@ def _whole(q: Column) -> Column:
 PAIRS = {"cold_account": "cold_account_access_count", "sload": "sload_cold_count", "sstore": "sstore_cold_count", "gas_remaining_at_oog": "oog_gas_remaining"}
 
 
-def figures(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    """keys, gas figures, drivers and more aggregates of each group.
+def figures(rows: DataFrame, keys: list[str], *more: Column, causes: bool = True) -> DataFrame:
+    """keys, gas figures, more aggregates and, unless causes is false, drivers of each group.
 
     drivers is a struct of the causes; a cause whose columns are all null is null (and so left out of JSON).
     """
+    at = lambda name, i: _whole(F.col(f"q_{name}")[i])
+    gas = [at("gas", 0).alias("gas_p50"), at("gas", 1).alias("gas_p90")]
+    plain = [F.avg("gas_delta").alias("gas_avg"), F.min("gas_delta").alias("gas_min"), F.max("gas_delta").alias("gas_max"), *more]
+    if not causes:
+        own = rows.groupBy(*keys).agg(*plain)
+        return own.join(hist.quantiles(rows, keys, {"gas": F.col("gas_delta")}, (0.5, 0.9)), keys, "left").select(*own.columns, *gas)
     access = F.coalesce("access_list_address_count", F.lit(0)) + F.coalesce("access_list_storage_key_count", F.lit(0))
     asked = {"gas": F.col("gas_delta"), "access": access, "surcharge": F.col("surcharge_at_oog")} | {n: F.col(c) for n, c in PAIRS.items()}
     q = hist.quantiles(rows, keys, asked, (0.5, 0.9))
     n = F.count("*").cast("double")
     share = lambda column, flag: F.when(F.count(column) > 0, F.round(F.count_if(flag) / n, 4))
     own = rows.groupBy(*keys).agg(
-        F.avg("gas_delta").alias("gas_avg"), F.min("gas_delta").alias("gas_min"), F.max("gas_delta").alias("gas_max"),
         (F.count("access_list_address_count") + F.count("access_list_storage_key_count")).alias("_listed"), F.sum("surcharge_at_oog").alias("_surcharge"),
-        share("reservoir_exhausted", F.col("reservoir_exhausted")).alias("_exhausted"), share("runtime_state_gas_spillover", F.col("runtime_state_gas_spillover") > 0).alias("_spilled"), *more,
+        share("reservoir_exhausted", F.col("reservoir_exhausted")).alias("_exhausted"), share("runtime_state_gas_spillover", F.col("runtime_state_gas_spillover") > 0).alias("_spilled"), *plain,
     )
     both = own.join(q, keys, "left")
-    at = lambda name, i: _whole(F.col(f"q_{name}")[i])
     pair = lambda name: F.struct(at(name, 0).alias("p50"), at(name, 1).alias("p90"))
     drivers = F.struct(
         *[F.when(F.col(f"q_{n}").isNotNull(), pair(n)).alias(n) for n in ("cold_account", "sload", "sstore")],
@@ -74,11 +78,11 @@ def figures(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
         F.col("_spilled").alias("spillover_share"),
     )
     named = [c for c in own.columns if not c.startswith("_")]
-    return both.select(*named, at("gas", 0).alias("gas_p50"), at("gas", 1).alias("gas_p90"), drivers.alias("drivers"))
+    return both.select(*named, *gas, drivers.alias("drivers"))
 
 
-def failure_clusters(roled: DataFrame, keep: int = CLUSTERS) -> DataFrame:
-    """contract, key columns, count, shares, gas figures, drivers, state categories and examples of each contract's largest clusters.
+def failure_clusters(roled: DataFrame, keep: int = CLUSTERS, causes: bool = True) -> DataFrame:
+    """contract, key columns, count, shares, gas figures, drivers (unless causes is false), state categories and examples of each contract's largest clusters.
 
     Examples come from a bounded aggregate (the smallest (block, transaction) pairs), and
     percentiles are computed for kept clusters alone, after counts have chosen them.
@@ -92,10 +96,11 @@ def failure_clusters(roled: DataFrame, keep: int = CLUSTERS) -> DataFrame:
         "place": F.row_number().over(own.orderBy(F.desc("count"), *KEY)),
     }).filter(F.col("place") <= keep)
     # one 128-bit name per key, null-safe, so that the rows meet their clusters in a plain equi-join
-    name = lambda: F.md5(F.to_json(F.struct(*[F.col(k) for k in KEY]), {"ignoreNullFields": "false"}))
-    ranked = ranked.withColumn("cluster", name())
-    rows = roled.withColumn("cluster", name()).join(ranked.select("contract", "cluster"), ["contract", "cluster"])
-    detail = figures(rows, ["contract", "cluster"], F.min_by("entry_selector", F.struct("block_number", "tx_hash")).alias("entry_selector")).drop("gas_min", "gas_max")
+    nulls = F.concat(*[F.when(F.col(k).isNull(), "0").otherwise("1") for k in KEY])
+    name = F.struct(*[F.xxhash64(F.lit(seed), nulls, *KEY).alias(f"h{seed}") for seed in (1, 2)])
+    ranked = ranked.withColumn("cluster", name)
+    rows = roled.withColumn("cluster", name).join(ranked.select("contract", "cluster"), ["contract", "cluster"])
+    detail = figures(rows, ["contract", "cluster"], F.min_by("entry_selector", F.struct("block_number", "tx_hash")).alias("entry_selector"), causes=causes).drop("gas_min", "gas_max")
     firsts = topk_per_key(rows.select("contract", "cluster", "block_number", "tx_hash", "gas_delta"), ["contract", "cluster"], EXAMPLES, [F.col("block_number"), F.col("tx_hash")])
     shown = firsts.groupBy("contract", "cluster").agg(F.array_sort(F.collect_list(F.struct("block_number", "tx_hash", "gas_delta"))).alias("examples"))
     states = mix_pairs(rows, ["contract", "cluster"], "state_gas_category").withColumnRenamed("mix", "state_gas_category")

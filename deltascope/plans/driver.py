@@ -425,6 +425,14 @@ _ORDER = ", ".join(f"{k} ASC NULLS FIRST" for k in clusters.KEY)
 _CONTEXT = [c for c in COLUMNS if c not in ("event_logs_changed", "output_changed", "logs_bloom_changed", "is_create", "tx_type", "has_authorization", "input_zero_bytes", "input_nonzero_bytes", "baseline_gas_used", "schedule_initial_reservoir", "replay_halt_oog")]
 
 
+_COUNTED = ("recipient", "block_number", "baseline_success", "schedule_success", "min_multiplier_to_succeed", "status_changed")
+
+
+def _contract_facts(spark, sf_dir) -> DataFrame:
+    """The facts written once, narrow: of rows outside g4, only what the wider counts read."""
+    return held(facts(spark, sf_dir).select(*_COUNTED, *[F.when(F.expr(P.G4), F.col(c)).alias(c) for c in _CONTEXT if c not in _COUNTED]), "facts")
+
+
 def _q(column: str, p: float) -> str:
     return f"CAST(round_even(round(quantile_cont({column}, {p}), 6), 0) AS BIGINT)"
 
@@ -468,7 +476,7 @@ def role_unpivot(spark, sf_dir):
 
 @query(f"SELECT contract, {_KEYS}, count, distinct_clusters, round(CAST(count AS DOUBLE) / role_total, 4) AS share_of_role, round(CAST(count AS DOUBLE) / contract_total, 4) AS share_of_contract, gas_avg, gas_p50, gas_p90, entry_selector, examples, coalesce(states, '') AS states FROM shown", ROLES_SQL, CLUSTERS_SQL)
 def failure_clusters(spark, sf_dir):
-    out = clusters.failure_clusters(_roles(spark, sf_dir))
+    out = clusters.failure_clusters(_roles(spark, sf_dir), causes=False)
     return out.select("contract", *clusters.KEY, "count", "distinct_clusters", "share_of_role", "share_of_contract", "gas_avg", "gas_p50", "gas_p90", "entry_selector", F.array_join(F.transform("examples", lambda e: e["tx_hash"]), ",").alias("examples"), _mix_text("state_gas_category", "key").alias("states"))
 
 
@@ -482,12 +490,12 @@ def cluster_drivers(spark, sf_dir):
 
 @query("SELECT contract, max(distinct_clusters) AS distinct_cluster_count, round(CAST(sum(count) AS DOUBLE) / max(contract_total), 4) AS clusters_shown_share FROM shown GROUP BY 1", ROLES_SQL, CLUSTERS_SQL)
 def cluster_summary(spark, sf_dir):
-    return clusters.cluster_summary(clusters.failure_clusters(_roles(spark, sf_dir)))
+    return clusters.cluster_summary(clusters.failure_clusters(_roles(spark, sf_dir), causes=False))
 
 
 @query(f"""SELECT contract, {', '.join(k for k in clusters.KEY if k != 'role')}, first(count ORDER BY role = 'entry', count DESC, role) AS count, first(role ORDER BY role = 'entry', count DESC, role) AS from_role, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM shown GROUP BY ALL""", ROLES_SQL, CLUSTERS_SQL)
 def self_role_merge(spark, sf_dir):
-    return clusters.merge_self_roles(clusters.failure_clusters(_roles(spark, sf_dir))).drop("share_of_contract").withColumn("roles", F.array_join("roles", ","))
+    return clusters.merge_self_roles(clusters.failure_clusters(_roles(spark, sf_dir), causes=False)).drop("share_of_contract").withColumn("roles", F.array_join("roles", ","))
 
 
 def _mix_sql(name: str, column: str, rows: str) -> str:
@@ -506,8 +514,8 @@ _MIX_SQL = [_mix_sql(n, c, "sites" if n == "entry_contracts" else "entries") for
     LEFT JOIN (SELECT recipient, count(*) FILTER (WHERE {P.G3}) AS g3, count(*) FILTER (WHERE {P.G2_DRILLIN}) AS g2, count(*) FILTER (WHERE {P.AF}) AS af, count(*) FILTER (WHERE {P.STATUS_FLIP}) AS flips FROM facts GROUP BY 1) w ON w.recipient = b.contract
     {' '.join(f'LEFT JOIN {n} ON {n}.contract = b.contract' for n in clusters.MIXES)}""", ROLES_SQL, _SITES, *_MIX_SQL)
 def contract_context(spark, sf_dir):
-    f = held(facts(spark, sf_dir).select(*_CONTEXT), "facts")
-    out = clusters.context(held(clusters.roles(f.filter(P.G4)).select("contract", *clusters.ROLED), "roled"), f)
+    f = _contract_facts(spark, sf_dir)
+    out = clusters.context(clusters.roles(f.filter(P.G4)).select("contract", *clusters.ROLED), f)
     return out.select(*[c for c in out.columns if c not in clusters.MIXES], *[_mix_text(n, "contract").alias(n) for n in clusters.MIXES])
 
 
@@ -873,7 +881,7 @@ def structural_inputs(spark, sf_dir):
 def affected_shards(spark, sf_dir):
     """The shards of the run: clusters with signatures, role counts, names, rates."""
     whole = {c: F.rpad(c, 10, "0") for c in ("entry_selector", "tier1_failing_selector")}  # of eight digits, as only such are decoded
-    f = held(facts(spark, sf_dir).select(*_CONTEXT).withColumns(whole), "facts")
+    f = _contract_facts(spark, sf_dir).withColumns(whole)
     signatures = spark.createDataFrame([("0x63000000", "pay(uint8)", "4byte", 1)], "selector string, text_signature string, source string, first int")
     shards = affected_tables(f, labels(spark, sf_dir), totals(spark, sf_dir), signatures)["shards"]
     r, c = F.col("roles_summary"), F.col("failure_clusters")
