@@ -55,11 +55,11 @@ from deltascope.llm.vector_join import forest
 SEEDS = (1, 2)
 BLOCK = 512
 #: Shingles of a block, summed over its sets, at most about.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 1_000_000
 #: Membership columns multiplied at a time.
 COLUMNS = 4096
 #: Words whose hashes are kept by a worker.
-WORDS = 200_000
+WORDS = 100_000
 
 
 def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
