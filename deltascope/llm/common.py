@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import shutil
@@ -38,6 +39,7 @@ def prepare(spark: SparkSession) -> None:
     known = any(Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)
     if not known and not any("deltascope-code" in p for p in context._python_includes):
         to = tempfile.mkdtemp(prefix="deltascope-code-")
+        atexit.register(shutil.rmtree, to, ignore_errors=True)
         context.addPyFile(shutil.make_archive(f"{to}/deltascope-code", "zip", root, "deltascope"))
 
 
@@ -50,7 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="deltascope-"))
+        own = tempfile.mkdtemp(prefix="deltascope-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(f"file://{own}")
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltascope.llm import graph, language_id, mixing, ngram_join, quality, secrets, sp_codec, token_counts, url_filters, vector_join, warc
-from deltascope.llm.common import join_facts, stored
+from deltascope.llm.common import ARROW_BYTES, join_facts, prepare, scratch, stored
 from deltascope.llm.graph import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, score double, bin int"
@@ -718,6 +718,25 @@ def test_components(spark, monkeypatch, one_task):
     assert got == components({x for e in real for x in e}, real)
 
 
+def test_batch_bound_of_the_session(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for given, left in (("64m", str(ARROW_BYTES)), ("67108864", str(ARROW_BYTES)), ("10m", "10m"), (str(ARROW_BYTES), str(ARROW_BYTES))):
+        spark.conf.set(key, given)
+        prepare(spark)
+        assert spark.conf.get(key) in (left, "10485760", "10485760b")
+    spark.conf.set(key, before)
+
+
+def test_scratch_deletes_what_was_stored_inside(spark):
+    kept = stored(spark.range(3), "kept")
+    with scratch(spark):
+        gone = stored(kept.filter("id > 0"), "gone")
+        files = gone.inputFiles()
+        assert gone.count() == 2 and all(Path(f.removeprefix("file://").removeprefix("file:")).exists() for f in files)
+    assert kept.count() == 3 and not any(Path(f.removeprefix("file://").removeprefix("file:")).exists() for f in files)
+
+
 def test_join_facts_with_hot_keys(spark, monkeypatch):
     import deltascope.llm.common as common
 
