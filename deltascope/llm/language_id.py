@@ -7,9 +7,9 @@ language is the number of its n-grams whose mask has the language's bit, correct
 the filter's false positives, ``(count - total * fp) / (1 - fp)``; the largest decides.
 
 Fitting reads at most DOCS_PER_LANGUAGE labelled documents or so of each language (a hash of
-the id picks them) and keeps the NGRAMS commonest n-grams of each, all of them where a language has
-fewer; rarer ones would fill the filters with little to tell languages apart (twice as many change no
-accuracy, see README). Every value of lang is learned. Filters are made where the n-grams are
+the id picks them) and keeps the NGRAMS n-grams of each that most documents hold, without those that fewer than one in
+RARE hold, which are misspellings and words of other languages; so a long document counts as much as a short one,
+and a small sample keeps all (accuracy with other values: README). Every value of lang is learned. Filters are made where the n-grams are
 counted, and only their slots reach the driver: at most 2^SLOT_BITS for each 64 languages, 8 MB.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; a text whose
@@ -34,6 +34,8 @@ from deltascope.llm.common import stored, worker_cache
 
 DOCS_PER_LANGUAGE = 4000
 NGRAMS = 40_000
+#: N-grams that fewer than one in so many of their language's drawn documents hold are left out; of that many documents or less, none is.
+RARE = 500
 LENGTHS = (3, 4)
 SLOT_BITS = 20
 HASHES = 3
@@ -161,14 +163,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, gram, n: documents of the batch that hold the n-gram."""
     for batch in batches:
         by: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            by.setdefault(lang, []).extend(ngram_hashes(text or ""))
+            by.setdefault(lang, []).append(np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *ngram_hashes(text or "")])))
         for lang, parts in by.items():
-            if parts:
-                h, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
 def fit(docs: DataFrame, learn: Column) -> LanguageModel:
@@ -182,7 +184,9 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel:
     drawn = (F.shiftrightunsigned(F.xxhash64(F.lit("fit"), "doc_id"), 12).cast("double")) / float(1 << 52)
     sample = known.join(F.broadcast(counted), "lang").filter(drawn < share).select("lang", "text")
     languages = sorted(r[0] for r in sizes)
-    grams = sample.mapInArrow(_count_ngrams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = stored(sample.mapInArrow(_count_ngrams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
+    drawn_docs = stored(sample.groupBy("lang").agg(F.count("*").alias("docs")), "lang-drawn")
+    grams = grams.join(F.broadcast(drawn_docs), "lang").filter(F.col("n") * RARE >= F.col("docs"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # of a bounded sample of the language
     top = grams.withColumn("place", place).filter(F.col("place") <= NGRAMS)
     number = docs.sparkSession.createDataFrame([(lang, i // 64, i % 64) for i, lang in enumerate(languages)], "lang string, word int, bit int")
