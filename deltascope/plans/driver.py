@@ -14,7 +14,8 @@ from deltascope.model import DIVERGENCE_COLUMNS
 from deltascope.plans.facts import COLUMNS, FACTS_SQL, LABELS_SQL, TOTALS_SQL, VERSION, facts, labels, latest_items, totals
 from deltascope.plans.label_build import TAGS, build
 from deltascope.plans.schedule import affected_tables
-from deltascope.sources.label_files import read_labels, write_labels
+from deltascope.sources.documents import write_shards
+from deltascope.sources.label_files import read_labels, registry_contracts, registry_tokens, write_labels
 from deltascope.sources.tables import denominators as source_denominators, held, pinned, read_divergence, read_table, scratch_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -900,3 +901,76 @@ _SUMMARY = "SELECT o_orderkey AS block_number, CASE WHEN o_custkey % 3 = 0 THEN
 def gas_view(spark, sf_dir):
     summary = read_table(spark, sf_dir, "orders").selectExpr(*[x.strip() for x in _SUMMARY.removeprefix("SELECT ").split(",")])
     return forensics.gas_view(facts(spark, sf_dir), summary)
+
+
+@query("""SELECT 's' || s_suppkey AS address, CASE WHEN s_suppkey % 5 = 0 THEN 'N' || s_suppkey ELSE 'P' || s_nationkey END AS label, 'unknown' AS category, CASE WHEN s_suppkey % 5 = 0 THEN 'N' || s_suppkey ELSE 'P' || s_nationkey END AS owner_project, 'ethlists' AS source, CAST(NULL AS STRING) AS erc_type FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0
+    UNION ALL SELECT 's' || s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Nm' || s_suppkey ELSE 'T' || s_suppkey END, 'token', NULL, 'ethlists', 'ERC20' FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey % 7 <> 0""", base=False)
+def registry_labels(spark, sf_dir):
+    """Registry folders of one JSON file per address, written as shards and read back; broken and nameless files are skipped."""
+    s = read_table(spark, sf_dir, "supplier").withColumn("key", F.expr("'s' || s_suppkey"))
+    folder = f"{scratch_folder(spark)}/registry-{uuid.uuid4().hex}"
+    contracts = """CASE WHEN s_suppkey % 3 = 0 THEN '{broken' WHEN s_suppkey % 5 = 0 THEN '{"project": " ", "name": "N' || s_suppkey || '"}' ELSE '{"project": "P' || s_nationkey || '", "name": "x"}' END"""
+    tokens = """CASE WHEN s_suppkey % 7 = 0 THEN '{"decimals": 18}' WHEN s_suppkey % 3 = 0 THEN '{"name": "Nm' || s_suppkey || '", "symbol": "S", "type": "ERC20"}' ELSE '{"symbol": "T' || s_suppkey || '", "type": "ERC20"}' END"""
+    write_shards(s.filter("s_suppkey % 2 = 0").select("key", F.expr(contracts).alias("body")), f"{folder}/contracts")
+    write_shards(s.filter("s_suppkey % 2 = 1").select("key", F.expr(tokens).alias("body")), f"{folder}/tokens")
+    both = registry_contracts(spark, f"{folder}/contracts").unionByName(registry_tokens(spark, f"{folder}/tokens"))
+    return both.select("address", "label", "category", "owner_project", "source", "erc_type")
+
+
+def _views(parts: dict[str, DataFrame]) -> DataFrame:
+    """Documents of several (key, count) tables as one table of view, key and count."""
+    out = None
+    for name, part in parts.items():
+        rows = part.select(F.lit(name).alias("view"), F.col(part.columns[0]).cast("string").alias("key"), "count")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _views_sql(**parts: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{view}' AS view, CAST(x.key AS VARCHAR) AS key, CAST(x.count AS BIGINT) AS count FROM ({sql}) x(key, count)" for view, sql in parts.items())
+
+
+_FLIPS = {"success_to_fail": "baseline_success AND NOT schedule_success", "fail_to_fail": "NOT baseline_success AND NOT schedule_success", "fail_to_success": "NOT baseline_success AND schedule_success"}
+
+
+@query(_views_sql(
+    fixability=_counts_sql(P.G4, not_gas_fixable="replay_halt_oog = FALSE", still_oog_at_ceiling="replay_halt_oog", unknown="replay_halt_oog IS NULL"), break_reason=_counts_sql(P.G4, oog=P.OOG, non_oog_revert=P.NON_OOG, other=f"NOT {P.OOG} AND status_changed = FALSE"),
+    oog_bottleneck_kind=mix_sql("oog_bottleneck_kind", P.G4), status_flip=_counts_sql(P.G4, **_FLIPS), state_gas_category=mix_sql("state_gas_category", P.G4), tx_shape_mix=_fixed_sql(_SHAPE, P.TX_SHAPES, P.G4), tx_type_mix=_fixed_sql(_TYPE, P.TX_TYPES, P.G4)))
+def g4_document(spark, sf_dir):
+    parts = forensics.g4_categories(held(facts(spark, sf_dir).filter(P.G4), "g4"), True)
+    return _views({k: v for k, v in parts.items() if k != "reservoir"})
+
+
+@query(_views_sql(
+    multiplier_histogram=" UNION ALL ".join(f"SELECT {n} AS key, count(*) AS count FROM facts WHERE ({P.G3}) AND min_multiplier_to_succeed > {lo}" + (f" AND min_multiplier_to_succeed <= {hi}" if hi else "") for lo, hi, n in hist.MULTIPLIERS),
+    state_gas_category=mix_sql("state_gas_category", P.G3), tx_shape_mix=_fixed_sql(_SHAPE, P.TX_SHAPES, P.G3), tx_type_mix=_fixed_sql(_TYPE, P.TX_TYPES, P.G3), is_create=_counts_sql(P.G3, true="is_create", false="NOT is_create"), oog_pattern=mix_sql("oog_pattern", P.G3)))
+def g3_document(spark, sf_dir):
+    parts = forensics.g3_categories(held(facts(spark, sf_dir).filter(P.G3), "g3"), True)
+    return _views({k: v for k, v in parts.items() if k != "reservoir"})
+
+
+def _depth_sql(column: str, where: str) -> str:
+    return f"SELECT CASE WHEN d > 8 THEN '9+' ELSE CAST(d AS VARCHAR) END AS key, (SELECT count(*) FROM facts WHERE ({where}) AND least({column}, 9) = d AND {column} IS NOT NULL) AS count FROM range(1, 10) t(d)"
+
+
+_HALTED, _REVERTED = f"({P.G4}) AND {P.OOG}", f"({P.G4}) AND {P.NON_OOG}"
+
+
+@query(_views_sql(
+    total=f"SELECT 'n' AS key, count(*) AS count FROM facts WHERE {_HALTED}", opcode=mix_sql("oog_opcode", _HALTED), call_depth_hist=_depth_sql("oog_call_depth", _HALTED), oog_pattern=mix_sql("oog_pattern", _HALTED),
+    gas_remaining_hist=" UNION ALL ".join(f"SELECT '{n}' AS key, count(*) AS count FROM facts WHERE ({_HALTED}) AND oog_gas_remaining >= {lo}" + (f" AND oog_gas_remaining < {hi}" if hi else "") for n, lo, hi in hist.MAGNITUDES),
+    board=f"SELECT oog_contract AS key, count(*) AS count FROM facts WHERE ({_HALTED}) AND oog_contract IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {mixes.BOARD}"), LABELS_SQL)
+def oog_document(spark, sf_dir):
+    parts = forensics.failure_site(held(facts(spark, sf_dir).filter(P.G4), "g4"), True, labels(spark, sf_dir), totals(spark, sf_dir))
+    own = {k: parts[k] for k in ("opcode", "call_depth_hist", "oog_pattern", "gas_remaining_hist")}
+    return _views({"total": parts["total"].select(F.lit("n").alias("key"), F.col("n").alias("count"))} | own | {"board": parts["contract_leaderboard"].select("addr", "count")})
+
+
+@query(_views_sql(
+    total=f"SELECT 'n' AS key, count(*) AS count FROM facts WHERE {_REVERTED}", opcode=mix_sql("divergence_opcode", _REVERTED), call_depth_hist=_depth_sql("divergence_call_depth", _REVERTED), failure_reason=mix_sql("failure_reason", _REVERTED),
+    revert_error_mix="SELECT CASE WHEN r <= 5 THEN key ELSE 'Others' END AS key, sum(n) AS count FROM m GROUP BY 1"),
+    f"m AS (SELECT trim(substr(revert_decoded, 15)) AS key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, key) AS r FROM facts WHERE ({_REVERTED}) AND revert_decoded LIKE 'Error(string):%' GROUP BY 1)")
+def revert_document(spark, sf_dir):
+    parts = forensics.failure_site(held(facts(spark, sf_dir).filter(P.G4), "g4"), False, labels(spark, sf_dir), totals(spark, sf_dir))
+    own = {k: parts[k] for k in ("opcode", "call_depth_hist", "failure_reason", "revert_error_mix")}
+    return _views({"total": parts["total"].select(F.lit("n").alias("key"), F.col("n").alias("count"))} | own)
