@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltascope.llm.common import stored, worker_cache
+from deltascope.llm.common import frugal, stored, worker_cache
 
 DOCS_PER_LANGUAGE = 4000
 NGRAMS = 40_000
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel:
     drawn = (F.shiftrightunsigned(F.xxhash64(F.lit("fit"), "doc_id"), 12).cast("double")) / float(1 << 52)
     sample = known.join(F.broadcast(counted), "lang").filter(drawn < share).select("lang", "text")
     languages = sorted(r[0] for r in sizes)
-    grams = stored(sample.mapInArrow(_count_ngrams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
+    grams = stored(sample.mapInArrow(frugal(_count_ngrams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
     drawn_docs = stored(sample.groupBy("lang").agg(F.count("*").alias("docs")), "lang-drawn")
     grams = grams.join(F.broadcast(drawn_docs), "lang").filter(F.col("n") * RARE >= F.col("docs"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # of a bounded sample of the language
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; only the text is used."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predictor(sent), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(frugal(_predictor(sent)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
@@ -227,4 +227,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float) -> Data
                 good.append(lang != UNKNOWN and score >= least)
             yield batch.filter(pa.array(good, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

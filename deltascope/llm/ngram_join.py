@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deltascope.llm.common import forget, join_facts, small_enough, stored, worker_cache
+from deltascope.llm.common import forget, frugal, give_back, join_facts, small_enough, stored, worker_cache
 from deltascope.llm.graph import connected_components
 from deltascope.llm.vector_join import forest
 
@@ -55,7 +55,7 @@ from deltascope.llm.vector_join import forest
 SEEDS = (1, 2)
 BLOCK = 512
 #: Shingles of a block, summed over its sets, at most about.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 #: Membership columns multiplied at a time.
 COLUMNS = 4096
 #: Words whose hashes are kept by a worker.
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, width: int, threshold: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *flat])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, type=pa.int64()), pa.array(k1, type=pa.int64()), pa.array(k2, type=pa.int64()), lists], names=["doc_id", "n", "k1", "k2", "sent"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sent array<long>")
+    return docs.mapInArrow(frugal(run), "doc_id long, n long, k1 long, k2 long, sent array<long>")
 
 
 def lonely(sent: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node, type=pa.int64()), pa.array(n, type=pa.int64()), pa.array(raw, type=pa.binary())], names=["node", "n", "tokens"])
 
     named = rows.join(_few(wanted.withColumnRenamed("rep", "doc_id")), "doc_id").select("node", "k1", "k2", "text")
-    found = stored(named.mapInArrow(run, "node long, n long, tokens binary"), "ngram-sets")
+    found = stored(named.mapInArrow(frugal(run), "node long, n long, tokens binary"), "ngram-sets")
     if found.count() == wanted.count():
         return found
     once = stored(found.dropDuplicates(["node"]), "ngram-sets")  # repeated rows name a class more than once
@@ -267,7 +267,7 @@ def _flat(seed: int | None, threshold: int):
                 flat = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(flat), *[pa.array(c) for c in rest]], names=["token", *[c for c in part.schema.names if c != "tokens"]])
 
-    return run
+    return frugal(run)
 
 
 def first_order_prefixes(loaded: DataFrame, threshold: int) -> DataFrame:
@@ -342,7 +342,10 @@ def _links(loaded: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
         lo, hi = ((table.column(x)[0].as_py(), table.column(f"{x}_part")[0].as_py()) for x in ("lo", "hi"))
         root = forest(linked(sets, threshold, None if lo == hi else table.column("side").to_numpy()))
         child = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": pa.array(nodes[root[child]]), "b": pa.array(nodes[child])})
+        out = pa.table({"a": pa.array(nodes[root[child]]), "b": pa.array(nodes[child])})
+        if len(sets) > BLOCK // 2:
+            give_back()
+        return out
 
     key = ["component", "lo", "lo_part", "hi", "hi_part"]
     spread = loaded.join(_few(dealt), "node").select("node", "component", "tokens", F.inline("groups"))

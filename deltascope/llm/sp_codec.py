@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltascope.llm.common import worker_cache
+from deltascope.llm.common import frugal, worker_cache
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -199,7 +199,7 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, PART), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(n_bytes, type=pa.int64()), pa.array(digest, type=pa.string()), pa.array(same, type=pa.bool_())], names=["doc_id", "ids", "n_pieces", "n_bytes", "ids_sha256", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, n_bytes long, ids_sha256 string, round_trip boolean")
+    return rows.mapInArrow(frugal(run), "doc_id long, ids array<int>, n_pieces long, n_bytes long, ids_sha256 string, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
