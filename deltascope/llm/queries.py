@@ -1,14 +1,14 @@
-"""The ten operators as queries over the synthetic tables, with SQL where it can express them."""
+"""The operators as queries over the synthetic tables, with SQL where it can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltascope.llm import language_id, mixing, ngram_join, quality, secrets, sp_codec, token_counts, url_filters, vector_join, warc
-from deltascope.llm.common import prepare
+from deltascope.llm import decontamination, language_id, late_layout, mixing, ngram_join, periodic_runs, quality, secrets, sp_codec, token_counts, url_filters, vector_join, warc
+from deltascope.llm.common import new_path, prepare, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,62 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def _planted() -> Column:
+    """The text; in a tenth of the documents, the words from a place on repeat those that stand there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    g, n = F.floor(h / 10), F.size(words)
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), again), " ")).otherwise(F.col("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(_table(spark, sf_dir, "documents"), ["doc_id"], _planted())
+    runs = F.col("runs")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(r["length"].alias("length"), F.negate(r["start"]).alias("s"), F.negate(r["period"]).alias("p"))))
+    lines = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.select("carried.doc_id", F.size(runs).cast("long").alias("n_runs"), longest.alias("r"), F.when(F.size(runs) > 0, F.concat(lines, F.lit("\n"))).otherwise("").alias("lines"), "collapsed")
+    start, length, period = F.negate("r.s"), F.col("r.length"), F.negate("r.p")
+    return found.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+#: Rows that arrive from then on (microseconds since 1970: 2024-03-20) are late.
+LATE_FROM = 1_710_892_800_000_000
+
+
+def op12_late_partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = _table(spark, sf_dir, "sales")
+    utc = lambda c: late_layout.micros(F.col(c), dict(sales.dtypes)[c] == "timestamp_ntz")
+    h = F.crc32(F.col("sale_id").cast("string"))
+    days = lambda n: F.make_dt_interval(n.cast("int"))
+    copied = sales.filter((h % 3 == 0) & (F.floor(utc("sold_at") / late_layout.DAY) % 4 == 0))
+    copies = copied.withColumns({"total": F.col("total") + 1, "sold_at": F.col("sold_at") + days(h % 2), "arrived_at": F.col("arrived_at") + days(1 + h % 97)})
+    rows, early = sales.unionByName(copies), utc("arrived_at") < LATE_FROM
+    layout = late_layout.Layout(new_path(spark, "sales-by-day"), sales.schema, "sale_id", "sold_at", "arrived_at", 1 + sales.count() // 1100)
+    with scratch(spark):
+        late_layout.write_layout(rows.filter(early), layout)
+        changed = late_layout.overwrite_days(rows.filter(~F.coalesce(early, F.lit(False))), layout)
+        again = [r["day"] for r in changed.collect()]  # a row a day
+    day, file_no = layout.parts
+    final = layout.stored_rows(spark)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    cents = F.coalesce(F.floor(100 * F.col("total") + 0.5), F.lit(0)).cast("long")
+    crc = F.crc32(F.concat_ws(":", text(F.col("sale_id")), text(utc("sold_at")), text(utc("arrived_at"))))
+    files = final.select(F.col("_metadata.file_path").alias("path"), F.col(day).alias("day"), F.col(file_no).alias("file_no"), F.col("_metadata.row_index").alias("place"), text(F.col("sale_id")).alias("id"), cents.alias("cents"), crc.alias("crc"))
+    names = ",".join(c for c in final.columns if c not in layout.parts)
+    return late_layout.described(files).withColumns({"columns": F.lit(names), "rewritten": F.col("day").isin(again)})
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("carried.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op2_warc, op3_token_counts, op4_ngram_jaccard_join, op5_embedding_near_dedup, op6_sentencepiece, op7_url_filters, op8_language_id, op9_source_mixing, op10_quality_rules)
+    f.__name__: f for f in (op1_secret_scans, op2_warc, op3_token_counts, op4_ngram_jaccard_join, op5_embedding_near_dedup, op6_sentencepiece, op7_url_filters, op8_language_id, op9_source_mixing, op10_quality_rules, op11_periodic_runs, op12_late_partition_overwrite, op13_benchmark_decontamination)
 }
 
 ORACLE: dict[str, str] = {
@@ -143,4 +197,16 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
                (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
     """,
+    "op13_benchmark_decontamination": rf"""
+        WITH w AS (SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, doc_id, text FROM documents UNION ALL SELECT 'b', CAST(item_id AS VARCHAR), NULL, text FROM benchmark),
+        l AS (SELECT kind, id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM w),
+        i AS (SELECT id AS item, least(len(l), {decontamination.WINDOW}) AS n, unnest(list_transform(range(1, len(l) - least(len(l), {decontamination.WINDOW}) + 2), lambda k: array_to_string(l[k:k + least(len(l), {decontamination.WINDOW}) - 1], ' '))) AS g FROM l WHERE kind = 'b' AND len(l) > 0),
+        s AS (SELECT DISTINCT n FROM i),
+        p AS (SELECT doc_id, n, unnest(range(1, len(l) - n + 2)) AS k, unnest(list_transform(range(1, len(l) - n + 2), lambda k: array_to_string(l[k:k + n - 1], ' '))) AS g FROM l, s WHERE kind = 'd' AND len(l) >= n),
+        o AS (SELECT DISTINCT doc_id, n, k, item FROM p JOIN i USING (n, g)),
+        h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM o) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM o WHERE item IS NOT NULL) GROUP BY doc_id)
+        SELECT l.doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM l LEFT JOIN h ON h.doc_id = l.doc_id LEFT JOIN t ON t.doc_id = l.doc_id WHERE kind = 'd'
+    """,
 }
