@@ -9,13 +9,15 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a table of a few narrow columns is broadcast (about 20 MB in the JVM, so that the broadcasts of one plan fit together).
 BROADCAST_ROWS = 200_000
@@ -136,6 +138,31 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, sp
     return out.select(*rows.columns, *[got[v].alias(v) for v in values])
 
 
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in names]
+
+
+def carrying(rows: DataFrame, others: str) -> T.StructType:
+    """The schema of what an operator makes of rows: their struct carried, whatever its fields are called, and other columns by DDL."""
+    return T.StructType([T.StructField("carried", rows.schema["carried"].dataType), *T.StructType.fromDDL(others).fields])
+
+
+def any_names(*needed: str) -> Callable:
+    """For an operator on documents that returns their columns: within it, all but the needed ones have plain names of their own, so that dots, backticks, cases and repeats do no harm."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(docs: DataFrame, *more, **named) -> DataFrame:
+            names = docs.columns
+            plain = [c if c in needed and c not in names[:i] else f"column_{i}" for i, c in enumerate(names)]
+            return operator(docs.toDF(*plain), *more, **named).toDF(*names)
+
+        return run
+
+    return wrap
+
+
 def give_back() -> None:
     """Return memory that this worker has freed to the system, so that it holds little while other stages run."""
     pa.default_memory_pool().release_unused()

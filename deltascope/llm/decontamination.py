@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltascope.llm.common import frugal, stored
+from deltascope.llm.common import carrying, frugal, quoted, stored
 
 #: Consecutive words of an item that a document must not have.
 WINDOW = 10
@@ -235,22 +235,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, carry: list[str], window:
     spans are the stretches of words (numbered from 0, stop excluded) that lie in an occurrence of a window, `window` consecutive words of an
     item of the benchmark (item_id, text), or all words of a shorter one; items are the ids, as strings and in order, of the items with such a window.
     """
-    quoted = [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in carry]
-    rows = docs.select(F.struct(*quoted).alias("carried"), F.col("text").cast("string").alias("_text"))
-    kinds = rows.schema["carried"].dataType.simpleString()
+    rows = docs.select(F.struct(*quoted(carry)).alias("carried"), F.col("text").cast("string").alias("_text"))
     rows = rows.selectExpr("*", "0L AS n_words", "CAST(array() AS array<struct<start:long,stop:long>>) AS spans", "CAST(array() AS array<string>) AS items")
     blocks = _blocks(benchmark, window)
     items = next(blocks, Items([], window))
     while items is not None:
         after = next(blocks, None)
-        rows = _searched(rows, items, kinds, after is not None)
+        rows = _searched(rows, items, after is not None)
         if after is not None:
             rows = stored(rows, "leaks")
         items = after
     return rows
 
 
-def _searched(rows: DataFrame, items: Items, kinds: str, again: bool) -> DataFrame:
+def _searched(rows: DataFrame, items: Items, again: bool) -> DataFrame:
     """rows with what one block of the benchmark finds beside what they have; with their texts, if they are to be searched again."""
     sent = rows.sparkSession.sparkContext.broadcast(items)
 
@@ -276,7 +274,7 @@ def _searched(rows: DataFrame, items: Items, kinds: str, again: bool) -> DataFra
                 out = {"carried": batch.column("carried"), "n_words": sizes, "spans": pa.array(spans, pa.list_(_SPAN)), "items": pa.array(names, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_pydict(out | ({"_text": batch.column("_text")} if again else {}))
 
-    return rows.mapInArrow(frugal(run), f"carried {kinds}, {_FOUND}" + ", _text string" * again)
+    return rows.mapInArrow(frugal(run), carrying(rows, _FOUND + ", _text string" * again))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

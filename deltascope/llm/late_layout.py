@@ -31,17 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, TimestampNTZType
 
-from deltascope.llm.common import HOT_SHARE, frugal, new_path, stored
+from deltascope.llm.common import HOT_SHARE, frugal, new_path, quoted, stored
 
 DAY = 86_400_000_000
 #: Seconds of a slice, and the bands of keys that a single instant is cut into.
 SLICE_SECONDS, BANDS = 900, 64
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def micros(column: Column, ntz: bool) -> Column:
     """Microseconds since 1970, whatever the session's zone; times without a zone are UTC."""
     if not ntz:
@@ -84,7 +80,7 @@ class Layout:
 
 def newest(rows: DataFrame, layout: Layout) -> DataFrame:
     """row: the newest version of each key; versions are combined before the shuffle, so a key may have any number."""
-    columns = [F.col(quoted(c)).alias(c) for c in layout.schema.names]
+    columns = quoted(layout.schema.names)
     own = rows.select(F.struct(*columns).alias("row"))
     rank = F.struct(F.col("row").getField(layout.version).alias("v"), F.xxhash64("row").alias("h"))
     return own.groupBy(F.col("row").getField(layout.key).alias("key")).agg(F.max_by("row", rank).alias("row")).select("row")
@@ -141,7 +137,7 @@ def overwrite_days(late: DataFrame, layout: Layout) -> DataFrame:
     A late row stays if its version is not older than the stored one of its key.
     """
     spark = late.sparkSession
-    columns = [F.col(quoted(c)).alias(c) for c in layout.schema.names]
+    columns = quoted(layout.schema.names)
     stored_rows = layout.stored_rows(spark)
     day, _ = layout.parts
     keyed = stored_rows.select(F.struct(*columns).alias("row"), F.col(day).alias("day"))

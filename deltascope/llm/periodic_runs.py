@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltascope.llm.common import frugal
+from deltascope.llm.common import carrying, frugal, quoted
 
 #: A run holds its period so many times, and so many words.
 TIMES, LEAST = 4, 6
@@ -126,6 +126,5 @@ def find_runs(docs: DataFrame, carry: list[str], text: Column | None = None, tim
             arrays = [batch.column("carried"), pa.array(sizes, pa.int64()), pa.array(runs, pa.list_(_RUN)), pa.array(collapsed, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["carried", "n_words", "runs", "collapsed"])
 
-    quoted = [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in carry]
-    rows = docs.select(F.struct(*quoted).alias("carried"), (F.col("text") if text is None else text).alias("_text"))
-    return rows.mapInArrow(frugal(run), f"carried {rows.schema['carried'].dataType.simpleString()}, n_words long, runs array<{RUN}>, collapsed string")
+    rows = docs.select(F.struct(*quoted(carry)).alias("carried"), (F.col("text") if text is None else text).alias("_text"))
+    return rows.mapInArrow(frugal(run), carrying(rows, f"n_words long, runs array<{RUN}>, collapsed string"))
