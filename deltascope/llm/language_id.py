@@ -6,11 +6,10 @@ contain it, so one lookup answers for every language. A document's count for a
 language is the number of its n-grams whose mask has the language's bit, corrected for
 the filter's false positives, ``(count - total * fp) / (1 - fp)``; the largest decides.
 
-Fitting reads at most DOCS_PER_LANGUAGE labelled documents or so of each language (a hash of
-the id picks them) and keeps the NGRAMS n-grams of each that most documents hold, without those that fewer than one in
-RARE hold, which are misspellings and words of other languages; so a long document counts as much as a short one,
-and a small sample keeps all (accuracy with other values: README). Every value of lang is learned. Filters are made where the n-grams are
-counted, and only their slots reach the driver: at most 2^SLOT_BITS for each 64 languages, 8 MB.
+Fitting reads about DOCS_PER_LANGUAGE labelled documents of each language at most (a hash of the id picks them), and the
+filters hold every n-gram of theirs, whatever their number: nothing is ranked or left out. Every value of lang is learned. Tasks set
+the slots of what they read, and only set slots reach the driver: the table has as many slots as fit into TABLE_BYTES, 2^SLOT_BITS at
+most, so that many languages get smaller filters, whose false positives are known and taken off. Texts are hashed a window at a time.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; a text whose
 n-grams no filter knows gets the commonest language with score 0; with nothing to learn
@@ -27,17 +26,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltascope.llm.common import frugal, stored, worker_cache
+from deltascope.llm.common import any_names, frugal, stored, worker_cache
 
 DOCS_PER_LANGUAGE = 4000
-NGRAMS = 40_000
-#: N-grams that fewer than one in so many of their language's drawn documents hold are left out; of that many documents or less, none is.
-RARE = 500
 LENGTHS = (3, 4)
-SLOT_BITS = 20
+#: Bytes of the tables of all languages together, and bits of a slot's number at most (HASHES of them fit 64 bits).
+TABLE_BYTES = 8 << 20
+SLOT_BITS = 21
 HASHES = 3
 #: Characters of a text that are hashed at a time; n-grams over a window's end are carried into the next.
 WINDOW = 1 << 18
@@ -91,47 +89,49 @@ def ngram_hashes(text: str) -> Iterator[np.ndarray]:
         tail = np.concatenate((tail, new))[-max(LENGTHS) + 1 :]
 
 
-def _slots(h: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64((1 << SLOT_BITS) - 1)
-    return [((h >> np.uint64(64 - SLOT_BITS * (k + 1))) & mask).astype(np.int64) for k in range(HASHES)]
+def slot_bits(languages: int) -> int:
+    """Bits of a slot's number, so that the tables of so many languages have at most TABLE_BYTES (64 languages share a word of 8 bytes, up to 8 a byte)."""
+    wide = 1 if languages <= 8 else 8 * -(-languages // 64)
+    return max(6, min(SLOT_BITS, (TABLE_BYTES // wide).bit_length() - 1))
 
 
-def _slot_columns(gram: str) -> Column:
-    """The same of a column of hashes, as an array."""
-    return F.array(*[F.shiftrightunsigned(gram, 64 - SLOT_BITS * (k + 1)).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for k in range(HASHES)])
+def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    mask = np.uint64((1 << bits) - 1)
+    return [((h >> np.uint64(64 - bits * (k + 1))) & mask).astype(np.int64) for k in range(HASHES)]
 
 
 @dataclass
 class LanguageModel:
-    """languages in order; words[w] is the table for languages 64 w to 64 w + 63; common is the commonest language."""
+    """languages in order; words[w] is the table for languages 64 w to 64 w + 63, with 2^bits slots; common is the commonest language."""
 
     languages: list[str]
     common: int
+    bits: int
     words: list[np.ndarray]
     false_positive: np.ndarray
 
     @classmethod
     def of(cls, languages: list[str], common: int, bits: np.ndarray) -> LanguageModel:
         """From rows of word, slot and the mask of the word's languages that set the slot."""
-        words = []
+        words, size = [], slot_bits(len(languages))
         fp = np.zeros(len(languages))
         for w in range(0, len(languages), 64):
             part = languages[w : w + 64]
-            kind = np.uint8 if len(part) <= 8 else np.uint64
-            table = np.zeros(1 << SLOT_BITS, dtype=kind)
+            kind = np.uint8 if len(languages) <= 8 else np.uint64
+            table = np.zeros(1 << size, dtype=kind)
             here = bits[bits[:, 0] == w // 64]
             table[here[:, 1]] = np.ascontiguousarray(here[:, 2]).view(np.uint64).astype(kind)
             for i in range(len(part)):
                 fp[w + i] = float(((table >> kind(i)) & kind(1)).mean()) ** HASHES
             words.append(table)
-        return cls(languages, common, words, fp)
+        return cls(languages, common, size, words, fp)
 
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         """N-grams of the text that each language's filter holds, and all n-grams."""
         found, total = np.zeros(len(self.languages), dtype=np.int64), 0
         for h in ngram_hashes(text):
             total += len(h)
-            slots = _slots(h)
+            slots = _slots(h, self.bits)
             for w, table in enumerate(self.words):
                 mask = table[slots[0]]
                 for s in slots[1:]:
@@ -162,15 +162,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, gram, n: documents of the batch that hold the n-gram."""
-    for batch in batches:
-        by: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            by.setdefault(lang, []).append(np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *ngram_hashes(text or "")])))
-        for lang, parts in by.items():
-            h, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+def _set_slots(bits: int) -> Callable:
+    """From rows of number (a language's) and text, the slots that the texts' n-grams set: word, slot and the mask of languages, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}  # at most 8 * TABLE_BYTES
+        for batch in batches:
+            for number, text in zip(batch.column("number").to_pylist(), batch.column("text")):
+                table = tables.setdefault(number, np.zeros(1 << bits, dtype=bool))
+                for h in ngram_hashes(text.as_py() or ""):
+                    for slots in _slots(h, bits):
+                        table[slots] = True
+        for number, table in tables.items():
+            slots = np.flatnonzero(table)
+            mask = np.full(len(slots), 1 << number % 64, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), number // 64)), pa.array(slots), pa.array(mask)], names=["word", "slot", "mask"])
+
+    return run
 
 
 def fit(docs: DataFrame, learn: Column) -> LanguageModel:
@@ -180,17 +188,12 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel:
     sizes = counted.orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return LanguageModel.of([], 0, np.zeros((0, 3), dtype=np.int64))
-    share = F.lit(float(DOCS_PER_LANGUAGE)) / F.col("count")
-    drawn = (F.shiftrightunsigned(F.xxhash64(F.lit("fit"), "doc_id"), 12).cast("double")) / float(1 << 52)
-    sample = known.join(F.broadcast(counted), "lang").filter(drawn < share).select("lang", "text")
     languages = sorted(r[0] for r in sizes)
-    grams = stored(sample.mapInArrow(frugal(_count_ngrams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
-    drawn_docs = stored(sample.groupBy("lang").agg(F.count("*").alias("docs")), "lang-drawn")
-    grams = grams.join(F.broadcast(drawn_docs), "lang").filter(F.col("n") * RARE >= F.col("docs"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # of a bounded sample of the language
-    top = grams.withColumn("place", place).filter(F.col("place") <= NGRAMS)
-    number = docs.sparkSession.createDataFrame([(lang, i // 64, i % 64) for i, lang in enumerate(languages)], "lang string, word int, bit int")
-    slots = top.join(F.broadcast(number), "lang").select("word", F.expr("shiftleft(1L, bit)").alias("mask"), F.explode(_slot_columns("gram")).alias("slot"))
+    share = {r[0]: DOCS_PER_LANGUAGE / r[1] for r in sizes}
+    numbers = docs.sparkSession.createDataFrame([(lang, i, share[lang]) for i, lang in enumerate(languages)], "lang string, number int, share double")
+    drawn = (F.shiftrightunsigned(F.xxhash64(F.lit("fit"), "doc_id"), 12).cast("double")) / float(1 << 52)
+    sample = known.join(F.broadcast(numbers), "lang").filter(drawn < F.col("share")).select("number", "text")
+    slots = sample.mapInArrow(frugal(_set_slots(slot_bits(len(languages)))), "word long, slot long, mask long")
     bits = stored(slots.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")), "lang-bits").toPandas()
     return LanguageModel.of(languages, languages.index(sizes[0][0]), bits[["word", "slot", "mask"]].to_numpy(dtype=np.int64))
 
@@ -214,6 +217,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(frugal(_predictor(sent)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+@any_names("text")
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
     """The documents, all columns as they are, whose language is known with a score of at least ``least``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
