@@ -7,12 +7,14 @@ texts: they are bitwise operations over the ledger.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``. Edge cases: null and empty texts have no words
 and fail the length rule; one word or two have no 3-word window; a repeated row gets a
-row of its own; no rows give no rows; further columns are ignored.
+row of its own; no rows give no rows; further columns are ignored. Capitals and small letters are counted character by
+character: one whose case mapping has several characters (ﬁ, ŉ) is neither, ß is small and ǅ both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,21 @@ def repeated_words(words: list[bytes]) -> int:
     return int((hit > 0).sum())
 
 
+@lru_cache(maxsize=1)
+def _cases() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: is it a capital (it has a small letter of its own), and is it small (it has a capital of its own, or is a capital's small letter)."""
+    capitals, small = (np.zeros(0x110000, dtype=bool) for _ in range(2))
+    for i in range(0x110000):
+        low, up = chr(i).lower(), chr(i).upper()
+        if low != chr(i):
+            capitals[i] = True
+            if len(low) == 1:
+                small[ord(low)] = True
+        if up != chr(i) and len(up) == 1:
+            small[i] = True
+    return capitals, small
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_lower, n_bangs."""
     text = text or ""
@@ -76,13 +93,9 @@ def measure(text: str | None) -> tuple[int, ...]:
             lines += 1
             dups += line in seen
             seen.add(line)
-    low, up = text.lower(), text.upper()
-    upper = lower = 0
-    if len(low) == len(text) == len(up):
-        t, a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for x in (text, low, up))
-        upper, lower = int((t != a).sum()), int((t != b).sum())
-    else:
-        upper, lower = sum(c.isupper() for c in text), sum(c.islower() for c in text)
+    capitals, small = _cases()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    upper, lower = int(capitals[points].sum()), int(small[points].sum())
     return len(words), len(text) - spaces, sum(text.count(c) for c in SYMBOLS), dups, repeated_words(words), lines, upper, lower, text.count("!")
 
 
