@@ -1,7 +1,7 @@
 """A training corpus from documents: five stages, each reading what the one before kept.
 
 Every stage takes empty tables (and returns none of any row), repeated rows and ids, texts of any length, nulls in
-every column, and further columns of any name, which it carries along. What it does with each is in its docstring.
+every column, and further columns of any name, which all but the last carry along. What it does with each is in its docstring.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltascope.llm import language_id, mixing, ngram_join, secrets, sp_codec
-from deltascope.llm.common import new_path, prepare, scratch
+from deltascope.llm.common import any_names, new_path, prepare, scratch
 
 #: A document whose n-grams are known to this share in no language has no known language.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -37,6 +37,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark in the text, and n_chars follows. Rows without one, null texts among them, stay as they are."""
     prepare(spark)
+    return _redacted(docs)
+
+
+@any_names("text", "n_chars")
+def _redacted(docs: DataFrame) -> DataFrame:
     found = secrets.find_secrets(docs, docs.columns)
     clean, hit = secrets.redacted(F.col("carried")["text"], F.col("spans")), F.size("spans") > 0
     found = found.select("carried", clean.alias("clean"), hit.alias("hit"))
@@ -56,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document of the mix; null and empty texts have none."""
+    """Piece ids of every document of the mix; null and empty texts have none. The last stage: it returns ids and figures, and carries no other column."""
     prepare(spark)
     return sp_codec.encode_documents(docs).select("doc_id", "ids", "n_pieces", "ids_sha256", "round_trip")
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltascope.llm.common import forget, join_facts, stored, word_count
+from deltascope.llm.common import any_names, forget, join_facts, stored, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -172,6 +172,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+@any_names("doc_id", "source", "text")
 def take_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """The documents, all columns as they are, each as often as the mix takes it."""
     sized = stored(_keyed(docs, seed), "mix-sizes")

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deltascope.llm.common import forget, frugal, give_back, join_facts, small_enough, stored, worker_cache
+from deltascope.llm.common import any_names, forget, frugal, give_back, join_facts, small_enough, stored, worker_cache
 from deltascope.llm.graph import connected_components
 from deltascope.llm.vector_join import forest
 
@@ -388,6 +388,7 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+@any_names("doc_id", "text")
 def keep_one(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """Of each component one document, all columns as they are: that of the smallest id, and of the class that names it.
 

@@ -35,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltascope.llm.common import stored
+from deltascope.llm.common import quoted, stored
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -232,7 +232,7 @@ def find_secrets(docs: DataFrame, carry: list[str]) -> DataFrame:
 
     start and end are code points, end exclusive; kind is a place in KINDS; base has the kinds of patterns alone.
     """
-    df = docs.select(F.struct(*[F.col(c) for c in carry]).alias("carried"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("scanned"))
+    df = docs.select(F.struct(*quoted(carry)).alias("carried"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("scanned"))
     df = _find(df, "scanned", "assign", ASSIGN, 2)
     for name, pattern in (("access", ACCESS), ("hex", HEX), ("other", CANDIDATE)):
         df = _find(df, "scanned", name, pattern)

@@ -9,6 +9,8 @@ import time
 import zlib
 from pathlib import Path
 
+import corpus_pipeline
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from deltascope.llm import graph, language_id, mixing, ngram_join, quality, secrets, sp_codec, token_counts, url_filters, vector_join, warc
 from deltascope.llm.common import ARROW_BYTES, join_facts, prepare, scratch, stored
 from deltascope.llm.graph import connected_components
+from deltascope.llm.queries import ORACLE
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, score double, bin int"
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -575,8 +578,8 @@ def gram_hash(g):
     return (h ^ h >> 32) * 0x94D049BB133111EB & (1 << 64) - 1
 
 
-def gram_slots(g):
-    return {(k, gram_hash(g) >> (64 - language_id.SLOT_BITS * (k + 1)) & (1 << language_id.SLOT_BITS) - 1) for k in range(language_id.HASHES)}
+def gram_slots(g, bits):
+    return {gram_hash(g) >> (64 - bits * (k + 1)) & (1 << bits) - 1 for k in range(language_id.HASHES)}
 
 
 @pytest.mark.parametrize("window", [3, 7, 1 << 18])
@@ -587,24 +590,75 @@ def test_language_ngrams_over_windows(monkeypatch, window):
         assert got == sorted(gram_hash(g) for g in grams_of(t))
 
 
-def test_language_filters_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "NGRAMS", 25)
+@pytest.mark.parametrize("languages, table_bytes", [(70, 1 << 20), (5, 1 << 20), (70, 1 << 14)])
+def test_language_filters_and_predictions_by_brute_force(spark, monkeypatch, languages, table_bytes):
+    """Filters hold every n-gram, counts are those of the slots, and the largest corrected share decides."""
+    monkeypatch.setattr(language_id, "TABLE_BYTES", table_bytes)
     rng = random.Random(6)
-    rows = [(i, " ".join(rng.choices(["the", "and", "der", "und", "les", "ñu", "日本"], k=rng.randint(1, 30))), f"l{i % 70:02d}", None) for i in range(140)]
+    rows = [(i, " ".join(rng.choices(["the", "and", "der", "und", "les", "ñu", "日本"], k=rng.randint(1, 30))), f"l{i % languages:02d}", None) for i in range(140)]
     df = docs(spark, rows)
     model = language_id.fit(df, F.lit(True))
-    assert len(model.words) == 2 and model.languages == sorted({r[2] for r in rows})
-    for at, lang in enumerate(model.languages):
-        times = {}
-        for g in [g for _, t, la, _ in rows if la == lang for g in set(grams_of(t))]:
-            times[g] = times.get(g, 0) + 1
-        signed = lambda g: gram_hash(g) - (1 << 64) * (gram_hash(g) >> 63)
-        kept = sorted(times, key=lambda g: (-times[g], signed(g)))[:25]
-        slots = {x for g in kept for _, x in gram_slots(g)}
-        assert model.false_positive[at] == (len(slots) / 2**language_id.SLOT_BITS) ** language_id.HASHES
-        for _, t, _, _ in rows[::20]:
-            found, total = model.counts(t)
-            assert total == len(grams_of(t)) and found[at] == sum(all(x in slots for _, x in gram_slots(g)) for g in grams_of(t))
+    assert len(model.words) == -(-languages // 64) and model.languages == sorted({r[2] for r in rows})
+    assert sum(t.nbytes for t in model.words) <= table_bytes
+    slots = {lang: {x for _, t, la, _ in rows if la == lang for g in grams_of(t) for x in gram_slots(g, model.bits)} for lang in model.languages}
+    fp = {lang: (len(slots[lang]) / 2**model.bits) ** language_id.HASHES for lang in model.languages}
+    assert list(model.false_positive) == [fp[lang] for lang in model.languages]
+    got = {r["doc_id"]: r for r in language_id.identify(df, model).collect()}
+    for i, t, _, _ in rows[::7]:
+        grams = grams_of(t)
+        count = {lang: sum(gram_slots(g, model.bits) <= slots[lang] for g in grams) for lang in model.languages}
+        found, total = model.counts(t)
+        assert total == len(grams) and list(found) == [count[lang] for lang in model.languages]
+        share = {lang: (count[lang] / total - fp[lang]) / (1 - min(fp[lang], 0.999)) for lang in model.languages}
+        best = max(model.languages, key=lambda lang: share[lang])
+        assert got[i]["lang_pred"] == best and math.isclose(got[i]["score"], min(1, share[best]))
+
+
+def test_languages_are_learned_alike_at_every_size(spark):
+    """An n-gram that one document has is known, however many documents there are; thousands of languages stay small."""
+    for n in (400, 500, 501, 600):
+        rows = [(i, f"the quick brown fox number {'xyz'[i % 3]}", "en", None) for i in range(n)] + [(n + i, "der schnelle braune fuchs", "de", None) for i in range(n)] + [(5000, "zzqqyy", "en", None)]
+        model = language_id.fit(docs(spark, rows), F.lit(True))
+        assert model.predict("zzqqyy")[0] == "en" and model.predict("zzqqyy")[1] > 0.99
+    many = spark.range(3000).selectExpr("id AS doc_id", "concat('w', id, ' v', id % 97) AS text", "concat('l', id) AS lang")
+    model = language_id.fit(many, F.lit(True))
+    assert len(model.languages) == 3000 and sum(t.nbytes for t in model.words) <= language_id.TABLE_BYTES
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `x``y` int, column_5 string"
+
+
+def odd_documents(spark):
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "token=abcdef123456"]
+    return spark.createDataFrame([(i, " ".join(rng.choices(words, k=80)) if i % 3 else f"same words here {i // 30} " * 30, "en", rng.choice(["s", "t", None]), 7, f"q{i}", i, "T") for i in range(120)], ODD)
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    prepare(spark)
+    df = odd_documents(spark)
+    now = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, "")
+        assert out.columns == df.columns, name
+        rows = out.collect()
+        assert rows and all(r[5] == f"q{r[6]}" and r[0] == r[6] and r[7] == "T" for r in rows), name
+        now = out
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() == now.count()
+
+
+def test_case_is_counted_by_character(spark):
+    """Query and SQL agree on letters whose case mapping is odd."""
+    words = " ".join(f"WORD{chr(65 + i % 26)}{chr(65 + i // 26)}" for i in range(60))
+    rows = [(k, f"{words} {x}", None, None) for k, x in enumerate(["", "ß" * 400, "ﬁ" * 400, "ŉ" * 400, "ª" * 400, "ǅ" * 400, "ẞ" * 40, "ᾀ" * 400, "ᾈ" * 400, "İ" * 400, "ı" * 400, "ß", "ª0 ª1 " * 300, "ª0 ª1 " * 300 + "ß"])]
+    got = {r["doc_id"]: r for r in quality.ledger(docs(spark, rows)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    cur = con.execute(ORACLE["op10_quality_rules"])
+    at = [d[0] for d in cur.description].index("fail_bits")
+    assert {r[0]: r[at] for r in cur.fetchall()} == {k: r["fail_bits"] for k, r in got.items()}
+    assert got[12]["fail_bits"] & 32 and got[13]["fail_bits"] & 32  # one ß changes nothing
 
 
 def test_mixing(spark, monkeypatch):
