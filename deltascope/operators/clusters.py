@@ -62,7 +62,7 @@ def figures(rows: DataFrame, keys: list[str], *more: Column, causes: bool = True
     asked = {"gas": F.col("gas_delta"), "access": access, "surcharge": F.col("surcharge_at_oog")} | {n: F.col(c) for n, c in PAIRS.items()}
     q = hist.quantiles(rows, keys, asked, (0.5, 0.9))
     n = F.count("*").cast("double")
-    share = lambda column, flag: F.when(F.count(column) > 0, F.round(F.count_if(flag) / n, 4))
+    share = lambda column, flag: F.when(F.count(column) > 0, F.count_if(flag) / n)
     own = rows.groupBy(*keys).agg(
         (F.count("access_list_address_count") + F.count("access_list_storage_key_count")).alias("_listed"), F.sum("surcharge_at_oog").alias("_surcharge"),
         share("reservoir_exhausted", F.col("reservoir_exhausted")).alias("_exhausted"), share("runtime_state_gas_spillover", F.col("runtime_state_gas_spillover") > 0).alias("_spilled"), *plain,
@@ -105,7 +105,7 @@ def failure_clusters(roled: DataFrame, keep: int = CLUSTERS, causes: bool = True
     shown = firsts.groupBy("contract", "cluster").agg(F.array_sort(F.collect_list(F.struct("block_number", "tx_hash", "gas_delta"))).alias("examples"))
     states = mix_pairs(rows, ["contract", "cluster"], "state_gas_category").withColumnRenamed("mix", "state_gas_category")
     out = ranked.join(detail, ["contract", "cluster"]).join(shown, ["contract", "cluster"]).join(states, ["contract", "cluster"], "left")
-    share = lambda d: F.round(F.col("count") / F.col(d), 4)
+    share = lambda d: F.col("count") / F.col(d)
     return out.withColumns({"share_of_role": share("role_total"), "share_of_contract": share("contract_total")}).drop("cluster")
 
 
@@ -118,7 +118,7 @@ def mix_pairs(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def cluster_summary(clusters: DataFrame) -> DataFrame:
     """contract, distinct_cluster_count, clusters_shown_share."""
-    return clusters.groupBy("contract").agg(F.max("distinct_clusters").alias("distinct_cluster_count"), F.round(F.sum("count") / F.max("contract_total"), 4).alias("clusters_shown_share"))
+    return clusters.groupBy("contract").agg(F.max("distinct_clusters").alias("distinct_cluster_count"), (F.sum("count") / F.max("contract_total")).alias("clusters_shown_share"))
 
 
 def role_counts(roled: DataFrame) -> DataFrame:
@@ -139,11 +139,22 @@ def recipient_counts(divergence: DataFrame) -> DataFrame:
 MIXES = {"entry_functions": "entry_selector", "failing_functions": "failing_selector", "halt_contracts": "oog_contract", "revert_contracts": "divergence_contract", "entry_contracts": "recipient"}
 
 
-def context(roled: DataFrame, divergence: DataFrame) -> DataFrame:
-    """Per contract: the wider counts, gas of its entry rows, block span (of entry rows, else of site rows) and counterpart mixes.
+def value_counts(roled: DataFrame) -> DataFrame:
+    """contract, which, value, count: functions, counterparts and blocks of each contract, from one unpivot and one count."""
+    entry = F.col("role") == "entry"
+    second = (F.col("role") == "revert_site") & F.col("oog_contract").eqNullSafe(F.col("contract"))  # a row that is both sites counts once
+    part = lambda which, value, when: F.struct(F.lit(which).alias("which"), F.when(when, F.col(value).cast("string")).alias("value"))
+    each = [part(n, c, entry if n != "entry_contracts" else ~entry & ~second) for n, c in MIXES.items()] + [part("entry_blocks", "block_number", entry), part("site_blocks", "block_number", ~entry)]
+    return roled.select("contract", F.inline(F.array(*each))).filter("value is not null").groupBy("contract", "which", "value").agg(F.count("*").alias("count"))
 
-    The mixes and the distinct blocks come from one unpivot and one count of (contract, which, value).
-    """
+
+def top_values(counts: DataFrame) -> DataFrame:
+    """contract, which, value, count, place: the most frequent values of each mix."""
+    return topk_per_key(counts.filter("which not in ('entry_blocks', 'site_blocks')"), ["contract", "which"], BREAKDOWN, [F.desc("count"), F.col("value")])
+
+
+def context_figures(roled: DataFrame, divergence: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per contract: the wider counts, gas of its entry rows, and block span and distinct blocks (of entry rows, else of site rows)."""
     entry = F.col("role") == "entry"
     side = lambda f, e: f(F.when(entry if e else ~entry, F.col("block_number")))
     base = roled.groupBy("contract").agg(
@@ -152,21 +163,21 @@ def context(roled: DataFrame, divergence: DataFrame) -> DataFrame:
     )
     gas = hist.quantiles(roled.filter(entry), ["contract"], {"gas": F.col("gas_delta")}, (0.5, 0.9))
     gas = gas.select("contract", _whole(F.col("q_gas")[0]).alias("gas_p50"), _whole(F.col("q_gas")[1]).alias("gas_p90"))
-    second = (F.col("role") == "revert_site") & F.col("oog_contract").eqNullSafe(F.col("contract"))  # a row that is both sites counts once
-    part = lambda which, value, when: F.struct(F.lit(which).alias("which"), F.when(when, F.col(value).cast("string")).alias("value"))
-    each = [part(n, c, entry if n != "entry_contracts" else ~entry & ~second) for n, c in MIXES.items()] + [part("entry_blocks", "block_number", entry), part("site_blocks", "block_number", ~entry)]
-    counts = roled.select("contract", F.inline(F.array(*each))).filter("value is not null").groupBy("contract", "which", "value").agg(F.count("*").alias("count"))
     blocks = counts.filter("which in ('entry_blocks', 'site_blocks')").groupBy("contract").agg(F.count_if(F.col("which") == "entry_blocks").alias("a"), F.count_if(F.col("which") == "site_blocks").alias("b"))
     blocks = blocks.select("contract", F.when(F.col("a") > 0, F.col("a")).otherwise(F.col("b")).alias("distinct_blocks"))
-    top = topk_per_key(counts.filter("which not in ('entry_blocks', 'site_blocks')"), ["contract", "which"], BREAKDOWN, [F.desc("count"), F.col("value")])
+    return base.join(gas, "contract", "left").join(blocks, "contract").join(recipient_counts(divergence), "contract", "left").fillna(0, ["g3_tx_count", "g2_drillin_tx_count", "af_tx_count", "status_flips"])
+
+
+def context(roled: DataFrame, divergence: DataFrame) -> DataFrame:
+    """context_figures with the mixes as arrays of (contract, count), null where there is none."""
+    counts = value_counts(roled)
 
     def shown(name: str) -> Column:
         rows = F.array_sort(F.collect_list(F.when(F.col("which") == name, F.struct("place", F.col("value").alias("contract"), "count"))))  # at most BREAKDOWN of each
         return F.when(F.size(rows) > 0, F.transform(rows, lambda r: F.struct(r["contract"].alias("contract"), r["count"].alias("count")))).alias(name)
 
-    mixes = top.groupBy("contract").agg(*[shown(n) for n in MIXES])
-    out = base.join(gas, "contract", "left").join(blocks, "contract").join(recipient_counts(divergence), "contract", "left").fillna(0, ["g3_tx_count", "g2_drillin_tx_count", "af_tx_count", "status_flips"])
-    return out.join(mixes, "contract", "left")
+    mixes = top_values(counts).groupBy("contract").agg(*[shown(n) for n in MIXES])
+    return context_figures(roled, divergence, counts).join(mixes, "contract", "left")
 
 
 def searchable(labels: DataFrame) -> DataFrame:
@@ -228,7 +239,7 @@ def index(counts: DataFrame, labels: DataFrame, deploy: DataFrame) -> DataFrame:
 
 def failure_rates(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """contract, total_tx, halt_rate, revert_rate (0 for none); only contracts with a denominator."""
-    rate = lambda c: F.round(F.col(c) / F.col("total_tx"), 6)
+    rate = lambda c: F.col(c) / F.col("total_tx")
     return counts.join(totals.select(F.col("addr").alias("contract"), "total_tx"), "contract").filter("total_tx > 0").select("contract", "total_tx", rate("halts").alias("halt_rate"), rate("reverts").alias("revert_rate"))
 
 

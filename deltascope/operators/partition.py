@@ -38,8 +38,8 @@ def totals(blocks: DataFrame) -> DataFrame:
 
 
 def meta(blocks: DataFrame) -> DataFrame:
-    """Block range (count is the span), day range, totals and the share of truncated blocks (4 places)."""
-    share = F.round(F.try_divide(F.count_if("drill_ins_truncated").cast("double"), F.count("*").cast("double")), 4)
+    """Block range (count is the span), day range, totals and the share of truncated blocks."""
+    share = F.try_divide(F.count_if("drill_ins_truncated").cast("double"), F.count("*").cast("double"))
     return blocks.agg(
         F.min("block_number").alias("block_start"), F.max("block_number").alias("block_end"), (F.max("block_number") - F.min("block_number") + 1).alias("block_count"),
         F.min("day").alias("day_start"), F.max("day").alias("day_end"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tx_count", *PARTS, "rescues")], share.alias("truncated_share"),

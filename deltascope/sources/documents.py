@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import json
-import os
-import uuid
-from collections.abc import Iterable, Iterator
+import sys
+from collections.abc import Callable, Iterator
 from decimal import Decimal
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, Row
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from deltascope.sources import document_sink
+
 
 def plain(value, places: int | None = None, keep_nulls: bool = True):
     """Rows, arrays and decimals as JSON values; floats are rounded half-even as Python does; keep_nulls=False leaves null fields out."""
@@ -40,65 +41,26 @@ def collected(df: DataFrame, places: int | None = 4, keep_nulls: bool = True, li
 
 
 def write_document(document, path: str, indent: int | None = 2) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    tmp = f"{path}.tmp"
-    Path(tmp).write_text(json.dumps(document, indent=indent, separators=None if indent else (",", ":"), default=str))
-    os.replace(tmp, path)
-
-
-def shard_rows(df: DataFrame, key: str, *columns: str | Column) -> DataFrame:
-    """key and body, the compact JSON text of the columns, null fields kept."""
-    return df.select(F.lower(key).alias("key"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("body"))
-
+    """A small document to a path or URI, by rename."""
+    fs, at = pyarrow.fs.FileSystem.from_uri(document_sink.as_uri(path))
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(f"{at}.tmp") as out:
+        out.write(json.dumps(document, indent=indent, separators=None if indent else (",", ":"), default=str).encode())
+    fs.move(f"{at}.tmp", at)
 
-def write_rows(path: str, head: dict, name: str, rows: Iterable, keyed: bool = False) -> int:
-    """A compact document of head and, under name, rows as they come: a list, or an object of (key, value) pairs. Holds one row at a time."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    text = lambda x: json.dumps(x, separators=(",", ":"), default=str)
-    n = 0
-    with open(f"{path}.tmp", "w") as out:
-        out.write(text(head)[:-1] + ("," if head else "") + text(name) + ":" + ("{" if keyed else "["))
-        for row in rows:
-            out.write(("," if n else "") + (f"{text(row[0])}:{text(row[1])}" if keyed else text(row)))
-            n += 1
-        out.write(("}" if keyed else "]") + "}")
-    os.replace(f"{path}.tmp", path)
-    return n
 
+def write_shards(rows: DataFrame, folder: str) -> None:
+    """One file {key}.json per row (key, body) in folder, in place of all that was there. Keys must differ."""
+    document_sink.write_folder(document_sink.whole(rows, F.col("key"), F.col("body")), folder)
 
-def streamed(df: DataFrame, places: int | None = 4, keep_nulls: bool = True) -> Iterator:
-    """The rows of a result of any size as JSON values, a partition at a time."""
-    return (plain(r, places, keep_nulls) for r in df.toLocalIterator())
 
-
-def write_shards(rows: DataFrame, folder: str) -> int:
-    """One file {key}.json per row in folder, in place of all that was there; returns their number.
-
-    folder is a path or URI that all executors and the driver share. Tasks write into a new folder
-    beside it, each file by rename, so a task may run twice; the new folder then takes the old one's place.
-    """
-    uri = folder if ":" in folder.split("/", 1)[0] else f"file://{os.path.abspath(folder)}"
+def finished(rows: DataFrame, column: str, finish: Callable[[dict], dict]) -> DataFrame:
+    """rows with the JSON texts of a column read, finished and written again."""
+    cloudpickle.register_pickle_by_value(sys.modules[finish.__module__])  # executors need not have this package
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = pyarrow.fs.FileSystem.from_uri(f"{uri}.next")
-        fs.create_dir(at, recursive=True)
         for batch in batches:
-            for key, body in zip(batch.column("key").to_pylist(), batch.column("body").to_pylist()):
-                own = f"{at}/.{key}.{uuid.uuid4().hex}"
-                with fs.open_output_stream(own) as out:
-                    out.write(body.encode())
-                fs.move(own, f"{at}/{key}.json")
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
-
-    spark = rows.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    now, new, old = (path(f"{uri}{x}") for x in ("", ".next", ".old"))
-    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(new, True), fs.delete(old, True)
-    n = rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    fs.mkdirs(new)
-    if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(new, now)
-    fs.delete(old, True)
-    return n
+            new = [json.dumps(finish(json.loads(t)), separators=(",", ":")) for t in batch.column(column).to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(new, pa.string()))
+
+    return rows.mapInArrow(run, rows.schema)

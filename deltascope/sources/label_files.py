@@ -21,13 +21,16 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*out).withColumn("is_mev_bot", F.coalesce("is_mev_bot", F.lit(False))).select(*LABEL.names)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All of the label tables that exist, one after another."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out = spark.createDataFrame([], LABEL)
     for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        if at.getFileSystem(conf).exists(at):
+        if exists(spark, p):
             out = out.unionByName(read_labels(spark, p))
     return out
 

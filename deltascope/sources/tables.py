@@ -51,14 +51,26 @@ def read_divergence(df: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
-def stage(df: DataFrame, path: str) -> DataFrame:
-    """Write a staged table by block bucket, replacing what was there, and read it back.
+def stage(df: DataFrame, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """Write a staged table by block bucket, replacing what was there (or only these buckets), and read it back.
 
     Rows are ranged by block first, so a bucket gets files from few tasks and a file's row groups hold few blocks.
     """
     df = df.withColumn("block_bucket", F.floor(F.col("block_number") / BUCKET)).repartitionByRange("block_number").sortWithinPartitions("block_number")
-    df.write.mode("overwrite").partitionBy("block_bucket").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    write = df.write.mode("overwrite").partitionBy("block_bucket")
+    if buckets is not None:
+        write = write.option("partitionOverwriteMode", "dynamic")
+        _drop_buckets(df.sparkSession, path, buckets)
+    write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _drop_buckets(spark: SparkSession, path: str, buckets: list[int]) -> None:
+    """Delete buckets that are about to be written anew, which may have no rows any more."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for b in buckets:
+        fs.delete(of(f"{path}/block_bucket={b}"), True)
 
 
 _own_folders: dict[str, str] = {}
@@ -91,11 +103,37 @@ def latest_coverage(df: DataFrame) -> DataFrame:
     return latest_version(df, ["row_id"], [F.desc("updated_at"), F.desc(F.xxhash64(*df.columns))])
 
 
+#: Addresses up to which a lookup is a list of values that Parquet's Bloom filters answer (Spark's threshold for such lists).
+FEW = 10
+
+
+def stage_recipients(transactions: DataFrame, path: str, row_group_bytes: int | None = None) -> DataFrame:
+    """block_number and addr (recipients in small letters, none null) of transactions, by block bucket and with a Bloom filter on addr in every row group."""
+    rows = transactions.filter("to_address is not null").select("block_number", F.lower("to_address").alias("addr"))
+    rows = rows.withColumn("block_bucket", F.floor(F.col("block_number") / BUCKET)).repartitionByRange("block_number").sortWithinPartitions("block_number")
+    write = rows.write.mode("overwrite").partitionBy("block_bucket").option("parquet.bloom.filter.enabled#addr", "true")
+    if row_group_bytes is not None:
+        write = write.option("parquet.block.size", row_group_bytes).option("parquet.bloom.filter.expected.ndv#addr", max(1, row_group_bytes // 16))
+    write.parquet(path)
+    return transactions.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def denominators(transactions: DataFrame, addresses: DataFrame, blocks: tuple[int, int]) -> DataFrame:
-    """addr, total_tx of the addresses asked for (a bounded set), from every transaction of a range."""
-    asked = F.broadcast(addresses.select(F.lower("addr").alias("addr")).distinct())
-    rows = transactions.filter(F.col("block_number").between(*blocks) & F.col("to_address").isNotNull()).select(F.lower("to_address").alias("addr"))
-    return rows.join(asked, "addr", "left_semi").groupBy("addr").agg(F.count("*").alias("total_tx"))
+    """addr, total_tx of the addresses asked for (a bounded set), from every transaction of a range.
+
+    transactions are raw (to_address) or staged by stage_recipients; of a staged table, a lookup of up to FEW addresses reads the row groups alone that can hold one.
+    """
+    asked = addresses.select(F.lower("addr").alias("addr")).distinct()
+    rows = transactions.filter(F.col("block_number").between(*blocks))
+    if "addr" not in transactions.columns:
+        rows = rows.filter("to_address is not null").select(F.lower("to_address").alias("addr"))
+    else:
+        lo, hi = (b // BUCKET for b in blocks)
+        rows = rows.filter(F.col("block_bucket").between(lo, hi))
+        few = [r["addr"] for r in asked.limit(FEW + 1).collect()]
+        if len(few) <= FEW:
+            return rows.filter(F.col("addr").isin(few)).groupBy("addr").agg(F.count("*").alias("total_tx"))
+    return rows.join(F.broadcast(asked), "addr", "left_semi").groupBy("addr").agg(F.count("*").alias("total_tx"))
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
