@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,21 +33,36 @@ def common_range(by_config: DataFrame) -> DataFrame:
     return by_config.agg(F.max("min_block").alias("lo"), F.min("max_block").alias("hi"))
 
 
+def manifest_fields(runs: DataFrame, fields: dict[str, tuple[str, str]], column: str = "manifest_json") -> DataFrame:
+    """runs with manifest, its JSON as a VARIANT (null where it is none), manifest_kind, the type it has there, and named fields of it.
+
+    fields: path and type by name. Manifests need not agree: a field that one lacks, or has as what can't be read as the type, is null there.
+    """
+    read = runs.withColumn("manifest", F.try_parse_json(column))
+    picked = {n: F.try_variant_get("manifest", path, kind) for n, (path, kind) in fields.items()}
+    return read.withColumns({"manifest_kind": F.schema_of_variant("manifest")} | picked)
+
+
 @dataclass(frozen=True)
 class Resolution:
     configs: dict[str, str]
     shared: bool
     lo: int | None
     hi: int | None
+    #: How the configurations were chosen: override, shared or best_per_schedule.
+    chosen: str = field(default="override", compare=False)
 
 
 def resolve(by_config: DataFrame, schedules: list[str], override: str | None = None) -> Resolution:
     """The configuration of each schedule: the override, else one that covers all, else each schedule's best."""
+    chosen = "override"
     if override:
         configs = dict.fromkeys(schedules, override)
     elif first := ranked_configs(by_config, schedules).first():
+        chosen = "shared"
         configs = dict.fromkeys(schedules, first["analysis_config_hash"])
     else:
+        chosen = "best_per_schedule"
         configs = {r["schedule_name"]: r["analysis_config_hash"] for r in best_per_schedule(by_config).collect() if r["schedule_name"] in schedules}
     if missing := [s for s in schedules if s not in configs]:
         raise ValueError(f"no configuration covers {', '.join(missing)}")
@@ -55,7 +70,7 @@ def resolve(by_config: DataFrame, schedules: list[str], override: str | None = N
     for s, c in configs.items():
         hit = hit | ((F.col("schedule_name") == s) & (F.col("analysis_config_hash") == c))
     lo, hi = common_range(by_config.filter(hit)).first()
-    return Resolution(configs, len(set(configs.values())) == 1, lo, hi)
+    return Resolution(configs, len(set(configs.values())) == 1, lo, hi, chosen)
 
 
 def window(resolution: Resolution, start: int | None = None, end: int | None = None, default: int = 2000) -> tuple[int, int]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltascope.functions import predicates as P
 from deltascope.operators.mixes import literals
+from deltascope.sources.tables import held
 
 MULTIPLIERS = ((1.0, 2.0, 2), (2.0, 4.0, 4), (4.0, 6.0, 6), (6.0, 8.0, 8), (8.0, None, 10))
 MAGNITUDES = (("0", 0, 1), ("1-999", 1, 1_000), ("1K-9K", 1_000, 10_000), ("10K-99K", 10_000, 100_000), ("100K-999K", 100_000, 1_000_000), ("1M+", 1_000_000, None))
@@ -98,27 +101,63 @@ def percentiles(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(p.alias("p"), F.max(column).alias("max")).select(F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"), "max")
 
 
+#: Distinct values of a group up to which one task holds them; beyond, its ranks are found by bins.
+WIDE = 50_000
+#: Bins of a step of that search.
+BINS = 4096
+
+
 def quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], points: tuple[float, ...]) -> DataFrame:
     """keys and, for each value, q_{name}: its percentiles (linear interpolation) in each group that has any, else null.
 
-    Values are counted by group before they meet, so a group's task sorts its distinct values (and spills), not its rows.
+    Values are counted by group first, for all figures at once, and written. A group of at most WIDE distinct values is an
+    aggregate over these counts; a wider one never meets in one task (see _ranked). Null keys are a group.
     """
     each = rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("which"), v.cast("double").alias("value")) for n, v in values.items()]))).filter("value is not null")
-    counts = each.groupBy(*keys, "which", "value").agg(F.count("*").alias("n"))
-    own = Window.partitionBy(*keys, "which")
-    counts = counts.withColumns({"upto": F.sum("n").over(own.orderBy("value")), "total": F.sum("n").over(own)})
-
-    def point(p: float) -> Column:
-        at = F.lit(p) * (F.col("total") - 1)
-        low, high = (F.min(F.when(F.col("upto") > f(at), F.col("value"))) for f in (F.floor, F.ceil))
-        over = F.max(at - F.floor(at))
-        return low * (1 - over) + high * over
-
-    found = counts.groupBy(*keys, "which").agg(F.array(*[point(p) for p in points]).alias("q"))
+    group = [*keys, "which"]
+    counts = held(each.groupBy(*group, "value").agg(F.count("*").alias("n")), "value-counts")
+    wide = counts.groupBy(*group).agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter(F.col("m") > WIDE)
+    asked = F.array(*[F.lit(float(p)) for p in points])
+    if wide.isEmpty():
+        found = counts.groupBy(*group).agg(F.percentile("value", asked, F.col("n")).alias("q"))
+    else:
+        wide = held(wide, "wide-groups")
+        narrow = counts.join(wide, _same(counts, wide, group), "left_anti").groupBy(*group).agg(F.percentile("value", asked, F.col("n")).alias("q"))
+        found = narrow.unionByName(_ranked(held(counts.join(wide, _same(counts, wide, group), "left_semi"), "wide-values"), wide, group, points))
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == n, F.col("q"))).alias(f"q_{n}") for n in values])
 
 
-def bins_total(histogram: DataFrame, column: str = "count") -> DataFrame:
-    return histogram.agg(F.coalesce(F.sum(column), F.lit(0)).alias("covered"))
+def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns])
+
 
+def _ranked(counts: DataFrame, groups: DataFrame, keys: list[str], points: tuple[float, ...]) -> DataFrame:
+    """keys, q of groups with any number of values: counts(keys, value, n), groups(keys, total).
 
+    For each rank asked for, the values are counted in bins that keep their order, and only the bin that holds the rank goes on:
+    first binary magnitudes with signs, then BINS equal parts of what is left, until one value is. Six steps end it for any doubles,
+    since magnitudes are binary and a part is a BINSth. A task sees a group's bins, never all its values.
+    """
+    at = [F.lit(p) * (F.col("total") - 1) for p in points]
+    ranks = F.array(*[F.struct(F.lit(2 * i + side).alias("point"), f(x).cast("bigint").alias("rank")) for i, x in enumerate(at) for side, f in enumerate((F.floor, F.ceil))])
+    now = groups.select(*keys, F.inline(ranks)).withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
+    names = [*keys, "point"]
+    while True:
+        to = now.select(*[F.col(c).alias(f"_{c}") for c in keys], "point", "rank", "low", "high")
+        inside = F.col("low").isNull() | F.col("value").between(F.col("low"), F.col("high"))
+        met = counts.join(to, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]) & inside)
+        v, half = F.col("value"), lambda x: x / 2
+        magnitude = F.when(v == 0, 0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v))) + 1100))
+        part = F.least(F.floor((half(v) - half(F.col("low"))) / (half(F.col("high")) - half(F.col("low"))) * BINS), F.lit(BINS - 1))
+        bins = met.groupBy(*names, "rank", F.when(F.col("low").isNull(), magnitude).when(F.col("low") == F.col("high"), 0).otherwise(part).cast("int").alias("bin"))
+        bins = bins.agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy(*names).orderBy("bin"))
+        hit = bins.withColumn("upto", upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        now = held(hit.select(*names, (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "low", "high"), "ranks")
+        if now.filter("low < high").isEmpty():
+            break
+    value = lambda k: F.max(F.when(F.col("point") == k, F.col("low")))
+    got = now.groupBy(*keys).agg(*[value(k).alias(f"v{k}") for k in range(2 * len(points))])
+    got = got.join(groups.select(*[F.col(c).alias(f"_{c}") for c in keys], "total"), reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]))
+    over = [x - F.floor(x) for x in at]
+    return got.select(*keys, F.array(*[F.col(f"v{2 * i}") * (1 - o) + F.col(f"v{2 * i + 1}") * o for i, o in enumerate(over)]).alias("q"))

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltascope.functions import opcodes, predicates as P, scalars as S
-from deltascope.operators import bytecode, clusters, config, forensics, hist, labels as L, mixes, partition, versioned
+from deltascope.operators import breadth as distinct, bytecode, clusters, config, forensics, hist, labels as L, mixes, partition, search, states, versioned
 from deltascope.model import DIVERGENCE_COLUMNS
 from deltascope.plans.facts import COLUMNS, FACTS_SQL, LABELS_SQL, TOTALS_SQL, VERSION, facts, labels, latest_items, totals
 from deltascope.plans.label_build import TAGS, build
 from deltascope.plans.schedule import affected_tables
+from deltascope.sources import document_sink as sink, landed_pages as pages, staging, state_store
 from deltascope.sources.documents import write_shards
 from deltascope.sources.label_files import read_labels, registry_contracts, registry_tokens, write_labels
 from deltascope.sources.tables import denominators as source_denominators, held, pinned, read_divergence, read_table, scratch_folder, stage
@@ -107,7 +109,7 @@ def coverage_totals(spark, sf_dir):
     return partition.totals(_blocks(spark, sf_dir))
 
 
-@query(f"SELECT min(block_number) AS block_start, max(block_number) AS block_end, max(block_number) - min(block_number) + 1 AS block_count, CAST(min(day) AS STRING) AS day_start, CAST(max(day) AS STRING) AS day_end, {_SUMS}, round(CAST(count(*) FILTER (WHERE truncated) AS DOUBLE) / count(*), 4) AS truncated_share FROM blocks", BLOCKS_SQL)
+@query(f"SELECT min(block_number) AS block_start, max(block_number) AS block_end, max(block_number) - min(block_number) + 1 AS block_count, CAST(min(day) AS STRING) AS day_start, CAST(max(day) AS STRING) AS day_end, {_SUMS}, CAST(count(*) FILTER (WHERE truncated) AS DOUBLE) / count(*) AS truncated_share FROM blocks", BLOCKS_SQL)
 def run_meta(spark, sf_dir):
     return partition.meta(_blocks(spark, sf_dir)).withColumns({"day_start": _text("day_start"), "day_end": _text("day_end")})
 
@@ -442,8 +444,8 @@ _ACCESS = "coalesce(access_list_address_count, 0) + coalesce(access_list_storage
 #: The causes of a group as columns; nulls stand where a cause has no values.
 _DRIVERS = ", ".join(f"{_q(c, p)} AS {n}_p{round(100 * p)}" for n, c in clusters.PAIRS.items() for p in (0.5, 0.9)) + f""",
     CASE WHEN count(access_list_address_count) + count(access_list_storage_key_count) > 0 THEN {_q(_ACCESS, 0.5)} END AS access_p50, CASE WHEN count(access_list_address_count) + count(access_list_storage_key_count) > 0 THEN {_q(_ACCESS, 0.9)} END AS access_p90,
-    {_q('surcharge_at_oog', 0.5)} AS surcharge_p50, CAST(sum(surcharge_at_oog) AS BIGINT) AS surcharge_sum, CASE WHEN count(reservoir_exhausted) > 0 THEN round(CAST(count(*) FILTER (WHERE reservoir_exhausted) AS DOUBLE) / count(*), 4) END AS exhausted,
-    CASE WHEN count(runtime_state_gas_spillover) > 0 THEN round(CAST(count(*) FILTER (WHERE runtime_state_gas_spillover > 0) AS DOUBLE) / count(*), 4) END AS spilled"""
+    {_q('surcharge_at_oog', 0.5)} AS surcharge_p50, CAST(sum(surcharge_at_oog) AS BIGINT) AS surcharge_sum, CASE WHEN count(reservoir_exhausted) > 0 THEN CAST(count(*) FILTER (WHERE reservoir_exhausted) AS DOUBLE) / count(*) END AS exhausted,
+    CASE WHEN count(runtime_state_gas_spillover) > 0 THEN CAST(count(*) FILTER (WHERE runtime_state_gas_spillover > 0) AS DOUBLE) / count(*) END AS spilled"""
 
 
 def _flat_drivers() -> list:
@@ -475,7 +477,7 @@ def role_unpivot(spark, sf_dir):
     return _roles(spark, sf_dir).select("contract", *clusters.KEY, "block_number", "tx_hash")
 
 
-@query(f"SELECT contract, {_KEYS}, count, distinct_clusters, round(CAST(count AS DOUBLE) / role_total, 4) AS share_of_role, round(CAST(count AS DOUBLE) / contract_total, 4) AS share_of_contract, gas_avg, gas_p50, gas_p90, entry_selector, examples, coalesce(states, '') AS states FROM shown", ROLES_SQL, CLUSTERS_SQL)
+@query(f"SELECT contract, {_KEYS}, count, distinct_clusters, CAST(count AS DOUBLE) / role_total AS share_of_role, CAST(count AS DOUBLE) / contract_total AS share_of_contract, gas_avg, gas_p50, gas_p90, entry_selector, examples, coalesce(states, '') AS states FROM shown", ROLES_SQL, CLUSTERS_SQL)
 def failure_clusters(spark, sf_dir):
     out = clusters.failure_clusters(_roles(spark, sf_dir), causes=False)
     return out.select("contract", *clusters.KEY, "count", "distinct_clusters", "share_of_role", "share_of_contract", "gas_avg", "gas_p50", "gas_p90", "entry_selector", F.array_join(F.transform("examples", lambda e: e["tx_hash"]), ",").alias("examples"), _mix_text("state_gas_category", "key").alias("states"))
@@ -489,7 +491,7 @@ def cluster_drivers(spark, sf_dir):
     return clusters.failure_clusters(_roles(spark, sf_dir)).select("contract", *clusters.KEY, *_flat_drivers())
 
 
-@query("SELECT contract, max(distinct_clusters) AS distinct_cluster_count, round(CAST(sum(count) AS DOUBLE) / max(contract_total), 4) AS clusters_shown_share FROM shown GROUP BY 1", ROLES_SQL, CLUSTERS_SQL)
+@query("SELECT contract, max(distinct_clusters) AS distinct_cluster_count, CAST(sum(count) AS DOUBLE) / max(contract_total) AS clusters_shown_share FROM shown GROUP BY 1", ROLES_SQL, CLUSTERS_SQL)
 def cluster_summary(spark, sf_dir):
     return clusters.cluster_summary(clusters.failure_clusters(_roles(spark, sf_dir), causes=False))
 
@@ -575,7 +577,7 @@ def probe_set(spark, sf_dir):
     return clusters.probe_set(clusters.role_counts(_roles(spark, sf_dir)), _named(spark, sf_dir))
 
 
-@query("SELECT contract, total_tx, round(CAST(halts AS DOUBLE) / total_tx, 6) AS halt_rate, round(CAST(reverts AS DOUBLE) / total_tx, 6) AS revert_rate FROM counts JOIN totals ON addr = contract", ROLES_SQL, _COUNTS, TOTALS_SQL)
+@query("SELECT contract, total_tx, CAST(halts AS DOUBLE) / total_tx AS halt_rate, CAST(reverts AS DOUBLE) / total_tx AS revert_rate FROM counts JOIN totals ON addr = contract", ROLES_SQL, _COUNTS, TOTALS_SQL)
 def failure_rates(spark, sf_dir):
     return clusters.failure_rates(clusters.role_counts(_roles(spark, sf_dir)), totals(spark, sf_dir))
 
@@ -873,23 +875,53 @@ def structural_inputs(spark, sf_dir):
     return out.select("address", "code", F.try_element_at("storage", F.lit(f"0x{bytecode.SLOTS['admin']}")).alias("admin"))
 
 
-@query(f"""SELECT c.contract, distinct_cluster_count, clusters_shown_share, n_clusters, top_count, nullif(entry, 0) AS entry, nullif(entry_oog, 0) AS entry_oog, nullif(halts, 0) AS oog_site, nullif(reverts, 0) AS revert_site, n.label AS label, total_tx,
-    round(CAST(halts AS DOUBLE) / total_tx, 6) AS halt_rate, signature FROM (
-    SELECT contract, max(distinct_clusters) AS distinct_cluster_count, round(CAST(sum(count) AS DOUBLE) / max(contract_total), 4) AS clusters_shown_share, count(*) AS n_clusters, max(count) AS top_count,
+@query(f"""SELECT c.contract, distinct_cluster_count, clusters_shown_share, n_clusters, top_count, nullif(entry, 0) AS entry, CASE WHEN entry > 0 THEN entry_oog END AS entry_oog, nullif(halts, 0) AS oog_site, nullif(reverts, 0) AS revert_site, coalesce(n.label, c.contract) AS label, total_tx,
+    CAST(halts AS DOUBLE) / total_tx AS halt_rate, signature FROM (
+    SELECT contract, max(distinct_clusters) AS distinct_cluster_count, CAST(sum(count) AS DOUBLE) / max(contract_total) AS clusters_shown_share, count(*) AS n_clusters, max(count) AS top_count,
     coalesce(max(CASE WHEN failing_selector = '0x63' THEN 'pay(uint8)' END), '') AS signature FROM shown GROUP BY 1) c
     JOIN (SELECT *, (SELECT count(*) FROM roled r WHERE r.contract = k.contract AND role = 'entry' AND oog_contract IS NOT NULL) AS entry_oog FROM counts k) k ON k.contract = c.contract
     LEFT JOIN names n ON n.address = c.contract LEFT JOIN totals t ON t.addr = c.contract WHERE c.contract NOT IN (SELECT contract FROM deploy)""", LABELS_SQL, _NAMED, _DEPLOY, TOTALS_SQL, ROLES_SQL, CLUSTERS_SQL, _COUNTS)
 def affected_shards(spark, sf_dir):
     """The shards of the run: clusters with signatures, role counts, names, rates."""
+    c, roles = F.col("failure_clusters"), lambda path: F.col(f"roles_summary.{path}")
+    return _shards(spark, sf_dir).select(
+        F.col("address").alias("contract"), "distinct_cluster_count", "clusters_shown_share", F.size(c).cast("bigint").alias("n_clusters"), F.array_max(F.transform(c, lambda x: x["count"])).alias("top_count"),
+        roles("entry.g4_tx_count").alias("entry"), roles("entry.g4_oog_count").alias("entry_oog"), roles("oog_site.halt_count").alias("oog_site"), roles("revert_site.revert_count").alias("revert_site"),
+        "label", F.col("context.failure_rate.total_tx").alias("total_tx"), F.col("context.failure_rate.halt_rate").alias("halt_rate"), F.array_join(F.array_distinct(F.transform(c, lambda x: x["selector_signature"])), ",").alias("signature"),
+    )
+
+
+def _shards(spark, sf_dir) -> DataFrame:
     whole = {c: F.rpad(c, 10, "0") for c in ("entry_selector", "tier1_failing_selector")}  # of eight digits, as only such are decoded
     f = _contract_facts(spark, sf_dir).withColumns(whole)
     signatures = spark.createDataFrame([("0x63000000", "pay(uint8)", "4byte", 1)], "selector string, text_signature string, source string, first int")
-    shards = affected_tables(f, labels(spark, sf_dir), totals(spark, sf_dir), signatures)["shards"]
-    r, c = F.col("roles_summary"), F.col("failure_clusters")
-    return shards.select(
-        "contract", "distinct_cluster_count", "clusters_shown_share", F.size(c).cast("bigint").alias("n_clusters"), F.array_max(F.transform(c, lambda x: x["count"])).alias("top_count"), r["entry"].alias("entry"), r["entry_oog"].alias("entry_oog"), r["oog_site"].alias("oog_site"), r["revert_site"].alias("revert_site"),
-        "label", F.col("context.total_tx").alias("total_tx"), F.col("context.halt_rate").alias("halt_rate"), F.array_join(F.array_distinct(F.transform(c, lambda x: x["selector_signature"])), ",").alias("signature"),
-    )
+    return affected_tables(f, labels(spark, sf_dir), totals(spark, sf_dir), signatures)["shards"]
+
+
+@query("""SELECT s.contract, s.role, s.kind, rpad(failing_selector, 10, '0') AS selector, CASE WHEN failing_selector = '0x63' THEN 'pay(uint8)' END AS selector_signature, rpad(entry_selector, 10, '0') AS entry_selector, CASE WHEN entry_selector = '0x63' THEN 'pay(uint8)' END AS entry_signature,
+    where_contract, coalesce(w.label, where_contract) AS where_label, CASE WHEN w.category <> 'unknown' THEN w.category END AS where_category, opcode, pattern_or_reason, oog_bottleneck_kind, call_depth, revert_decoded, count, CAST(count AS DOUBLE) / role_total AS share_of_role, CAST(count AS DOUBLE) / contract_total AS share_of_contract, gas_avg, gas_p50, gas_p90, examples
+    FROM shown s LEFT JOIN names w ON w.address = where_contract WHERE s.contract NOT IN (SELECT contract FROM deploy)""", LABELS_SQL, _NAMED, _DEPLOY, ROLES_SQL, CLUSTERS_SQL)
+def shard_clusters(spark, sf_dir):
+    """The clusters of the shards as they are published, a row each."""
+    out = _shards(spark, sf_dir).select(F.col("address").alias("contract"), F.explode("failure_clusters").alias("c"))
+    names = ["role", "kind", "selector", "selector_signature", "entry_selector", "entry_signature", "where_contract", "where_label", "where_category", "opcode", "pattern_or_reason", "oog_bottleneck_kind", "call_depth", "revert_decoded", "count", "share_of_role", "share_of_contract"]
+    return out.select("contract", *[f"c.{n}" for n in names], *[F.col(f"c.gas_delta.{n}").alias(f"gas_{n}") for n in ("avg", "p50", "p90")], F.array_join(F.transform("c.examples", lambda e: e["tx_hash"]), ",").alias("examples"))
+
+
+_EVERY_MIX = "m AS (" + " UNION ALL ".join(f"SELECT contract, '{n}' AS which, {c} AS v, count(*) AS count, row_number() OVER (PARTITION BY contract ORDER BY count(*) DESC, {c}) AS r FROM {'sites' if n == 'entry_contracts' else 'entries'} WHERE {c} IS NOT NULL AND contract NOT IN (SELECT contract FROM deploy) GROUP BY contract, {c}" for n, c in clusters.MIXES.items()) + ")"
+
+
+@query(f"""SELECT contract, which, count, CASE WHEN which LIKE '%functions' THEN rpad(v, 10, '0') ELSE v END AS value, CASE WHEN which LIKE '%functions' THEN CASE WHEN v = '0x63' THEN 'pay(uint8)' END ELSE coalesce(n.label, v) END AS name, CASE WHEN which NOT LIKE '%functions' AND n.category <> 'unknown' THEN n.category END AS category
+    FROM m LEFT JOIN names n ON n.address = v WHERE r <= {clusters.BREAKDOWN}""", LABELS_SQL, _NAMED, _DEPLOY, ROLES_SQL, _SITES, _EVERY_MIX)
+def shard_mixes(spark, sf_dir):
+    """The functions and counterparts of the shards, with signatures, names and categories."""
+    out = _shards(spark, sf_dir)
+    each = []
+    for n in clusters.MIXES:
+        rows = out.select(F.col("address").alias("contract"), F.lit(n).alias("which"), F.explode(f"context.{n}").alias("m"))
+        fields = ("selector", "signature", None) if n.endswith("functions") else ("contract", "label", "category")
+        each.append(rows.select("contract", "which", "m.count", *[(F.col(f"m.{f}") if f else F.lit(None).cast("string")).alias(c) for f, c in zip(fields, ("value", "name", "category"))]))
+    return reduce(DataFrame.unionByName, each)
 
 
 _SUMMARY = "SELECT o_orderkey AS block_number, CASE WHEN o_custkey % 3 = 0 THEN 'unchanged' ELSE 'gas_only' END AS class, o_orderkey % 10 AS tx_count, o_custkey - 500 AS gas_delta_sum, o_custkey % 50 - 80 AS gas_delta_min, o_custkey % 60 + 900 AS gas_delta_max, o_orderkey AS baseline_gas_used_sum"
@@ -953,24 +985,205 @@ def _depth_sql(column: str, where: str) -> str:
     return f"SELECT CASE WHEN d > 8 THEN '9+' ELSE CAST(d AS VARCHAR) END AS key, (SELECT count(*) FROM facts WHERE ({where}) AND least({column}, 9) = d AND {column} IS NOT NULL) AS count FROM range(1, 10) t(d)"
 
 
+def _site_sql(where: str, site: str, depth: str) -> dict[str, str]:
+    """The parts of a failure site's document that are more than a mix."""
+    pool = f"(SELECT pool.addr, pool.count, total_tx, CAST(pool.count AS DOUBLE) / total_tx AS rate FROM (SELECT recipient AS addr, count(*) AS count FROM facts WHERE ({where}) AND recipient IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200) pool LEFT JOIN totals ON totals.addr = pool.addr)"
+    rows = f"(SELECT recipient AS e, {site} AS t FROM facts WHERE ({where}) AND recipient IS NOT NULL AND {site} IS NOT NULL)"
+    side = lambda c: f"CASE WHEN {c} IN (SELECT {c} FROM {rows} GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 10) THEN {c} ELSE '__other__' END"
+    return {
+        "breadth": f"SELECT 'recipient' AS key, count(DISTINCT recipient) AS count FROM facts WHERE {where} UNION ALL SELECT '{site}', count(DISTINCT {site}) FROM facts WHERE {where}",
+        "depths": f"SELECT unnest(['p50', 'p90', 'p99', 'max']) AS key, unnest([CAST(round(1000 * x) AS BIGINT) for x in [quantile_cont({depth}, 0.5), quantile_cont({depth}, 0.9), quantile_cont({depth}, 0.99), CAST(max({depth}) AS DOUBLE)]]) AS count FROM facts WHERE ({where}) AND {depth} IS NOT NULL",
+        "by_count": f"SELECT addr AS key, count FROM {pool} ORDER BY count DESC, addr LIMIT 12",
+        "by_rate": f"SELECT addr AS key, total_tx AS count FROM {pool} WHERE total_tx >= 100 ORDER BY rate DESC, count DESC, addr LIMIT 12",
+        "flow": f"SELECT e || '>' || t AS key, count(*) AS count FROM (SELECT {side('e')} AS e, {side('t')} AS t FROM {rows}) GROUP BY 1",
+    }
+
+
+def _site_parts(parts: dict[str, DataFrame], site: str) -> dict[str, DataFrame]:
+    """The same of the operator's tables; depths in thousandths."""
+    flat = lambda df, *columns, by=1: df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.round(by * F.col(c)).cast("bigint").alias("count")) for c in columns])))
+    board = lambda n, c: parts["recipient_leaderboards"].filter(F.col("board") == n).select("addr", F.col(c).alias("count"))
+    return {
+        "breadth": flat(parts["breadth"], "recipient", site), "depths": flat(parts["call_depth_percentiles"], "p50", "p90", "p99", "max", by=1000),
+        "by_count": board("count", "count"), "by_rate": board("rate", "total_tx"), "flow": parts["flow"].select(F.concat_ws(">", "e", "t").alias("key"), F.col("n").alias("count")),
+    }
+
+
 _HALTED, _REVERTED = f"({P.G4}) AND {P.OOG}", f"({P.G4}) AND {P.NON_OOG}"
 
 
 @query(_views_sql(
     total=f"SELECT 'n' AS key, count(*) AS count FROM facts WHERE {_HALTED}", opcode=mix_sql("oog_opcode", _HALTED), call_depth_hist=_depth_sql("oog_call_depth", _HALTED), oog_pattern=mix_sql("oog_pattern", _HALTED),
     gas_remaining_hist=" UNION ALL ".join(f"SELECT '{n}' AS key, count(*) AS count FROM facts WHERE ({_HALTED}) AND oog_gas_remaining >= {lo}" + (f" AND oog_gas_remaining < {hi}" if hi else "") for n, lo, hi in hist.MAGNITUDES),
-    board=f"SELECT oog_contract AS key, count(*) AS count FROM facts WHERE ({_HALTED}) AND oog_contract IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {mixes.BOARD}"), LABELS_SQL)
+    board=f"SELECT oog_contract AS key, count(*) AS count FROM facts WHERE ({_HALTED}) AND oog_contract IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {mixes.BOARD}", **_site_sql(_HALTED, "oog_contract", "oog_call_depth")), LABELS_SQL, TOTALS_SQL)
 def oog_document(spark, sf_dir):
     parts = forensics.failure_site(held(facts(spark, sf_dir).filter(P.G4), "g4"), True, labels(spark, sf_dir), totals(spark, sf_dir))
     own = {k: parts[k] for k in ("opcode", "call_depth_hist", "oog_pattern", "gas_remaining_hist")}
-    return _views({"total": parts["total"].select(F.lit("n").alias("key"), F.col("n").alias("count"))} | own | {"board": parts["contract_leaderboard"].select("addr", "count")})
+    return _views({"total": parts["total"].select(F.lit("n").alias("key"), F.col("n").alias("count"))} | own | {"board": parts["contract_leaderboard"].select("addr", "count")} | _site_parts(parts, "oog_contract"))
 
 
 @query(_views_sql(
     total=f"SELECT 'n' AS key, count(*) AS count FROM facts WHERE {_REVERTED}", opcode=mix_sql("divergence_opcode", _REVERTED), call_depth_hist=_depth_sql("divergence_call_depth", _REVERTED), failure_reason=mix_sql("failure_reason", _REVERTED),
-    revert_error_mix="SELECT CASE WHEN r <= 5 THEN key ELSE 'Others' END AS key, sum(n) AS count FROM m GROUP BY 1"),
+    revert_error_mix="SELECT CASE WHEN r <= 5 THEN key ELSE 'Others' END AS key, sum(n) AS count FROM m GROUP BY 1", **_site_sql(_REVERTED, "divergence_contract", "divergence_call_depth")), TOTALS_SQL,
     f"m AS (SELECT trim(substr(revert_decoded, 15)) AS key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, key) AS r FROM facts WHERE ({_REVERTED}) AND revert_decoded LIKE 'Error(string):%' GROUP BY 1)")
 def revert_document(spark, sf_dir):
     parts = forensics.failure_site(held(facts(spark, sf_dir).filter(P.G4), "g4"), False, labels(spark, sf_dir), totals(spark, sf_dir))
     own = {k: parts[k] for k in ("opcode", "call_depth_hist", "failure_reason", "revert_error_mix")}
-    return _views({"total": parts["total"].select(F.lit("n").alias("key"), F.col("n").alias("count"))} | own)
+    return _views({"total": parts["total"].select(F.lit("n").alias("key"), F.col("n").alias("count"))} | own | _site_parts(parts, "divergence_contract"))
+
+
+# States and staging -----------------------------------------------------------------------------------------
+
+_WIDTH = 10_000  # blocks of a bucket here
+_INNER = "block_number BETWEEN 1500 AND (SELECT max(o_orderkey) - 700 FROM orders)"
+_STATE_SQL = f"""count(*) AS n_rows, count(*) FILTER (WHERE {P.AF}) AS af, count(*) FILTER (WHERE {P.G2_DRILLIN}) AS g2_drillin, count(*) FILTER (WHERE {P.G3}) AS g3, count(*) FILTER (WHERE {P.G4}) AS g4, count(*) FILTER (WHERE {P.RESCUE}) AS rescues,
+    CAST(sum(gas_delta) AS BIGINT) AS gas_sum, CAST(coalesce(sum(baseline_gas_used), 0) AS BIGINT) AS baseline_gas, min(gas_delta) AS gas_min, max(gas_delta) AS gas_max, """ + " || ',' || ".join(f"count(*) FILTER (WHERE {_LOG2} = {b})" for b in range(P.LOG2_BINS)) + " AS gas_hist"
+_GROUP_SQL = f"CASE WHEN {P.AF} THEN 'af' WHEN {P.G2_DRILLIN} THEN 'g2' WHEN {P.G3} THEN 'g3' WHEN {P.G4} THEN 'g4' END"
+
+
+def _bucket_store(spark, sf_dir, by: list[str]) -> tuple[DataFrame, str, tuple[int, int]]:
+    """Facts by bucket, a store whose buckets were filled in three goes (one of them twice), and the inner range."""
+    rows = state_store.bucketed(held(facts(spark, sf_dir), "facts"), _WIDTH)
+    folder = f"{scratch_folder(spark)}/states-{uuid.uuid4().hex}"
+    buckets = sorted(r[0] for r in rows.select("block_bucket").distinct().collect())
+    for some in (buckets[::2], buckets[1::2], buckets[:3]):
+        state_store.refresh(rows, states.DIVERGENCE, folder, some, "s", by)
+    last = read_table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 0
+    return rows, folder, (1500, last - 700)
+
+
+@query(" UNION ALL ".join(f"SELECT '{part}' AS part, CAST(month AS STRING) AS month, {_STATE_SQL} FROM facts WHERE {where} GROUP BY month" for part, where in (("all", "TRUE"), ("inner", _INNER))))
+def bucket_states(spark, sf_dir):
+    """States of all blocks and of a range that cuts buckets, merged from the store by month."""
+    rows, folder, inner = _bucket_store(spark, sf_dir, ["month"])
+    out = []
+    for part, blocks in (("all", (0, inner[1] + 2 * _WIDTH)), ("inner", inner)):
+        found, _ = state_store.over_range(rows, states.DIVERGENCE, folder, "s", blocks, ["month"], _WIDTH)
+        out.append(found.select(F.lit(part).alias("part"), _text("month"), *[c for c in states.DIVERGENCE.figures if c != "gas_hist"], F.array_join("gas_hist", ",").alias("gas_hist")))
+    return out[0].unionByName(out[1])
+
+
+_COUNTED_SQL = {"group": _GROUP_SQL, "state_gas_category": f"{_GROUP_SQL} || ':' || coalesce(state_gas_category, 'none')", "tx_type": f"{_GROUP_SQL} || ':' || tx_type", "halt_opcode": f"CASE WHEN {P.G4} THEN oog_opcode END"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{part}' AS part, '{which}' AS which, {e} AS value, count(*) AS n FROM facts WHERE {where} AND ({e}) IS NOT NULL GROUP BY 3" for part, where in (("all", "TRUE"), ("inner", _INNER)) for which, e in _COUNTED_SQL.items()))
+def bucket_value_counts(spark, sf_dir):
+    """The mixes of all blocks and of a range, merged from the store's value counts."""
+    rows, folder, inner = _bucket_store(spark, sf_dir, [])
+    out = [state_store.over_range(rows, states.DIVERGENCE, folder, "s", blocks, width=_WIDTH)[1].withColumn("part", F.lit(part)) for part, blocks in (("all", (0, inner[1] + 2 * _WIDTH)), ("inner", inner))]
+    return out[0].unionByName(out[1])
+
+
+@query(f"""SELECT block_number // {_WIDTH} AS block_bucket, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(block_number || '|' || tx_hash || '|' || gas_delta), 1, 8) AS BIGINT)) AS BIGINT) AS checksum,
+    CAST(CASE WHEN count(*) FILTER (WHERE block_number % 5 = 0) = 0 OR block_number // {_WIDTH} % 3 <> 0 THEN 1 WHEN block_number // {_WIDTH} % 2 <> 0 THEN 2 ELSE 3 END AS INTEGER) AS attempts FROM facts GROUP BY 1, block_number // {_WIDTH} % 3, block_number // {_WIDTH} % 2""")
+def stage_ledger(spark, sf_dir):
+    """Staging through a reader that loses a fifth of the blocks of every third bucket once and of every sixth twice; the ledger that is kept."""
+    rows = state_store.bucketed(held(facts(spark, sf_dir), "facts"), _WIDTH)
+    of = lambda df: F.conv(F.substring(F.md5(F.concat_ws("|", "block_number", "tx_hash", "gas_delta").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    attempts = []
+
+    def read(buckets: list[int]) -> DataFrame:
+        attempts.append(1)
+        short = F.col("block_bucket") % (3 if len(attempts) == 1 else 6) == 0
+        lost = short & (F.col("block_number") % 5 == 0) & F.lit(len(attempts) < 3)
+        return rows.filter(F.col("block_bucket").isin(buckets) & ~lost)
+
+    expected = held(staging.ledger(rows, of(rows)), "expected")
+    _, kept = staging.stage_checked(read, expected, f"{scratch_folder(spark)}/checked-{uuid.uuid4().hex}", of)
+    return kept.withColumn("checksum", F.col("checksum").cast("bigint"))
+
+
+@query("SELECT 'nation-' || c_nationkey AS file, c_nationkey AS nation, c_custkey AS id, c_acctbal AS balance, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, CAST(c_custkey AS STRING)) AS place FROM customer UNION ALL SELECT 'index', n, NULL, NULL, n FROM (SELECT count(*) AS n FROM customer)", base=False)
+def document_folder(spark, sf_dir):
+    """A document for each nation, its customers by balance, and an index, written as one commit over an older folder and read back."""
+    folder = f"{scratch_folder(spark)}/documents-{uuid.uuid4().hex}"
+    c = read_table(spark, sf_dir, "customer").withColumn("file", F.concat(F.lit("nation-"), "c_nationkey"))
+    nations = c.select("file", "c_nationkey").distinct()
+    ends = [nations.select("file", F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("place"), F.lit("").alias("tie"), body.alias("body")) for kind, body in ((sink.HEAD, F.concat(F.lit('{"nation":'), "c_nationkey", F.lit(',"customers":['))), (sink.TAIL, F.lit("]}")))]
+    one = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance")))
+    rows = c.select("file", F.lit(sink.ITEM).alias("kind"), F.round(-100 * F.col("c_acctbal")).cast("bigint").alias("place"), F.col("c_custkey").cast("string").alias("tie"), one.alias("body"))
+    index = c.agg(F.to_json(F.struct(F.count("*").alias("nation"))).alias("body"))
+    sink.write_folder(sink.whole(nations, F.concat(F.lit("old-"), "file"), F.lit("{}")), folder)
+    sink.write_folder(rows.unionByName(ends[0]).unionByName(ends[1]).unionByName(sink.whole(index, F.lit("index"), F.col("body"))), folder)
+    back = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.json", 1).alias("file"), F.from_json("value", "nation bigint, customers array<struct<id:bigint,balance:double>>").alias("d"))
+    each = back.select("file", "d.nation", F.posexplode_outer("d.customers").alias("pos", "x"))
+    return each.select("file", "nation", "x.id", "x.balance", F.coalesce(F.col("pos") + 1, F.col("nation")).cast("bigint").alias("place"))
+
+
+_SITES_SQL = {"recipient": "recipient", "oog_contract": "oog_contract", "divergence_contract": "divergence_contract"}
+
+
+def _breadth_sql(level: str, day: str, month: str, group: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{level}' AS level, {month} AS month, {day} AS day, '{w}' AS which, count(DISTINCT {c}) AS n FROM f WHERE {c} IS NOT NULL {group}" for w, c in _SITES_SQL.items())
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join((_breadth_sql("day", "day", "month", "GROUP BY 2, 3"), _breadth_sql("month", "NULL", "month", "GROUP BY 2"), _breadth_sql("all", "NULL", "NULL", ""))) + ") WHERE n > 0",
+    "f AS (SELECT g4.recipient, g4.oog_contract, g4.divergence_contract, CAST(month AS STRING) AS month, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM g4 JOIN orders ON o_orderkey = block_number)")
+def breadth_by_day(spark, sf_dir):
+    """Distinct contracts of days, months and all time: rows are read for the days, the rest comes from bitmaps. The dictionary grows in two goes."""
+    days = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_number"), F.to_date("o_orderdate").cast("string").alias("day"))
+    columns = list(_SITES_SQL)
+    f = held(facts(spark, sf_dir).filter(P.G4).select("block_number", *columns, _text("month")).join(days, "block_number"), "sites")
+    ids = distinct.dictionary(f.filter("block_number % 2 = 0"), columns)
+    ids = distinct.dictionary(f, columns, ids)
+    maps = held(distinct.bitmaps(f, columns, ids, ["month", "day"]), "bitmaps")
+    return distinct.breadth_over(maps, {"day": ["month", "day"], "month": ["month"], "all": []})
+
+
+# Search and manifests ---------------------------------------------------------------------------------------
+
+_ENTRIES_SQL = "entries AS (SELECT 's' || s_suppkey AS address, lower(s_name) || ' ' || lower(CASE WHEN s_nationkey % 3 = 0 THEN 'Owner ' || s_nationkey ELSE '' END) AS text, s_suppkey % 7 AS footprint FROM supplier)"
+_SHORT = ["S", " 1", "zz", "r 2", "owner", "OWNER 3", "", "  ", "#000", "no such name", "er#"]
+
+
+@query(f"""SELECT query, CASE WHEN needle = '' THEN 0 ELSE n END AS n_hits, CASE WHEN needle = '' OR n = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many' END AS kind, CASE WHEN needle <> '' AND n > 0 THEN hits END AS hits FROM (
+    SELECT query, any_value(needle) AS needle, count(address) AS n, array_to_string(list(address ORDER BY footprint DESC, address) FILTER (WHERE address IS NOT NULL)[1:20], ',') AS hits
+    FROM q LEFT JOIN entries ON contains(text, needle) GROUP BY query)""", _ENTRIES_SQL, "q AS (SELECT query, lower(trim(query)) AS needle FROM (SELECT s_name AS query FROM supplier UNION SELECT substr(s_name, 12) FROM supplier UNION SELECT unnest(" + repr(_SHORT) + ")))", base=False)
+def name_search_index(spark, sf_dir):
+    """Every supplier's name, its number and short texts, looked up in a stored index of names and owners."""
+    s = read_table(spark, sf_dir, "supplier")
+    owner = F.when(F.col("s_nationkey") % 3 == 0, F.concat(F.lit("Owner "), "s_nationkey"))
+    names = s.select(F.concat(F.lit("s"), "s_suppkey").alias("address"), F.col("s_name").alias("label"), owner.alias("owner_project"), (F.col("s_suppkey") % 7).alias("footprint"))
+    folder = f"{scratch_folder(spark)}/names-{uuid.uuid4().hex}"
+    search.write_index(names, folder)
+    asked = s.select(F.col("s_name").alias("query")).union(s.select(F.col("s_name").substr(12, 99))).union(spark.createDataFrame([(q,) for q in _SHORT], "query string"))
+    out = search.search(spark, folder, asked)
+    return out.withColumn("hits", F.array_join(F.transform("hits", lambda h: h["address"]), ","))
+
+
+_MANIFEST_SQL = """CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '{"k": "' || event_id || '"}' WHEN 2 THEN '{"n": {"k": [' || event_id || ', 7]}, "k": true}' WHEN 3 THEN 'not json' ELSE '[' || event_id || ']' END"""
+
+
+@query(f"""SELECT user_id, event_id, CASE event_id % 5 WHEN 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) WHEN 1 THEN event_id WHEN 2 THEN 1 END AS k, CASE event_id % 5 WHEN 2 THEN event_id END AS deep, CASE event_id % 5 WHEN 3 THEN NULL WHEN 4 THEN 'ARRAY' ELSE 'OBJECT' END AS kind
+    FROM (SELECT user_id, max(event_id) AS event_id, max_by(props, event_id) AS props FROM events GROUP BY 1)""", base=False)
+def run_manifest(spark, sf_dir):
+    """The newest manifest of each user as a VARIANT, and fields that not all of them have, or have as another type."""
+    rows = read_table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(_MANIFEST_SQL).alias("manifest_json"))
+    newest = versioned.latest_columns(rows, "user_id", "event_id", ["manifest_json"])
+    out = config.manifest_fields(newest, {"k": ("$.k", "bigint"), "deep": ("$.n.k[0]", "bigint")})
+    return out.select("user_id", "event_id", "k", "deep", F.regexp_extract("manifest_kind", "^[A-Z]+", 0).alias("kind"))
+
+
+_PAGE = 1000  # events of a landed page
+
+
+@query(f"""SELECT 'item' AS kind, event_id // {_PAGE} AS page, event_id, user_id, value FROM events WHERE event_id // {_PAGE} NOT IN (2, 4)
+    UNION ALL SELECT kind, page, NULL, NULL, NULL FROM (VALUES ('doubled', 1), ('missing before', 3), ('broken', 4), ('missing before', 5)) f(kind, page), (SELECT max(event_id) // {_PAGE} AS last FROM events) WHERE page <= last OR (kind = 'doubled' AND last >= 1)""", base=False)
+def landed_pages(spark, sf_dir):
+    """Events landed as pages of a cursor interface, of which the second came twice, the third not at all and the fifth broken; read back, with what is wrong."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "value").withColumn("page", F.floor(F.col("event_id") / _PAGE)).filter("page <> 2")
+    file = lambda c: F.concat(F.lit("page-"), F.lpad(F.col(c).cast("string"), 9, "0"))
+    one = F.to_json(F.struct("event_id", "user_id", "value"))
+    rows = e.select(file("page").alias("file"), "page", F.lit(sink.ITEM).alias("kind"), F.col("event_id").alias("place"), F.lit("").alias("tie"), one.alias("body"))
+    each = e.select("page").distinct()
+    since = F.when(F.col("page") > 0, F.concat(F.lit('"'), F.col("page") * _PAGE - 1, F.lit('"'))).otherwise("null")
+    ends = [each.select(file("page").alias("file"), "page", F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("place"), F.lit("").alias("tie"), body.alias("body")) for kind, body in ((sink.HEAD, F.concat(F.lit('{"since":'), since, F.lit(',"events":['))), (sink.TAIL, F.when(F.col("page") == 4, "").otherwise("]}")))]
+    whole = rows.unionByName(ends[0]).unionByName(ends[1])
+    whole = whole.unionByName(whole.filter("page = 1").withColumn("file", F.concat(F.col("file"), F.lit("-again"))))
+    folder = f"{scratch_folder(spark)}/pages-{uuid.uuid4().hex}"
+    sink.write_folder(whole, folder)
+    back = held(pages.read_pages(spark, folder, "events", "event_id"), "pages")
+    number = F.regexp_extract("page", r"page-(\d+)", 1).cast("bigint")
+    found = pages.faults(held(pages.pages_of(back), "page-ends")).select(F.col("fault").alias("kind"), number.alias("page"), *[F.lit(None).cast(k).alias(c) for c, k in (("event_id", "bigint"), ("user_id", "bigint"), ("value", "double"))])
+    items = pages.items_of(back, "event_id bigint, user_id bigint, value double")
+    return items.select(F.lit("item").alias("kind"), number.alias("page"), "event_id", "user_id", "value").unionByName(found)

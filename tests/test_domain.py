@@ -104,7 +104,6 @@ def test_histograms(spark):
     assert tuple(hist.histogram_percentiles(bins.filter("count < 0")).first()) == (0, 0, 0)
     p = hist.percentiles(spark.createDataFrame([(float(i),) for i in range(1, 6)] + [(None,)], "x double"), "x").first()
     assert (p["p50"], p["p90"], p["max"]) == (3.0, 4.6, 5.0)
-    assert hist.bins_total(bins).first()[0] == 100
 
 
 def test_coercions(spark):
@@ -175,8 +174,8 @@ def test_clusters(spark):
     a = [r for r in found.collect() if r["contract"] == "0xa"]
     first = min(a, key=lambda r: r["place"])
     assert len(a) == 8 and first["count"] == 3 and first["distinct_clusters"] == 12 and first["contract_total"] == 16
-    assert [e["tx_hash"] for e in first["examples"]] == ["t1", "t2"] and first["share_of_contract"] == round(3 / 16, 4)
-    assert first["drivers"]["cold_account"].asDict() == {"p50": 0, "p90": 0} and first["drivers"]["sload"] is None and first["drivers"]["reservoir_exhausted_share"] == 0.3333
+    assert [e["tx_hash"] for e in first["examples"]] == ["t1", "t2"] and first["share_of_contract"] == 3 / 16
+    assert first["drivers"]["cold_account"].asDict() == {"p50": 0, "p90": 0} and first["drivers"]["sload"] is None and first["drivers"]["reservoir_exhausted_share"] == 1 / 3
     assert [tuple(x) for x in first["state_gas_category"]] == [("transfer", 2)]
     assert {r["role"] for r in a if r["kind"] == "oog"} == {"entry", "oog_site"}
     merged = [r for r in clusters.merge_self_roles(found).collect() if r["contract"] == "0xa" and r["kind"] == "oog"]
@@ -297,11 +296,11 @@ def test_label_files(spark, tmp_path):
     assert [(r["address"], r["label"], r["erc_type"]) for r in label_files.registry_tokens(spark, f"{tmp_path}/reg").collect()] == [("0xdd", "S", "ERC20")]
 
 
-def warehouse(spark, path, selector="0x6011"):
+def warehouse(spark, path, selector="0x6011", first=100):
     """A small warehouse: two versions of each row, one configuration, one schedule."""
     rng = random.Random(2)
     rows, cov = [], []
-    for b in range(100, 140):
+    for b in range(first, first + 40):
         kinds = [rng.choice([{"baseline_success": True, "schedule_success": True}, {**G4, "min_multiplier_to_succeed": 3.0}, G4, {"baseline_success": False, "schedule_success": False}]) for _ in range(12)]
         for i, k in enumerate(kinds):
             extra = {"block_number": b, "tx_hash": f"0xT{b}{i}", "recipient": rng.choice(["0xAA", "0xBB", None]), "gas_delta": rng.randint(-50, 50), "baseline_gas_used": 100, "oog_contract": rng.choice(["0xCC", None]), "divergence_contract": rng.choice(["0xDD", None]), "entry_selector": selector, "status_changed": True, "replay_halt_oog": False, "revert_decoded": "Error(string): no", "tx_type": 2, "is_create": False, "oog_call_depth": rng.choice([1, None])}
@@ -314,7 +313,8 @@ def warehouse(spark, path, selector="0x6011"):
     keys = ["no_state", "runtime_state", "creation", "simple_transfer", "contract_call", "authorization", *[f"type_{t}" for t in ("legacy", "access_list", "dynamic_fee", "blob", "set_code", "other")]]
     s = c.select(*pin, "row_id", "updated_at", "block_number", F.lit("gas_only").alias("class"), F.lit(3).cast("long").alias("tx_count"), *[F.lit(1).cast("long").alias(f"tx_count_{k}") for k in keys], F.lit(30).cast("long").alias("gas_delta_sum"), F.lit(1).cast("long").alias("gas_delta_min"), F.lit(20).cast("long").alias("gas_delta_max"), F.lit(600).cast("long").alias("baseline_gas_used_sum"), F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long")).alias("gas_delta_log2_hist"), F.array().cast("array<long>").alias("gas_delta_pct_hist"))
     s.write.parquet(f"{path}/gas_analysis_block_summary.parquet")
-    spark.createDataFrame([(b, "0xaA") for b in range(100, 140)] * 3, "block_number long, to_address string").write.parquet(f"{path}/canonical_execution_transaction.parquet")
+    spark.createDataFrame([("cfg", 1, "c1", "{}"), ("cfg", 2, "c2", '{"depth": [1, {"x": null}]}'), ("other", 3, "c3", "{}")], "analysis_config_hash string, updated_at int, producer_git_commit string, manifest_json string").select(F.lit(1).alias("chain_id"), "*").write.parquet(f"{path}/gas_analysis_run.parquet")
+    spark.createDataFrame([(b, "0xaA") for b in range(first, first + 40)] * 3, "block_number long, to_address string").write.parquet(f"{path}/canonical_execution_transaction.parquet")
 
 
 def test_whole_run(spark, tmp_path):
@@ -324,7 +324,10 @@ def test_whole_run(spark, tmp_path):
     (out / "s1/affected/0xold.json").write_text("{}")
     schedule.main([str(tmp_path / "in"), str(out), "--schedules", "s1", "--start", "100", "--end", "139"])
     read = lambda n: json.loads((out / "s1" / f"{n}.json").read_text())
-    meta = read("meta")["rows"][0]
+    whole = read("meta")
+    meta = whole["totals"] | {"block_count": whole["block_range"]["count"]}
+    assert (whole["schedules_available"], whole["analysis_config_hash"], whole["chain_id"], whole["manifest"]) == (["s1"], "cfg", 1, {"schedule_name": "s1", "config_selected_by": "shared", "producer_git_commit": "c2", "updated_at": "2", "run": {"depth": [1, {"x": None}]}})
+    assert whole["date_range"]["start"] == "2026-01-01" and set(whole["group_labels"]) == set(partition.PARTS) and whole["truncation"]["total_blocks"] == 40 and whole["truncation"]["truncated_share"] == 0.0
     assert meta["tx_count"] == 800 and sum(meta[p] for p in partition.PARTS) == 800 and meta["g5"] == 0 and meta["block_count"] == 40
     shape = read("group_categories")["g4"]
     assert sum(x["count"] for x in shape["tx_shape_mix"]) == meta["g4"] and sum(x["count"] for x in shape["fixability"]) == meta["g4"]
@@ -333,7 +336,7 @@ def test_whole_run(spark, tmp_path):
     index = read("affected/index")
     shard = read("affected/0xaa")
     assert not (out / "s1/affected/0xold.json").exists() and index["affected_count"] == len(list((out / "s1/affected").glob("0x*.json"))) + index["deploy_oog"]["count"]
-    assert shard["context"]["total_tx"] == 120 and shard["failure_clusters"][0]["place"] == 1 and "owner_project" in shard
+    assert shard["context"]["failure_rate"]["total_tx"] == 120 and shard["address"] == "0xaa" and "owner_project" in shard
     failures = read("contract_failures")["contracts"]
     assert failures[-1]["cumulative_share"] <= 1 and len(read("examples")["rows"]) == 40
     assert read("oog_forensics")["sankey"]["links"] and read("nonoog_forensics")["revert_error_mix"][0]["key"] == "no"
@@ -357,7 +360,7 @@ def test_whole_run_with_optional_sources(spark, tmp_path, capsys):
     board = read("oog_forensics")["contract_leaderboard"]
     assert board[0]["addr"] == "0xcc" and board[0]["is_factory"] and board[0]["upgrade_mechanism"] == "eip1967_transparent" and board[0]["upgrade_admin"].endswith("77")
     assert {c["selector_signature"] for c in read("affected/0xcc")["failure_clusters"]} == {"transfer(address,uint256)"}
-    assert "no denominators" in capsys.readouterr().out and "total_tx" not in read("affected/0xaa")["context"]
+    assert "no denominators" in capsys.readouterr().out and read("affected/0xaa")["context"]["failure_rate"] is None
 
 
 def test_medians_round_halves_to_even(spark):
@@ -406,13 +409,6 @@ def test_label_build(spark, tmp_path):
         label_build.merged(spark, str(cache))
 
 
-def test_streamed_documents(tmp_path):
-    assert documents.write_rows(f"{tmp_path}/a/x.json", {"n": 1}, "rows", iter([{"a": None}, [2]])) == 2
-    assert json.loads((tmp_path / "a/x.json").read_text()) == {"n": 1, "rows": [{"a": None}, [2]]}
-    assert documents.write_rows(f"{tmp_path}/y.json", {}, "rows", iter([("k", 1), ("l", {})]), keyed=True) == 2 and json.loads((tmp_path / "y.json").read_text()) == {"rows": {"k": 1, "l": {}}}
-    assert documents.write_rows(f"{tmp_path}/z.json", {}, "rows", iter([])) == 0 and json.loads((tmp_path / "z.json").read_text()) == {"rows": []}
-
-
 def test_pinned_reads_only_its_buckets(spark, tmp_path):
     df = spark.createDataFrame([(1, "c", "s", b) for b in (10, 60_000, 120_000)], "chain_id int, analysis_config_hash string, schedule_name string, block_number long")
     staged = tables.stage(df, f"{tmp_path}/t")
