@@ -63,6 +63,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each rule fails, and how many it fails alone, from the ledger's bits."""
+    return quality.ablations(quality.ledger(_table(spark, sf_dir, "documents")), "v2")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every page, and the verdict of those that a rule fits."""
+    judged = url_filters.judge(_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
 def _planted() -> Column:
     """The text; in a tenth of the documents, the words from a place on repeat those that stand there."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -118,7 +129,7 @@ def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op2_warc, op3_token_counts, op4_ngram_jaccard_join, op5_embedding_near_dedup, op6_sentencepiece, op7_url_filters, op8_language_id, op9_source_mixing, op10_quality_rules, op11_periodic_runs, op12_late_partition_overwrite, op13_benchmark_decontamination)
+    f.__name__: f for f in (op1_secret_scans, op2_warc, op3_token_counts, op4_ngram_jaccard_join, op5_embedding_near_dedup, op6_sentencepiece, op7_url_filters, op8_language_id, op9_source_mixing, op10_quality_rules, op11_periodic_runs, op12_late_partition_overwrite, op13_benchmark_decontamination, quality_ablations, url_rules)
 }
 
 ORACLE: dict[str, str] = {
@@ -210,3 +221,13 @@ ORACLE: dict[str, str] = {
         FROM l LEFT JOIN h ON h.doc_id = l.doc_id LEFT JOIN t ON t.doc_id = l.doc_id WHERE kind = 'd'
     """,
 }
+
+_FITS = [(h + p, v, f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')") for h, p, v in sorted(url_filters.RULES, key=lambda r: -len(r[0] + r[1]))]
+ORACLE["url_rules"] = rf"""
+    WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{url_filters.UPPER}', '{url_filters.LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+    SELECT page_id, host, path, CASE {" ".join(f"WHEN {fits} THEN '{rule}'" for rule, _, fits in _FITS)} END AS rule, CASE {" ".join(f"WHEN {fits} THEN '{v}'" for _, v, fits in _FITS)} END AS ruled FROM p
+"""
+ORACLE["quality_ablations"] = f"""
+    SELECT rule, CAST(count(*) FILTER (WHERE fail_bits & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (WHERE fail_bits = bit) AS BIGINT) AS n_alone
+    FROM ({ORACLE["op10_quality_rules"]}), (VALUES {", ".join(f"('{r}', {1 << i})" for i, r in enumerate(quality.RULES))}) r(rule, bit) GROUP BY rule
+"""
