@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from deltascope.functions import predicates as P
 from deltascope.model import GROUPS
-from deltascope.operators import bytecode, clusters, config, forensics, hist, labels as L, mixes, partition, search, shards, states, versioned
+from deltascope.operators import bytecode, clusters, config, forensics, hist, labels as L, mixes, partition, shards, states, versioned
+from deltascope.plans.find import write_lookup
 from deltascope.sources import document_sink as sink, staging, state_store, tables
 from deltascope.sources.documents import collected, finished, write_document
 from deltascope.sources.label_files import read_labels
@@ -215,7 +216,7 @@ def run_schedule(spark: SparkSession, warehouse: str, out: str, schedule: str, c
     head = {"schedule": schedule, "block_range": {"start": blocks[0], "end": blocks[1]}, "g4_total": meta["totals"]["g4"]}
     parts = affected_tables(divergence, names, denominators, selectors, probes)
     write_affected(parts, f"{out}/{schedule}/affected", head)
-    search.write_index(parts["index"], f"{out}/{schedule}/_search")
+    write_lookup(parts["index"], parts["deploy_accounts"], f"{out}/{schedule}/_search")
 
 
 def main(argv: list[str] | None = None) -> None:

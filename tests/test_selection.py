@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltascope.operators import breadth, config, hist, search
-from deltascope.sources import tables
+from deltascope.plans.find import find, write_lookup
+from deltascope.sources import document_sink as sink, tables
 
 
 def expected(values, p):
@@ -139,3 +140,17 @@ def test_manifests_that_do_not_agree(spark):
     runs = spark.createDataFrame([(1, '{"depth": {"limit": 5}, "tags": ["a"]}'), (2, '{"depth": "none"}'), (3, "[1, 2]"), (4, "broken {"), (5, None), (6, '{"depth": {"limit": "7"}}')], "id int, manifest_json string")
     got = {r["id"]: tuple(r)[1:] for r in config.manifest_fields(runs, {"limit": ("$.depth.limit", "int"), "tag": ("$.tags[0]", "string")}).select("id", "limit", "tag", "manifest_kind").collect()}
     assert got[1][:2] == (5, "a") and got[2][:2] == (None, None) and got[3] == (None, None, "ARRAY<BIGINT>") and got[4] == got[5] == (None, None, None) and got[6][0] == 7
+
+
+def test_find_opens_a_shard_an_account_or_names(spark, tmp_path):
+    a, b, c = (f"0x{x * 40}" for x in "abc")
+    sink.write_folder(sink.whole(spark.createDataFrame([(a, '{"address": "x"}')], "k string, t string"), F.col("k"), F.col("t")), f"{tmp_path}/affected")
+    names = spark.createDataFrame([*NAMES, (a, "Alpha Swap", None, 4)], "address string, label string, owner_project string, footprint long")
+    write_lookup(names, spark.createDataFrame([(b, "t1", 5)], "account string, tx string, block long"), f"{tmp_path}/_search")
+    look = lambda text, most=20: find(spark, str(tmp_path), text, most)
+    assert look(f" {a.upper().replace('0X', '0x')} ")[0] == "shard" and look(a)[1].first()["value"] == '{"address": "x"}'
+    kind, rows = look(b)
+    assert kind == "collapsed" and rows.first()["tx"] == "t1" and "PushedFilters: [IsNotNull(account), EqualTo(account" in rows._jdf.queryExecution().toString()
+    assert look(c)[0] == "none" and look("nothing of that name")[0] == "none" and look("")[0] == "none" and look("0xabc")[0] == "none"
+    kind, rows = look("SWAP", 2)
+    assert kind == "many" and [r["address"] for r in rows.collect()] == ["0xa", "0xc"] and look("tether")[0] == "one"
