@@ -52,7 +52,7 @@ def _points(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and bool(_letters()[_points(text)].any())
+    return any(map(str.isalpha, text or ""))  # ends at the first letter
 
 
 def _letters_and_spaces(text: str) -> Iterator[np.ndarray]:
@@ -72,21 +72,31 @@ def _letters_and_spaces(text: str) -> Iterator[np.ndarray]:
         yield np.array([32], dtype=np.uint64)
 
 
+#: Odd factors of an n-gram's code points by place, one to add for each length, and one that mixes the sum.
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_BY_LENGTH, _MIX = 0x27D4EB2F165667C5, np.uint64(0xBF58476D1CE4E5B9)
+
+
 def ngram_hashes(text: str) -> Iterator[np.ndarray]:
-    """Hashes of the n-grams of a lower-cased text in which each run of non-letters is one space."""
+    """Hashes of the n-grams of a lower-cased text in which each run of non-letters is one space.
+
+    An n-gram's hash is the sum of its code points times factors of their places, mixed; a longer one's sum goes on from the shorter one's.
+    """
     tail = np.zeros(0, dtype=np.uint64)
     for new in _letters_and_spaces(text):
-        for n in LENGTHS:
-            cp = np.concatenate((tail[max(0, len(tail) - n + 1) :], new))
-            if len(cp) >= n:
-                h = np.full(len(cp) - n + 1, n, dtype=np.uint64)
-                for k in range(n):
-                    h = (h * np.uint64(0x100000001B3)) ^ cp[k : len(cp) - n + 1 + k]
-                h ^= h >> np.uint64(29)
-                h *= np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(32)
-                yield h * np.uint64(0x94D049BB133111EB)
-        tail = np.concatenate((tail, new))[-max(LENGTHS) + 1 :]
+        cp = np.concatenate((tail, new))
+        total = cp * _FACTORS[0]
+        for k in range(1, max(LENGTHS)):
+            total = total[:-1] + cp[k:] * _FACTORS[k] if len(cp) > k else total[:0]
+            if k + 1 in LENGTHS:
+                fresh = total[max(0, len(tail) - k) :]  # those that end among the new code points
+                if len(fresh):
+                    h = fresh + np.uint64(_BY_LENGTH * (k + 1) & (1 << 64) - 1)
+                    h ^= h >> np.uint64(29)
+                    h *= _MIX
+                    h ^= h >> np.uint64(32)
+                    yield h
+        tail = cp[-max(LENGTHS) + 1 :]
 
 
 def slot_bits(languages: int) -> int:
@@ -97,7 +107,11 @@ def slot_bits(languages: int) -> int:
 
 def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
     mask = np.uint64((1 << bits) - 1)
-    return [((h >> np.uint64(64 - bits * (k + 1))) & mask).astype(np.int64) for k in range(HASHES)]
+    return [((h >> np.uint64(64 - bits * (k + 1))) & mask).view(np.int64) for k in range(HASHES)]
+
+
+#: The bits of each byte.
+_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
 @dataclass
@@ -128,7 +142,7 @@ class LanguageModel:
 
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         """N-grams of the text that each language's filter holds, and all n-grams."""
-        found, total = np.zeros(len(self.languages), dtype=np.int64), 0
+        found, total, times = np.zeros(len(self.languages), dtype=np.int64), 0, np.zeros(256, dtype=np.int64)
         for h in ngram_hashes(text):
             total += len(h)
             slots = _slots(h, self.bits)
@@ -138,12 +152,12 @@ class LanguageModel:
                     mask = mask & table[s]
                 n = min(64, len(self.languages) - 64 * w)
                 if table.dtype == np.uint8:
-                    times = np.bincount(mask, minlength=256)
-                    for i in range(n):
-                        found[64 * w + i] += times[(np.arange(256) >> i) & 1 == 1].sum()
+                    times += np.bincount(mask, minlength=256)
                 else:
                     for i in range(n):
                         found[64 * w + i] += int(((mask >> np.uint64(i)) & np.uint64(1)).sum())
+        if times.any():  # up to 8 languages: each mask's count goes to the languages of its bits
+            found += times @ _BITS[:, : len(found)]
         return found, total
 
     def predict(self, text: str | None) -> tuple[str, float]:

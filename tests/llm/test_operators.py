@@ -570,12 +570,11 @@ def grams_of(text):
 
 
 def gram_hash(g):
-    h = len(g)
-    for c in g:
-        h = (h * 0x100000001B3 & (1 << 64) - 1) ^ ord(c)
+    whole = (1 << 64) - 1
+    h = sum(ord(c) * int(f) for c, f in zip(g, language_id._FACTORS)) + language_id._BY_LENGTH * len(g) & whole
     h ^= h >> 29
-    h = h * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-    return (h ^ h >> 32) * 0x94D049BB133111EB & (1 << 64) - 1
+    h = h * int(language_id._MIX) & whole
+    return h ^ h >> 32
 
 
 def gram_slots(g, bits):
