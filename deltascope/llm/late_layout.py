@@ -48,7 +48,7 @@ def micros(column: Column, ntz: bool) -> Column:
 
 @dataclass(frozen=True)
 class Layout:
-    """Where a layout lies, its columns, which of them are key, time and version, and the rows of a file."""
+    """Where a layout lies, its columns, which of them are key (a whole number), time (a timestamp, with or without a zone) and version, and the rows of a file."""
 
     folder: str
     schema: StructType
