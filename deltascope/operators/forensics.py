@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from deltascope.functions import predicates as P
 from deltascope.functions.scalars import after_prefix
 from deltascope.operators import hist
-from deltascope.operators.mixes import aligned, flow, leaderboard, mix, mix_fixed, mix_none, mix_per_key, rate_leaderboards, rich_leaderboard, top_and_others  # noqa: F401
+from deltascope.operators.mixes import flow, leaderboard, mix, mix_fixed, mix_none, mix_per_key, rate_leaderboards, rich_leaderboard, top_and_others
 
 ERROR_PREFIX = "Error(string):"
 

@@ -228,7 +228,8 @@ def main(argv: list[str] | None = None) -> None:
     found = config.resolve(config.coverage_by_config(tables.read_table(spark, a.warehouse, "gas_analysis_block_coverage")), a.schedules, a.config)
     blocks = config.window(found, a.start, found.hi if a.full and a.end is None else a.end)
     for s in a.schedules:
-        run_schedule(spark, a.warehouse, a.out, s, found.configs[s], blocks, a.labels, selector_path=a.selectors, schedules=a.schedules, chosen=found.chosen)
+        with tables.scratch(spark):
+            run_schedule(spark, a.warehouse, a.out, s, found.configs[s], blocks, a.labels, selector_path=a.selectors, schedules=a.schedules, chosen=found.chosen)
 
 
 if __name__ == "__main__":

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,13 +93,34 @@ def scratch_folder(spark: SparkSession) -> str:
     return _own_folders[context.applicationId]
 
 
+#: Paths of held tables that scratch() is to delete, innermost last.
+_to_delete: list[list[str]] = []
+
+
 def held(df: DataFrame, name: str) -> DataFrame:
-    """A table that several branches of a plan read: written once to the scratch folder and read back."""
+    """A table that several branches of a plan read: written once to the scratch folder and read back.
+
+    The files stay until the end of a scratch() around the call, or until the folder's owner deletes them.
+    """
     path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _to_delete:
+        _to_delete[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables held inside go at the end: what was computed from them must have been written by then."""
+    _to_delete.append([])
+    try:
+        yield
+    finally:
+        of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _to_delete.pop():
+            of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(of(path), True)
+
+
 def latest_coverage(df: DataFrame) -> DataFrame:
     """The newest row of each identity; of equal versions, by a hash of all columns."""
     return latest_version(df, ["row_id"], [F.desc("updated_at"), F.desc(F.xxhash64(*df.columns))])

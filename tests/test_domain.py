@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -322,7 +323,10 @@ def test_whole_run(spark, tmp_path):
     out = tmp_path / "out"
     (out / "s1/affected").mkdir(parents=True)
     (out / "s1/affected/0xold.json").write_text("{}")
+    held = lambda: {p.name for p in Path(tables.scratch_folder(spark).removeprefix("file:").replace("//", "/")).iterdir()}
+    before = held()
     schedule.main([str(tmp_path / "in"), str(out), "--schedules", "s1", "--start", "100", "--end", "139"])
+    assert held() == before  # intermediate tables are gone
     read = lambda n: json.loads((out / "s1" / f"{n}.json").read_text())
     whole = read("meta")
     meta = whole["totals"] | {"block_count": whole["block_range"]["count"]}
