@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltascope.functions import predicates as P
@@ -84,17 +84,16 @@ def figures(rows: DataFrame, keys: list[str], *more: Column, causes: bool = True
 def failure_clusters(roled: DataFrame, keep: int = CLUSTERS, causes: bool = True) -> DataFrame:
     """contract, key columns, count, shares, gas figures, drivers (unless causes is false), state categories and examples of each contract's largest clusters.
 
-    Examples come from a bounded aggregate (the smallest (block, transaction) pairs), and
-    percentiles are computed for kept clusters alone, after counts have chosen them.
+    Totals are sums, not windows, and each task keeps its own largest clusters of a contract before they meet, so a contract's
+    clusters are never in one task, however many it has. Examples come from a bounded aggregate (the smallest (block, transaction)
+    pairs), and percentiles are computed for kept clusters alone, after counts have chosen them.
     """
     counts = roled.groupBy("contract", *KEY).agg(F.count("*").alias("count"))
-    own = Window.partitionBy("contract")
-    ranked = counts.withColumns({
-        "contract_total": F.sum("count").over(own),
-        "role_total": F.sum("count").over(Window.partitionBy("contract", "role")),
-        "distinct_clusters": F.count("*").over(own),
-        "place": F.row_number().over(own.orderBy(F.desc("count"), *KEY)),
-    }).filter(F.col("place") <= keep)
+    by_role = counts.groupBy("contract", "role").agg(F.sum("count").alias("total"), F.count("*").alias("clusters"))  # at most three of a contract
+    each = F.map_from_entries(F.collect_list(F.struct("role", "total"))).alias("by_role")
+    totals = by_role.groupBy("contract").agg(F.sum("total").alias("contract_total"), F.sum("clusters").alias("distinct_clusters"), each)
+    top = topk_per_key(counts, ["contract"], keep, [F.desc("count"), *[F.col(k) for k in KEY]])
+    ranked = top.join(totals, "contract").withColumn("role_total", F.col("by_role")[F.col("role")]).drop("by_role")
     # one 128-bit name per key, null-safe, so that the rows meet their clusters in a plain equi-join
     nulls = F.concat(*[F.when(F.col(k).isNull(), "0").otherwise("1") for k in KEY])
     name = F.struct(*[F.xxhash64(F.lit(seed), nulls, *KEY).alias(f"h{seed}") for seed in (1, 2)])

@@ -1,5 +1,6 @@
 """Quantiles without a group in one task, distinct counts by bitmaps, the name index, and lookups by Bloom filters."""
 
+import collections
 import random
 import re
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deltascope.operators import breadth, config, hist, search
+from deltascope.operators import breadth, clusters, config, hist, search
 from deltascope.plans.find import find, write_lookup
 from deltascope.sources import document_sink as sink, tables
 
@@ -154,3 +155,25 @@ def test_find_opens_a_shard_an_account_or_names(spark, tmp_path):
     assert look(c)[0] == "none" and look("nothing of that name")[0] == "none" and look("")[0] == "none" and look("0xabc")[0] == "none"
     kind, rows = look("SWAP", 2)
     assert kind == "many" and [r["address"] for r in rows.collect()] == ["0xa", "0xc"] and look("tether")[0] == "one"
+
+
+def test_clusters_of_a_contract_with_very_many(spark):
+    """Totals are exact, ties go by key, and each task passes on its own largest clusters alone."""
+    roled = spark.range(60_000).select(
+        F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 50)).alias("contract"), F.when(F.col("id") % 2 == 0, "entry").otherwise("revert_site").alias("role"), F.lit("non_oog").alias("kind"),
+        F.concat(F.lit("reason"), F.lpad((F.sqrt("id") * 80).cast("int").cast("string"), 6, "0")).alias("revert_decoded"), *[F.lit(None).cast("string").alias(c) for c in ("failing_selector", "where_contract", "opcode", "pattern_or_reason", "oog_bottleneck_kind", "state_gas_category", "entry_selector")],
+        F.lit(None).cast("int").alias("call_depth"), F.col("id").alias("block_number"), F.col("id").cast("string").alias("tx_hash"), F.lit(1).cast("bigint").alias("gas_delta"),
+    )
+    counts = collections.Counter((r["contract"], r["role"], r["revert_decoded"]) for r in roled.collect())
+    out = clusters.failure_clusters(roled, causes=False)
+    got = collections.defaultdict(list)
+    for r in sorted(out.collect(), key=lambda r: r["place"]):
+        got[r["contract"]].append((r["count"], r["role"], r["revert_decoded"], r["contract_total"], r["role_total"], r["distinct_clusters"]))
+    for contract in {c for c, _, _ in counts}:
+        own = {k: n for k, n in counts.items() if k[0] == contract}
+        of_role = lambda role: sum(n for k, n in own.items() if k[1] == role)  # noqa: B023, E731
+        best = sorted(own, key=lambda k: (-own[k], k[1], k[2]))[: clusters.CLUSTERS]
+        assert got[contract] == [(own[k], k[1], k[2], sum(own.values()), of_role(k[1]), len(own)) for k in best]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"WindowGroupLimit \[contract#\d+\].*Partial", plan) and "sum(count#" not in "".join(line for line in plan.splitlines() if re.search(r"\bWindow \[", line))
+    assert max(len([k for k in counts if k[0] == c]) for c in {k[0] for k in counts}) > 10_000
