@@ -21,13 +21,15 @@ Steps, none of which gathers a key's rows in one task, broadcasts what grows, or
    Components of the ties are clusters: every link lies inside one.
 5. Clusters too large for a block are split further by the same ties under the orders by hash,
    one after the other, inside the cluster: what stays together passes all filters.
-6. What is still too large is cut into blocks by size class and hash; blocks of compatible
-   sizes meet. Inside a block, the filters by hash are intersected pair by pair, and what
-   passes is verified by products of membership matrices. A block reports a
-   spanning forest of links, never all pairs.
+6. What is still too large is cut into blocks by size class and hash. Inside a pair of blocks, the
+   filters by hash are intersected pair by pair, and what passes is verified by products of
+   membership matrices. A pair of blocks reports a spanning forest of links, never all pairs.
+   Each block meets itself and the first blocks of compatible sizes; sets that this puts in one
+   component of a block's size or more need not meet again, and all others then do.
 7. Components of the links give the answer; classes take it back to rows.
 
-A cluster's last step is quadratic in its number of different texts of compatible sizes, spread over its pairs of blocks.
+A cluster's last step is quadratic in its number of different texts of compatible sizes that the first meetings leave outside its
+large components, and linear in the others; it is spread over pairs of blocks.
 
 Edge cases: null and empty texts and texts without words have no shingles and link with
 nothing; texts with fewer words than the width have their whole sequence as one shingle;
@@ -305,32 +307,79 @@ def _refined(loaded: DataFrame, clusters: DataFrame, threshold: int) -> DataFram
     return done
 
 
-def _dealt(clusters: DataFrame, threshold: int) -> DataFrame:
-    """node, component, and the groups that a node meets others in: struct(lo, lo_part, hi, hi_part, side)."""
-    cut = clusters.filter("not whole").withColumn("c", size_class(F.col("n"), threshold))
+def _blocks(cut: DataFrame) -> DataFrame:
+    """component, blocks: its array of (c, kind, parts), members; from cut(node, n, component, c, kind)."""
     parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    per_class = cut.groupBy("component", "c").agg(parts.alias("parts"), F.count("*").alias("members"))
-    sizes = per_class.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("c", "parts"))).alias("parts"), F.sum("members").alias("members"))  # as many entries as there are size classes
-    met = join_facts(cut, stored(sizes, "ngram-parts"), ["component"], "members", ["node"])
-    own = F.pmod(F.xxhash64("node"), F.col("parts")[F.col("c")]).cast("int")
+    per_class = cut.groupBy("component", "c", "kind").agg(parts.alias("parts"), F.count("*").alias("members"))
+    entries = F.collect_list(F.struct("c", "kind", "parts"))  # as many as there are size classes and kinds, which have BLOCK members or more
+    return stored(per_class.groupBy("component").agg(entries.alias("blocks"), F.sum("members").alias("members")), "ngram-parts")
 
-    def meet(step: int) -> Column:
-        d = F.col("c") + step
-        there = F.coalesce(F.try_element_at("parts", d), F.lit(0))
 
-        def group(q: Column) -> Column:
-            at, to = F.struct(F.col("c").alias("c"), F.col("own").alias("part")), F.struct(d.alias("c"), q.alias("part"))
-            lo, hi = F.least(at, to), F.greatest(at, to)
-            return F.struct(lo["c"].alias("lo"), lo["part"].alias("lo_part"), hi["c"].alias("hi"), hi["part"].alias("hi_part"), F.when(at == lo, 0).otherwise(1).alias("side"))
+def _dealt(cut: DataFrame, blocks: DataFrame, hubs: bool) -> DataFrame:
+    """node, component, and the groups that a node meets others in: struct(lo, lo_kind, lo_part, hi, hi_kind, hi_part, side).
+
+    Blocks of one size class or of neighbouring ones meet, but for blocks of one kind that is not MIXED. With hubs, a block meets
+    itself and the first ones alone.
+    """
+    met = join_facts(cut, blocks, ["component"], "members", ["node"])
+    mine = F.filter("blocks", lambda b: (b["c"] == F.col("c")) & (b["kind"] == F.col("kind")))[0]["parts"]
+    met = met.withColumn("own", F.pmod(F.xxhash64("node"), mine).cast("int"))
+    near = F.filter("blocks", lambda b: (F.abs(b["c"] - F.col("c")) <= 1) & ((b["kind"] == MIXED) | (b["kind"] != F.col("kind"))))
+
+    def group(b: Column, q: Column) -> Column:
+        at, to = F.struct(F.col("c").alias("c"), F.col("kind").alias("kind"), F.col("own").alias("part")), F.struct(b["c"].alias("c"), b["kind"].alias("kind"), q.alias("part"))
+        ends = {"lo": F.least(at, to), "hi": F.greatest(at, to)}
+        named = [ends[e][x].alias(e if x == "c" else f"{e}_{x}") for e in ends for x in ("c", "kind", "part")]
+        return F.struct(*named, F.when(at == ends["lo"], 0).otherwise(1).alias("side"))
+
+    groups = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), b["parts"] - 1), lambda q: group(b, q))))
+    if hubs:
+        groups = F.filter(groups, lambda g: (g["lo_part"] == 0) | (g["hi_part"] == 0) | ((g["lo"] == g["hi"]) & (g["lo_part"] == g["hi_part"])))
+    return met.select("node", "component", groups.cast(_GROUPS).alias("groups"))
 
-        return F.when(there > 0, F.transform(F.sequence(F.lit(0), there - 1), group)).otherwise(F.array().cast(_GROUPS))
 
-    cut = met.withColumn("own", own).select("node", "component", F.concat(meet(-1), meet(0), meet(1)).cast(_GROUPS).alias("groups"))
-    one = F.array(F.struct(*[F.lit(0).alias(x) for x in ("lo", "lo_part", "hi", "hi_part", "side")])).cast(_GROUPS)
-    return clusters.filter("whole").select("node", "component", one.alias("groups")).unionByName(cut)
+_GROUPS = "array<struct<lo:int,lo_kind:long,lo_part:int,hi:int,hi_kind:long,hi_part:int,side:int>>"
+#: The kind of the blocks that hold sets of several components, or of small ones.
+MIXED = -1
 
 
-_GROUPS = "array<struct<lo:int,lo_part:int,hi:int,hi_part:int,side:int>>"
+def _settled(cut: DataFrame, blocks: DataFrame, links: DataFrame) -> DataFrame | None:
+    """cut, of the clusters that have pairs of blocks left, each set with the component that links have put it in as its kind, if that is as large as a block.
+
+    None if no pair of blocks is left.
+    """
+    beside = lambda b: F.exists("blocks", lambda o: (o["c"] == b["c"] + 1) & (o["parts"] > 1))
+    left = blocks.filter(F.exists("blocks", lambda b: (b["parts"] > 2) | ((b["parts"] > 1) & beside(b)))).select("component")
+    left = stored(left, "ngram-left")
+    if left.isEmpty():
+        return None
+    open_ = stored(cut.join(_few(left), "component", "left_semi").drop("kind"), "ngram-left")
+    roots = connected_components(links.join(_few(stored(open_.select(F.col("node").alias("a")), "ngram-left")), "a", "left_semi"))
+    open_ = stored(open_.join(roots.withColumnRenamed("component", "root"), "node", "left"), "ngram-left")
+    large = open_.filter("root is not null").groupBy("root").agg(F.count("*").alias("members")).filter(F.col("members") >= BLOCK)
+    large = stored(large.withColumn("kind", F.col("root")), "ngram-settled")
+    return stored(join_facts(open_, large, ["root"], "members", ["node"]).fillna(MIXED, ["kind"]).drop("root"), "ngram-settled")
+
+
+def _all_links(loaded: DataFrame, clusters: DataFrame, threshold: int) -> DataFrame:
+    """a, b: links whose components are those of all links.
+
+    Clusters that fit a block are compared whole. In the others, each block first meets itself and the first block of its
+    own and of neighbouring size classes, which puts most of a dense cluster in a few components. Then the sets of each
+    large component are blocks by themselves, and no two of one component meet again: what is left is in proportion to the
+    sets outside, times all.
+    """
+    one = F.array(F.struct(*[F.lit(0).alias(x) for x in ("lo", "lo_kind", "lo_part", "hi", "hi_kind", "hi_part", "side")])).cast(_GROUPS)
+    whole = clusters.filter("whole").select("node", "component", one.alias("groups"))
+    cut = clusters.filter("not whole").select("node", "n", "component", size_class(F.col("n"), threshold).alias("c"), F.lit(MIXED).cast("long").alias("kind"))
+    blocks = _blocks(cut)
+    dealt = stored(whole.unionByName(_dealt(cut, blocks, True)), "ngram-dealt")
+    links = stored(_links(loaded, dealt, threshold), "ngram-links")
+    forget(dealt)
+    rest = _settled(cut, blocks, links)
+    if rest is None:
+        return links
+    return links.unionByName(stored(_links(loaded, stored(_dealt(rest, _blocks(rest), False), "ngram-dealt"), threshold), "ngram-links"))
 
 
 def _links(loaded: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
@@ -339,7 +388,7 @@ def _links(loaded: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
     def verify(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
         sets = [np.frombuffer(t, dtype=np.uint64) for t in table.column("tokens").to_pylist()]
-        lo, hi = ((table.column(x)[0].as_py(), table.column(f"{x}_part")[0].as_py()) for x in ("lo", "hi"))
+        lo, hi = ([table.column(f"{x}{y}")[0].as_py() for y in ("", "_kind", "_part")] for x in ("lo", "hi"))
         root = forest(linked(sets, threshold, None if lo == hi else table.column("side").to_numpy()))
         child = np.flatnonzero(root != np.arange(len(root)))
         out = pa.table({"a": pa.array(nodes[root[child]]), "b": pa.array(nodes[child])})
@@ -347,7 +396,7 @@ def _links(loaded: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
             give_back()
         return out
 
-    key = ["component", "lo", "lo_part", "hi", "hi_part"]
+    key = ["component", "lo", "lo_kind", "lo_part", "hi", "hi_kind", "hi_part"]
     spread = loaded.join(_few(dealt), "node").select("node", "component", "tokens", F.inline("groups"))
     return spread.groupBy(*key).applyInArrow(verify, "a long, b long")
 
@@ -367,7 +416,7 @@ def _found(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, Data
 
     clusters = connected_components(ties(stored(first_order_prefixes(loaded, threshold), "ngram-postings"), threshold, ["token"]))
     clusters = _refined(loaded, clusters.join(classes.select("node", "n"), "node").select("node", "n", "component"), threshold)
-    links = stored(_links(loaded, stored(_dealt(clusters, threshold), "ngram-dealt"), threshold), "ngram-links")
+    links = _all_links(loaded, clusters, threshold)
     forget(loaded)
     roots = stored(connected_components(links), "ngram-roots")
     linked_ = stored(classes.join(roots, "node").select("k1", "k2", "rep", "copies", "component"), "ngram-linked")
