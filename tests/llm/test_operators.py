@@ -325,40 +325,6 @@ def test_ngram_blocks_of_a_large_cluster(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
-@pytest.mark.parametrize("block", [5, 12])
-def test_ngram_large_components_do_not_meet_again(spark, monkeypatch, block):
-    """A cluster of two dense components and of sets outside: the links are those of all pairs, from fewer meetings of blocks."""
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
-    rng = random.Random(21)
-    base = [f"w{i}" for i in range(120)]
-    other = base[:60] + [f"o{i}" for i in range(70)]
-    rows = []
-    for i in range(220):
-        own = list(other if i % 5 == 0 else base)
-        for _ in range(rng.choice([1, 1, 1, 2, 6])):
-            own[rng.randrange(len(own))] = f"v{i}"
-        rows.append((i, " ".join(own + [f"t{i}"] * (i % 9 == 0) * 12)))
-    sets = shingle_sets(rows, 4)
-    want = components(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
-    assert len(set(want.values())) > 10 and sorted(want.values()).count(0) >= 20
-    met, groups = [], ngram_join._links
-
-    def counted(loaded, dealt, threshold):
-        met.append(dealt.select(F.inline("groups")).drop("side").distinct().count())
-        return groups(loaded, dealt, threshold)
-
-    monkeypatch.setattr(ngram_join, "_links", counted)
-    monkeypatch.setattr(ngram_join, "first_order_prefixes", lambda loaded, threshold: loaded.select(F.lit(1).cast("long").alias("token"), "n", "node"))
-    monkeypatch.setattr(ngram_join, "_refined", lambda loaded, clusters, threshold: clusters.select("node", "n", F.lit(0).cast("long").alias("component"), F.lit(False).alias("whole")))
-    got = ngram_join.join(docs(spark, [(i, t, None, None) for i, t in rows])).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == want
-    once, met[:] = list(met), []
-    monkeypatch.setattr(ngram_join, "_settled", lambda cut, blocks, links: cut)
-    got = ngram_join.join(docs(spark, [(i, t, None, None) for i, t in rows])).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == want
-    assert len(once) == 2 and once[1] < met[1]
-
-
 def test_ngram_many_rows_of_one_id(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = docs(spark, [(2, text, None, None), (3, text + " x", None, None), (4, "other " + text, None, None)])
