@@ -18,8 +18,17 @@ def block_groups(divergence: DataFrame, key: str = "block_number") -> DataFrame:
 
 def assemble(coverage: DataFrame, groups: DataFrame) -> DataFrame:
     """Coverage left-joined with the drill-in counts: every block closes, g1 + g2 + g3 + g4 + af + g5 = tx_count."""
-    names = ["g2_drillin", "g3", "g4", "af", "rescues"]
-    j = coverage.join(groups.select("block_number", *names), "block_number", "left").fillna(0, names)
+    return closed(with_groups(coverage, groups.select("block_number", "g2_drillin", "g3", "g4", "af", "rescues")))
+
+
+def with_groups(coverage: DataFrame, groups: DataFrame) -> DataFrame:
+    """Coverage left-joined with block_groups, 0 where a block has no rows."""
+    names = [c for c in groups.columns if c != "block_number"]
+    return coverage.join(groups, "block_number", "left").fillna(0, names)
+
+
+def closed(j: DataFrame) -> DataFrame:
+    """The parts of coverage that with_groups has joined."""
     j = j.withColumn("g1", F.col("tx_count_unchanged")).withColumn("g2", F.col("tx_count_gas_only") + F.col("g2_drillin"))
     rest = F.col("tx_count") - F.col("g1") - F.col("g2") - F.col("g3") - F.col("g4") - F.col("af")
     return j.withColumn("g5", rest.cast("bigint")).withColumn("day", F.to_date("block_timestamp"))

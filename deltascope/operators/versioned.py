@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from deltascope.model import FORBIDDEN
 
 
-def latest_version(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The whole newest row of each key; order is descending and should be total."""
+def latest_version(df: DataFrame, keys: list[str], order: list[Column], by: list[str] | None = None) -> DataFrame:
+    """The whole newest row of each key; order is descending and should be total.
+
+    by: some of the keys, by which rows are dealt to tasks, so that what follows by these alone needs no second exchange or sort.
+    """
+    if by is not None:
+        df = df.repartition(*by)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_place", place).filter("_place = 1").drop("_place")
 

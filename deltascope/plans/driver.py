@@ -76,11 +76,10 @@ def dedup_guard(spark, sf_dir):
 def _blocks(spark, sf_dir) -> DataFrame:
     """Orders as blocks of 20 transactions: up to 7 replayed one by one, the rest in two aggregate classes; truncated ones stored 2 more and dropped them."""
     cov = read_table(spark, sf_dir, "orders").selectExpr("o_orderkey AS block_number", "o_orderdate AS block_timestamp", "o_orderkey % 10 AS tx_count_gas_only", "o_custkey % 10 = 0 AS drill_ins_truncated")
-    groups = partition.block_groups(facts(spark, sf_dir))
-    stored = groups.select("block_number", F.col("n_rows").alias("stored"))
-    cov = cov.join(stored, "block_number", "left").fillna(0, ["stored"]).withColumn("tx_count_unchanged", 20 - F.col("stored") - F.col("tx_count_gas_only"))
+    groups = partition.block_groups(facts(spark, sf_dir)).withColumnRenamed("n_rows", "stored")
+    cov = partition.with_groups(cov, groups).withColumn("tx_count_unchanged", 20 - F.col("stored") - F.col("tx_count_gas_only"))
     cov = cov.withColumns({"tx_count": F.when(F.col("drill_ins_truncated"), 22).otherwise(20).cast("bigint"), "retained_drill_in_count": F.col("stored")}).withColumn("tx_count_stored", F.col("stored") + F.col("tx_count") - 20)
-    return partition.assemble(cov, groups)
+    return partition.closed(cov)
 
 
 BLOCKS_SQL = f"""d AS (SELECT block_number, count(*) AS n, count(*) FILTER (WHERE {P.G2_DRILLIN}) AS g2d, count(*) FILTER (WHERE {P.G3}) AS g3, count(*) FILTER (WHERE {P.G4}) AS g4,

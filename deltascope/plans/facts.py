@@ -71,7 +71,7 @@ g4 AS (SELECT * FROM facts WHERE baseline_success AND NOT schedule_success AND m
 
 
 def latest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_version(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], [F.desc(c) for c in VERSION])
+    return latest_version(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], [F.desc(c) for c in VERSION], by=["l_orderkey"])
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,11 @@ def test_null_coercion_keeps_every_event(spark, tmp_path):
     got = {r["event_id"]: (r["flag"], r["n"], r["reservoir"]) for r in QUERIES["null_coercion"](spark, str(tmp_path)).collect()}
     kinds = [(True, None, None), (None, None, None), (None, 1000, 1000), (None, None, None), (None, -5, None), (None, None, None), None, (False, None, None)]
     assert got == {i: kinds[i % 8] or (None, i, i) for i in range(17)}
+
+
+@pytest.mark.parametrize("name", ["block_partition", "coverage_totals", "partition_violations", "run_meta", "overview_series", "composition_percent"])
+def test_blocks_read_and_deal_items_once(spark, name):
+    """One scan of the items, dealt by block alone: the window over versions, the join and the counts need no other exchange of them."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "FileScan parquet" in x and "l_shipdate" in x]) == 1
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "l_linenumber" in x.split("ENSURE_REQUIREMENTS")[0]]
