@@ -103,6 +103,24 @@ def test_a_query_reads_only_its_postings(spark, tmp_path):
     assert search.search(spark, f"{tmp_path}/i", [rows[7][1]]).first()["hits"][0]["address"] == rows[7][0]
 
 
+def test_frequent_pieces_give_no_candidates(spark, tmp_path):
+    """Names that share most of their pieces: joins hand on about as many rows as there are hits."""
+    rows = [(f"0x{i:06d}", f"Name#{i:09d}", None, i) for i in range(400)]
+    names = spark.createDataFrame(rows, "address string, label string, owner_project string, footprint long")
+    search.write_index(names, f"{tmp_path}/i")
+    asked = names.select(F.col("label").alias("query"))
+    out = search.search(spark, f"{tmp_path}/i", asked)
+    assert all((r["n_hits"], r["hits"][0]["label"]) == (1, r["query"]) for r in out.collect())
+    most, todo = 0, [out._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().endswith("Join"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if node.nodeName().endswith("QueryStage") else None
+        todo += [children] if children is not None else [node.children().apply(i) for i in range(node.children().size())]
+    assert 400 <= most < 400 * 20  # pieces of these names, asked for by 400 queries
+
+
 def rows_read(df):
     """Rows that came out of the table scans of an executed plan."""
     df.collect()
