@@ -63,15 +63,15 @@ class DocumentWriter(DataSourceWriter):
             out.close()
             fs.move(own, f"{at}/{name}.json")
 
-        for row in rows:
-            if row["file"] != name:
+        for file, kind, _, _, body in rows:
+            if file != name:
                 if out is not None:
                     close()
-                name, after, files = row["file"], False, files + 1
+                name, after, files = file, False, files + 1
                 own = f"{at}/.{name}.{uuid.uuid4().hex}"
-                out = fs.open_output_stream(own)
-            out.write((b"," if after and row["kind"] == ITEM else b"") + row["body"].encode())
-            after = row["kind"] == ITEM
+                out = fs.open_output_stream(own, buffer_size=1 << 20)
+            out.write((b"," if after and kind == ITEM else b"") + body.encode())
+            after = kind == ITEM
         if out is not None:
             close()
         return Written(files)

@@ -1,4 +1,4 @@
-"""Pages of a cursor interface as a table: the files that a fetcher has landed, a partition each.
+"""Pages of a cursor interface as a table: the files that a fetcher has landed, a partition each, or some to a partition where they are many.
 
 A page is a JSON file {"since": cursor, items: [...]}: what came after the cursor (null for the first page), in its order; its own last
 cursor is where the next page begins. ``read_pages`` gives a row for each item, and a row with an error for a page that can't be
@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 
 from deltascope.sources import document_sink
 
+#: Partitions up to which each page is its own, and the bytes that pages of one partition have together at most (a page alone may have more).
+PARTITIONS, BYTES = 256, 64 << 20
 SCHEMA = "page string, since string, last string, n_items int, place int, item string, error string"
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
@@ -46,25 +48,34 @@ class PageReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         fs, at = pyarrow.fs.FileSystem.from_uri(self.uri)
         found = fs.get_file_info(pyarrow.fs.FileSelector(at))
-        names = sorted(f.base_name for f in found if f.is_file and f.extension == "json" and not f.base_name.startswith("."))
-        return [InputPartition(n) for n in names if self.only is None or n.removesuffix(".json") in self.only] or [InputPartition(None)]
+        pages = sorted((f.base_name, f.size or 0) for f in found if f.is_file and f.extension == "json" and not f.base_name.startswith("."))
+        pages = [p for p in pages if self.only is None or p[0].removesuffix(".json") in self.only]
+        most, groups, held = -(-len(pages) // PARTITIONS), [[]], 0
+        for name, size in pages:
+            if groups[-1] and (len(groups[-1]) == most or held + size > BYTES):
+                groups.append([])
+                held = 0
+            groups[-1].append(name)
+            held += size
+        return [InputPartition(g) for g in groups]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is None:
-            return
-        name = partition.value.removesuffix(".json")
+        for file in partition.value:
+            yield from self.page(file)
+
+    def page(self, file: str) -> list[tuple]:
+        name = file.removesuffix(".json")
         fs, at = pyarrow.fs.FileSystem.from_uri(self.uri)
         text = lambda x: None if x is None else str(x)
         try:
-            with fs.open_input_stream(f"{at}/{partition.value}") as f:
+            with fs.open_input_stream(f"{at}/{file}") as f:
                 page = json.loads(f.read().decode())
             rows = page[self.items]
             since, last = text(page["since"]), text(rows[-1][self.cursor]) if rows else None
             out = [(name, since, last, len(rows), i, json.dumps(r), None) for i, r in enumerate(rows)]
         except (ValueError, KeyError, TypeError, AttributeError) as e:  # what a page that is broken off or of another shape gives
-            yield name, None, None, None, None, None, f"{type(e).__name__}: {e}"
-            return
-        yield from out or [(name, since, None, 0, None, None, None)]
+            return [(name, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+        return out or [(name, since, None, 0, None, None, None)]
 
 
 class ChoosingReader(PageReader):

@@ -55,6 +55,22 @@ def test_empty_folder(spark, tmp_path):
         landed_pages.read_pages(spark, str(tmp_path / "none"), "rows", "time").count()
 
 
+def test_many_pages_share_partitions(spark, tmp_path, monkeypatch):
+    land(tmp_path / "p", PAGES)
+    monkeypatch.setattr(landed_pages, "PARTITIONS", 4)
+    rows = landed_pages.read_pages(spark, str(tmp_path / "p"), "rows", "time")
+    assert rows.rdd.getNumPartitions() == 3
+    got = sorted((r["page"], r["place"], r["n_items"], r["error"] is None) for r in rows.collect())
+    want = [(n, i if k else None, k, True) for n, k in (("a1", 2), ("a2", 2), ("a2b", 2), ("a4", 1), ("a6", 1), ("a7", 0)) for i in range(k or 1)]
+    assert got == sorted(want + [(n, None, None, False) for n in ("a5", "a8", "a9")], key=lambda x: x[:2])
+    monkeypatch.setattr(landed_pages, "PARTITIONS", 256)
+    land(tmp_path / "q", {f"b{i:04d}": page(str(i), i + 1) for i in range(600)})
+    reader = landed_pages.PageReader(f"file://{tmp_path}/q", "rows", "time")
+    assert [len(p.value) for p in reader.partitions()] == [3] * 200
+    monkeypatch.setattr(landed_pages, "BYTES", 1)
+    assert [p.value for p in reader.partitions()] == [[f"b{i:04d}.json"] for i in range(600)]
+
+
 def test_labels_from_pages(spark, tmp_path, capsys):
     one = lambda t, name: {"recipient": "0xA1", "revoked": False, "time": t, "tags": {"contract_name": name, "usage_category": "dex"}}
     land(tmp_path / "landed/attestations", {"p1": {"since": None, "attestations": [one("2024", "Old")]}, "p2": {"since": "2025", "attestations": [one("2026", "New")]}, "p3": "{"})
