@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from deltascope.functions import opcodes, predicates as P, scalars as S
 from deltascope.operators import breadth as distinct, bytecode, clusters, config, forensics, hist, labels as L, mixes, partition, search, states, versioned
 from deltascope.model import DIVERGENCE_COLUMNS
-from deltascope.plans.facts import COLUMNS, FACTS_SQL, LABELS_SQL, TOTALS_SQL, VERSION, facts, labels, latest_items, totals
+from deltascope.plans.facts import COLUMNS, FACTS_SQL, LABELS_SQL, TOTALS_SQL, VERSION, as_facts, dated_items, facts, labels, latest_items, totals
 from deltascope.plans.label_build import TAGS, build
 from deltascope.plans.schedule import affected_tables
 from deltascope.sources import document_sink as sink, landed_pages as pages, staging, state_store
@@ -1077,7 +1077,7 @@ def bucket_value_counts(spark, sf_dir):
     CAST(CASE WHEN count(*) FILTER (WHERE block_number % 5 = 0) = 0 OR block_number // {_WIDTH} % 3 <> 0 THEN 1 WHEN block_number // {_WIDTH} % 2 <> 0 THEN 2 ELSE 3 END AS INTEGER) AS attempts FROM facts GROUP BY 1, block_number // {_WIDTH} % 3, block_number // {_WIDTH} % 2""")
 def stage_ledger(spark, sf_dir):
     """Staging through a reader that loses a fifth of the blocks of every third bucket once and of every sixth twice; the ledger that is kept."""
-    rows = state_store.bucketed(held(facts(spark, sf_dir), "facts"), _WIDTH)
+    rows = state_store.bucketed(as_facts(held(dated_items(spark, sf_dir), "items")), _WIDTH)
     of = lambda df: F.conv(F.substring(F.md5(F.concat_ws("|", "block_number", "tx_hash", "gas_delta").cast("binary")), 1, 8), 16, 10).cast("bigint")
     attempts = []
 

@@ -109,6 +109,27 @@ def test_short_reads_are_repaired_bucket_by_bucket(spark, tmp_path):
     assert asked[1:] == [[1]] * 3
 
 
+def test_staging_reads_its_source_once_an_attempt(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(3000).select(F.col("id").alias("block_number"), F.floor(F.col("id") / 100).alias("block_bucket"))
+    counted = df.mapInArrow(once, df.schema)
+    staged, kept = staging.stage_checked(lambda buckets: counted, staging.ledger(df), f"{tmp_path}/t")
+    assert seen.value == 3000 and staged.distinct().count() == 3000 and {r["rows"] for r in kept.collect()} == {100}
+
+
+def test_checksums_are_exact_sums_of_signed_hashes(spark):
+    hashes = [2**63 - 1, -(2**63), -1, 0, None, 2**63 - 1, 2**63 - 5, -(2**32), 2**32 - 1]
+    df = spark.createDataFrame([(i % 2, h) for i, h in enumerate(hashes)] + [(7, None)], "block_bucket long, h long")
+    got = {r["block_bucket"]: (r["rows"], r["checksum"]) for r in staging.ledger(df, F.col("h")).collect()}
+    assert got == {**{b: (len(hashes[b::2]), sum(h or 0 for h in hashes[b::2])) for b in (0, 1)}, 7: (1, None)}
+
+
 def test_surplus_rows_raise_at_once_and_other_rows_are_read_again(spark, tmp_path):
     df = rows(spark, some())
     read, asked = reader(df.union(df.filter("block_number = 5")), [])
