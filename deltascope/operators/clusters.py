@@ -9,6 +9,7 @@ from deltascope.functions import predicates as P
 from deltascope.functions.scalars import family
 from deltascope.operators import hist
 from deltascope.operators.mixes import mix, topk_per_key
+from deltascope.sources.tables import held
 
 CLUSTERS, EXAMPLES, BREAKDOWN, PROBES = 8, 2, 8, 1000
 KEY = ["role", "kind", "failing_selector", "where_contract", "opcode", "pattern_or_reason", "oog_bottleneck_kind", "call_depth", "revert_decoded"]
@@ -97,7 +98,7 @@ def failure_clusters(roled: DataFrame, keep: int = CLUSTERS, causes: bool = True
     # one 128-bit name per key, null-safe, so that the rows meet their clusters in a plain equi-join
     nulls = F.concat(*[F.when(F.col(k).isNull(), "0").otherwise("1") for k in KEY])
     name = F.struct(*[F.xxhash64(F.lit(seed), nulls, *KEY).alias(f"h{seed}") for seed in (1, 2)])
-    ranked = ranked.withColumn("cluster", name)
+    ranked = held(ranked.withColumn("cluster", name), "ranked")  # read for the rows, again for the published counts
     rows = roled.withColumn("cluster", name).join(ranked.select("contract", "cluster"), ["contract", "cluster"])
     detail = figures(rows, ["contract", "cluster"], F.min_by("entry_selector", F.struct("block_number", "tx_hash")).alias("entry_selector"), causes=causes).drop("gas_min", "gas_max")
     firsts = topk_per_key(rows.select("contract", "cluster", "block_number", "tx_hash", "gas_delta"), ["contract", "cluster"], EXAMPLES, [F.col("block_number"), F.col("tx_hash")])

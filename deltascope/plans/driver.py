@@ -431,8 +431,8 @@ _COUNTED = ("recipient", "block_number", "baseline_success", "schedule_success",
 
 
 def _contract_facts(spark, sf_dir) -> DataFrame:
-    """The facts written once, narrow: of rows outside g4, only what the wider counts read."""
-    return held(facts(spark, sf_dir).select(*_COUNTED, *[F.when(F.expr(P.G4), F.col(c)).alias(c) for c in _CONTEXT if c not in _COUNTED]), "facts")
+    """The facts that contracts' figures read; the newest items are written once, and facts worked out as they are read."""
+    return as_facts(held(dated_items(spark, sf_dir), "items")).select(*_COUNTED, *[c for c in _CONTEXT if c not in _COUNTED])
 
 
 def _q(column: str, p: float) -> str:

@@ -71,3 +71,10 @@ def test_blocks_read_and_deal_items_once(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert len([x for x in plan.splitlines() if "FileScan parquet" in x and "l_shipdate" in x]) == 1
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "l_linenumber" in x.split("ENSURE_REQUIREMENTS")[0]]
+
+
+def test_clusters_are_counted_and_ranked_once(spark):
+    """The wide count by contract and key stands in no plan but that of the ranked clusters, which are held."""
+    roled = driver.clusters.roles(driver.facts(spark, "/root/testdata/sf0.001").filter(driver.P.G4)).select("contract", *driver.clusters.ROLED)
+    plan = driver.clusters.failure_clusters(roled)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(contract" in plan and not [x for x in plan.splitlines() if "Aggregate [contract" in x and "revert_decoded" in x.split("], [")[0]]
