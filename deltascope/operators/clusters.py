@@ -12,6 +12,8 @@ from deltascope.operators.mixes import mix, topk_per_key
 from deltascope.sources.tables import held
 
 CLUSTERS, EXAMPLES, BREAKDOWN, PROBES = 8, 2, 8, 1000
+#: Rows of a cluster up to which one aggregate holds them all; larger ones are counted by value.
+SMALL = 10_000
 KEY = ["role", "kind", "failing_selector", "where_contract", "opcode", "pattern_or_reason", "oog_bottleneck_kind", "call_depth", "revert_decoded"]
 
 #: Columns of the rows of roles() that the analysis of contracts reads.
@@ -48,27 +50,33 @@ def _whole(q: Column) -> Column:
 PAIRS = {"cold_account": "cold_account_access_count", "sload": "sload_cold_count", "sstore": "sstore_cold_count", "gas_remaining_at_oog": "oog_gas_remaining"}
 
 
-def figures(rows: DataFrame, keys: list[str], *more: Column, causes: bool = True) -> DataFrame:
+def figures(rows: DataFrame, keys: list[str], *more: Column, causes: bool = True, small: bool = False) -> DataFrame:
     """keys, gas figures, more aggregates and, unless causes is false, drivers of each group.
 
     drivers is a struct of the causes; a cause whose columns are all null is null (and so left out of JSON).
+    small: no group has more than a few thousand rows, so its percentiles are aggregates beside the others.
     """
     at = lambda name, i: _whole(F.col(f"q_{name}")[i])
     gas = [at("gas", 0).alias("gas_p50"), at("gas", 1).alias("gas_p90")]
     plain = [F.avg("gas_delta").alias("gas_avg"), F.min("gas_delta").alias("gas_min"), F.max("gas_delta").alias("gas_max"), *more]
+
+    def aggregated(asked: dict[str, Column], *own: Column) -> DataFrame:
+        if small:
+            points = F.array(F.lit(0.5), F.lit(0.9))
+            return rows.groupBy(*keys).agg(*own, *[F.percentile(v.cast("double"), points).alias(f"q_{n}") for n, v in asked.items()])
+        return rows.groupBy(*keys).agg(*own).join(hist.quantiles(rows, keys, asked, (0.5, 0.9)), keys, "left")
+
     if not causes:
-        own = rows.groupBy(*keys).agg(*plain)
-        return own.join(hist.quantiles(rows, keys, {"gas": F.col("gas_delta")}, (0.5, 0.9)), keys, "left").select(*own.columns, *gas)
+        own = aggregated({"gas": F.col("gas_delta")}, *plain)
+        return own.select(*[c for c in own.columns if c != "q_gas"], *gas)
     access = F.coalesce("access_list_address_count", F.lit(0)) + F.coalesce("access_list_storage_key_count", F.lit(0))
     asked = {"gas": F.col("gas_delta"), "access": access, "surcharge": F.col("surcharge_at_oog")} | {n: F.col(c) for n, c in PAIRS.items()}
-    q = hist.quantiles(rows, keys, asked, (0.5, 0.9))
     n = F.count("*").cast("double")
     share = lambda column, flag: F.when(F.count(column) > 0, F.count_if(flag) / n)
-    own = rows.groupBy(*keys).agg(
-        (F.count("access_list_address_count") + F.count("access_list_storage_key_count")).alias("_listed"), F.sum("surcharge_at_oog").alias("_surcharge"),
+    both = aggregated(
+        asked, (F.count("access_list_address_count") + F.count("access_list_storage_key_count")).alias("_listed"), F.sum("surcharge_at_oog").alias("_surcharge"),
         share("reservoir_exhausted", F.col("reservoir_exhausted")).alias("_exhausted"), share("runtime_state_gas_spillover", F.col("runtime_state_gas_spillover") > 0).alias("_spilled"), *plain,
     )
-    both = own.join(q, keys, "left")
     pair = lambda name: F.struct(at(name, 0).alias("p50"), at(name, 1).alias("p90"))
     drivers = F.struct(
         *[F.when(F.col(f"q_{n}").isNotNull(), pair(n)).alias(n) for n in ("cold_account", "sload", "sstore")],
@@ -78,7 +86,7 @@ def figures(rows: DataFrame, keys: list[str], *more: Column, causes: bool = True
         F.col("_exhausted").alias("reservoir_exhausted_share"),
         F.col("_spilled").alias("spillover_share"),
     )
-    named = [c for c in own.columns if not c.startswith("_")]
+    named = [c for c in both.columns if not c.startswith(("_", "q_"))]
     return both.select(*named, *gas, drivers.alias("drivers"))
 
 
@@ -99,16 +107,47 @@ def failure_clusters(roled: DataFrame, keep: int = CLUSTERS, causes: bool = True
     nulls = F.concat(*[F.when(F.col(k).isNull(), "0").otherwise("1") for k in KEY])
     name = F.struct(*[F.xxhash64(F.lit(seed), nulls, *KEY).alias(f"h{seed}") for seed in (1, 2)])
     ranked = held(ranked.withColumn("cluster", name), "ranked")  # read for the rows, again for the published counts
-    rows = roled.withColumn("cluster", name).join(ranked.select("contract", "cluster"), ["contract", "cluster"])
-    detail = figures(rows, ["contract", "cluster"], F.min_by("entry_selector", F.struct("block_number", "tx_hash")).alias("entry_selector"), causes=causes).drop("gas_min", "gas_max")
-    firsts = topk_per_key(rows.select("contract", "cluster", "block_number", "tx_hash", "gas_delta"), ["contract", "cluster"], EXAMPLES, [F.col("block_number"), F.col("tx_hash")])
-    shown = firsts.groupBy("contract", "cluster").agg(F.array_sort(F.collect_list(F.struct("block_number", "tx_hash", "gas_delta"))).alias("examples"))
-    states = mix_pairs(rows, ["contract", "cluster"], "state_gas_category").withColumnRenamed("mix", "state_gas_category")
-    out = ranked.join(detail, ["contract", "cluster"]).join(shown, ["contract", "cluster"]).join(states, ["contract", "cluster"], "left")
+    rows = roled.withColumn("cluster", name)
+    small, large = (ranked.filter(f"count {sign} {SMALL}").select("contract", "cluster") for sign in ("<=", ">"))
+    detail = _small_details(rows.join(small, ["contract", "cluster"]), causes)
+    # of large clusters there are at most a SMALLth of the rows
+    detail = detail.unionByName(_large_details(rows.join(F.broadcast(large), ["contract", "cluster"]), causes))
+    out = ranked.join(detail, ["contract", "cluster"])
     share = lambda d: F.col("count") / F.col(d)
     return out.withColumns({"share_of_role": share("role_total"), "share_of_contract": share("contract_total")}).drop("cluster")
 
 
+_FIRST = ("block_number", "tx_hash")
+_EXAMPLE = (*_FIRST, "gas_delta")
+
+
+def _small_details(rows: DataFrame, causes: bool) -> DataFrame:
+    """contract, cluster, entry_selector, gas figures, drivers, examples and state_gas_category of clusters of at most SMALL rows: one aggregate, dealt as the join that chose the rows."""
+    state = F.col("state_gas_category")
+    more = [F.min_by("entry_selector", F.struct(*_FIRST)).alias("entry_selector"), F.slice(F.array_sort(F.collect_list(F.struct(*_EXAMPLE))), 1, EXAMPLES).alias("examples"), F.sort_array(F.collect_list(F.when(state != "", state))).alias("states")]
+    out = figures(rows, ["contract", "cluster"], *more, causes=causes, small=True).drop("gas_min", "gas_max")
+    return out.withColumn("state_gas_category", _sorted_mix(F.col("states"))).drop("states")
+
+
+def _large_details(rows: DataFrame, causes: bool) -> DataFrame:
+    """The same of clusters of any size: rows are counted by value before they meet, and examples and categories are bounded aggregates."""
+    keys = ["contract", "cluster"]
+    detail = figures(rows, keys, F.min_by("entry_selector", F.struct(*_FIRST)).alias("entry_selector"), causes=causes).drop("gas_min", "gas_max")
+    firsts = topk_per_key(rows.select(*keys, *_EXAMPLE), keys, EXAMPLES, [F.col(c) for c in _FIRST])
+    shown = firsts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*_EXAMPLE))).alias("examples"))
+    states = mix_pairs(rows, keys, "state_gas_category").withColumnRenamed("mix", "state_gas_category")
+    return detail.join(shown, keys).join(states, keys, "left")
+
+
+def _sorted_mix(values: Column) -> Column:
+    """Of a sorted array, what mix_pairs gives of its rows: (key, count) by count, then key; null where it is empty."""
+    keys = F.array_distinct(values)
+    starts = F.transform(keys, lambda k: F.array_position(values, k))
+    ends = F.concat(F.slice(starts, 2, F.size(values) + 1), F.array(F.size(values).cast("bigint") + 1))
+    each = F.zip_with(keys, F.zip_with(starts, ends, lambda a, b: b - a), lambda k, n: F.struct((-n).alias("m"), k.alias("key"), n.alias("count")))
+    return F.when(F.size(values) > 0, F.transform(F.array_sort(each), lambda x: F.struct(x["key"].alias("key"), x["count"].alias("count"))))
+
+
 def mix_pairs(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, mix: counts of the values that are neither null nor empty, by count, as an array of (key, count)."""
     counts = rows.filter(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(*keys, value).agg(F.count("*").alias("n"))
@@ -140,32 +179,37 @@ MIXES = {"entry_functions": "entry_selector", "failing_functions": "failing_sele
 
 
 def value_counts(roled: DataFrame) -> DataFrame:
-    """contract, which, value, count: functions, counterparts and blocks of each contract, from one unpivot and one count."""
+    """contract, which, value, count: functions and counterparts of each contract, from one unpivot and one count."""
     entry = F.col("role") == "entry"
     second = (F.col("role") == "revert_site") & F.col("oog_contract").eqNullSafe(F.col("contract"))  # a row that is both sites counts once
     part = lambda which, value, when: F.struct(F.lit(which).alias("which"), F.when(when, F.col(value).cast("string")).alias("value"))
-    each = [part(n, c, entry if n != "entry_contracts" else ~entry & ~second) for n, c in MIXES.items()] + [part("entry_blocks", "block_number", entry), part("site_blocks", "block_number", ~entry)]
+    each = [part(n, c, entry if n != "entry_contracts" else ~entry & ~second) for n, c in MIXES.items()]
     return roled.select("contract", F.inline(F.array(*each))).filter("value is not null").groupBy("contract", "which", "value").agg(F.count("*").alias("count"))
 
 
 def top_values(counts: DataFrame) -> DataFrame:
     """contract, which, value, count, place: the most frequent values of each mix."""
-    return topk_per_key(counts.filter("which not in ('entry_blocks', 'site_blocks')"), ["contract", "which"], BREAKDOWN, [F.desc("count"), F.col("value")])
+    return topk_per_key(counts, ["contract", "which"], BREAKDOWN, [F.desc("count"), F.col("value")])
+
 
+def context_figures(roled: DataFrame, divergence: DataFrame) -> DataFrame:
+    """Per contract: the wider counts, gas of its entry rows, and block span and distinct blocks (of entry rows, else of site rows).
 
-def context_figures(roled: DataFrame, divergence: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per contract: the wider counts, gas of its entry rows, and block span and distinct blocks (of entry rows, else of site rows)."""
+    Rows are summed by contract and block first, which gives the distinct blocks beside all other figures and keeps a contract's rows from meeting in one task.
+    """
     entry = F.col("role") == "entry"
-    side = lambda f, e: f(F.when(entry if e else ~entry, F.col("block_number")))
-    base = roled.groupBy("contract").agg(
-        F.avg(F.when(entry, F.col("gas_delta"))).alias("gas_avg"), F.coalesce(F.sum(F.when(entry, F.col("gas_delta"))), F.lit(0)).alias("gas_sum"),
-        F.coalesce(side(F.min, True), side(F.min, False)).alias("block_span_start"), F.coalesce(side(F.max, True), side(F.max, False)).alias("block_span_end"),
+    own = F.when(entry, F.col("gas_delta"))
+    by_block = roled.groupBy("contract", "block_number").agg(F.count_if(entry).alias("entries"), F.count(own).alias("n"), F.sum(own).alias("gas"))
+    entered = F.max("entries") > 0
+    side = lambda f: F.coalesce(f(F.when(F.col("entries") > 0, F.col("block_number"))), f("block_number"))
+    base = by_block.groupBy("contract").agg(
+        F.try_divide(F.sum("gas").cast("double"), F.sum("n").cast("double")).alias("gas_avg"), F.coalesce(F.sum("gas"), F.lit(0)).alias("gas_sum"),
+        side(F.min).alias("block_span_start"), side(F.max).alias("block_span_end"),
+        F.when(entered, F.count(F.when(F.col("entries") > 0, F.col("block_number")))).otherwise(F.count("block_number")).alias("distinct_blocks"),
     )
     gas = hist.quantiles(roled.filter(entry), ["contract"], {"gas": F.col("gas_delta")}, (0.5, 0.9))
     gas = gas.select("contract", _whole(F.col("q_gas")[0]).alias("gas_p50"), _whole(F.col("q_gas")[1]).alias("gas_p90"))
-    blocks = counts.filter("which in ('entry_blocks', 'site_blocks')").groupBy("contract").agg(F.count_if(F.col("which") == "entry_blocks").alias("a"), F.count_if(F.col("which") == "site_blocks").alias("b"))
-    blocks = blocks.select("contract", F.when(F.col("a") > 0, F.col("a")).otherwise(F.col("b")).alias("distinct_blocks"))
-    return base.join(gas, "contract", "left").join(blocks, "contract").join(recipient_counts(divergence), "contract", "left").fillna(0, ["g3_tx_count", "g2_drillin_tx_count", "af_tx_count", "status_flips"])
+    return base.join(gas, "contract", "left").join(recipient_counts(divergence), "contract", "left").fillna(0, ["g3_tx_count", "g2_drillin_tx_count", "af_tx_count", "status_flips"])
 
 
 def context(roled: DataFrame, divergence: DataFrame) -> DataFrame:
@@ -177,7 +221,7 @@ def context(roled: DataFrame, divergence: DataFrame) -> DataFrame:
         return F.when(F.size(rows) > 0, F.transform(rows, lambda r: F.struct(r["contract"].alias("contract"), r["count"].alias("count")))).alias(name)
 
     mixes = top_values(counts).groupBy("contract").agg(*[shown(n) for n in MIXES])
-    return context_figures(roled, divergence, counts).join(mixes, "contract", "left")
+    return context_figures(roled, divergence).join(mixes, "contract", "left")
 
 
 def searchable(labels: DataFrame) -> DataFrame:

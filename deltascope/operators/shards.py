@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from deltascope.model import LABEL
 from deltascope.operators import clusters
 from deltascope.operators import labels as L
+from deltascope.sources.tables import held
 
 #: Label fields that a fresh probe of the chain sets over the record's own.
 PROBED = ("is_proxy", "is_factory", "is_safe", "erc_type")
@@ -64,7 +65,7 @@ class Decoder:
     """Signatures of selectors by category, worked out once for all that are asked for; without a cache, none is known."""
 
     def __init__(self, asked: DataFrame, selectors: DataFrame | None) -> None:
-        self.known = None if selectors is None else L.decode_selectors(asked.select("selector", "category"), selectors)
+        self.known = None if selectors is None else held(L.decode_selectors(asked.select("selector", "category"), selectors), "signatures")  # its size is known, so that a small one is sent to the rows
 
     def add(self, rows: DataFrame, selector: str, name: str) -> DataFrame:
         """rows (with category) and the signature of the selector column."""

@@ -14,7 +14,7 @@ from deltascope.operators import breadth as distinct, bytecode, clusters, config
 from deltascope.model import DIVERGENCE_COLUMNS
 from deltascope.plans.facts import COLUMNS, FACTS_SQL, LABELS_SQL, TOTALS_SQL, VERSION, as_facts, dated_items, facts, labels, latest_items, totals
 from deltascope.plans.label_build import TAGS, build
-from deltascope.plans.schedule import affected_tables
+from deltascope.plans.schedule import shard_tables
 from deltascope.sources import document_sink as sink, landed_pages as pages, staging, state_store
 from deltascope.sources.documents import write_shards
 from deltascope.sources.label_files import read_labels, registry_contracts, registry_tokens, write_labels
@@ -429,10 +429,17 @@ _CONTEXT = [c for c in COLUMNS if c not in ("event_logs_changed", "output_change
 
 _COUNTED = ("recipient", "block_number", "baseline_success", "schedule_success", "min_multiplier_to_succeed", "status_changed")
 
+#: Columns of the facts that tell g4, and of the items that the wider counts are worked out from.
+_JUDGED = ("baseline_success", "schedule_success", "min_multiplier_to_succeed")
+_WIDER = ("l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount")
+
 
 def _contract_facts(spark, sf_dir) -> DataFrame:
-    """The facts that contracts' figures read; the newest items are written once, and facts worked out as they are read."""
-    return as_facts(held(dated_items(spark, sf_dir), "items")).select(*_COUNTED, *[c for c in _CONTEXT if c not in _COUNTED])
+    """The facts that contracts' figures read; the newest items are written once (outside g4, only the columns of the wider counts), and facts worked out as they are read."""
+    items = dated_items(spark, sf_dir).withColumns({f"_{c}": F.expr(COLUMNS[c]) for c in _JUDGED})
+    g4 = F.expr(reduce(lambda text, c: text.replace(c, f"_{c}"), _JUDGED, P.G4))
+    slim = items.withColumns({c: F.when(g4, F.col(c)) for c in items.columns if c not in _WIDER}).drop(*[f"_{c}" for c in _JUDGED])
+    return as_facts(held(slim, "items")).select(*_COUNTED, *[c for c in _CONTEXT if c not in _COUNTED])
 
 
 def _q(column: str, p: float) -> str:
@@ -894,7 +901,7 @@ def _shards(spark, sf_dir) -> DataFrame:
     whole = {c: F.rpad(c, 10, "0") for c in ("entry_selector", "tier1_failing_selector")}  # of eight digits, as only such are decoded
     f = _contract_facts(spark, sf_dir).withColumns(whole)
     signatures = spark.createDataFrame([("0x63000000", "pay(uint8)", "4byte", 1)], "selector string, text_signature string, source string, first int")
-    return affected_tables(f, labels(spark, sf_dir), totals(spark, sf_dir), signatures)["shards"]
+    return shard_tables(f, labels(spark, sf_dir), totals(spark, sf_dir), signatures)["shards"]
 
 
 @query("""SELECT s.contract, s.role, s.kind, rpad(failing_selector, 10, '0') AS selector, CASE WHEN failing_selector = '0x63' THEN 'pay(uint8)' END AS selector_signature, rpad(entry_selector, 10, '0') AS entry_selector, CASE WHEN entry_selector = '0x63' THEN 'pay(uint8)' END AS entry_signature,

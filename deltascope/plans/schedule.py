@@ -117,21 +117,26 @@ def failure_documents(divergence: DataFrame, names: DataFrame, denominators: Dat
     return out
 
 
-def affected_tables(divergence: DataFrame, names: DataFrame, denominators: DataFrame | None, selectors: DataFrame | None, probes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """index, shards (one nested row per contract, as published), deploy (contract) and the parts of the collapsed document; empty g4 gives empty tables."""
+def shard_tables(divergence: DataFrame, names: DataFrame, denominators: DataFrame | None, selectors: DataFrame | None, probes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """index, shards (one nested row per contract, as published) and deploy (contract); empty g4 gives empty tables."""
     g4 = divergence.filter(P.G4)
-    roled = clusters.roles(g4)
     deploy = tables.held(clusters.deploy_accounts(g4, clusters.searchable(names)), "deploy")
-    counts = tables.held(clusters.role_counts(roled), "role-counts")
-    own = tables.held(roled.join(deploy, "contract", "left_anti").select("contract", *clusters.ROLED), "roled")
+    own = tables.held(clusters.roles(g4).join(deploy, "contract", "left_anti").select("contract", *clusters.ROLED), "roled")
+    counts = tables.held(clusters.role_counts(own), "role-counts")
     found = tables.held(clusters.failure_clusters(own), "clusters")
-    values = tables.held(clusters.value_counts(own), "values")
     rates = None if denominators is None else clusters.failure_rates(counts, denominators)
-    nested = shards.shards(found, counts.join(deploy, "contract", "left_anti"), clusters.context_figures(own, divergence, values), tables.held(clusters.top_values(values), "top-values"), names, selectors, rates, probes)
+    nested = shards.shards(found, counts, clusters.context_figures(own, divergence), tables.held(clusters.top_values(clusters.value_counts(own)), "top-values"), names, selectors, rates, probes)
+    return {"index": clusters.index(counts, names, deploy), "shards": nested, "deploy": deploy}
+
+
+def affected_tables(divergence: DataFrame, names: DataFrame, denominators: DataFrame | None, selectors: DataFrame | None, probes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """shard_tables and the parts of the collapsed document."""
+    parts = shard_tables(divergence, names, denominators, selectors, probes)
+    g4, deploy = divergence.filter(P.G4), parts["deploy"]
     collapsed = clusters.deploy_summary(g4, deploy)
     entries = collapsed["top_entry_contracts"].withColumnRenamed("key", "contract")
     collapsed["top_entry_contracts"] = shards.named(entries, "contract", shards.records(names), "label", "category").orderBy(F.desc("count"), "contract")
-    return {"index": clusters.index(counts, names, deploy), "shards": nested, "deploy": deploy, **{f"deploy_{k}": v for k, v in collapsed.items()}}
+    return {**parts, **{f"deploy_{k}": v for k, v in collapsed.items()}}
 
 
 EXPLAINER = "New contract accounts, without a name and entered by no transaction, that run out of gas in their own construction. Their shards would be alike, so they stand together here."

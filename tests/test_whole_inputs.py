@@ -78,3 +78,28 @@ def test_clusters_are_counted_and_ranked_once(spark):
     roled = driver.clusters.roles(driver.facts(spark, "/root/testdata/sf0.001").filter(driver.P.G4)).select("contract", *driver.clusters.ROLED)
     plan = driver.clusters.failure_clusters(roled)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(contract" in plan and not [x for x in plan.splitlines() if "Aggregate [contract" in x and "revert_decoded" in x.split("], [")[0]]
+
+
+def _scans(df, column):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in x and column in x]
+
+
+def test_rows_meet_their_clusters_once(spark, monkeypatch):
+    """Figures, examples and categories of small clusters are one aggregate; large ones, counted by value, give the same."""
+    roled = driver._roles(spark, "/root/testdata/sf0.001")
+    once = driver.clusters.failure_clusters(roled)
+    assert len(_scans(driver.clusters._small_details(roled.withColumn("cluster", F.lit(1)), True), "tx_hash")) == 1
+    monkeypatch.setattr(driver.clusters, "SMALL", 1)
+    both = driver.clusters.failure_clusters(roled).select(once.columns)
+    assert once.schema.simpleString() == both.schema.simpleString()
+    assert sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
+
+
+def test_items_outside_g4_are_written_without_the_columns_of_g4(spark):
+    P, own = driver.P, driver._contract_facts(spark, "/root/testdata/sf0.001")
+    whole = driver.facts(spark, "/root/testdata/sf0.001").select(own.columns)
+    assert own.filter(P.G4).exceptAll(whole.filter(P.G4)).isEmpty() and own.filter(P.G4).count() == whole.filter(P.G4).count()
+    rest = own.filter(f"NOT coalesce({P.G4}, false)")
+    assert rest.count() > 0 and rest.filter("tx_hash is not null or gas_delta is not null").isEmpty()
+    wider = lambda df: driver.clusters.recipient_counts(df)
+    assert wider(own).exceptAll(wider(whole)).isEmpty()
