@@ -921,13 +921,11 @@ _EVERY_MIX = "m AS (" + " UNION ALL ".join(f"SELECT contract, '{n}' AS which, {c
     FROM m LEFT JOIN names n ON n.address = v WHERE r <= {clusters.BREAKDOWN}""", LABELS_SQL, _NAMED, _DEPLOY, ROLES_SQL, _SITES, _EVERY_MIX)
 def shard_mixes(spark, sf_dir):
     """The functions and counterparts of the shards, with signatures, names and categories."""
-    out = _shards(spark, sf_dir)
-    each = []
-    for n in clusters.MIXES:
-        rows = out.select(F.col("address").alias("contract"), F.lit(n).alias("which"), F.explode(f"context.{n}").alias("m"))
+    def rows(n: str):
         fields = ("selector", "signature", None) if n.endswith("functions") else ("contract", "label", "category")
-        each.append(rows.select("contract", "which", "m.count", *[(F.col(f"m.{f}") if f else F.lit(None).cast("string")).alias(c) for f, c in zip(fields, ("value", "name", "category"))]))
-    return reduce(DataFrame.unionByName, each)
+        return F.transform(f"context.{n}", lambda m: F.struct(F.lit(n).alias("which"), m["count"].alias("count"), *[(m[f] if f else F.lit(None).cast("string")).alias(c) for f, c in zip(fields, ("value", "name", "category"))]))
+
+    return _shards(spark, sf_dir).select(F.col("address").alias("contract"), F.inline(F.concat(*[rows(n) for n in clusters.MIXES])))
 
 
 _SUMMARY = "SELECT o_orderkey AS block_number, CASE WHEN o_custkey % 3 = 0 THEN 'unchanged' ELSE 'gas_only' END AS class, o_orderkey % 10 AS tx_count, o_custkey - 500 AS gas_delta_sum, o_custkey % 50 - 80 AS gas_delta_min, o_custkey % 60 + 900 AS gas_delta_max, o_orderkey AS baseline_gas_used_sum"

@@ -95,6 +95,11 @@ def test_rows_meet_their_clusters_once(spark, monkeypatch):
     assert sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
 
 
+def test_mixes_of_shards_read_the_shards_once(spark):
+    out = QUERIES["shard_mixes"](spark, "/root/testdata/sf0.001")
+    assert len(_scans(out, "which")) < len(driver.clusters.MIXES) and {r[0] for r in out.select("which").distinct().collect()} == set(driver.clusters.MIXES)
+
+
 def test_items_outside_g4_are_written_without_the_columns_of_g4(spark):
     P, own = driver.P, driver._contract_facts(spark, "/root/testdata/sf0.001")
     whole = driver.facts(spark, "/root/testdata/sf0.001").select(own.columns)
